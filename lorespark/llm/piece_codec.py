@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from . import _chunks, _spark, _text
 
 MARK = "▁"
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 6 << 20
 
 
 @cache
@@ -43,9 +43,16 @@ def load(model: str):
     return sp, np.array([p.startswith(MARK) for p in pieces]), sp.piece_to_id(MARK)
 
 
+@cache
+def _table(model: str) -> _chunks.Table:
+    sp, _, lone = load(model)
+    # the library puts a marker before what it gets: a chunk's own first one
+    return _chunks.Table(lambda distinct: _chunks.flat([i or [lone] for i in sp.encode([x[1:] for x in distinct], num_threads=1)]))
+
+
 def encode_texts(texts: pa.Array, model: str) -> tuple[np.ndarray, np.ndarray]:
     """(ids, offsets): each text as the library encodes it, with the end id."""
-    sp, _, lone = load(model)
+    sp = load(model)[0]
     texts = pc.replace_substring(pc.cast(texts, pa.large_string()).fill_null(""), MARK, " ")
     texts = pc.if_else(pc.equal(texts, ""), "", pc.binary_join_element_wise(pa.scalar("", pa.large_string()), texts, pa.scalar(" ", pa.large_string())))
     raw, offs = _text.buffers(texts)
@@ -56,11 +63,7 @@ def encode_texts(texts: pa.Array, model: str) -> tuple[np.ndarray, np.ndarray]:
     begin[at[at < offs[1:]]] = True
     starts = np.flatnonzero(begin)
 
-    def encode(distinct: list[str]) -> list[list[int]]:
-        ids = sp.encode([x[1:] for x in distinct], num_threads=1)
-        return [i or [lone] for i in ids]
-
-    return _chunks.encode_distinct(_chunks.slices(raw, starts, pa.large_string()), np.searchsorted(starts, offs), encode, sp.eos_id())
+    return _chunks.encode_distinct(_chunks.slices(raw, starts, pa.large_string()), np.searchsorted(starts, offs), _table(model), sp.eos_id())
 
 
 def decode_ids(ids: np.ndarray, offsets: np.ndarray, model: str) -> pa.Array:
@@ -85,19 +88,23 @@ def decode_ids(ids: np.ndarray, offsets: np.ndarray, model: str) -> pa.Array:
     return pa.array([body[i + s : j].decode() for i, j, s in zip(lo.tolist(), hi.tolist(), skip.tolist(), strict=True)], pa.string())
 
 
-def encode(docs: DataFrame, model: str) -> DataFrame:
-    """(doc_id, ids array<int>) of docs(doc_id, text)."""
+def encode(docs: DataFrame, model: str, decoded: bool = False) -> DataFrame:
+    """(doc_id, ids array<int>) of docs(doc_id, text); with ``decoded``, also the text that decoding those ids gives."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _text.flushes(batches, "text", BLOCK_BYTES):
             ids, offs = encode_texts(t.column("text").combine_chunks(), model)
             doc = t.column("doc_id").combine_chunks()
+            back = decode_ids(ids, offs, model) if decoded else None
             for i in range(0, len(doc), 256):
                 o = offs[i : i + 257]
-                yield pa.RecordBatch.from_arrays([doc[i : i + 256], pa.ListArray.from_arrays(pa.array((o - o[0]).astype(np.int32)), pa.array(ids[o[0] : o[-1]], pa.int32()))], ["doc_id", "ids"])
+                cols = [doc[i : i + 256], pa.ListArray.from_arrays(pa.array((o - o[0]).astype(np.int32)), pa.array(ids[o[0] : o[-1]], pa.int32()))]
+                yield pa.RecordBatch.from_arrays([*cols, back[i : i + 256]], ["doc_id", "ids", "text"]) if decoded else pa.RecordBatch.from_arrays(cols, ["doc_id", "ids"])
+            del ids, back
+            pa.default_memory_pool().release_unused()
 
     _spark.small_batches(docs.sparkSession)
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, ids array<int>" + ", text string" * decoded)
 
 
 def decode(encoded: DataFrame, model: str) -> DataFrame:

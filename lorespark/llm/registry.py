@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitpack, ngram_join, piece_codec
+from . import bitpack, decontaminate, ngram_join, piece_codec, suffix_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,13 +25,34 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.passages(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    found = decontaminate.phrase_matches(decontaminate.build_index(docs.select("doc_id", "text")), benchmark)
+    hits = F.size("places").cast("long")
+    return found.select(
+        "doc_id",
+        "n_words",
+        hits.alias("n_hit"),
+        F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "item_ids"), 256).alias("items_sha256"),
+        ((hits > 0) & (20 * hits >= F.col("n_words"))).alias("contaminated"),
+    )
+
+
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digests(_table(spark, sf_dir, "documents"))
 
 
 def piece_digests(docs: DataFrame) -> DataFrame:
     model = tokenizer_path("piece_bpe_32k.model")
-    done = piece_codec.decode(piece_codec.encode(docs.select("doc_id", "text"), model), model)
+    done = piece_codec.encode(docs.select("doc_id", "text"), model, decoded=True)
     return done.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
@@ -48,6 +69,8 @@ def op10_bitpack(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_join": op1_ngram_join,
+        "op3_suffix_dedup": op3_suffix_dedup,
+        "op4_decontaminate": op4_decontaminate,
         "op9_sentencepiece": op9_sentencepiece,
         "op10_bitpack": op10_bitpack,
     }
