@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitpack, decontaminate, ngram_join, piece_codec, suffix_dedup
+from . import bitpack, decontaminate, ngram_join, piece_codec, suffix_dedup, token_counts, warc_zip
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +46,19 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+END_OF_DOCUMENT = 49407  # <|endoftext|> of word_bpe_49k.json
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = token_counts.write_flat(_table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path("word_bpe_49k.json"), END_OF_DOCUMENT)
+    return token_counts.document_counts(files, END_OF_DOCUMENT)
+
+
+def op8_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = warc_zip.read(warc_zip.write(_table(spark, sf_dir, "pages").select("page_id", "url", "html")))
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digests(_table(spark, sf_dir, "documents"))
 
@@ -71,6 +84,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_ngram_join": op1_ngram_join,
         "op3_suffix_dedup": op3_suffix_dedup,
         "op4_decontaminate": op4_decontaminate,
+        "op7_token_counts": op7_token_counts,
+        "op8_warc_zip": op8_warc_zip,
         "op9_sentencepiece": op9_sentencepiece,
         "op10_bitpack": op10_bitpack,
     }
