@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitpack, decontaminate, ngram_join, piece_codec, quality_rules, suffix_dedup, token_counts, warc_zip
+from . import bitpack, decontaminate, ngram_join, piece_codec, quality_rules, suffix_dedup, token_counts, toxicity, warc_zip
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +51,16 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def remainder(n: int, column: str = "doc_id") -> Column:
+    return F.crc32(F.col(column).cast("string").cast("binary")) % n
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.learn(docs, _table(spark, sf_dir, "labels"), remainder(5) != 0)
+    return toxicity.score(docs, model).select("doc_id", (remainder(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 END_OF_DOCUMENT = 49407  # <|endoftext|> of word_bpe_49k.json
 
 
@@ -90,6 +100,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_quality_rules": op2_quality_rules,
         "op3_suffix_dedup": op3_suffix_dedup,
         "op4_decontaminate": op4_decontaminate,
+        "op6_toxicity": op6_toxicity,
         "op7_token_counts": op7_token_counts,
         "op8_warc_zip": op8_warc_zip,
         "op9_sentencepiece": op9_sentencepiece,
