@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitpack, decontaminate, ngram_join, piece_codec, quality_rules, suffix_dedup, token_counts, toxicity, warc_zip
+from . import bitpack, decontaminate, language_id, ngram_join, piece_codec, quality_rules, suffix_dedup, token_counts, toxicity, warc_zip
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +55,12 @@ def remainder(n: int, column: str = "doc_id") -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % n
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    net = language_id.learn(docs.select("doc_id", "text", "lang"), remainder(4) != 2)
+    return language_id.predict(docs.select("doc_id", "text"), net).select("doc_id", (remainder(4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.learn(docs, _table(spark, sf_dir, "labels"), remainder(5) != 0)
@@ -100,6 +106,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_quality_rules": op2_quality_rules,
         "op3_suffix_dedup": op3_suffix_dedup,
         "op4_decontaminate": op4_decontaminate,
+        "op5_language_id": op5_language_id,
         "op6_toxicity": op6_toxicity,
         "op7_token_counts": op7_token_counts,
         "op8_warc_zip": op8_warc_zip,
