@@ -87,12 +87,15 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def piece_digests(docs: DataFrame) -> DataFrame:
     model = tokenizer_path("piece_bpe_32k.model")
     done = piece_codec.encode(docs.select("doc_id", "text"), model, decoded=True)
-    return done.select(
-        "doc_id",
+    return done.select("doc_id", *piece_columns())
+
+
+def piece_columns() -> list[Column]:
+    return [
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
         F.sha2("text", 256).alias("decoded_sha256"),
-    )
+    ]
 
 
 def op10_bitpack(spark: SparkSession, sf_dir: str) -> DataFrame:
