@@ -24,6 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +32,8 @@ from . import _spark, _text
 from ._text import U64
 
 GRAM, BITS, KEPT = 5, 20, 4096
-POSITIVES, UNLABELLED = 4000, 12000
+POSITIVES, UNLABELLED = 3000, 8000
+CHUNK = 200
 #: Standard deviations by which positives must hold an n-gram beyond unlabelled texts (of up to a million, few pass by chance), and how likely toxic it must make a text under the prior.
 LEAST_GAIN, PURITY = 6, 0.75
 BLOCK_BYTES = 4 << 20
@@ -118,8 +120,8 @@ def train(positives: list[str], unlabelled: list[str], prior: float, epochs: int
 
     def shares(texts: list[str]) -> np.ndarray:
         out = np.zeros(1 << BITS)
-        for i in range(0, len(texts), 500):
-            h, doc = grams(pa.array(texts[i : i + 500], pa.string()))
+        for i in range(0, len(texts), CHUNK):
+            h, doc = grams(pa.array(texts[i : i + CHUNK], pa.string()))
             pair = np.unique(doc.astype(np.int64) << BITS | h)
             out += np.bincount(pair & ((1 << BITS) - 1), minlength=1 << BITS)
         return out
@@ -139,8 +141,12 @@ def train(positives: list[str], unlabelled: list[str], prior: float, epochs: int
     model = Model(place, np.zeros(len(best)), 0.0)
 
     def rows(texts: list[str]) -> list[np.ndarray]:
-        doc, f = model.held(pa.array(texts, pa.string()))
-        return np.split(f, np.searchsorted(doc, np.arange(1, len(texts))))
+        out = []
+        for i in range(0, len(texts), CHUNK):
+            part = texts[i : i + CHUNK]
+            doc, f = model.held(pa.array(part, pa.string()))
+            out += np.split(f, np.searchsorted(doc, np.arange(1, len(part))))
+        return out
 
     xp, xu = rows(positives), rows(unlabelled)
     rng = np.random.default_rng(seed)
@@ -190,9 +196,10 @@ def learn(docs: DataFrame, labels: DataFrame, learnable: Column, positives: int
     ids = texts.select("doc_id").distinct().orderBy(key, "doc_id").limit(unlabelled)
     both = chosen.withColumn("positive", F.lit(True)).unionByName(ids.withColumn("positive", F.lit(False)))
     got = texts.join(F.broadcast(both), "doc_id").select("positive", "text").orderBy("positive", key, "text").limit(positives + unlabelled).toArrow()
-    flag = got.column("positive").to_numpy(zero_copy_only=False)
-    text = got.column("text").to_pylist()
-    return train([t for t, f in zip(text, flag, strict=True) if f], [t for t, f in zip(text, flag, strict=True) if not f], share or 0.0)
+    flag = got.column("positive")
+    sides = [got.filter(f).column("text").to_pylist() for f in (flag, pc.invert(flag))]
+    del got
+    return train(*sides, share or 0.0)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
