@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from . import _text
 
 
+#: Rows of ids, numbers and short arrays that a task writes to one file.
+ROWS_A_FILE = 200_000
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder, from spark.checkpoint.dir; a temporary one only where that is unset (local tests)."""
     sc = spark.sparkContext
@@ -30,10 +34,20 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: lineage is cut and lost executors cost nothing that was done."""
+def tasks(spark: SparkSession, size: int, each: int) -> int:
+    """As many tasks as ``size`` needs at ``each`` a task, and as the cluster has cores at least."""
+    return max(spark.sparkContext.defaultParallelism, -(-size // each))
+
+
+def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """df as a Parquet table in the shared folder: lineage is cut and lost executors cost nothing that was done.
+
+    With ``rows``, about how many rows it has at most, no more files than they fill.
+    """
     spark = df.sparkSession
     path = fresh_path(spark, name)
+    if rows is not None:
+        df = df.coalesce(tasks(spark, rows, ROWS_A_FILE))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -48,29 +62,31 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(_text.BATCH_ROWS))
 
 
-def text_bytes(docs: DataFrame, column: str = "text") -> int:
-    return docs.agg(F.coalesce(F.sum(F.octet_length(column)), F.lit(0)).alias("n")).first()["n"]
+def text_size(docs: DataFrame, column: str = "text") -> tuple[int, int]:
+    """(rows, bytes of text)"""
+    r = docs.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.octet_length(column)), F.lit(0)).alias("bytes")).first()
+    return r["rows"], r["bytes"]
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, rows: int | None = None, rounds: int = 60) -> DataFrame:
     """(id, component) of every id in edges(a, b): the smallest id reachable.
 
     Alternating large-star and small-star steps over the edge table, which is written to the
     shared folder each round; nothing is collected but one change count.  A round only ever
     makes one row of each it reads, so hubs of any degree cost no more than their edges.
     """
-    e = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
+    e = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges", rows)
     for _ in range(rounds):
         both = e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("s")).select("s.a", "s.b").where("a <> b").distinct()
-        new = written(small, "edges")
+        new = written(small, "edges", rows)
         # a star forest: no id is both a member and a centre, and each member has one centre
         s = new.agg(F.count("*").alias("n"), F.count_distinct("a").alias("d")).first()
         done = s["n"] == s["d"] and new.join(new.select(F.col("b").alias("a")).distinct(), "a", "left_semi").isEmpty()
-        e = new
+        e, rows = new, s["n"]
         if done:
             break
     else:

@@ -47,6 +47,8 @@ from ._text import U64
 K, PERCENT = 5, 75
 #: Bytes of text a block of documents holds; bytes of postings a hash range should hold; members a group's task holds.
 BLOCK_BYTES, RANGE_BYTES, GROUP = 8 << 20, 16 << 20, 1024
+#: Text whose shared shingles a task writes to one file; sets a task has.
+FILE_TEXT, SETS = 32 << 20, 20_000
 _LOW = U64(0xFFFF)
 _MANY = 0xFFFF
 
@@ -341,27 +343,29 @@ def shared_sets(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFram
     spark = docs.sparkSession
     _spark.small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    ranges = max(8, 2 * _spark.text_bytes(docs) // RANGE_BYTES)
+    _, size = _spark.text_size(docs)
+    ranges = max(8, 2 * size // RANGE_BYTES)
     posted = docs.mapInArrow(_post(ranges, k), _POSTED)
     counted = posted.groupBy("part", "key").applyInArrow(_count, _POSTED)
-    return _spark.written(counted.groupBy("block").applyInArrow(_resolve(percent), _SETS), "sets")
+    return _spark.written(counted.groupBy("block").applyInArrow(_resolve(percent), _SETS).coalesce(_spark.tasks(spark, size, FILE_TEXT)), "sets")
 
 
 def ngram_join(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of docs(doc_id, text)."""
     sets = shared_sets(docs, k, percent)
     classes = sets.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("keys", ignorenulls=True).alias("keys"))
-    members = _spark.written(classes.where("keys is not null").select("rep", "n", "keys"), "classes")
+    spark, held = docs.sparkSession, sets.where("keys is not null").count()
+    members = _spark.written(classes.where("keys is not null").select("rep", "n", "keys").coalesce(_spark.tasks(spark, held, SETS)), "classes")
     prefix = _spark.written(members.mapInArrow(_prefixes(percent), "rep long, token long"), "prefix")
     hubs = prefix.groupBy("token").agg(F.min("rep").alias("hub"), F.count("*").alias("held")).where("held > 1").drop("held")
-    dealt = _spark.written(prefix.join(hubs, "token").select("hub", "rep").distinct(), "groups")
+    dealt = _spark.written(prefix.join(hubs, "token").select("hub", "rep").distinct(), "groups", 4 * held)
     # a group of many members becomes blocks by hash, and each pair of blocks a task
-    held = dealt.groupBy("hub").agg(F.ceil(F.count("*") / F.lit(GROUP)).cast("int").alias("blocks"), F.count("*").alias("size")).where("size > 1")
-    placed = dealt.join(held, "hub").withColumn("b", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    sizes = dealt.groupBy("hub").agg(F.ceil(F.count("*") / F.lit(GROUP)).cast("int").alias("blocks"), F.count("*").alias("size")).where("size > 1")
+    placed = dealt.join(sizes, "hub").withColumn("b", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("b")).alias("i"), F.greatest(o, F.col("b")).alias("j")))
     tasks = placed.select("hub", "rep", "b", F.explode(pairs).alias("p")).select("hub", "rep", "b", "p.i", "p.j")
     links = tasks.join(members, "rep").groupBy("hub", "i", "j").applyInArrow(_join_group(percent), "a long, b long")
-    found = _spark.components(links)
+    found = _spark.components(links, 4 * held)
     named = classes.select("sig", "rep").join(found.withColumnRenamed("id", "rep"), "rep", "left").select("sig", F.coalesce("component", "rep").alias("component_id"))
     # of the copies of a set a hot one may hold a third of the rows: its one row goes out to several salts
     salts = 16

@@ -241,7 +241,7 @@ def passages(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     _spark.small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    ranges = max(8, _spark.text_bytes(docs) // RANGE_TEXT)
+    ranges = max(8, _spark.text_size(docs)[1] // RANGE_TEXT)
     keys = docs.mapInArrow(_post_suffixes(ranges), _ROW).groupBy("part", "key").applyInArrow(_neighbours, _ROW)
     windows = keys.unionByName(docs.mapInArrow(_carry_texts, _ROW)).groupBy("block").applyInArrow(_extend(4 * ranges), _ROW)
     return windows.groupBy("part", "key").applyInArrow(_neighbours, _ROW).groupBy("block").applyInArrow(_spans, _SPANS)

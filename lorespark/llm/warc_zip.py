@@ -40,7 +40,7 @@ from . import _files, _spark
 
 MIN_REVISIT = 1000
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdx"
-ARCHIVE_BYTES, READ_RECORDS, SALTS = 64 << 20, 4096, 16
+ARCHIVE_BYTES, READ_RECORDS, SALTS = 32 << 20, 4096, 16
 _LOCAL, _CENTRAL, _END, _END64, _LOCATOR = 0x04034B50, 0x02014B50, 0x06054B50, 0x06064B50, 0x07064B50
 _FULL32, _FULL16 = 0xFFFFFFFF, 0xFFFF
 
@@ -212,7 +212,8 @@ def write(pages: DataFrame, force_zip64: bool = False) -> DataFrame:
         z.out.close()
         return uri, len(index)
 
-    return _spark.written(decisions(pages).mapInArrow(run, "path string, records long"), "manifest")
+    decided = decisions(pages).coalesce(_spark.tasks(spark, _spark.text_size(pages, "html")[1], ARCHIVE_BYTES))
+    return _spark.written(decided.mapInArrow(run, "path string, records long"), "manifest")
 
 
 def records(path: str, first: int, last: int) -> Iterator[tuple[dict[str, str], bytes]]:
