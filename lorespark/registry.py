@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .plans import _base, aggregation, changes, documents, evidence, graph, lexical, ranking, scalars, streams, vectors
+
+#: Modules register their queries as they are imported.
+MODULES = (aggregation, changes, documents, evidence, graph, lexical, ranking, scalars, streams, vectors)
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(_base.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_base.ORACLES)
