@@ -21,7 +21,9 @@ def postings(records: DataFrame, key: str, fields: dict[str, float]) -> DataFram
         return F.transform(text.lower_words(field), lambda t: F.struct(t.alias("term"), F.lit(float(weight)).alias("weight")))
 
     all_words = F.concat(*(side(f, w) for f, w in fields.items()))
-    return records.select(key, F.size(all_words).cast("long").alias("length"), F.explode(all_words).alias("p")).select(key, "length", "p.term", "p.weight")
+    # the length is a column of its own before the words go apart, so that no row carries or counts them again
+    listed = records.select(key, all_words.alias("w")).select(key, F.size("w").cast("long").alias("length"), "w")
+    return listed.select(key, "length", F.explode("w").alias("p")).select(key, "length", "p.term", "p.weight")
 
 
 def bm25(records: DataFrame, key: str, fields: dict[str, float], queries: DataFrame, k: int | None) -> DataFrame:
@@ -48,11 +50,11 @@ def matched_terms(records: DataFrame, key: str, field: str, queries: DataFrame)
 
 
 def phrase_hits(records: DataFrame, key: str, field: str, phrases: DataFrame) -> DataFrame:
-    """(query_id, key): records that hold all the words of phrases(query_id, words) one after another; found from each phrase's first word, then compared."""
-    w = records.select(key, text.lower_words(field).alias("w"))
-    starts = w.select(key, F.posexplode("w").alias("i", "first"), "w")
-    p = phrases.where(F.size("words") > 0).withColumn("first", F.col("words")[0])
-    return starts.join(p, "first").where(F.slice("w", F.col("i") + 1, F.size("words")) == F.col("words")).select("query_id", key).distinct()
+    """(query_id, key): records that hold all the words of phrases(query_id, words) one after another; postings shifted by their place in the phrase that meet at one start."""
+    asked = phrases.where(F.size("words") > 0).select("query_id", F.size("words").alias("wanted"), F.posexplode("words").alias("offset", "term"))
+    posted = records.select(key, text.lower_words(field).alias("w")).select(key, F.posexplode("w").alias("at", "term"))
+    met = posted.join(asked, "term").groupBy("query_id", key, "wanted", (F.col("at") - F.col("offset")).alias("start")).count()
+    return met.where("count = wanted").select("query_id", key).distinct()
 
 
 def prefix_hits(records: DataFrame, key: str, field: str, queries: DataFrame, least: int = 4) -> DataFrame:
