@@ -81,9 +81,9 @@ QUESTIONS = [
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(question_id, question): every form of question over the first two words of each benchmark item."""
-    w = text.words("text")
-    b = table(spark, sf_dir, "benchmark").select("item_id", w[0].alias("x"), F.try_element_at(w, F.lit(2)).alias("y"))
+    """(question_id, question): every form of question over the first two words of five letters and more of each benchmark item."""
+    w = F.filter(text.words("text"), lambda x: F.length(x) >= 5)
+    b = table(spark, sf_dir, "benchmark").select("item_id", F.coalesce(F.try_element_at(w, F.lit(1)), F.lit("nothing")).alias("x"), F.try_element_at(w, F.lit(2)).alias("y"))
     forms = b.select("item_id", "x", F.coalesce("y", "x").alias("y"), F.posexplode(F.array(*(F.lit(q) for q in QUESTIONS))).alias("form", "q"))
     filled = F.replace(F.replace(F.replace("q", F.lit("X"), F.lit("\u0001")), F.lit("Y"), F.col("y")), F.lit("\u0001"), F.col("x"))
     return forms.select((F.col("item_id") * 100 + F.col("form")).alias("question_id"), filled.alias("question"))
@@ -97,9 +97,9 @@ def sql_words(expression: str) -> str:
 
 
 QUESTIONS_SQL = (
-    "SELECT item_id * 100 + form AS question_id, replace(replace(replace(q, 'X', chr(1)), 'Y', coalesce(w[2], w[1])), chr(1), w[1]) AS question FROM (SELECT item_id, "
+    "SELECT item_id * 100 + form AS question_id, replace(replace(replace(q, 'X', chr(1)), 'Y', coalesce(w[2], w[1], 'nothing')), chr(1), coalesce(w[1], 'nothing')) AS question FROM (SELECT item_id, list_filter("
     + sql_words("text")
-    + " AS w FROM benchmark), (VALUES "
+    + ", lambda x: length(x) >= 5) AS w FROM benchmark), (VALUES "
     + ", ".join(f"({i}, '{q}')" for i, q in enumerate(QUESTIONS))
     + ") AS f(form, q)"
 )

@@ -1 +1,72 @@
-"""."""
+"""Conversion and chunking queries over pages, documents and conversations."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .. import corpus
+from ..functions import text
+from ..operators import code, documents
+from ._base import query
+
+
+def _units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = corpus.table(spark, sf_dir, "pages").withColumn("kind", F.lit("html"))
+    return documents.units(p, "page_id", "html", "kind")
+
+
+@query("n1_html_units")
+def n1_html_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _units(spark, sf_dir)
+
+
+@query("n8_titles", "SELECT page_id, coalesce(nullif(trim(regexp_replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '\\s+', ' ', 'g')), ''), regexp_extract(url, '[^/]*$')) AS title FROM pages")
+def n8_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = corpus.table(spark, sf_dir, "pages")
+    title = F.trim(F.regexp_replace(F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 1), r"\s+", " "))
+    return p.select("page_id", F.coalesce(F.nullif(title, F.lit("")), text.file_name("url")).alias("title"))
+
+
+@query("n2_chunks")
+def n2_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents.chunk(_units(spark, sf_dir), "page_id")
+
+
+@query("n2_text_chunks")
+def n2_text_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = corpus.chunks(spark, sf_dir).select("doc_id", F.col("source").alias("title"), F.col("ordinal").cast("int").alias("ordinal"), "kind", "body", F.array().cast("array<string>").alias("headings"))
+    return documents.chunk(c, "doc_id")
+
+
+@query("n9_search_rows", f"SELECT doc_id, ordinal, CASE WHEN kind = 'heading' THEN body ELSE source || ' > ' || lang END AS heading FROM ({corpus.CHUNKS})")
+def n9_search_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = corpus.chunks(spark, sf_dir)
+    return c.select("doc_id", "ordinal", F.when(c.kind == "heading", c.body).otherwise(F.concat_ws(" > ", "source", "lang")).alias("heading"))
+
+
+@query("n7_document_rows", "SELECT conv_id, count(*) AS turns, string_agg(role, ',' ORDER BY turn) AS roles FROM conversations GROUP BY conv_id")
+def n7_document_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = corpus.table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role"))).alias("t"))
+    return g.select("conv_id", F.size("t").cast("long").alias("turns"), F.array_join(F.transform("t", lambda x: x["role"]), ",").alias("roles"))
+
+
+@query("w11_attachment_limits", """WITH RECURSIVE a AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS k, turn, length(text)::BIGINT AS size FROM conversations),
+ w(conv_id, k, n, used, reason) AS (SELECT conv_id, 0::BIGINT, 0, 0::BIGINT, NULL::VARCHAR FROM (SELECT DISTINCT conv_id FROM a) UNION ALL
+  SELECT w.conv_id, a.k, w.n + CASE WHEN a.size <= 400 AND w.n < 3 AND w.used + a.size <= 600 THEN 1 ELSE 0 END, w.used + CASE WHEN a.size <= 400 AND w.n < 3 AND w.used + a.size <= 600 THEN a.size ELSE 0 END,
+  CASE WHEN a.size > 400 THEN 'too_large' WHEN w.n >= 3 THEN 'too_many' WHEN w.used + a.size > 600 THEN 'total_exceeded' END FROM w JOIN a ON a.conv_id = w.conv_id AND a.k = w.k + 1)
+ SELECT w.conv_id, w.k AS ordinal, size, reason FROM w JOIN a USING (conv_id, k)""")
+def w11_attachment_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = corpus.table(spark, sf_dir, "conversations")
+    g = c.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("t"))
+    items = F.transform("t", lambda x, i: F.struct((i + 1).cast("long").alias("ordinal"), F.length(x["text"]).cast("long").alias("size")))
+    return g.select("conv_id", F.explode(documents.attachments(items, 3, 400, 600)).alias("a")).select("conv_id", "a.ordinal", "a.size", "a.reason")
+
+
+@query("g1_code_entities")
+def g1_code_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Python made of each document's words: a class with a method that calls the next word's function."""
+    w = F.filter(text.lower_words("text"), lambda x: x.rlike("^[a-z]+$"))
+    d = corpus.table(spark, sf_dir, "documents").select("doc_id", w.alias("w")).where("size(w) > 3")
+    body = F.concat_ws("", F.lit("import os\n\nclass C"), F.col("w")[0], F.lit(":\n    def m"), F.col("w")[1], F.lit("(self):\n        return f"), F.col("w")[2], F.lit("(os.getcwd())\n\ndef f"), F.col("w")[2], F.lit("(x):\n    return x\n"))
+    return code.extract(d.select("doc_id", F.lit("python").alias("language"), body.alias("body")), "doc_id", "language", "body")
