@@ -30,7 +30,7 @@ from . import _chunks, _files, _spark, _text
 
 MAGIC = b"LSBP0001"
 BLOCK = 1 << 16
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 8 << 20
 FILE_BYTES = 32 << 20
 
 
@@ -134,25 +134,42 @@ def _tokenizer(path: str, specials_are_text: bool):
     return t
 
 
+@cache
+def _table(path: str, specials_are_text: bool) -> _chunks.Table:
+    """Chunks are encoded many in one string, as a call costs more than a chunk; each id goes to the chunk in which its characters begin."""
+    t = _tokenizer(path, specials_are_text)
+
+    def encode(distinct: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids, sizes = [], []
+        for i in range(0, len(distinct), 256):
+            part = distinct[i : i + 256]
+            begin = np.zeros(len(part) + 1, np.int64)
+            np.cumsum([len(x) + 1 for x in part], out=begin[1:])
+            e = t.encode(" ".join(part), add_special_tokens=False)
+            ids.append(np.array(e.ids, np.int32))
+            at = np.fromiter((o[0] for o in e.offsets), np.int64, len(e.ids))
+            sizes.append(np.bincount(np.searchsorted(begin, at, "right") - 1, minlength=len(part)))
+        ends = np.zeros(len(distinct) + 1, np.int64)
+        np.cumsum(np.concatenate(sizes), out=ends[1:])
+        return np.concatenate(ids), ends
+
+    return _chunks.Table(encode, 300_000)
+
+
 def encode_texts(texts: pa.Array, tokenizer: str, last: int | None, specials_are_text: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, offsets) as the tokenizers library gives them for whole texts, by a table of the distinct chunks that end in a space or line feed.
+    """(ids, offsets) as the tokenizers library gives them for whole texts, by a table of the distinct chunks that end in a space or line feed or before a comma or full stop.
 
     For tokenizers that drop white space and whose pre-tokens never cross it, as word_bpe_49k.json.
     """
-    t = _tokenizer(tokenizer, specials_are_text)
     raw, offs = _text.buffers(texts)
     begin = np.zeros(len(raw) + 1, bool)
     begin[1:] = (raw == 0x20) | (raw == 0x0A)
+    # a comma or full stop after an ASCII letter begins a pre-token as well, so a word is one chunk with and without it
+    letter = (raw | 0x20) - np.uint8(97) < 26
+    begin[1:-1] |= letter[:-1] & ((raw[1:] == 0x2C) | (raw[1:] == 0x2E))
     begin[offs] = True
     starts = np.flatnonzero(begin[: len(raw)])
-
-    def encode(distinct: list[str]) -> list[list[int]]:
-        out: list[list[int]] = []
-        for i in range(0, len(distinct), 4096):
-            out += [e.ids for e in t.encode_batch_fast(distinct[i : i + 4096], add_special_tokens=False)]
-        return out
-
-    return _chunks.encode_distinct(_chunks.slices(raw, starts, pa.large_string()), np.searchsorted(starts, offs), encode, last)
+    return _chunks.encode_distinct(_chunks.slices(raw, starts, pa.large_string()), np.searchsorted(starts, offs), _table(tokenizer, specials_are_text), last)
 
 
 def write(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
@@ -162,7 +179,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
     folder = _spark.fresh_path(spark, "packed")
     _files.make_dir(folder)
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    files = max(spark.sparkContext.defaultParallelism, _spark.text_bytes(docs) // FILE_BYTES)
+    files = _spark.tasks(spark, _spark.text_size(docs)[1], FILE_BYTES)
     bits = bits_for(_tokenizer(tokenizer, False).get_vocab_size())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
