@@ -38,7 +38,7 @@ from . import _spark, _text
 from ._text import U64
 
 LENGTH, GRAM = 50, 16
-BLOCK_BYTES, RANGE_TEXT = 8 << 20, 64 << 20
+BLOCK_BYTES, RANGE_TEXT = 6 << 20, 64 << 20
 _ROW = "key long, block long, part int, a binary, b binary, c binary"
 _NAMES = ["key", "block", "part", "a", "b", "c"]
 _TYPES = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
@@ -109,6 +109,8 @@ def _cuts(keys: np.ndarray, ranges: int) -> list[tuple[int, int, int]]:
 
 def _grouped(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct keys, sorted; the smallest document of each; whether it has others."""
+    if not len(keys):
+        return keys, docs, np.zeros(0, bool)
     order = np.lexsort((docs, keys))
     k, d = keys[order], docs[order]
     new = np.ones(len(k), bool)
