@@ -7,6 +7,8 @@ operator's result rests on hash equality its docstring says so.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import hashlib
 from collections.abc import Iterator
 
@@ -134,6 +136,13 @@ def inside_docs(doc_offsets: np.ndarray, n_words: int, k: int) -> np.ndarray:
     return ok[:n]
 
 
+def give_back() -> None:
+    """Memory that is no longer used goes back to the system, so that a worker stays as small as its block."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def flushes(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.Table]:
     """Batches put together up to about ``limit`` bytes of text (a longer text comes alone)."""
     kept: list[pa.RecordBatch] = []
@@ -144,8 +153,11 @@ def flushes(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Itera
             part = b.slice(i, step)
             n = part.column(column).nbytes
             if kept and size + n > limit:
-                yield pa.Table.from_batches(kept)
+                whole = pa.Table.from_batches(kept)
                 kept, size = [], 0
+                yield whole
+                del whole
+                give_back()
             kept.append(part)
             size += n
     if kept:

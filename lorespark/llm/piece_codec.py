@@ -101,7 +101,6 @@ def encode(docs: DataFrame, model: str, decoded: bool = False) -> DataFrame:
                 cols = [doc[i : i + 256], pa.ListArray.from_arrays(pa.array((o - o[0]).astype(np.int32)), pa.array(ids[o[0] : o[-1]], pa.int32()))]
                 yield pa.RecordBatch.from_arrays([*cols, back[i : i + 256]], ["doc_id", "ids", "text"]) if decoded else pa.RecordBatch.from_arrays(cols, ["doc_id", "ids"])
             del ids, back
-            pa.default_memory_pool().release_unused()
 
     _spark.small_batches(docs.sparkSession)
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, ids array<int>" + ", text string" * decoded)
