@@ -50,11 +50,19 @@ def matched_terms(records: DataFrame, key: str, field: str, queries: DataFrame)
 
 
 def phrase_hits(records: DataFrame, key: str, field: str, phrases: DataFrame) -> DataFrame:
-    """(query_id, key): records that hold all the words of phrases(query_id, words) one after another; postings shifted by their place in the phrase that meet at one start."""
-    asked = phrases.where(F.size("words") > 0).select("query_id", F.size("words").alias("wanted"), F.posexplode("words").alias("offset", "term"))
+    """(query_id, key): records that hold all the words of phrases(query_id, words) one after another.
+
+    Each phrase is looked for from its rarest word alone: that word's postings, shifted by its place in the phrase, are the candidates,
+    and the words from there on are compared.
+    """
+    asked = phrases.where(F.size("words") > 0).select("query_id", F.posexplode("words").alias("offset", "term"))
     posted = records.select(key, text.lower_words(field).alias("w")).select(key, F.posexplode("w").alias("at", "term"))
-    met = posted.join(asked, "term").groupBy("query_id", key, "wanted", (F.col("at") - F.col("offset")).alias("start")).count()
-    return met.where("count = wanted").select("query_id", key).distinct()
+    frequency = posted.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
+    anchors = asked.join(frequency, "term").groupBy("query_id").agg(F.min(F.struct("n", "offset", "term")).alias("a")).select("query_id", "a.offset", "a.term")
+    starts = posted.join(anchors, "term").select("query_id", key, (F.col("at") - F.col("offset")).alias("start")).where("start >= 0")
+    bodies = records.select(key, text.lower_words(field).alias("w"))
+    met = starts.join(bodies, key).join(phrases, "query_id").where(F.slice("w", F.col("start") + 1, F.size("words")) == F.col("words"))
+    return met.select("query_id", key).distinct()
 
 
 def prefix_hits(records: DataFrame, key: str, field: str, queries: DataFrame, least: int = 4) -> DataFrame:
