@@ -21,6 +21,15 @@ COMMON_NAMES = (
     "main map name new next open options parse process read remove reset result run save send set size start stop test to_string tostring type update validate value warn write"
 ).split()
 
+# Route decorators and attributes, include attributes of project files, markers that pass for instructions, user information in URLs and addresses.
+PYTHON_ROUTE = r"""(?s)^@\s*[\w.]*\.(route|get|post|put|patch|delete|head|options)\s*\(\s*(?:'([^'"]+)'|"([^'"]+)")(.*)"""
+PYTHON_METHOD = r"""methods\s*=\s*\[\s*['"](\w+)['"]"""
+CSHARP_ROUTE = r"""^(Http(Get|Post|Put|Patch|Delete)|Route)\s*(?:\(\s*(?:'([^'"]*)'|"([^'"]*)")\s*\))?"""
+PROJECT_INCLUDE = r"""<(?:ProjectReference|PackageReference)\b[^>]*\bInclude\s*=\s*"([^"]*)\""""
+INSTRUCTION_MARKS = r"(?i)(<\s*/?\s*(system|assistant|user|evidence|instructions?)\s*>|\[/?(INST|SYS)\]|<<<|>>>|```|\[E\d+\])"
+URL_USER = r"([a-zA-Z][a-zA-Z0-9+.\-]*://)[^\s/@]+@"
+BARE_USER = r"(?<![\p{L}\p{N}_/@])[^\s/@:]+:[^\s/@]+@(?=[\p{L}\p{N}_.\-\[])"
+
 WORD_GAP = r"[^\p{L}\p{N}_\p{M}]+"
 SEP = "\u001f"
 
@@ -147,9 +156,8 @@ def route_parts(symbol: Column | str) -> Column:
 def python_route(decorator: Column | str) -> Column:
     """``http_endpoint:METHOD:path`` of a Python route decorator, or null."""
     c = _col(decorator)
-    pattern = r"""(?s)^@\s*[\w.]*\.(route|get|post|put|patch|delete|head|options)\s*\(\s*(?:'([^'"]+)'|"([^'"]+)")(.*)"""
-    verb, path = F.regexp_extract(c, pattern, 1), F.concat(F.regexp_extract(c, pattern, 2), F.regexp_extract(c, pattern, 3))
-    named = F.regexp_extract(F.regexp_extract(c, pattern, 4), r"""methods\s*=\s*\[\s*['"](\w+)['"]""", 1)
+    verb, path = F.regexp_extract(c, PYTHON_ROUTE, 1), F.concat(F.regexp_extract(c, PYTHON_ROUTE, 2), F.regexp_extract(c, PYTHON_ROUTE, 3))
+    named = F.regexp_extract(F.regexp_extract(c, PYTHON_ROUTE, 4), PYTHON_METHOD, 1)
     method = F.when(verb != "route", F.upper(verb)).when(named != "", F.upper(named)).otherwise("GET")
     return F.when(verb != "", F.concat(F.lit("http_endpoint:"), method, F.lit(":"), path))
 
@@ -157,10 +165,9 @@ def python_route(decorator: Column | str) -> Column:
 def csharp_route(attribute: Column | str) -> Column:
     """``http_endpoint:METHOD:path`` of a C# route attribute, or null."""
     c = _col(attribute)
-    pattern = r"""^(Http(Get|Post|Put|Patch|Delete)|Route)\s*(?:\(\s*(?:'([^'"]*)'|"([^'"]*)")\s*\))?"""
-    verb = F.regexp_extract(c, pattern, 2)
-    path = F.concat(F.regexp_extract(c, pattern, 3), F.regexp_extract(c, pattern, 4))
-    return F.when(F.regexp_extract(c, pattern, 1) != "", F.concat(F.lit("http_endpoint:"), F.when(verb != "", F.upper(verb)).otherwise("ANY"), F.lit(":"), path))
+    verb = F.regexp_extract(c, CSHARP_ROUTE, 2)
+    path = F.concat(F.regexp_extract(c, CSHARP_ROUTE, 3), F.regexp_extract(c, CSHARP_ROUTE, 4))
+    return F.when(F.regexp_extract(c, CSHARP_ROUTE, 1) != "", F.concat(F.lit("http_endpoint:"), F.when(verb != "", F.upper(verb)).otherwise("ANY"), F.lit(":"), path))
 
 
 def decorator_head(text: Column | str) -> Column:
@@ -169,13 +176,12 @@ def decorator_head(text: Column | str) -> Column:
 
 def neutralize(text: Column | str) -> Column:
     """Role and citation markers of retrieved text replaced, so it can't pass for instructions."""
-    return F.regexp_replace(_col(text), r"(?i)(<\s*/?\s*(system|assistant|user|evidence|instructions?)\s*>|\[/?(INST|SYS)\]|<<<|>>>|```|\[E\d+\])", "[removed]")
+    return F.regexp_replace(_col(text), INSTRUCTION_MARKS, "[removed]")
 
 
 def redact(text: Column | str) -> Column:
     """URLs without user information, and no bare user:password@host."""
-    c = F.regexp_replace(_col(text), r"([a-zA-Z][a-zA-Z0-9+.\-]*://)[^\s/@]+@", "$1")
-    return F.regexp_replace(c, r"(?<![\p{L}\p{N}_/@])[^\s/@:]+:[^\s/@]+@(?=[\p{L}\p{N}_.\-\[])", "")
+    return F.regexp_replace(F.regexp_replace(_col(text), URL_USER, "$1"), BARE_USER, "")
 
 
 def redacted_message(text: Column | str, cap: int = 500) -> Column:
@@ -226,7 +232,7 @@ def section_header(title: Column, headings: Column) -> Column:
 
 def project_references(xml: Column | str) -> Column:
     """Include attributes of ProjectReference and PackageReference elements."""
-    return F.regexp_extract_all(_col(xml), F.lit(r"""<(?:ProjectReference|PackageReference)\b[^>]*\bInclude\s*=\s*"([^"]*)\""""), 1)
+    return F.regexp_extract_all(_col(xml), F.lit(PROJECT_INCLUDE), 1)
 
 
 def dependency(text: Column | str) -> Column:
@@ -249,4 +255,4 @@ def percentage(done: Column, planned: Column) -> Column:
 def parse_time(value: Column | str) -> Column:
     """UTC time of epoch milliseconds, RFC 3339 or plain ISO text; null for anything else."""
     c = F.trim(_col(value))
-    return F.when(c.rlike("^[0-9]+$"), F.timestamp_millis(F.expr("try_cast(regexp_extract(trim(" + value + "), '^([0-9]+)$', 1) AS BIGINT)") if isinstance(value, str) else F.regexp_extract(c, "^([0-9]+)$", 1).try_cast("long"))).otherwise(c.try_cast("timestamp"))
+    return F.when(c.rlike("^[0-9]+$"), F.timestamp_millis(F.regexp_extract(c, "^([0-9]+)$", 1).try_cast("long"))).otherwise(c.try_cast("timestamp"))

@@ -69,7 +69,9 @@ def t11_mmr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.mmr(h, "query_id")
 
 
-@query("w10_running_budget")
+@query("w10_running_budget", f"""WITH RECURSIVE h AS ({_HITS}), a AS (SELECT query_id, rank, id, n_chars FROM h JOIN documents ON id = doc_id WHERE rank <= 20),
+ w(query_id, rank, n, used, kept) AS (SELECT query_id, 0::BIGINT, 0, 0::BIGINT, false FROM (SELECT DISTINCT query_id FROM a) UNION ALL SELECT w.query_id, a.rank, w.n + CASE WHEN w.used + n_chars <= 30000 AND w.n < 20 THEN 1 ELSE 0 END, w.used + CASE WHEN w.used + n_chars <= 30000 AND w.n < 20 THEN n_chars ELSE 0 END, w.used + n_chars <= 30000 AND w.n < 20 FROM w JOIN a ON a.query_id = w.query_id AND a.rank = w.rank + 1)
+ SELECT w.query_id, w.rank, a.id, a.n_chars FROM w JOIN a USING (query_id, rank) WHERE kept""")
 def w10_running_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = _with_text(spark, sf_dir, 20).groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "id", "n_chars"))).alias("items"))
     kept = op.within_budget(F.col("items"), lambda x: x["n_chars"], 30_000, 20)

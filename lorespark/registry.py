@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import _base, aggregation, changes, documents, evidence, graph, lexical, ranking, scalars, streams, vectors
+from .plans import _base, aggregation, changes, documents, evidence, graph, lexical, ranking, scalars, streams, surface, vectors
 
 #: Modules register their queries as they are imported.
-MODULES = (aggregation, changes, documents, evidence, graph, lexical, ranking, scalars, streams, vectors)
+MODULES = (aggregation, changes, documents, evidence, graph, lexical, ranking, scalars, streams, surface, vectors)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
