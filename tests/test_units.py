@@ -258,3 +258,45 @@ def test_coalescing_stream(spark, tmp_path):
 def test_exact_path(spark):
     r = spark.createDataFrame([("ml/src/Ann.rs", "ann.rs"), ("ml/src/ann.rs", ".\\src/ann.rs"), ("a/xann.rs", "ann.rs"), ("a", "")], "p string, q string")
     assert [x["r"] for x in r.select(lexical.is_exact_path(r.p, r.q).alias("r")).collect()] == [True, True, False, False]
+
+
+@pytest.mark.parametrize(
+    ("expression", "want"),
+    [("a AND b", {1}), ("a OR c", {1, 2, 3}), ('"a b"', {1}), ('"b a"', set()), ("a AND (b OR c*)", {1, 3}), ("cd", set()), ("c* AND d", {2})],
+)
+def test_expressions(spark, expression, want):
+    from lorespark.operators import expressions
+
+    d = spark.createDataFrame([(1, "a b"), (2, "c d"), (3, "a cx c"), (4, "")], "k long, body string")
+    assert {r["k"] for r in expressions.matches(d, "k", "body", expressions.parse(expression)).collect()} == want
+
+
+@pytest.mark.parametrize("bad", ["", "a AND", "(a", "a)", "AND a", "a b"])
+def test_bad_expressions(bad):
+    from lorespark.operators import expressions
+
+    with pytest.raises(ValueError):
+        expressions.parse(bad)
+
+
+def test_embedding_is_cached(spark):
+    from lorespark.operators import embedding
+
+    calls = spark.createDataFrame([(1, "a b"), (2, "a b"), (3, " "), (4, "c")], "id long, text string")
+    empty = spark.createDataFrame([], "text_hash string, fingerprint string, embedding array<float>")
+    rows, fresh = embedding.build(calls, empty, embedding.hashing_model(8), "m")
+    assert {r["id"] for r in rows.collect()} == {1, 2, 4} and fresh.count() == 2
+    cache = spark.createDataFrame(fresh.collect(), "text_hash string, embedding array<float>, fingerprint string")
+    assert embedding.build(calls, cache, embedding.hashing_model(8), "m")[1].count() == 0
+    assert embedding.build(calls, cache, embedding.hashing_model(8), "other")[1].count() == 2
+
+
+def test_retry_and_uptime(spark):
+    r = spark.range(0, 6).select(changes.backoff(F.col("id")).alias("w"), text.uptime(F.col("id") * 4000).alias("u"), text.percentage(F.col("id").cast("double"), F.lit(4.0)).alias("p")).collect()
+    assert [x["w"] for x in r] == [2.0, 2.0, 4.0, 8.0, 16.0, None]
+    assert [x["u"] for x in r][:3] == ["0s", "1h 6m", "2h 13m"] and [x["p"] for x in r] == [0.0, 25.0, 50.0, 75.0, 100.0, 100.0]
+
+
+def test_times(spark):
+    t = spark.createDataFrame([("1704067200000",), ("2024-01-01T00:00:00Z",), ("2024-01-01T00:00:00",), ("never",), ("",), ("9" * 40,)], "c string")
+    assert [r["t"] for r in t.select(text.parse_time("c").cast("long").alias("t")).collect()] == [1704067200] * 3 + [None] * 3
