@@ -63,11 +63,13 @@ _XY = f"SELECT item_id, coalesce(w[1], 'nothing') AS x, coalesce(w[2], w[1], 'no
 @query("v15_decompose", f"""WITH b AS ({_XY}), p AS (SELECT item_id * 100 + 7 AS question_id, 1 AS part, 'comparison' AS role, x || ' speed' AS text FROM b UNION ALL SELECT item_id * 100 + 7, 2, 'comparison', y || ' speed' FROM b
  UNION ALL SELECT item_id * 100 + 8, 1, 'comparison', x FROM b UNION ALL SELECT item_id * 100 + 8, 2, 'comparison', y FROM b UNION ALL SELECT item_id * 100 + 9, 1, 'comparison', x || ' limits' FROM b UNION ALL SELECT item_id * 100 + 9, 2, 'comparison', y || ' limits' FROM b
  UNION ALL SELECT item_id * 100 + 13, 1, 'part', 'what is ' || x FROM b UNION ALL SELECT item_id * 100 + 13, 2, 'part', 'and what is ' || y FROM b UNION ALL SELECT item_id * 100 + 14, 1, 'part', 'explain ' || x || ' then ' || y FROM b UNION ALL SELECT item_id * 100 + 14, 2, 'part', 'list the uses of ' || y FROM b)
- SELECT question_id, part, role, text FROM p JOIN b ON b.item_id = question_id // 100 WHERE lower(x) <> lower(y) OR role = 'part'""")
+,
+ f AS (SELECT question_id, list_filter([{", ".join(f"regexp_replace(regexp_extract(question, '{routing.FLOW}', {i}), '[?.!]+$', '')" for i in range(1, 5))}], lambda z: z <> '') AS h FROM ({_Q}) WHERE regexp_matches(question, '{routing.FLOW}')),
+ u AS (SELECT question_id, list_filter(h, lambda z, i: NOT list_contains(list_transform(h[1:i - 1], lambda v: lower(v)), lower(z))) AS h FROM f)
+ SELECT question_id, part, role, text FROM p JOIN b ON b.item_id = question_id // 100 WHERE lower(x) <> lower(y) OR role = 'part'
+ UNION ALL SELECT question_id, generate_subscripts(h, 1), 'hop', unnest(h) FROM u WHERE len(h) >= 2""")
 def v15_decompose(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # flows name words of ASCII letters only, so their forms (10) depend on the item's letters; they have unit tests of their own
-    q = corpus.questions(spark, sf_dir).where("question_id % 100 <> 10")
-    return q.select("question_id", F.posexplode(routing.decompose(F.col("question"))).alias("part", "p")).select("question_id", (F.col("part") + 1).alias("part"), "p.role", "p.text")
+    return corpus.questions(spark, sf_dir).select("question_id", F.posexplode(routing.decompose(F.col("question"))).alias("part", "p")).select("question_id", (F.col("part") + 1).alias("part"), "p.role", "p.text")
 
 
 _TOP = lexical_plans._bm25_sql("SELECT doc_id, text FROM documents", "doc_id", {"text": 1}, 5)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numbers
 import os
 
 import duckdb
@@ -28,7 +29,8 @@ def plain(df: pd.DataFrame) -> list[tuple]:
             return str([str(y) for y in x])
         if x is None or pd.isna(x):
             return "NULL"
-        return repr(round(float(x), 6) + 0.0) if "float" in type(x).__name__ else str(x)
+        # counts with nulls among them are floats in one frame and integers in the other
+        return repr(round(float(x), 6) + 0.0) if isinstance(x, numbers.Number) and "bool" not in type(x).__name__ else str(x)
 
     return sorted(tuple(one(x) for x in row) for row in df[sorted(df.columns)].itertuples(index=False))
 
@@ -38,9 +40,6 @@ def test_same_rows(spark, duck, name):
     got = QUERIES[name](spark, SF).toPandas()
     want = duck.execute(ORACLES[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
-    ints = [c for c in got.columns if "int" in str(got[c].dtype).lower() and "float" in str(want[c].dtype)]
-    for c in ints:
-        want[c] = want[c].astype("Int64")
     assert plain(got) == plain(want)
 
 
