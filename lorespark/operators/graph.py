@@ -10,32 +10,41 @@ from ..functions import files, ids, text
 REFERENCE_TYPES = ("calls", "imports", "references")
 
 
-def _first(df: DataFrame, keys: list[str], order: list) -> DataFrame:
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
-
-
 def resolve(references: DataFrame, entities: DataFrame) -> DataFrame:
     """(file_id, reference_text, target_id, symbol, resolver, confidence, ambiguous) of references(file_id, reference_text) against entities(id, name, qualified_name, file_id, start_line).
 
     In order: the one entity of the same file with that qualified name; those of the same file with that
     name; the first elsewhere with that qualified name (by file and line); the first elsewhere with its last segment as name (by qualified name and
-    file); else unresolved.  Each step is an equi-join on the name; ranking keeps one candidate a reference.
+    file); else unresolved.  Candidates come from two equi-joins on names; one aggregation, which combines before it shuffles,
+    keeps the first of each kind.
     """
-    r = references.select("file_id", "reference_text").distinct()
-    e = entities.select(F.col("id").alias("target_id"), "name", "qualified_name", F.col("file_id").alias("owner"), "start_line")
-    by_qualified = r.join(e.withColumn("reference_text", F.col("qualified_name")), "reference_text")
-    by_name = r.withColumn("name", F.when(F.contains("reference_text", F.lit(".")), text.bare_name("reference_text")).otherwise(F.col("reference_text"))).join(e, "name")
     key = ["file_id", "reference_text"]
-    counted = Window.partitionBy(*key)
-    same_qualified = by_qualified.where("owner = file_id").withColumn("n", F.count("*").over(counted)).where("n = 1").select(*key, "target_id", F.lit(0).alias("step"), F.lit(False).alias("ambiguous"))
-    same_name = _first(by_name.where("owner = file_id and name = reference_text").withColumn("n", F.count("*").over(counted)), key, ["qualified_name", "target_id"]).select(*key, "target_id", F.when(F.col("n") == 1, 1).otherwise(2).alias("step"), (F.col("n") > 1).alias("ambiguous"))
-    cross_qualified = _first(by_qualified.where("owner <> file_id").withColumn("n", F.count("*").over(counted)), key, ["owner", "start_line", "target_id"]).select(*key, "target_id", F.lit(3).alias("step"), (F.col("n") > 1).alias("ambiguous"))
-    cross_name = _first(by_name.where("owner <> file_id"), key, ["qualified_name", "owner", "target_id"]).select(*key, "target_id", F.lit(4).alias("step"), F.lit(False).alias("ambiguous"))
-    best = _first(same_qualified.unionByName(same_name).unionByName(cross_qualified).unionByName(cross_name), key, ["step"])
-    joined = r.join(best, key, "left")
-    resolver = F.when(F.col("step") == 0, "same_file_qualified").when(F.col("step") == 1, "same_file_name").when(F.col("step") == 2, "same_file_name_ambiguous").when((F.col("step") == 3) & F.col("ambiguous"), "cross_file_qualified_ambiguous").when(F.col("step") == 3, "cross_file_qualified").when(F.col("step") == 4, "name_only").otherwise("unresolved")
-    confidence = F.when(F.col("step") <= 1, "exact").when(F.col("step") <= 3, "high").otherwise("medium")
-    return joined.select(*key, "target_id", F.when(F.col("step") == 4, text.bare_name("reference_text")).otherwise(F.col("reference_text")).alias("symbol"), resolver.alias("resolver"), confidence.alias("confidence"))
+    r = references.select(*key).distinct()
+    e = entities.select(F.col("id").alias("target_id"), "name", "qualified_name", F.col("file_id").alias("owner"), "start_line")
+    own = F.col("owner") == F.col("file_id")
+    cols = [*key, "target_id", "qualified_name", "owner", "start_line"]
+    by_qualified = r.join(e.withColumn("reference_text", F.col("qualified_name")), "reference_text").select(*cols, F.when(own, "own_qualified").otherwise("other_qualified").alias("how"))
+    bare = F.when(F.contains("reference_text", F.lit(".")), text.bare_name("reference_text")).otherwise(F.col("reference_text"))
+    by_name = r.withColumn("name", bare).join(e, "name").where(~own | (F.col("name") == F.col("reference_text"))).select(*cols, F.when(own, "own_name").otherwise("other_name").alias("how"))
+
+    def first(how: str, *order: str) -> Column:
+        return F.min(F.when(F.col("how") == how, F.struct(*order, "target_id"))).alias(how)
+
+    # the references themselves are rows without a candidate, so those that find none stay
+    found = by_qualified.unionByName(by_name).unionByName(r, allowMissingColumns=True)
+    g = found.groupBy(*key).agg(
+        first("own_qualified"),
+        F.count_if(F.col("how") == "own_qualified").alias("n_qualified"),
+        first("own_name", "qualified_name"),
+        F.count_if(F.col("how") == "own_name").alias("n_name"),
+        first("other_qualified", "owner", "start_line"),
+        F.count_if(F.col("how") == "other_qualified").alias("n_other"),
+        first("other_name", "qualified_name", "owner"),
+    )
+    step = F.when(F.col("n_qualified") == 1, "same_file_qualified").when(F.col("n_name") == 1, "same_file_name").when(F.col("n_name") > 1, "same_file_name_ambiguous").when(F.col("n_other") > 1, "cross_file_qualified_ambiguous").when(F.col("n_other") == 1, "cross_file_qualified").when(F.col("other_name").isNotNull(), "name_only").otherwise("unresolved")
+    target = F.when(step == "same_file_qualified", F.col("own_qualified.target_id")).when(F.startswith(step, F.lit("same_file_name")), F.col("own_name.target_id")).when(F.startswith(step, F.lit("cross")), F.col("other_qualified.target_id")).when(step == "name_only", F.col("other_name.target_id"))
+    confidence = F.when(step.isin("same_file_qualified", "same_file_name"), "exact").when(step.isin("name_only", "unresolved"), "medium").otherwise("high")
+    return g.select(*key, target.alias("target_id"), F.when(step == "name_only", bare).otherwise(F.col("reference_text")).alias("symbol"), step.alias("resolver"), confidence.alias("confidence"))
 
 
 def bfs(edges: DataFrame, starts: DataFrame, depth: int, incoming: bool = False) -> DataFrame:
