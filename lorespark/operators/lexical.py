@@ -33,7 +33,9 @@ def bm25(records: DataFrame, key: str, fields: dict[str, float], queries: DataFr
     total, mean = lengths.agg(F.count("*").cast("double")).scalar(), lengths.agg(F.avg("n")).scalar()
     asked = queries.select("query_id", F.explode(F.array_distinct("terms")).alias("term"))
     hits = posted.join(asked.select("term").distinct(), "term", "left_semi").groupBy(key, "length", "term").agg(F.sum("weight").alias("f"))
-    held = hits.groupBy("term").agg(F.count("*").alias("n"))
+    # a record's distinct words count once each, so document frequencies need no second grouping by record
+    every = F.array_distinct(F.concat(*(text.lower_words(f) for f in fields)))
+    held = records.select(every.alias("w")).select(F.explode("w").alias("term")).join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
     raw = F.log((total - F.col("n") + 0.5) / (F.col("n") + 0.5))
     idf = F.when(raw > 0, raw).otherwise(1e-6)
     gain = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("length") / mean))
