@@ -111,8 +111,22 @@ def apart(texts: list[str]) -> list[str]:
     return out
 
 
+def prior_apart(texts: list[str], toxic: list[bool], prior: float) -> float:
+    """The prior of rows as one of texts thinned by ``apart``, from labelled texts: toxic and other ones lose different shares to it."""
+    kept, count = set(apart(texts)), {True: [0, 0], False: [0, 0]}
+    said: dict[str, list[bool]] = {}
+    for t, x in zip(texts, toxic, strict=True):
+        said.setdefault(t, []).append(x)
+    for t, xs in said.items():
+        for x in xs:
+            count[x][0] += 1
+            count[x][1] += (t in kept) / len(xs)
+    bad, other = ((1 + count[x][1]) / (1 + count[x][0]) for x in (True, False))
+    return prior * bad / (prior * bad + (1 - prior) * other)
+
+
 def train(positives: list[str], unlabelled: list[str], prior: float, epochs: int = 20, rate: float = 0.02, seed: int = 7) -> Model:
-    """A model from toxic and unlabelled texts; prior is the share of toxic texts among the unlabelled."""
+    """A model from toxic and unlabelled texts; prior is the share of toxic texts among the unlabelled, as ``apart`` leaves them."""
     if not positives or not unlabelled:
         return Model(np.zeros(1 << BITS, np.int16), np.zeros(0), 0.0)
     prior = min(max(prior, 1e-3), 0.9)
@@ -191,7 +205,8 @@ def learn(docs: DataFrame, labels: DataFrame, learnable: Column, positives: int
     key = F.xxhash64(F.lit("toxic"), "doc_id")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null and doc_id is not null")
     said = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null").where(learnable)
-    share = said.agg(F.avg((F.col("toxic") != 0).cast("double")).alias("p")).first()["p"]
+    known = said.where("toxic is not null").groupBy("doc_id").agg(F.max((F.col("toxic") != 0).cast("int")).alias("toxic"))
+    share = known.agg(F.avg("toxic").alias("p")).first()["p"]
     chosen = said.where("toxic <> 0").select("doc_id").distinct().orderBy(key, "doc_id").limit(positives)
     ids = texts.select("doc_id").distinct().orderBy(key, "doc_id").limit(unlabelled)
     both = chosen.withColumn("positive", F.lit(True)).unionByName(ids.withColumn("positive", F.lit(False)))
@@ -199,7 +214,10 @@ def learn(docs: DataFrame, labels: DataFrame, learnable: Column, positives: int
     flag = got.column("positive")
     sides = [got.filter(f).column("text").to_pylist() for f in (flag, pc.invert(flag))]
     del got
-    return train(*sides, share or 0.0)
+    if not share:
+        return train(*sides, 0.0)
+    told = texts.join(F.broadcast(known.orderBy(key, "doc_id").limit(unlabelled)), "doc_id").groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text"), "text"))["text"].alias("text"), F.max("toxic").alias("toxic")).toArrow()
+    return train(*sides, prior_apart(told.column("text").to_pylist(), [x == 1 for x in told.column("toxic").to_pylist()], share))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -302,6 +302,39 @@ def test_toxicity(spark):
     assert toxicity.score(docs_of(spark, []), model).count() == 0
 
 
+def toxic_rows(n, toxic_every, copies):
+    """n texts, each toxic_every-th with an insult, and as many near copies of a clean one as said."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(rng.randint(2, 8)))
+    rows = []
+    for i in range(n):
+        t = [word() for _ in range(40)]
+        if i % toxic_every == 0:
+            t[rng.randrange(40)] = rng.choice(["zorkish", "vuxation"])
+        rows.append((i, " ".join(t)))
+    base = [word() for _ in range(40)]
+    for i in range(n, n + copies):
+        t = list(base)
+        if i % 2:
+            t[rng.randrange(40)] = word()
+        rows.append((i, " ".join(t)))
+    return rows, [(i, int(i < n and i % toxic_every == 0)) for i in range(n + copies)]
+
+
+def toxic_found(spark, rows, labels, **limits):
+    """(toxic found, toxic, others taken for toxic) by a model learned from all labels."""
+    docs, lab = docs_of(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = toxicity.score(docs, toxicity.learn(docs, lab, F.lit(True), **limits)).collect()
+    bad = {i for i, x in labels if x}
+    found = [r["doc_id"] for r in got if r["score"] >= 0.5]
+    return len(bad & set(found)), len(bad), len(set(found) - bad)
+
+
+def test_toxicity_with_a_third_clean_copies(spark):
+    found, toxic, wrong = toxic_found(spark, *toxic_rows(1200, 8, 600))
+    assert found == toxic == 150 and wrong <= 5
+
+
 def test_toxicity_grams():
     h, doc = toxicity.grams(pa.array(["Ab cdefg", None, "hi", "hij"]))
     # one word's n-grams only: " cdef", "cdefg" of the first; " hij " of the last, which a blank encloses
