@@ -9,8 +9,8 @@ A text's features are which of the model's n-grams (5 bytes of one lower-cased w
 ``KEPT`` n-grams whose presence alone makes a text likelier toxic than not under the class prior; their weights, a bias and a table from hash to n-gram are all it
 is (some 300 KB), so it is broadcast whatever the corpus is.  Scoring reads whole texts as byte arrays.
 
-Learning is bounded: at most ``POSITIVES`` toxic rows and ``UNLABELLED`` texts, those with the smallest hash of
-their id, come to the driver.
+Learning is bounded: at most ``POSITIVES`` toxic ids, ``UNLABELLED`` ids and as many labelled ones, those with the smallest hash,
+come to the driver, each with one text; the labelled ones give the prior.
 
 Defined results: null and empty texts score what the bias alone gives; without positives the score is 0 for all; texts of any
 length are scored whole; rows that repeat a doc_id each get a score; null labels are unlabelled; extra columns are ignored; an
@@ -24,7 +24,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -209,15 +208,16 @@ def learn(docs: DataFrame, labels: DataFrame, learnable: Column, positives: int
     share = known.agg(F.avg("toxic").alias("p")).first()["p"]
     chosen = said.where("toxic <> 0").select("doc_id").distinct().orderBy(key, "doc_id").limit(positives)
     ids = texts.select("doc_id").distinct().orderBy(key, "doc_id").limit(unlabelled)
-    both = chosen.withColumn("positive", F.lit(True)).unionByName(ids.withColumn("positive", F.lit(False)))
-    got = texts.join(F.broadcast(both), "doc_id").select("positive", "text").orderBy("positive", key, "text").limit(positives + unlabelled).toArrow()
-    flag = got.column("positive")
-    sides = [got.filter(f).column("text").to_pylist() for f in (flag, pc.invert(flag))]
+    # each side is limited by itself, and one text stands for each of its ids, however many rows repeat it
+    sides = [chosen.withColumn("toxic", F.lit(None).cast("int")), ids.withColumn("toxic", F.lit(None).cast("int")), known.orderBy(key, "doc_id").limit(unlabelled)]
+    sides = [x.withColumn("side", F.lit(k)) for k, x in enumerate(sides)]
+    both = sides[0].unionByName(sides[1]).unionByName(sides[2]).groupBy("doc_id").agg(F.collect_set("side").alias("sides"), F.max("toxic").alias("toxic"))
+    one = F.min(F.struct(F.xxhash64("text").alias("h"), F.col("text")))["text"]
+    got = texts.join(F.broadcast(both), "doc_id").groupBy("doc_id").agg(one.alias("text"), F.first("sides").alias("sides"), F.max("toxic").alias("toxic")).drop("doc_id").toArrow().to_pylist()
+    pos, unl = ([r["text"] for r in got if side in r["sides"]] for side in (0, 1))
+    told = [r for r in got if 2 in r["sides"]]
     del got
-    if not share:
-        return train(*sides, 0.0)
-    told = texts.join(F.broadcast(known.orderBy(key, "doc_id").limit(unlabelled)), "doc_id").groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text"), "text"))["text"].alias("text"), F.max("toxic").alias("toxic")).toArrow()
-    return train(*sides, prior_apart(told.column("text").to_pylist(), [x == 1 for x in told.column("toxic").to_pylist()], share))
+    return train(pos, unl, prior_apart([r["text"] for r in told], [r["toxic"] == 1 for r in told], share) if share else 0.0)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -335,6 +335,12 @@ def test_toxicity_with_a_third_clean_copies(spark):
     assert found == toxic == 150 and wrong <= 5
 
 
+def test_toxicity_where_all_rows_repeat(spark):
+    rows, labels = toxic_rows(600, 8, 0)
+    found, toxic, wrong = toxic_found(spark, [r for r in rows for _ in range(2)], labels, positives=100, unlabelled=400)
+    assert found == toxic == 75 and wrong <= 5
+
+
 def test_toxicity_grams():
     h, doc = toxicity.grams(pa.array(["Ab cdefg", None, "hi", "hij"]))
     # one word's n-grams only: " cdef", "cdefg" of the first; " hij " of the last, which a blank encloses
