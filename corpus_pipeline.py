@@ -6,6 +6,7 @@ Rows without a doc_id pass the stages that decide by doc_id; null texts pass all
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lorespark.llm import _spark, ngram_join, piece_codec, registry, suffix_dedup, toxicity
 
@@ -29,8 +30,10 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which benchmark passages are less than a twentieth."""
-    found = registry.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(found.where("contaminated").select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+    found = registry.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "text_hash").where("contaminated")
+    # by id and text: of rows that repeat an id, only those go that hold the passages
+    found = found.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    return docs.join(found, (F.col("doc_id").cast("long") == F.col("_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_hash")), "left_anti").select(docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

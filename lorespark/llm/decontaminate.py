@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +35,8 @@ from ._text import U64
 
 WINDOW = 13
 BLOCK_BYTES, ITEM_WORDS = 8 << 20, 200_000
-_SEGMENT = "terms binary, counts binary, places binary, docs binary, begins binary"
+_SEGMENT = "terms binary, counts binary, places binary, docs binary, begins binary, hashes binary, segment long"
+_PARTS = ["terms", "counts", "places", "docs", "begins", "hashes"]
 
 
 def term_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -46,7 +48,9 @@ def term_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for t in _text.flushes(batches, "text", BLOCK_BYTES):
+    # a segment's number is its task's and its place in it
+    first_segment = TaskContext.get().partitionId() << 33
+    for number, t in enumerate(_text.flushes(batches, "text", BLOCK_BYTES), first_segment):
         w, at = term_hashes(t.column("text"))
         order = np.argsort(w, kind="stable").astype(np.int32)
         s = w[order]
@@ -55,13 +59,15 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = np.flatnonzero(new)
         counts = np.diff(np.append(first, len(s))).astype(np.int32)
         ids = t.column("doc_id").fill_null(-(2**63)).to_numpy().astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (s[first], counts, order, ids, at.astype(np.int64))], ["terms", "counts", "places", "docs", "begins"])
+        parts = (s[first], counts, order, ids, at.astype(np.int64), t.column("text_hash").to_numpy())
+        yield pa.RecordBatch.from_arrays([*(pa.array([x.tobytes()], pa.binary()) for x in parts), pa.array([number], pa.int64())], [*_PARTS, "segment"])
 
 
 def build_index(docs: DataFrame) -> DataFrame:
     """The segments of docs(doc_id, text), written to the shared folder."""
     _spark.small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.withColumn("text_hash", F.xxhash64("text"))
     return _spark.written(docs.mapInArrow(_index, _SEGMENT), "index")
 
 
@@ -69,6 +75,7 @@ class Segment:
     def __init__(self, row: dict):
         self.terms, self.counts = np.frombuffer(row["terms"], U64), np.frombuffer(row["counts"], np.int32)
         self.places, self.docs, self.begins = np.frombuffer(row["places"], np.int32), np.frombuffer(row["docs"], np.int64), np.frombuffer(row["begins"], np.int64)
+        self.hashes = np.frombuffer(row["hashes"], np.int64)
         self.ends = np.cumsum(self.counts)
 
     def lists(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -166,7 +173,7 @@ def _frequencies(index: DataFrame, items: list[tuple]) -> dict[int, int]:
 
 
 def phrase_matches(index: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, n_words, places array<int>, item_ids array<string>) of every indexed document: its hit words and the items found."""
+    """(doc_id, n_words, places array<int>, item_ids array<string>, text_hash) of every indexed document: its hit words and the items found, and its text's xxhash64."""
     spark = index.sparkSession
     parts = []
     for items in [*_item_blocks(benchmark)] or [[]]:
@@ -176,7 +183,7 @@ def phrase_matches(index: DataFrame, benchmark: DataFrame, window: int = WINDOW)
             p: Plan = plan.value
             for b in batches:
                 for row in range(b.num_rows):
-                    seg = Segment({n: b.column(n)[row].as_buffer() for n in b.schema.names})
+                    seg = Segment({n: b.column(n)[row].as_buffer() for n in _PARTS})
                     win, start = p.search(seg)
                     doc = seg.doc_of(start)
                     hit: dict[int, set] = {}
@@ -195,16 +202,19 @@ def phrase_matches(index: DataFrame, benchmark: DataFrame, window: int = WINDOW)
                             pa.array(n[i:j]),
                             pa.array([sorted(hit.get(d, ())) for d in range(i, j)], pa.list_(pa.int32())),
                             pa.array([sorted(names.get(d, ())) for d in range(i, j)], pa.list_(pa.string())),
+                            pa.array(seg.hashes[i:j]),
+                            pa.array(np.full(j - i, b.column("segment")[row].as_py())),
                             pa.array(np.arange(i, j, dtype=np.int32)),
-                        ], ["doc_id", "n_words", "places", "item_ids", "row"])
+                        ], ["doc_id", "n_words", "places", "item_ids", "text_hash", "segment", "row"])
 
-        parts.append(index.mapInArrow(run, "doc_id long, n_words long, places array<int>, item_ids array<string>, row int"))
+        parts.append(index.mapInArrow(run, "doc_id long, n_words long, places array<int>, item_ids array<string>, text_hash long, segment long, row int"))
     out = parts[0]
     if len(parts) > 1:
         for p in parts[1:]:
             out = out.unionByName(p.where("size(places) > 0"))
-        out = out.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("places")))).alias("places"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"))
-    return out.select("doc_id", "n_words", "places", "item_ids")
+        # a row of the documents is known by its segment and its place there: ids may repeat or be null
+        out = out.groupBy("segment", "row").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.max("text_hash").alias("text_hash"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("places")))).alias("places"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"))
+    return out.select("doc_id", "n_words", "places", "item_ids", "text_hash")
 
 
 def proximity_matches(index: DataFrame, benchmark: DataFrame, span: int) -> DataFrame:
@@ -220,7 +230,7 @@ def proximity_matches(index: DataFrame, benchmark: DataFrame, span: int) -> Data
             for b in batches:
                 ids, found = [], []
                 for row in range(b.num_rows):
-                    seg = Segment({n: b.column(n)[row].as_buffer() for n in b.schema.names})
+                    seg = Segment({n: b.column(n)[row].as_buffer() for n in _PARTS})
                     for name, terms in zip(names, sets, strict=True):
                         lo, hi = seg.lists(terms)
                         if not len(terms) or not (hi > lo).all():

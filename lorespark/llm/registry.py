@@ -34,7 +34,8 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.passages(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, *more: str) -> DataFrame:
+    """The measures of each document, and columns more of ``phrase_matches``."""
     found = decontaminate.phrase_matches(decontaminate.build_index(docs.select("doc_id", "text")), benchmark)
     hits = F.size("places").cast("long")
     return found.select(
@@ -44,6 +45,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         F.size("item_ids").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", "item_ids"), 256).alias("items_sha256"),
         ((hits > 0) & (20 * hits >= F.col("n_words"))).alias("contaminated"),
+        *more,
     )
 
 

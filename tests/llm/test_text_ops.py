@@ -203,6 +203,15 @@ def test_decontaminate_in_item_blocks(spark, monkeypatch):
     assert sorted(map(tuple, registry.contamination(docs, b).collect())) == whole
 
 
+def test_decontaminate_in_item_blocks_by_row(spark, monkeypatch):
+    docs = docs_of(spark, [(1, "a b c d"), (1, "z z"), (1, "a b"), (1, "a b"), (None, "c d"), (None, "z"), (2, None)]).repartition(3)
+    b = spark.createDataFrame([(1, "a b"), (2, "d e"), (3, "c d")], "item_id long, text string")
+    rows = lambda: sorted(map(repr, registry.contamination(docs, b).collect()))
+    whole = rows()
+    monkeypatch.setattr(decontaminate, "ITEM_WORDS", 1)
+    assert rows() == whole and len(whole) == 7
+
+
 def test_proximity(spark):
     index = decontaminate.build_index(docs_of(spark, [(1, "b x a"), (2, "a x x x b"), (3, "a"), (4, "b"), (5, "x a b x")]))
     b = spark.createDataFrame([(9, "a b")], "item_id long, text string")

@@ -83,6 +83,13 @@ def test_pipeline_stages(spark):
     assert seen == ["toxicity", "ngram_join", "suffix_dedup", "decontaminate", "sentencepiece"]
 
 
+def test_pipeline_keeps_clean_rows_of_a_contaminated_id(spark):
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").first()["text"]
+    schema = spark.read.parquet(f"{SF}/documents.parquet").schema
+    docs = spark.createDataFrame([(1, item, "en", "s", len(item)), (1, "a clean row", "en", "s", 11), (2, "another", "en", "s", 7)], schema)
+    assert {r["text"] for r in corpus_pipeline.drop_contaminated(spark, docs, SF).collect()} == {"a clean row", "another"}
+
+
 def test_pipeline_takes_odd_rows(spark):
     rows = [(None, "a b c", "en", "s", 5), (1, None, None, None, None), (2, "", "en", "s", 0), (3, "same text here now ok", "en", "s", 20), (3, "same text here now ok", "en", "s", 20)]
     schema = spark.read.parquet(f"{SF}/documents.parquet").schema
