@@ -1,16 +1,23 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-Only confirmed toxic examples and unlabelled text are needed.  A logistic classifier over character n-grams, whose evidence is the
-strongest n-gram a text holds (so one insult in a long text counts in full), is trained in numpy with
-the class-prior-corrected risk of positive-unlabelled learning: prior * R+(positives) + max(0, R-(unlabelled) - prior * R-(positives)), where
-a mini-batch whose corrected part is negative is stepped back instead (the non-negative rule).
+Only confirmed toxic examples and unlabelled text are needed; labels that say "not toxic" are never read.  A logistic classifier over
+hashed word features is trained in numpy with the class-prior-corrected risk of positive-unlabelled learning,
+prior * R+(positives) + max(0, R-(unlabelled) - prior * R-(positives)), by proximal steps over all training texts; where the corrected part
+is negative the step goes back from it instead (the non-negative rule).
 
-A text's features are which of the model's n-grams (5 bytes of one lower-cased word, the blank before it included) it holds.  The model keeps up to
-``KEPT`` n-grams whose presence alone makes a text likelier toxic than not under the class prior; their weights, a bias and a table from hash to n-gram are all it
-is (some 300 KB), so it is broadcast whatever the corpus is.  Scoring reads whole texts as byte arrays.
+A word is a run of ASCII letters (lower-cased), digits and non-ASCII bytes.  A text's features are which words it holds and which proper
+beginnings of ``SHORTEST`` to ``LONGEST`` bytes its words have, hashed to ``BITS`` bits.  Weights are not negative and are shrunk towards zero, so
+a feature is evidence or nothing: an insult in a long text counts in full, and chance features add nothing to it.  All weights begin at zero.
+Features that fewer than ``LEAST`` positives hold, or that positives hold less than ``LIFT`` times as often as unlabelled texts do, are left out: under
+any prior below a half they can't make a text likelier toxic than not.
 
-Learning is bounded: at most ``POSITIVES`` toxic ids, ``UNLABELLED`` ids and as many labelled ones, those with the smallest hash,
-come to the driver, each with one text; the labelled ones give the prior.
+The class prior is estimated from the same positives and unlabelled texts: a share prior of the unlabelled is distributed as the positives, so for
+every feature the share of unlabelled texts that hold it is at least prior times that of positives; the smallest upper confidence bound of
+that ratio over the features that a twentieth of the positives hold is the estimate, at most ``MOST_PRIOR``.
+
+Learning is bounded: at most ``POSITIVES`` toxic ids and ``UNLABELLED`` ids, those with the smallest hash, each with one text, and of each side the
+first ``SIDE_BYTES`` of text.  One task of an executor reads them in the order of that hash, leaves out near copies of earlier ones, and returns the model: the features
+with a weight and the bias (some 100 KB), which is all that comes to the driver and is broadcast.  Scoring reads whole texts as byte arrays.
 
 Defined results: null and empty texts score what the bias alone gives; without positives the score is 0 for all; texts of any
 length are scored whole; rows that repeat a doc_id each get a score; null labels are unlabelled; extra columns are ignored; an
@@ -19,8 +26,9 @@ empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -30,194 +38,206 @@ from pyspark.sql import functions as F
 from . import _spark, _text
 from ._text import U64
 
-GRAM, BITS, KEPT = 5, 20, 4096
-POSITIVES, UNLABELLED = 3000, 8000
-CHUNK = 200
-#: Standard deviations by which positives must hold an n-gram beyond unlabelled texts (of up to a million, few pass by chance), and how likely toxic it must make a text under the prior.
-LEAST_GAIN, PURITY = 6, 0.75
+SHORTEST, LONGEST, BITS = 4, 12, 20
+POSITIVES, UNLABELLED, SIDE_BYTES = 3000, 8000, 32 << 20
+LEAST, LIFT, MOST_PRIOR = 4, 2, 0.3
+#: Steps, their size, and how strongly weights are shrunk: by the pull of this many positives that nothing else explains.
+STEPS, RATE, SHRINK = 400, 0.2, 0.5
+#: The prior comes from features that this many positives hold, by one-sided 95 % bounds (in standard errors).
+COMMON, COMMON_SHARE, BOUND = 10, 0.05, 1.64
 BLOCK_BYTES = 4 << 20
-_FOLD = _text.LOWER.copy()
-_FOLD[[*range(0x09, 0x0E)]] = 0x20
+_ALL = (1 << BITS) - 1
 
 
-def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, text) of every n-gram of every text; a blank stands before and after each text."""
+def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(hashed feature, text) of every word of every text; those that a text holds several times come as often."""
     raw, offs = _text.buffers(texts)
-    n = len(offs) - 1
-    # two blanks between texts; an n-gram that reaches into the next text is left out
-    body = np.full(len(raw) + 2 * n, 0x20, np.uint8)
-    shift = np.repeat(np.arange(n) * 2 + 1, np.diff(offs))
-    body[np.arange(len(raw)) + shift] = _FOLD[raw]
-    begin = offs[:-1] + 2 * np.arange(n)
-    size = np.diff(offs) + 2
-    m = max(0, len(body) - GRAM + 1)
-    x = np.zeros(m, U64)
-    for j in range(GRAM):
-        x |= body[j : j + m].astype(U64) << U64(8 * j)
-    h = ((x * U64(0x9E3779B97F4A7C15)) >> U64(64 - BITS)).astype(np.int32)
-    ok = np.ones(m, bool)
-    for e in range(1, GRAM):
-        at = (begin + size)[:-1] - e
-        ok[at[(at >= 0) & (at < m)]] = False
-    # n-grams of one word: a blank may only lead, or enclose a word of GRAM - 2 bytes
-    blank = body == 0x20
-    for j in range(1, GRAM - 1):
-        ok &= ~blank[j : j + m]
-    ok &= ~blank[GRAM - 1 :][:m] | blank[:m]
-    doc = np.repeat(np.arange(n, dtype=np.int32), size)[:m]
-    return h[ok], doc[ok]
+    raw = _text.LOWER[raw]
+    start, end, at = _text.words(raw, offs, _text.ALNUM_WORDS)
+    size = end - start
+    doc = np.repeat(np.arange(len(offs) - 1, dtype=np.int32), np.diff(at))
+    codes, docs = [_text.hash_spans(raw, start, end)], [doc]
+    raw = np.append(raw, np.zeros(LONGEST, np.uint8)).astype(U64)
+    # words that are longer than the beginning at hand
+    live = np.flatnonzero(size > SHORTEST)
+    first, size, doc = start[live], size[live], doc[live]
+    h = np.full(len(live), U64(SHORTEST), U64)
+    for j in range(LONGEST):
+        h = (h ^ raw[first + j]) * U64(0x9E3779B97F4A7C15)
+        h ^= h >> U64(31)
+        if j + 1 >= SHORTEST:
+            codes.append(_text.mix(h))
+            docs.append(doc)
+            on = size > j + 2
+            first, size, doc, h = first[on], size[on], doc[on], h[on]
+    return (np.concatenate(codes) >> U64(64 - BITS)).astype(np.int32), np.concatenate(docs)
 
 
 @dataclass
 class Model:
-    place: np.ndarray  # of each hash: 1 + the kept n-gram, or 0
+    codes: np.ndarray  # features with a weight
     weights: np.ndarray
     bias: float
 
-    def held(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(text, kept n-gram) pairs, each once."""
-        h, doc = grams(texts)
-        p = self.place[h]
-        hit = np.flatnonzero(p)
-        pair = np.unique(doc[hit].astype(np.int64) * (len(self.weights) + 1) + p[hit])
-        return pair // (len(self.weights) + 1), pair % (len(self.weights) + 1) - 1
+    @cached_property
+    def table(self) -> np.ndarray:
+        """Of each feature: 1 + its place among those with a weight, or 0."""
+        out = np.zeros(1 << BITS, np.int32)
+        out[self.codes] = np.arange(1, len(self.codes) + 1)
+        return out
 
     def score(self, texts: pa.Array) -> np.ndarray:
         if not len(self.weights):
             return np.zeros(len(texts))
-        doc, f = self.held(texts)
-        z = np.zeros(len(texts))
-        np.maximum.at(z, doc, self.weights[f])
-        return 1 / (1 + np.exp(-np.clip(z + self.bias, -30, 30)))
-
-
-def apart(texts: list[str]) -> list[str]:
-    """Texts without the near copies of earlier ones, which would make their chance n-grams look telling: those that share one of four min-hashes of five-word windows."""
-    seen: list[set[int]] = [set() for _ in range(4)]
-    out = []
-    for t in sorted(set(texts)):
-        raw, offs = _text.buffers(pa.array([t], pa.large_string()))
-        start, end, _ = _text.words(raw, offs, _text.SPACE_WORDS)
+        f, doc = features(texts)
+        p = self.table[f]
+        hit = np.flatnonzero(p)
+        pair = np.unique(doc[hit].astype(np.int64) * (len(self.weights) + 1) + p[hit])
+        z = np.bincount(pair // (len(self.weights) + 1), weights=self.weights[pair % (len(self.weights) + 1) - 1], minlength=len(texts))
+        return _sigmoid(z + self.bias)
+
+    def __getstate__(self) -> dict:
+        return {"codes": self.codes, "weights": self.weights, "bias": self.bias}
+
+
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+class Side:
+    """Training texts of one kind as sorted distinct features; near copies of earlier texts and what comes after ``SIDE_BYTES`` are left out."""
+
+    def __init__(self, limit: int = SIDE_BYTES):
+        self.seen: list[set[int]] = [set() for _ in range(4)]
+        self.texts: list[np.ndarray] = []
+        self.left = limit
+
+    def add(self, texts: pa.Array) -> None:
+        f, doc = features(texts)
+        key = np.unique(doc.astype(np.int64) << BITS | f)
+        parts = np.split((key & _ALL).astype(np.int32), np.searchsorted(key >> BITS, np.arange(1, len(texts))))
+        raw, offs = _text.buffers(texts)
+        start, end, at = _text.words(raw, offs, _text.SPACE_WORDS)
         w = _text.hash_spans(raw, start, end)
-        g = _text.gram_hashes(w, min(5, max(1, len(w))))
-        if not len(g):
-            continue
-        least = [int(_text.mix(g ^ U64(0x9E3779B97F4A7C15 * (k + 1) % 2**64)).min()) for k in range(4)]
-        if not any(x in s for x, s in zip(least, seen, strict=True)):
-            out.append(t)
-        for x, s in zip(least, seen, strict=True):
-            s.add(x)
-    return out
-
-
-def prior_apart(texts: list[str], toxic: list[bool], prior: float) -> float:
-    """The prior of rows as one of texts thinned by ``apart``, from labelled texts: toxic and other ones lose different shares to it."""
-    kept, count = set(apart(texts)), {True: [0, 0], False: [0, 0]}
-    said: dict[str, list[bool]] = {}
-    for t, x in zip(texts, toxic, strict=True):
-        said.setdefault(t, []).append(x)
-    for t, xs in said.items():
-        for x in xs:
-            count[x][0] += 1
-            count[x][1] += (t in kept) / len(xs)
-    bad, other = ((1 + count[x][1]) / (1 + count[x][0]) for x in (True, False))
-    return prior * bad / (prior * bad + (1 - prior) * other)
-
-
-def train(positives: list[str], unlabelled: list[str], prior: float, epochs: int = 20, rate: float = 0.02, seed: int = 7) -> Model:
-    """A model from toxic and unlabelled texts; prior is the share of toxic texts among the unlabelled, as ``apart`` leaves them."""
-    if not positives or not unlabelled:
-        return Model(np.zeros(1 << BITS, np.int16), np.zeros(0), 0.0)
-    prior = min(max(prior, 1e-3), 0.9)
-    positives, unlabelled = apart(positives), apart(unlabelled)
-
-    def shares(texts: list[str]) -> np.ndarray:
-        out = np.zeros(1 << BITS)
-        for i in range(0, len(texts), CHUNK):
-            h, doc = grams(pa.array(texts[i : i + CHUNK], pa.string()))
-            pair = np.unique(doc.astype(np.int64) << BITS | h)
-            out += np.bincount(pair & ((1 << BITS) - 1), minlength=1 << BITS)
+        for i, (a, b, size) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), np.diff(offs).tolist(), strict=True)):
+            if self.left <= 0 or a == b:
+                continue
+            # copies share one of four min-hashes of five-word windows
+            g = _text.gram_hashes(w[a:b], min(5, b - a))
+            least = [int(_text.mix(g ^ U64(0x9E3779B97F4A7C15 * (k + 1) % 2**64)).min()) for k in range(4)]
+            copy = any(x in s for x, s in zip(least, self.seen, strict=True))
+            for x, s in zip(least, self.seen, strict=True):
+                s.add(x)
+            if not copy:
+                self.left -= size
+                self.texts.append(parts[i])
+
+    def held(self) -> np.ndarray:
+        """By how many texts each feature is held."""
+        out = np.zeros(1 << BITS, np.int64)
+        for f in self.texts:
+            out[f] += 1
         return out
 
-    p, u = shares(positives), shares(unlabelled)
-    # what positives hold beyond unlabelled texts, in standard deviations
-    a, b = p / len(positives), u / len(unlabelled)
-    gain = (a - b) / np.sqrt((b + 1 / len(unlabelled)) / len(positives))
-    # those whose presence alone makes a text likelier toxic than not, as the prior has it
-    gain[(p < 4) | (prior * a < PURITY * b)] = 0
-    best = np.argsort(-gain, kind="stable")[:KEPT]
-    best = best[gain[best] > LEAST_GAIN]
-    place = np.zeros(1 << BITS, np.int16)
-    place[best] = np.arange(1, len(best) + 1)
-    if not len(best):
-        return Model(place, np.zeros(0), 0.0)
-    model = Model(place, np.zeros(len(best)), 0.0)
-
-    def rows(texts: list[str]) -> list[np.ndarray]:
-        out = []
-        for i in range(0, len(texts), CHUNK):
-            part = texts[i : i + CHUNK]
-            doc, f = model.held(pa.array(part, pa.string()))
-            out += np.split(f, np.searchsorted(doc, np.arange(1, len(part))))
-        return out
 
-    xp, xu = rows(positives), rows(unlabelled)
-    rng = np.random.default_rng(seed)
-    # begin where each n-gram alone says what the prior makes of its shares
-    odds = np.clip(prior * a[best] / (b[best] + 0.5 / len(unlabelled)), 0.05, 0.95)
-    c = -3.0
-    w = np.log(odds / (1 - odds)) - c
-    m, v, t = np.zeros(len(best) + 1), np.zeros(len(best) + 1), 0
-    batches = max(1, len(xu) // 512)
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-
-    def gradient(part: list[np.ndarray], target: float, scale: float) -> tuple[float, np.ndarray]:
-        """Mean logistic risk of the target and its gradient, times scale."""
-        f, d = np.concatenate(part), np.repeat(np.arange(len(part)), [len(x) for x in part])
-        z = np.zeros(len(part))
-        np.maximum.at(z, d, w[f])
-        top = w[f] == z[d]
-        s = sigmoid(z + c)
-        g = (s - target) / len(part)
-        risk = -np.log(np.maximum(s if target else 1 - s, 1e-12)).mean()
-        return scale * risk, scale * np.append(np.bincount(f[top], weights=g[d[top]], minlength=len(w)), g.sum())
-
-    for _ in range(epochs):
-        ip, iu = np.array_split(rng.permutation(len(xp)), min(batches, len(xp))), np.array_split(rng.permutation(len(xu)), batches)
-        for k, q in enumerate(iu):
-            pos, unl = [xp[i] for i in ip[k % len(ip)]], [xu[i] for i in q]
-            _, g1 = gradient(pos, 1.0, prior)
-            r2, g2 = gradient(unl, 0.0, 1.0)
-            r3, g3 = gradient(pos, 0.0, prior)
-            # a negative corrected risk is overfitting: step back from it
-            step = g1 + g2 - g3 if r2 - r3 >= 0 else g3 - g2
-            t += 1
-            m, v = 0.9 * m + 0.1 * step, 0.999 * v + 0.001 * step * step
-            move = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-            w, c = w - move[:-1], c - move[-1]
-    model.weights, model.bias = w, float(c)
-    return model
+class Rows:
+    """Texts as sparse rows over the features that are learned."""
+
+    def __init__(self, texts: list[np.ndarray], place: np.ndarray):
+        kept = [p[p > 0] - 1 for p in (place[f] for f in texts)]
+        self.n = len(kept)
+        self.feature = np.concatenate(kept) if kept else np.zeros(0, np.int32)
+        self.row = np.repeat(np.arange(self.n), [len(k) for k in kept])
+
+    def logits(self, w: np.ndarray, c: float) -> np.ndarray:
+        return c + np.bincount(self.row, weights=w[self.feature], minlength=self.n)
+
+    def pull(self, g: np.ndarray, n: int) -> np.ndarray:
+        """The gradient of n weights from that of the logits."""
+        return np.bincount(self.feature, weights=g[self.row], minlength=n)
+
+
+def class_prior(p: np.ndarray, u: np.ndarray, positives: int, unlabelled: int) -> float:
+    """The share of the unlabelled texts that are distributed as the positives: p and u count the texts of each side that hold each feature."""
+    ok = p >= np.maximum(COMMON, positives * COMMON_SHARE)
+    most = (u[ok] + BOUND * np.sqrt(u[ok] + 1)) / unlabelled
+    least = (p[ok] - BOUND * np.sqrt(p[ok])) / positives
+    return float(np.clip(np.min(most / least, initial=MOST_PRIOR), 1e-3, MOST_PRIOR))
+
+
+def risk(pos: Rows, unl: Rows, w: np.ndarray, c: float, prior: float) -> tuple[float, float, np.ndarray, float]:
+    """(prior * R+, corrected R-, direction of w, direction of c): the gradient of their sum, or away from a negative corrected part."""
+    zp, zu = pos.logits(w, c), unl.logits(w, c)
+    corrected = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+    sp, su = _sigmoid(zp), _sigmoid(zu)
+    gp, gu = -prior * sp / pos.n, su / unl.n
+    if corrected >= 0:
+        gp += prior * (sp - 1) / pos.n
+    else:
+        gp, gu = -gp, -gu
+    return prior * np.logaddexp(0, -zp).mean(), corrected, pos.pull(gp, len(w)) + unl.pull(gu, len(w)), gp.sum() + gu.sum()
+
+
+def train(positives: Side, unlabelled: Side, prior: float | None = None, steps: int = STEPS) -> Model:
+    """A model from toxic and unlabelled texts."""
+    none = Model(np.zeros(0, np.int32), np.zeros(0), 0.0)
+    n, m = len(positives.texts), len(unlabelled.texts)
+    if not n or not m:
+        return none
+    p, u = positives.held(), unlabelled.held()
+    prior = class_prior(p, u, n, m) if prior is None else prior
+    codes = np.flatnonzero((p >= LEAST) & (p * m >= LIFT * u * n))
+    if not len(codes):
+        return none
+    place = np.zeros(1 << BITS, np.int32)
+    place[codes] = np.arange(1, len(codes) + 1)
+    pos, unl = Rows(positives.texts, place), Rows(unlabelled.texts, place)
+    w, c = np.zeros(len(codes)), float(np.log(prior / (1 - prior)))
+    seen, seen_c = np.full(len(codes), 1e-8), 1e-8
+    best = (np.inf, w, c)
+    shrink = SHRINK * prior / n
+    for _ in range(steps):
+        plus, corrected, g, gc = risk(pos, unl, w, c, prior)
+        value = plus + max(0.0, corrected) + shrink * w.sum()
+        if value < best[0]:
+            best = (value, w, c)
+        # steps as long as a weight's gradients so far are small; shrinking keeps a weight at zero unless the risk pulls it up
+        seen, seen_c = seen + g * g, seen_c + gc * gc
+        w = np.maximum(0.0, w - RATE / np.sqrt(seen) * (g + shrink))
+        c -= RATE / np.sqrt(seen_c) * gc
+    _, w, c = best
+    on = np.flatnonzero(w)
+    return Model(codes[on].astype(np.int32), w[on], float(c))
+
+
+def _train_task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sides = Side(), Side()
+    for t in _text.flushes(iter(batches), "text", BLOCK_BYTES):
+        for k, side in enumerate(sides):
+            of = t.filter(t.column(("positive", "unlabelled")[k]))
+            if of.num_rows:
+                side.add(of.column("text").combine_chunks())
+    m = train(*sides)
+    yield pa.RecordBatch.from_arrays([pa.array([m.codes.tobytes()], pa.binary()), pa.array([m.weights.tobytes()], pa.binary()), pa.array([m.bias])], ["codes", "weights", "bias"])
 
 
 def learn(docs: DataFrame, labels: DataFrame, learnable: Column, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model:
     """A model from docs(doc_id, text) and labels(doc_id, toxic); labels are used only of rows where ``learnable`` (over doc_id) holds."""
+    _spark.small_batches(docs.sparkSession)
     key = F.xxhash64(F.lit("toxic"), "doc_id")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null and doc_id is not null")
     said = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null").where(learnable)
-    known = said.where("toxic is not null").groupBy("doc_id").agg(F.max((F.col("toxic") != 0).cast("int")).alias("toxic"))
-    share = known.agg(F.avg("toxic").alias("p")).first()["p"]
-    chosen = said.where("toxic <> 0").select("doc_id").distinct().orderBy(key, "doc_id").limit(positives)
-    ids = texts.select("doc_id").distinct().orderBy(key, "doc_id").limit(unlabelled)
     # each side is limited by itself, and one text stands for each of its ids, however many rows repeat it
-    sides = [chosen.withColumn("toxic", F.lit(None).cast("int")), ids.withColumn("toxic", F.lit(None).cast("int")), known.orderBy(key, "doc_id").limit(unlabelled)]
-    sides = [x.withColumn("side", F.lit(k)) for k, x in enumerate(sides)]
-    both = sides[0].unionByName(sides[1]).unionByName(sides[2]).groupBy("doc_id").agg(F.collect_set("side").alias("sides"), F.max("toxic").alias("toxic"))
-    one = F.min(F.struct(F.xxhash64("text").alias("h"), F.col("text")))["text"]
-    got = texts.join(F.broadcast(both), "doc_id").groupBy("doc_id").agg(one.alias("text"), F.first("sides").alias("sides"), F.max("toxic").alias("toxic")).drop("doc_id").toArrow().to_pylist()
-    pos, unl = ([r["text"] for r in got if side in r["sides"]] for side in (0, 1))
-    told = [r for r in got if 2 in r["sides"]]
-    del got
-    return train(pos, unl, prior_apart([r["text"] for r in told], [r["toxic"] == 1 for r in told], share) if share else 0.0)
+    toxic = said.where("toxic <> 0").select("doc_id").distinct().orderBy(key, "doc_id").limit(positives)
+    every = texts.select("doc_id").distinct().orderBy(key, "doc_id").limit(unlabelled)
+    both = toxic.select("doc_id", F.lit(1).alias("p"), F.lit(0).alias("u")).unionByName(every.select("doc_id", F.lit(0).alias("p"), F.lit(1).alias("u")))
+    both = both.groupBy("doc_id").agg((F.max("p") == 1).alias("positive"), (F.max("u") == 1).alias("unlabelled"))
+    got = texts.join(F.broadcast(both), "doc_id").groupBy("doc_id", "positive", "unlabelled").agg(F.min("text").alias("text"))
+    one = got.repartition(1).sortWithinPartitions(key, "doc_id").select("text", "positive", "unlabelled")
+    r = one.mapInArrow(_train_task, "codes binary, weights binary, bias double").first()
+    if r is None:
+        return Model(np.zeros(0, np.int32), np.zeros(0), 0.0)
+    return Model(np.frombuffer(r["codes"], np.int32), np.frombuffer(r["weights"], np.float64), r["bias"])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

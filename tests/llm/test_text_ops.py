@@ -350,11 +350,63 @@ def test_toxicity_where_all_rows_repeat(spark):
     assert found == toxic == 75 and wrong <= 5
 
 
-def test_toxicity_grams():
-    h, doc = toxicity.grams(pa.array(["Ab cdefg", None, "hi", "hij"]))
-    # one word's n-grams only: " cdef", "cdefg" of the first; " hij " of the last, which a blank encloses
-    assert doc.tolist() == [0, 0, 3]
-    assert len(h) == 3
+def test_toxicity_features():
+    f, doc = toxicity.features(pa.array(["Abcdef abcde", None, "abc, abcdef!"]))
+    # whole words, and proper beginnings of four bytes and more: "abcd" of both words, "abcde" of the longer
+    assert sorted(doc.tolist()) == [0] * 5 + [2] * 4
+    assert len(set(f.tolist())) == 5 and set(f[doc == 2].tolist()) - set(f[doc == 0].tolist()) == set(f[doc == 2][:1].tolist())
+
+
+def toxic_sides(rng, n=300, share=0.2):
+    """Positives that hold one of two features, and unlabelled texts of which ``share`` do; all hold chance features."""
+    noise = lambda: set(rng.integers(100, 400, 12).tolist())
+    sides = toxicity.Side(), toxicity.Side()
+    for _ in range(n):
+        sides[0].texts.append(np.array(sorted({int(rng.integers(0, 2))} | noise()), np.int32))
+    for _ in range(4 * n):
+        sides[1].texts.append(np.array(sorted(({int(rng.integers(0, 2))} if rng.random() < share else set()) | noise()), np.int32))
+    return sides
+
+
+def test_toxicity_risk_gradient():
+    rng = np.random.default_rng(1)
+    sides = toxic_sides(rng, 40)
+    place = np.zeros(1 << toxicity.BITS, np.int32)
+    place[:400] = np.arange(1, 401)
+    pos, unl = (toxicity.Rows(s.texts, place) for s in sides)
+    w, c = rng.random(400) / 4, -0.5
+    for prior, sign in ((0.2, 1), (0.99, -1)):
+        plus, corrected, g, gc = toxicity.risk(pos, unl, w, c, prior)
+        # with a prior far too large the corrected part is negative, and the step goes back from it alone
+        assert (corrected >= 0) == (sign > 0)
+        total = lambda w, c, p=prior, s=sign: sum(toxicity.risk(pos, unl, w, c, p)[:2]) if s > 0 else -toxicity.risk(pos, unl, w, c, p)[1]
+        eps = 1e-5
+        for k in (0, 1, 150, 399):
+            step = np.zeros(400)
+            step[k] = eps
+            assert abs((total(w + step, c) - total(w - step, c)) / (2 * eps) - g[k]) < 1e-6
+        assert abs((total(w, c + eps) - total(w, c - eps)) / (2 * eps) - gc) < 1e-6
+
+
+def test_toxicity_prior_and_training():
+    sides = toxic_sides(np.random.default_rng(2))
+    n, m = (len(s.texts) for s in sides)
+    prior = toxicity.class_prior(sides[0].held(), sides[1].held(), n, m)
+    assert 0.15 < prior < 0.27
+    model = toxicity.train(*sides)
+    weight = dict(zip(model.codes.tolist(), model.weights.tolist(), strict=True))
+    hit = [model.bias + sum(weight.get(x, 0) for x in t) > 0 for t in sides[1].texts]
+    toxic = [t[0] < 2 for t in sides[1].texts]
+    assert sum(a and b for a, b in zip(hit, toxic, strict=True)) > 0.95 * sum(toxic) and sum(a and not b for a, b in zip(hit, toxic, strict=True)) <= 0.02 * m
+    # weights begin at zero: without training nothing is found
+    assert not len(toxicity.train(*sides, steps=1).weights)
+
+
+def test_toxicity_side_limits():
+    side = toxicity.Side(30)
+    side.add(pa.array(["one two three four five six", "one two three four five six", "", "seven eight", "nine"]))
+    # the copy is left out, and what comes after the limit
+    assert len(side.texts) == 2
 
 
 ODD = ["", " ", "  ", "▁", "▁▁a", "\n", "a  b", " a", "a ", "é", "é", "ﬁ", "İstanbul", "<|endoftext|>", "a<|endoftext|>b c", "don't", "12.5", "</s> <unk>", "\x00x", "中文", "🎉🎉 x", "　x\xa0y", "x" * 30_000, "loser, loser. LOSER,", "a,b.c ,. ..", "\r\n\t"]
