@@ -147,6 +147,62 @@ def test_suffix_dedup(spark, tmp_path, corpus_rows):
             assert i not in left
 
 
+@pytest.mark.parametrize(("hot", "text"), [(-1, 8 << 20), (3, 1), (20_000, 1)])
+def test_suffix_dedup_with_hot_keys_and_many_ranges(spark, tmp_path, monkeypatch, corpus_rows, hot, text):
+    """All or some keys too hot for one range, and far more ranges than a block has keys: the same passages."""
+    docs = written(spark, tmp_path, corpus_rows)
+    want = sorted(map(tuple, suffix_dedup.passages(docs).collect()))
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    monkeypatch.setattr(suffix_dedup, "RANGE_TEXT", text)
+    monkeypatch.setattr(suffix_dedup, "SUFFIX_TEXT", text)
+    assert sorted(map(tuple, suffix_dedup.passages(docs).collect())) == want and want
+
+
+def test_suffix_order_and_extension():
+    """Matches come from suffixes sorted word by word: common prefixes of neighbours to the right, and of what is before them to the left."""
+    rng = np.random.default_rng(4)
+    side, whole = suffix_dedup.SIDE, suffix_dedup.LENGTH
+    base = rng.integers(1, 2**60, 2 * side).astype(np.uint64)
+    s = np.zeros(40, suffix_dedup._SUFFIX)
+    for k in range(40):
+        left, right = rng.integers(0, side + 1, 2)
+        s[k]["key"] = 7 + k % 2
+        s[k]["left"], s[k]["right"] = base[:side], base[side:]
+        s[k]["left"][left:] = rng.integers(1, 2**60, side - left)
+        s[k]["right"][right:] = rng.integers(1, 2**60, side - right)
+        s[k]["before"], s[k]["after"] = rng.integers(side // 2, side + 1, 2)
+    order, place, common = suffix_dedup._classes(s["right"])
+    rows, lcp = s["right"][order].tolist(), lambda x, y: next((j for j in range(side) if x[j] != y[j]), side)
+    assert [place[k] for k in order] == list(range(40))
+    for a in range(40):
+        for b in range(a + 1, 40):
+            # as in a suffix array: two suffixes share what the neighbours between them share at least
+            assert lcp(rows[a], rows[b]) == min(common[a + 1 : b + 1])
+    docs = rng.integers(0, 15, 40)
+    got = set(zip(*(x.tolist() for x in suffix_dedup.match_suffixes(s, docs, np.zeros(40, bool))), strict=True))
+    want = set()
+    for a in range(40):
+        for o in range(whole - suffix_dedup.GRAM + 1):
+            fits = lambda k, o=o: s[k]["before"] >= o and s[k]["after"] >= side - o
+            same = lambda b, a=a, o=o: s[a]["key"] == s[b]["key"] and (s[a]["left"][:o] == s[b]["left"][:o]).all() and (s[a]["right"][: side - o] == s[b]["right"][: side - o]).all()
+            held = {int(docs[b]) for b in range(40) if fits(a) and fits(b) and same(b)}
+            if len(held) > 1:
+                want.add((a, o, min(held)))
+    assert got == want and want
+
+
+def test_suffix_dedup_by_row(spark, tmp_path):
+    """Rows that share an id lose only what their own text repeats; columns may have any name."""
+    passage = " ".join(f"w{k}" for k in range(55))
+    rows = [(1, passage), (2, "other words " * 3 + passage), (2, " ".join(f"z{k}" for k in range(80))), (2, "other words " * 3 + passage)]
+    df = spark.createDataFrame([(i, t, "a", "b", "c", "d") for i, t in rows], "doc_id int, text string, _spans string, spans_0 string, gone_0 string, text_hash string")
+    df.write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    out = suffix_dedup.remove(docs, suffix_dedup.passages(docs))
+    assert out.columns == docs.columns
+    assert sorted(r["text"].split()[0] + str(len(r["text"].split())) for r in out.collect()) == ["other6", "other6", "w055", "z080"]
+
+
 def test_suffix_dedup_of_nothing(spark):
     assert suffix_dedup.passages(docs_of(spark, [])).count() == 0
     short = docs_of(spark, [(1, "a b"), (2, None), (3, "")])
