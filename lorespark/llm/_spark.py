@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,8 +32,26 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+#: Paths made within each ``scratch`` that is open.
+_made: list[list[str]] = []
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if _made:
+        _made[-1].append(path)
+    return path
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What operators write to the shared folder within goes at the end; results must have been written elsewhere by then."""
+    _made.append([])
+    try:
+        yield
+    finally:
+        for path in _made.pop():
+            drop_path(spark, path)
 
 
 def tasks(spark: SparkSession, size: int, each: int) -> int:
@@ -42,10 +62,10 @@ def tasks(spark: SparkSession, size: int, each: int) -> int:
 def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """df as a Parquet table in the shared folder: lineage is cut and lost executors cost nothing that was done.
 
-    With ``rows``, about how many rows it has at most, no more files than they fill.
+    With ``rows``, about how many rows it has at most, no more files than they fill.  A name with a slash is the table's path.
     """
     spark = df.sparkSession
-    path = fresh_path(spark, name)
+    path = name if "/" in name else fresh_path(spark, name)
     if rows is not None:
         df = df.coalesce(tasks(spark, rows, ROWS_A_FILE))
     df.write.parquet(path)
@@ -75,16 +95,21 @@ def components(edges: DataFrame, rows: int | None = None, rounds: int = 60) -> D
     shared folder each round; nothing is collected but one change count.  A round only ever
     makes one row of each it reads, so hubs of any degree cost no more than their edges.
     """
-    e = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges", rows)
+    spark = edges.sparkSession
+    path = fresh_path(spark, "edges")
+    e = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), path, rows)
     for _ in range(rounds):
         both = e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("s")).select("s.a", "s.b").where("a <> b").distinct()
-        new = written(small, "edges", rows)
+        upto = fresh_path(spark, "edges")
+        new = written(small, upto, rows)
         # a star forest: no id is both a member and a centre, and each member has one centre
         s = new.agg(F.count("*").alias("n"), F.count_distinct("a").alias("d")).first()
+        drop_path(spark, path)
+        path = upto
         done = s["n"] == s["d"] and new.join(new.select(F.col("b").alias("a")).distinct(), "a", "left_semi").isEmpty()
         e, rows = new, s["n"]
         if done:

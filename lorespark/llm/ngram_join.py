@@ -12,13 +12,16 @@ shingles (``k`` and ``percent`` are parameters).  The stages:
 3. What is left is ordered globally, rarest shingle first.  By the prefix filter, two linked
    documents share one of their first |A| - ceil(.75 |A|) + 1 shingles.  Each such shingle's smallest
    document is its hub, and a document joins the groups of its hubs - near copies share most of them, so a
-   set travels a few times, not once a shingle.  A group of over ``block`` members is dealt out as
-   pairs of blocks.
+   set travels a few times, not once a shingle.
 4. Each group's sets go into a trie (common beginnings stored once).  A set walks it level by
    level, sums overlaps along shared paths and cuts subtrees whose remaining length can't
    reach the threshold.  The overlap at a leaf is the exact intersection.  A group returns
    a spanning forest of its links, not all of them.
-5. Links become components by alternating large-star and small-star steps.
+5. A group of over ``GROUP`` members is dealt out in blocks, each compared within itself.  A few members stand for each component of a block
+   in a comparison across blocks.  Members of what is then the group's largest component are settled among themselves; only the others
+   are still compared with all members, so a group of near copies of any size costs its members a few comparisons each.  The forest that
+   grows this way has the group's components exactly.
+6. Links become components by alternating large-star and small-star steps.
 
 Shingles are told apart by 48 bits of hash; within a pair of documents the odds of a false
 match are about |A| * |B| / 2**48.
@@ -26,7 +29,7 @@ match are about |A| * |B| / 2**48.
 Defined results: a null or empty text, or one without words, has no set and links with
 nothing (n_shingles 0, its own component); a text of fewer than k words has its whole word
 sequence as its one shingle; rows that repeat a doc_id each give a row, and their links count
-for all of them; a row without a doc_id is dropped; extra columns are ignored; an empty table
+for all of them, also where their texts differ; a row without a doc_id is dropped; extra columns are ignored; an empty table
 gives no rows.  ``docs`` should be a scan or a written table, so that a lost task reads its rows again in the same order.
 """
 
@@ -38,15 +41,15 @@ from itertools import count
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _spark, _text
 from ._text import U64
 
 K, PERCENT = 5, 75
-#: Bytes of text a block of documents holds; bytes of postings a hash range should hold; members a group's task holds.
-BLOCK_BYTES, RANGE_BYTES, GROUP = 6 << 20, 16 << 20, 1024
+#: Bytes of text a block of documents holds; bytes of postings a hash range should hold; members a group's task holds; members that stand for a component of a block.
+BLOCK_BYTES, RANGE_BYTES, GROUP, FEW = 6 << 20, 16 << 20, 1024, 4
 #: Text whose shared shingles a task writes to one file; sets a task has.
 FILE_TEXT, SETS = 32 << 20, 20_000
 _LOW = U64(0xFFFF)
@@ -109,18 +112,19 @@ def _post(ranges: int, k: int):
         rep = posts[at]
         rep[held > 1] |= U64(_MANY)
         many = np.repeat(held > 1, held)
-        cut = np.searchsorted(rep, (np.arange(1, ranges, dtype=U64) * (U64(2**64 - 1) // U64(ranges))))
-        cut = np.concatenate([[0], cut, [len(rep)]])
+        # only ranges that the block has shingles for: there may be far more of them than shingles
+        of = (rep & ~_LOW) // (U64(2**64 - 1) // U64(ranges) + U64(1))
+        first = np.ones(len(of), bool)
+        first[1:] = of[1:] != of[:-1]
+        cut = [*np.flatnonzero(first).tolist(), len(of)]
         keys, parts, a, b, c = [], [], [], [], []
-        for r in range(ranges):
-            i, j = cut[r], cut[r + 1]
-            if j > i:
-                cc = held[i:j]
-                keys.append(r)
-                parts.append(0)
-                a.append(rep[i:j].tobytes())
-                b.append(cc[cc > 1].astype(np.uint16).tobytes())
-                c.append(None)
+        for i, j in zip(cut[:-1], cut[1:], strict=True):
+            cc = held[i:j]
+            keys.append(int(of[i]))
+            parts.append(0)
+            a.append(rep[i:j].tobytes())
+            b.append(cc[cc > 1].astype(np.uint16).tobytes())
+            c.append(None)
         keys.append(block)
         parts.append(1)
         a.append(posts[many].tobytes())
@@ -329,15 +333,52 @@ def group_links(ids: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray], quer
 
 def _join_group(percent: int):
     def run(t: pa.Table) -> pa.Table:
-        i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
-        b = t.column("b").to_numpy()
         sets = [np.frombuffer(x.as_buffer(), U64) for x in t.column("keys")]
-        out = group_links(t.column("rep").to_numpy(), t.column("n").to_numpy(), sets, b == i, b == j, percent)
+        asks, told = (np.array(t.column(c).to_pylist(), bool) for c in ("asks", "told"))
+        out = group_links(t.column("rep").to_numpy(), t.column("n").to_numpy(), sets, asks, told, percent) if asks.any() and told.any() else []
         return pa.table([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
 
     return run
 
 
+def _compared(tasks: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of tasks(hub, i, j, rep, asks, told): in each, the members that ask against those that are told."""
+    return tasks.join(members, "rep").groupBy("hub", "i", "j").applyInArrow(_join_group(percent), "a long, b long")
+
+
+def _every(count: Column) -> Column:
+    return F.explode(F.sequence(F.lit(0), count - 1))
+
+
+def _across_blocks(placed: DataFrame, links: DataFrame, members: DataFrame, percent: int, rows: int) -> DataFrame:
+    """The links of groups of several blocks, placed(hub, rep, b, blocks), beyond those within blocks."""
+
+    def known(links: DataFrame) -> DataFrame:
+        found = _spark.components(links, rows).withColumnRenamed("id", "rep")
+        return _spark.written(placed.join(found, "rep", "left").select("hub", "rep", "b", "blocks", F.coalesce("component", "rep").alias("c")), "known")
+
+    def forest(k: DataFrame) -> DataFrame:
+        return k.where("rep <> c").select(F.col("rep").alias("a"), F.col("c").alias("b")).distinct()
+
+    yes, no = F.lit(True), F.lit(False)
+    # a few members of each component of a block, but for single ones
+    k = known(links)
+    of = Window.partitionBy("hub", "b", "c")
+    some = k.withColumn("n", F.row_number().over(of.orderBy("rep"))).withColumn("size", F.count("*").over(of)).where((F.col("n") <= FEW) & (F.col("size") > 1))
+    some = _spark.written(some.select("hub", "rep"), "few")
+    parts = some.groupBy("hub").agg(F.ceil(F.count("*") / F.lit(GROUP)).cast("int").alias("parts"))
+    some = some.join(parts, "hub").withColumn("p", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    some = some.select("hub", "rep", "p", _every(F.col("parts")).alias("o")).select("hub", "rep", F.least("p", "o").alias("i"), F.greatest("p", "o").alias("j"), (F.col("p") <= F.col("o")).alias("asks"), (F.col("p") >= F.col("o")).alias("told"))
+    k = known(forest(k).unionByName(_compared(some, members, percent)))
+    # what is not of the group's largest component asks all
+    most = k.groupBy("hub", "c").agg(F.count("*").alias("n")).groupBy("hub").agg(F.max_by("c", F.struct("n", "c")).alias("big"), F.sum("n").alias("all"), F.max("n").alias("n"))
+    most = most.select("hub", "big", F.ceil((F.col("all") - F.col("n")) / F.lit(GROUP)).cast("int").alias("parts")).where("parts > 0")
+    k_open = k.join(most, "hub")
+    told = k_open.select("hub", _every(F.col("parts")).alias("i"), F.col("b").alias("j"), "rep", no.alias("asks"), yes.alias("told"))
+    asks = k_open.where("c <> big").select("hub", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("i"), _every(F.col("blocks")).alias("j"), "rep", yes.alias("asks"), no.alias("told"))
+    return forest(k).unionByName(_compared(told.unionByName(asks), members, percent))
+
+
 def shared_sets(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n, sig, keys) of each document: set size, the set's signature, and its shared shingles in global order where they can reach the threshold."""
     spark = docs.sparkSession
@@ -359,13 +400,18 @@ def ngram_join(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame
     prefix = _spark.written(members.mapInArrow(_prefixes(percent), "rep long, token long"), "prefix")
     hubs = prefix.groupBy("token").agg(F.min("rep").alias("hub"), F.count("*").alias("held")).where("held > 1").drop("held")
     dealt = _spark.written(prefix.join(hubs, "token").select("hub", "rep").distinct(), "groups", 4 * held)
-    # a group of many members becomes blocks by hash, and each pair of blocks a task
+    # a group of many members becomes blocks by hash
     sizes = dealt.groupBy("hub").agg(F.ceil(F.count("*") / F.lit(GROUP)).cast("int").alias("blocks"), F.count("*").alias("size")).where("size > 1")
-    placed = dealt.join(sizes, "hub").withColumn("b", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("b")).alias("i"), F.greatest(o, F.col("b")).alias("j")))
-    tasks = placed.select("hub", "rep", "b", F.explode(pairs).alias("p")).select("hub", "rep", "b", "p.i", "p.j")
-    links = tasks.join(members, "rep").groupBy("hub", "i", "j").applyInArrow(_join_group(percent), "a long, b long")
-    found = _spark.components(links, 4 * held)
+    placed = _spark.written(dealt.join(sizes, "hub").select("hub", "rep", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("b"), "blocks"), "placed", 4 * held)
+    within = placed.select("hub", "rep", F.col("b").alias("i"), F.col("b").alias("j"), F.lit(True).alias("asks"), F.lit(True).alias("told"))
+    links = _spark.written(_compared(within, members, percent), "links", 4 * held)
+    large = placed.where("blocks > 1")
+    if not large.isEmpty():
+        links = links.unionByName(_across_blocks(large, links, members, percent, 4 * held))
+    # an id with several sets links what each of them links
+    several = sets.where("sig is not null").groupBy("doc_id").agg(F.min("sig").alias("low"), F.max("sig").alias("high")).where("low <> high").select("doc_id")
+    own = sets.join(several, "doc_id", "left_semi").select("doc_id", "sig").join(classes.select("sig", "rep"), "sig").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    found = _spark.components(links.unionByName(own), 4 * held)
     named = classes.select("sig", "rep").join(found.withColumnRenamed("id", "rep"), "rep", "left").select("sig", F.coalesce("component", "rep").alias("component_id"))
     # of the copies of a set a hot one may hold a third of the rows: its one row goes out to several salts
     salts = 16

@@ -106,6 +106,37 @@ def test_ngram_join_repeated_ids_and_empty(spark, tmp_path):
     assert ngram_join.ngram_join(docs_of(spark, [])).count() == 0
 
 
+def test_ngram_join_of_a_large_group_in_parts(spark, tmp_path, monkeypatch):
+    """One shared beginning, several clusters of near copies and single texts: blocks, a few for each component, and the rest against all."""
+    monkeypatch.setattr(ngram_join, "GROUP", 6)
+    rng = random.Random(2)
+    head = [f"h{k}" for k in range(60)]
+    rows = []
+    for c in range(5):
+        tail = [f"t{c}-{k}" for k in range(14)]
+        for _ in range(rng.randint(1, 30)):
+            t = head + tail
+            for _ in range(rng.randint(0, 3)):
+                t[rng.randrange(len(t))] = f"x{rng.random()}"
+            rows.append((len(rows), " ".join(t)))
+    rng.shuffle(rows)
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.ngram_join(written(spark, tmp_path, rows)).collect()}
+    want = link_all({i: shingles(t) for i, t in rows})
+    assert got == want
+
+
+def test_ngram_join_repeated_ids_of_several_texts(spark, tmp_path):
+    a, b = "one two three four five six", "seven eight nine ten eleven twelve"
+    got = ngram_join.ngram_join(written(spark, tmp_path, [(3, a), (5, a), (5, b), (7, b), (9, "z")])).collect()
+    assert sorted(map(tuple, got)) == [(3, 2, 3), (5, 2, 3), (5, 2, 3), (7, 2, 3), (9, 1, 9)]
+
+
+def test_ngram_join_with_more_ranges_than_shingles(spark, tmp_path, monkeypatch, corpus_rows):
+    monkeypatch.setattr(ngram_join, "RANGE_BYTES", 1)
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.ngram_join(written(spark, tmp_path, corpus_rows)).collect()}
+    assert got == link_all({i: shingles(t) for i, t in corpus_rows})
+
+
 def test_trie_matches_equal_brute_force():
     rng = np.random.default_rng(2)
     sets = [np.unique(rng.integers(0, 60, rng.integers(1, 40))).astype(np.uint64) for _ in range(80)]
