@@ -23,7 +23,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _chunks, _files, _spark, _text
@@ -32,6 +32,8 @@ MAGIC = b"LSBP0001"
 BLOCK = 1 << 16
 BLOCK_BYTES = 8 << 20
 FILE_BYTES = 32 << 20
+#: Files whose ids are summed up together.
+GROUP = 1000
 
 
 def bits_for(vocabulary: int) -> int:
@@ -156,6 +158,10 @@ def _table(path: str, specials_are_text: bool) -> _chunks.Table:
     return _chunks.Table(encode, 300_000)
 
 
+def vocabulary_size(tokenizer: str) -> int:
+    return _tokenizer(tokenizer, False).get_vocab_size()
+
+
 def encode_texts(texts: pa.Array, tokenizer: str, last: int | None, specials_are_text: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """(ids, offsets) as the tokenizers library gives them for whole texts, by a table of the distinct chunks that end in a space or line feed or before a comma or full stop.
 
@@ -178,9 +184,9 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
     _spark.small_batches(spark)
     folder = _spark.fresh_path(spark, "packed")
     _files.make_dir(folder)
-    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     files = _spark.tasks(spark, _spark.text_size(docs)[1], FILE_BYTES)
-    bits = bits_for(_tokenizer(tokenizer, False).get_vocab_size())
+    bits = bits_for(max(end_id + 1, vocabulary_size(tokenizer)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context, out = TaskContext.get(), None
@@ -202,15 +208,12 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
 def read(manifest: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids) of every document of the files; ids are little-endian 32-bit integers, start counts the ids of all documents before."""
     spark = manifest.sparkSession
-    # one row a file, as many as the write had tasks
-    files = sorted(map(tuple, manifest.select("part", "path", "ids").collect()))
-    if not files:
-        return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids binary")
-    base, rows = 0, []
-    for part, path, n in files:
-        rows.append((part, path, base))
-        base += n
-    listed = spark.createDataFrame(rows, "part int, path string, base long").repartition(len(rows), "part")
+    # a prefix sum in two levels: over the sums of every GROUP files, then within them
+    parts = manifest.select("part", "path", F.col("ids").alias("n"), F.floor(F.col("part") / F.lit(GROUP)).alias("group"))
+    sums = parts.groupBy("group").agg(F.sum("n").alias("n"))
+    sums = sums.select("group", (F.sum("n").over(Window.orderBy("group")) - F.col("n")).alias("before"))
+    base = F.col("before") + F.sum("n").over(Window.partitionBy("group").orderBy("part")) - F.col("n")
+    listed = parts.join(sums, "group").select("part", "path", base.alias("base")).repartition(max(1, manifest.count()), "part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -9,8 +9,8 @@ As a position's label depends on its segment alone, a block's distinct segments
 of equal length, and their summed labels are put back by position: every position of every text is labelled, at the
 cost of the distinct ones.
 
-Learning is bounded: at most ``SAMPLE`` labelled texts, those with the smallest hash of their id, come to the driver,
-and ``SEGMENTS`` segments of them, drawn evenly over the languages.
+Learning is bounded: at most ``SAMPLE`` labelled texts, those with the smallest hash of their id and of them
+the first ``SAMPLE_BYTES`` of text (the text that goes beyond included), come to the driver, and ``SEGMENTS`` segments of them, drawn evenly over the languages.
 
 Defined results: a null text and one without a letter is ``und`` with score 0; equal probabilities go to the language
 first in order; texts of any length are read whole; with no labelled text all is ``und``; rows that repeat a
@@ -24,13 +24,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _chunks, _spark, _text
 
 HIDDEN, SEGMENT = 16, 32
-SAMPLE, SEGMENTS, STEPS, BATCH = 1200, 60_000, 500, 256
+SAMPLE, SAMPLE_BYTES, SEGMENTS, STEPS, BATCH = 1200, 16 << 20, 60_000, 500, 256
 BLOCK_BYTES = 8 << 20
 _FOLD = _text.LOWER.copy()
 _FOLD[[*range(0x09, 0x0E)]] = 0x20
@@ -209,7 +209,10 @@ def learn(docs: DataFrame, learnable: Column, sample: int = SAMPLE) -> Network |
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("lang is not null and text is not null and doc_id is not null").where(learnable)
     # ids first, so that no more texts than the sample's are sorted
     ids = rows.select("doc_id").distinct().orderBy(key, "doc_id").limit(sample)
-    got = rows.join(F.broadcast(ids), "doc_id").orderBy(key, "text").limit(sample).select("text", "lang").toArrow()
+    got = rows.join(F.broadcast(ids), "doc_id").orderBy(key, "text").limit(sample).select("text", "lang", key.alias("key"))
+    # of no more rows than the sample's, those that fill SAMPLE_BYTES
+    upto = F.sum(F.octet_length("text")).over(Window.orderBy("key", "text").rowsBetween(Window.unboundedPreceding, -1))
+    got = got.withColumn("upto", upto).where(F.coalesce("upto", F.lit(0)) < SAMPLE_BYTES).select("text", "lang").toArrow()
     return train(got.column("text").to_pylist(), got.column("lang").to_pylist())
 
 

@@ -418,3 +418,15 @@ def ngram_join(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame
     left = sets.select("doc_id", F.col("n").alias("n_shingles"), "sig", F.pmod("doc_id", F.lit(salts)).cast("int").alias("salt"))
     right = named.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return left.join(right, ["sig", "salt"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def keep_first(docs: DataFrame) -> DataFrame:
+    """docs, with all their columns, but of each group of linked documents only the one with the smallest doc_id; of rows that are equal in doc_id and text one stays.
+
+    Rows without a doc_id stay, and so do rows of one id whose texts differ.
+    """
+    others = ngram_join(docs.select("doc_id", "text")).where("doc_id <> component_id").select("doc_id")
+    again = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    kept = docs.join(others, "doc_id", "left_anti")
+    once, twice = kept.join(again, "doc_id", "left_anti"), kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return once.select(docs.columns).unionByName(twice.select(docs.columns))

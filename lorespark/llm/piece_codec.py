@@ -103,7 +103,7 @@ def encode(docs: DataFrame, model: str, decoded: bool = False) -> DataFrame:
             del ids, back
 
     _spark.small_batches(docs.sparkSession)
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, ids array<int>" + ", text string" * decoded)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, ids array<int>" + ", text string" * decoded)
 
 
 def decode(encoded: DataFrame, model: str) -> DataFrame:
@@ -116,4 +116,4 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
             text = decode_ids(ids.values.to_numpy()[offs[0] : offs[-1]], offs - offs[0], model)
             yield from t.append_column("text", text).to_batches(256)
 
-    return encoded.select("doc_id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids")).mapInArrow(run, "doc_id long, ids array<int>, text string")
+    return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("ids", F.array().cast("array<int>")).alias("ids")).mapInArrow(run, "doc_id long, ids array<int>, text string")

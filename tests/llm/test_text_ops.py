@@ -557,6 +557,31 @@ def test_token_counts(spark, corpus_rows, monkeypatch):
     assert token_counts.document_counts(token_counts.write_flat(docs_of(spark, []), path, 49407), 49407).count() == 0
 
 
+def test_token_counts_across_blocks_and_widths(spark, corpus_rows):
+    path = registry.tokenizer_path("word_bpe_49k.json")
+    docs = docs_of(spark, corpus_rows[:30])
+    want = sorted(map(tuple, token_counts.document_counts(token_counts.write_flat(docs, path, registry.END_OF_DOCUMENT), registry.END_OF_DOCUMENT).collect()))
+    wide = token_counts.write_flat(docs, path, registry.END_OF_DOCUMENT, 4)
+    assert sorted(map(tuple, token_counts.document_counts(wide, registry.END_OF_DOCUMENT, 4, 50).collect())) == want and len(want) == 30
+    for separator, width in ((registry.END_OF_DOCUMENT, 1), (1 << 16, 2), (-1, 4)):
+        with pytest.raises(ValueError, match="don't fit"):
+            token_counts.write_flat(docs, path, separator, width)
+
+
+def test_integer_ids_and_groups_of_files(spark, monkeypatch):
+    rows = [(i, f"text number {i}") for i in range(40)]
+    small, wide = (spark.createDataFrame(rows, f"doc_id {kind}, text string").repartition(5) for kind in ("int", "long"))
+    pieces, words = registry.tokenizer_path("piece_bpe_32k.model"), registry.tokenizer_path("word_bpe_49k.json")
+    assert sorted(map(tuple, registry.piece_digests(small).collect())) == sorted(map(tuple, registry.piece_digests(wide).collect()))
+    packed = lambda d: sorted(map(tuple, bitpack.read(bitpack.write(d, words)).select("doc_id", "start", "n_tokens", F.crc32("ids")).collect()))
+    want = packed(wide)
+    monkeypatch.setattr(bitpack, "GROUP", 2)
+    monkeypatch.setattr(bitpack, "FILE_BYTES", 100)
+    assert packed(small) == want
+    counts = lambda d: sorted(map(tuple, token_counts.document_counts(token_counts.write_flat(d, words, registry.END_OF_DOCUMENT), registry.END_OF_DOCUMENT).collect()))
+    assert counts(small) == counts(wide)
+
+
 @pytest.mark.parametrize("block", [1, 2, 3, 7, 100])
 def test_separator_scan_stitches_blocks(spark, tmp_path, block):
     kinds = {"a": [1, 2, 0, 0, 3, 0, 4, 5], "b": [0], "c": [7, 7, 7], "d": [], "e": [0, 0, 1, 0]}

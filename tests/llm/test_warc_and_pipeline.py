@@ -90,6 +90,80 @@ def test_pipeline_keeps_clean_rows_of_a_contaminated_id(spark):
     assert {r["text"] for r in corpus_pipeline.drop_contaminated(spark, docs, SF).collect()} == {"a clean row", "another"}
 
 
+def test_pipeline_keeps_one_of_equal_rows(spark):
+    schema = spark.read.parquet(f"{SF}/documents.parquet").schema
+    a, b = "one two three four five six seven", "eight nine ten eleven twelve thirteen"
+    rows = [(1, a), (1, a), (2, a), (3, b), (3, "an other text of the same id"), (None, a), (None, a), (4, None), (4, None), (5, ""), (6, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], schema)
+    out = corpus_pipeline.drop_near_duplicates(spark, _spark.written(docs, "docs"), SF)
+    want = [(1, a), (3, "an other text of the same id"), (3, b), (None, a), (None, a), (4, None), (5, ""), (6, "")]
+    assert sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=repr) == sorted(want, key=repr)
+
+
+def brute_pipeline(spark):
+    """The pipeline's rows by plain loops, but for the learned toxicity scores, which op6 gives."""
+    import re
+    from collections import defaultdict
+
+    import sentencepiece
+
+    word, alnum = re.compile(r"[^\x20\x09-\x0d]+"), re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    fold = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+    toxic = {r["doc_id"] for r in registry.op6_toxicity(spark, SF).where("predicted = 1").collect()}
+    docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect() if r["doc_id"] not in toxic}
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    sets = {}
+    for i, t in docs.items():
+        w = word.findall(t.translate(lower))
+        sets[i] = frozenset(tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))) if w else frozenset()
+    root = {i: i for i in docs}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in sorted(docs):
+        for b in sorted(docs):
+            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    docs = {i: t for i, t in docs.items() if find(i) == i}
+    held = defaultdict(set)
+    words = {i: word.findall(t) for i, t in docs.items()}
+    for i, w in words.items():
+        for j in range(len(w) - 49):
+            held[tuple(w[j : j + 50])].add(i)
+    for i, w in words.items():
+        drop = {j + k for j in range(len(w) - 49) if min(held[tuple(w[j : j + 50])]) < i for k in range(50)}
+        if drop:
+            docs[i] = " ".join(x for k, x in enumerate(w) if k not in drop) if len(drop) < len(w) else None
+    docs = {i: t for i, t in docs.items() if t is not None}
+    windows = set()
+    for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect():
+        w = alnum.findall((r["text"] or "").encode().translate(fold))
+        windows |= {tuple(w[j : j + 13]) for j in range(max(1, len(w) - 12) if w else 0)}
+    sp = sentencepiece.SentencePieceProcessor(model_file=registry.tokenizer_path("piece_bpe_32k.model"))
+    out = {}
+    for i, t in docs.items():
+        w = alnum.findall(t.encode().translate(fold))
+        hit = {j + k for n in {len(x) for x in windows} for j in range(len(w) - n + 1) if tuple(w[j : j + n]) in windows for k in range(n)}
+        if not hit or 20 * len(hit) < len(w):
+            out[i] = word.findall(sp.decode([*sp.encode(t), 2]))
+    return out
+
+
+def test_pipeline_against_brute_force(spark):
+    """Words, as cutting may leave other white space than joining does."""
+    import re
+
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=registry.tokenizer_path("piece_bpe_32k.model"))
+    got = {r["doc_id"]: re.findall(r"[^\x20\x09-\x0d]+", sp.decode(r["ids"])) for r in corpus_pipeline.run(spark, SF).collect()}
+    assert got == brute_pipeline(spark) and got
+
+
 def test_pipeline_takes_odd_rows(spark):
     rows = [(None, "a b c", "en", "s", 5), (1, None, None, None, None), (2, "", "en", "s", 0), (3, "same text here now ok", "en", "s", 20), (3, "same text here now ok", "en", "s", 20)]
     schema = spark.read.parquet(f"{SF}/documents.parquet").schema
