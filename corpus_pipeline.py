@@ -18,9 +18,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents, the one with the smallest doc_id."""
-    others = ngram_join.ngram_join(docs.select("doc_id", "text")).where("doc_id <> component_id").select("doc_id")
-    return docs.join(others, "doc_id", "left_anti").select(docs.columns)
+    """Of each group of linked documents, the one with the smallest doc_id; rows equal in id and text are one."""
+    return ngram_join.keep_first(docs)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +54,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = _spark.written(stage(spark, docs, sf_dir), name)
+        path = _spark.fresh_path(spark, name)
+        # what a stage wrote on its way goes, and its input when its output is there
+        with _spark.scratch(spark):
+            docs = _spark.written(stage(spark, docs, sf_dir), path)
+        if last:
+            _spark.drop_path(spark, last)
+        last = path
     return docs
