@@ -44,7 +44,7 @@ LENGTH, GRAM = 50, 16
 #: Words after a suffix's key and before it that windows around it reach.
 SIDE = LENGTH - GRAM
 #: Bytes of text a block holds, and whose keys or suffixes a range should hold; suffixes of one key that a range takes.
-BLOCK_BYTES, RANGE_TEXT, SUFFIX_TEXT, HOT = 6 << 20, 64 << 20, 8 << 20, 20_000
+BLOCK_BYTES, RANGE_TEXT, SUFFIX_TEXT, HOT = 6 << 20, 64 << 20, 4 << 20, 20_000
 _ROW = "key long, block long, part int, a binary, b binary, c binary"
 _NAMES = ["key", "block", "part", "a", "b", "c"]
 _TYPES = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
