@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import ids, text
+from .operators import lexical
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -111,9 +112,9 @@ def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words that 2 to 20 documents hold, as symbols their first document defines; (name, qualified_name, kind, file, source, start_line, id)."""
+    """Words of three letters and more that two documents hold at least, as symbols their first document defines; (name, qualified_name, kind, file, source, start_line, id)."""
     d = table(spark, sf_dir, "documents").select("doc_id", "source", F.explode(F.array_distinct(text.lower_words("text"))).alias("name"))
-    e = d.groupBy("name").agg(F.count("*").alias("held"), F.min(F.struct("doc_id", "source")).alias("first")).where("held between 2 and 20 and length(name) >= 3")
+    e = d.groupBy("name").agg(F.count("*").alias("held"), F.min(F.struct("doc_id", "source")).alias("first")).where("held >= 2 and length(name) >= 3")
     q = F.concat_ws(".", F.col("first.source"), F.concat(F.lit("d"), F.col("first.doc_id")), F.col("name"))
     return e.select(
         ids.entity_id(F.col("first.doc_id"), F.lit("function"), q, F.lit(0)).alias("id"),
@@ -126,6 +127,12 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def index(spark: SparkSession, sf_dir: str) -> lexical.Index:
+    """The stored full-text index of the documents' texts."""
+    d = table(spark, sf_dir, "documents")
+    return lexical.Index.stored(d, d, "doc_id", {"text": 1}, "documents-text")
+
+
 def sql_id(domain: str, *parts: str) -> str:
     return f"substr(sha256(concat_ws(chr(31), '{domain}', {', '.join(parts)})), 1, 32)"
 
@@ -133,7 +140,7 @@ def sql_id(domain: str, *parts: str) -> str:
 ENTITIES = f"""SELECT {sql_id("entity", "doc_id", "'function'", "source || '.d' || doc_id || '.' || name", "0")} AS id, name, source || '.d' || doc_id || '.' || name AS qualified_name,
  CASE length(name) % 3 WHEN 0 THEN 'class' WHEN 1 THEN 'function' ELSE 'method' END AS kind, doc_id AS file_id, source AS source_id, length(name)::BIGINT AS start_line
  FROM (SELECT name, count(*) AS held, min(doc_id) AS doc_id, min_by(source, doc_id) AS source FROM (SELECT DISTINCT doc_id, source, unnest({sql_words("lower(text)")}) AS name FROM documents) GROUP BY name)
- WHERE held BETWEEN 2 AND 20 AND length(name) >= 3"""
+ WHERE held >= 2 AND length(name) >= 3"""
 
 
 def references(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -78,6 +78,13 @@ def file_name(path: Column | str) -> Column:
     return F.substring_index(_col(path), "/", -1)
 
 
+def file_candidates(path: Column | str) -> Column:
+    """A path's file name and, if it has a suffix, its stem."""
+    name = F.regexp_extract(_col(path), r"([^/\\\\]*)$", 1)
+    stem = F.regexp_extract(name, r"^(.+)\.[^.]+$", 1)
+    return F.filter(F.array(name, stem), lambda x: x != "")
+
+
 def suffix(path: Column | str) -> Column:
     """Lower-cased from the last dot of the file name; empty if that dot leads or ends the name."""
     return F.lower(F.regexp_extract(file_name(path), r"^.+(\.[^.]+)$", 1))
@@ -137,10 +144,15 @@ def links_by_bare_name(name: Column | str) -> Column:
 
 def contains_identifier(text: Column | str, needle: Column | str) -> Column:
     """needle occurs with no word character or dot before it, nor a word character or a dot and a word character after it."""
-    quoted = F.concat(F.lit(r"(?<![\p{L}\p{N}_.])\Q"), _col(needle), F.lit(r"\E(?![\p{L}\p{N}_]|\.[\p{L}\p{N}_])"))
+    quoted = F.concat(F.lit(r"(?<![\p{L}\p{N}\p{M}_.])\Q"), _col(needle), F.lit(r"\E(?![\p{L}\p{N}\p{M}_]|\.[\p{L}\p{N}\p{M}_])"))
     return F.regexp_like(_col(text), quoted)
 
 
+def identifiers(text: Column | str) -> Column:
+    """Maximal dotted identifiers: a text contains an identifier, as ``contains_identifier`` has it, exactly if this array does."""
+    return F.filter(F.split(_col(text), r"[^\p{L}\p{N}\p{M}_.]+|\.(?![\p{L}\p{N}\p{M}_])"), lambda x: (x != "") & ~F.startswith(x, F.lit(".")))
+
+
 def mentions_route(text: Column | str, path: Column | str) -> Column:
     """path occurs without a word character after it."""
     return F.regexp_like(_col(text), F.concat(F.lit(r"\Q"), _col(path), F.lit(r"\E(?![\p{L}\p{N}_])")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import shared
 from ..functions import files, ids, text
 
 REFERENCE_TYPES = ("calls", "imports", "references")
@@ -47,19 +48,29 @@ def resolve(references: DataFrame, entities: DataFrame) -> DataFrame:
     return g.select(*key, target.alias("target_id"), F.when(step == "name_only", bare).otherwise(F.col("reference_text")).alias("symbol"), step.alias("resolver"), confidence.alias("confidence"))
 
 
-def bfs(edges: DataFrame, starts: DataFrame, depth: int, incoming: bool = False) -> DataFrame:
-    """(start, node, depth): nodes within ``depth`` steps of starts(start), each at its least depth.
+def hops(edges: DataFrame) -> DataFrame:
+    """The ends of the edges as a table of the shared folder, which traversals read at every level."""
+    return shared.written(edges.select("source_id", "target_id").where("source_id is not null and target_id is not null"), "hops")
 
-    One join a level with the frontier, which is anti-joined with what was visited; depth is a small constant.
+
+def bfs(edges: DataFrame, starts: DataFrame, depth: int, incoming: bool = False, written: bool = False) -> DataFrame:
+    """(start, node, depth): nodes within ``depth`` steps of starts(start), each at its least depth; ``written`` says that edges come from ``hops``.
+
+    One join a level with the frontier, which is anti-joined with what was visited.  Every level is written to the shared folder, so a
+    level costs its own join, however many came before it.
     """
     a, b = ("target_id", "source_id") if incoming else ("source_id", "target_id")
-    hop = edges.select(F.col(a).alias("node"), F.col(b).alias("next")).distinct()
-    seen = starts.select("start", F.col("start").alias("node"), F.lit(0).alias("depth"))
-    frontier = seen
+    spark = edges.sparkSession
+    hop = (edges if written else hops(edges)).select(F.col(a).alias("node"), F.col(b).alias("next"))
+    path = shared.folder(spark, "levels")
+    first = starts.select("start", F.col("start").alias("node"), F.lit(0).alias("depth")).distinct()
+    first.write.parquet(f"{path}/0")
     for d in range(1, depth + 1):
-        frontier = frontier.join(hop, "node").select("start", F.col("next").alias("node"), F.lit(d).alias("depth")).distinct().join(seen.select("start", "node"), ["start", "node"], "left_anti")
-        seen = seen.unionByName(frontier)
-    return seen.where("depth > 0")
+        seen = spark.read.schema(first.schema).parquet(*(f"{path}/{k}" for k in range(d)))
+        frontier = spark.read.schema(first.schema).parquet(f"{path}/{d - 1}")
+        met = frontier.join(hop, "node").select("start", F.col("next").alias("node"), F.lit(d).alias("depth")).distinct()
+        met.join(seen.select("start", "node"), ["start", "node"], "left_anti").write.parquet(f"{path}/{d}")
+    return spark.read.schema(first.schema).parquet(*(f"{path}/{k}" for k in range(1, depth + 1)))
 
 
 def walk(edges: DataFrame, starts: DataFrame, depth: int, incoming: bool = False, limit: int | None = None) -> DataFrame:
@@ -83,9 +94,10 @@ def capped_edges(edges: DataFrame, node: str, cap: int) -> DataFrame:
 
 def impact(edges: DataFrame, symbols: DataFrame, links: DataFrame, paths: DataFrame, depth: int = 2) -> DataFrame:
     """(start, callers, callees, tests, documents, score, radius) of symbols(start): who depends on it, what it depends on, callers in test files, linked documents."""
-    back = bfs(edges, symbols, depth, incoming=True).join(paths.select(F.col("id").alias("node"), "path"), "node", "left")
+    edges = hops(edges)
+    back = bfs(edges, symbols, depth, incoming=True, written=True).join(paths.select(F.col("id").alias("node"), "path"), "node", "left")
     up = back.groupBy("start").agg(F.count("*").alias("callers"), F.count_if(files.is_test(F.coalesce("path", F.lit("")))).alias("tests"))
-    down = bfs(edges, symbols, depth).groupBy("start").agg(F.count("*").alias("callees"))
+    down = bfs(edges, symbols, depth, written=True).groupBy("start").agg(F.count("*").alias("callees"))
     docs = links.select(F.col("entity_id").alias("start"), "document_id").distinct().groupBy("start").agg(F.count("*").alias("documents"))
     out = symbols.select("start").distinct().join(up, "start", "left").join(down, "start", "left").join(docs, "start", "left").fillna(0)
     score = F.col("callers") + F.col("documents")
@@ -105,27 +117,73 @@ def relationships(defined: DataFrame, resolved: DataFrame) -> DataFrame:
     return n.select(ids.relationship_id(F.col("source_id"), F.col("type"), F.col("key"), F.col("ordinal")).alias("id"), "source_id", "target_id", "symbol", "type", "confidence")
 
 
-def mentions(entities: DataFrame, units: DataFrame, needle: Column, resolver: str, confidence: str, kind: str, most: int = 5) -> DataFrame:
+def mentions(entities: DataFrame, units: DataFrame, needle: Column, resolver: str, confidence: str, kind: str, most: int | None = 5) -> DataFrame:
     """(entity_id, document_id, ordinal, resolver, confidence, type): units(document_id, ordinal, body) that mention an entity by ``needle``.
 
-    The needle's words narrow the units by an equi-join on its rarest form, the first word; the exact test follows.
     Each (entity, document) keeps its first ``most`` units.
     """
-    wanted = entities.select(F.col("id").alias("entity_id"), needle.alias("needle")).where("needle is not null and needle <> ''")
-    wanted = wanted.withColumn("words", text.lower_words("needle")).where("size(words) > 0").withColumn("word", F.col("words")[F.size("words") - 1])
-    posted = units.select("document_id", "ordinal", F.explode(F.array_distinct(text.lower_words("body"))).alias("word"))
-    near = posted.join(wanted, "word").join(units, ["document_id", "ordinal"])
-    hits = near.where(text.contains_identifier("body", "needle")).select("entity_id", "document_id", "ordinal").distinct()
-    kept = hits.withColumn("n", F.row_number().over(Window.partitionBy("entity_id", "document_id").orderBy("ordinal"))).where(F.col("n") <= most).drop("n")
-    return kept.select("entity_id", "document_id", "ordinal", F.lit(resolver).alias("resolver"), F.lit(confidence).alias("confidence"), F.lit(kind).alias("type"))
-
-
-def link(entities: DataFrame, units: DataFrame, most: int = 5) -> DataFrame:
-    """Links by bare name, qualified name and alias."""
-    bare = mentions(entities.where(text.links_by_bare_name("name")), units, F.col("name"), "linker:exact_identifier", "high", "mentioned_in", most)
-    qualified = mentions(entities.where(F.contains("qualified_name", F.lit("."))), units, F.col("qualified_name"), "linker:qualified_identifier", "high", "documented_by", most)
-    alias = mentions(entities, units, text.alias_name("qualified_name"), "linker:alias", "medium", "mentioned_in", most)
-    return bare.unionByName(qualified).unionByName(alias)
+    wanted = entities.select(F.col("id").alias("entity_id"), needle.alias("needle"), F.lit(resolver).alias("resolver"), F.lit(confidence).alias("confidence"), F.lit(kind).alias("type"))
+    return first_units(identifier_hits(wanted, units), most)
+
+
+def identifier_hits(wanted: DataFrame, units: DataFrame) -> DataFrame:
+    """Units that mention wanted(entity_id, needle, resolver, confidence, type), of which the needles are dotted identifiers: an equi-join with the identifiers of the units, which needs no further look at their text."""
+    needles = wanted.where("needle is not null and needle <> ''")
+    # a needle of another form would be missed in silence
+    checked = F.when(F.get(text.identifiers("needle"), F.lit(0)) == F.col("needle"), F.col("needle")).otherwise(F.raise_error(F.concat(F.lit("no identifier: "), "needle")))
+    posted = units.select("document_id", "ordinal", F.explode(F.array_distinct(text.identifiers("body"))).alias("needle"))
+    return posted.join(needles.withColumn("needle", checked), "needle").select("entity_id", "document_id", "ordinal", "resolver", "confidence", "type").distinct()
+
+
+def first_units(hits: DataFrame, most: int | None) -> DataFrame:
+    """Of each (entity, document, resolver) the first ``most`` units."""
+    cols = ["entity_id", "document_id", "ordinal", "resolver", "confidence", "type"]
+    if most is None:
+        return hits.select(cols)
+    w = Window.partitionBy("entity_id", "document_id", "resolver").orderBy("ordinal")
+    return hits.withColumn("n", F.row_number().over(w)).where(F.col("n") <= most).select(cols)
+
+
+def route_hits(routes: DataFrame, units: DataFrame) -> DataFrame:
+    """Units that mention the path of a route: routes(id, symbol), with symbols ``http_endpoint:METHOD:path``.
+
+    The path's last word narrows the units by an equi-join; the path itself is then looked for.  A path that is one word without
+    a slash is found as a whole word only, and one without a word, as ``/``, is not looked for.
+    """
+    r = routes.select(F.col("id").alias("entity_id"), text.route_parts("symbol")["path"].alias("path")).where("path is not null").distinct()
+    near = units.select("document_id", "ordinal", "body", F.explode(F.array_distinct(text.words("body"))).alias("word"))
+    hits = near.join(r.withColumn("word", F.try_element_at(text.words("path"), F.lit(-1))), "word").where(text.mentions_route("body", "path"))
+    return hits.select("entity_id", "document_id", "ordinal", F.lit("linker:route_heuristic").alias("resolver"), F.lit("heuristic").alias("confidence"), F.lit("related_to").alias("type")).distinct()
+
+
+def link(entities: DataFrame, units: DataFrame, most: int = 5, namespaces: DataFrame | None = None, routes: DataFrame | None = None) -> DataFrame:
+    """Links by bare name, qualified name and alias; by the file name and stem of namespaces(id, path), the files' own entities; by the route path of routes(id, symbol).
+
+    The first four look for identifiers, so the units are taken apart once for all of them.
+    """
+
+    def wanted(rows: DataFrame, needle: Column, resolver: str, confidence: str, kind: str) -> DataFrame:
+        return rows.select(F.col("id").alias("entity_id"), needle.alias("needle"), F.lit(resolver).alias("resolver"), F.lit(confidence).alias("confidence"), F.lit(kind).alias("type"))
+
+    needles = wanted(entities.where(text.links_by_bare_name("name")), F.col("name"), "linker:exact_identifier", "high", "mentioned_in")
+    needles = needles.unionByName(wanted(entities.where(F.contains("qualified_name", F.lit("."))), F.col("qualified_name"), "linker:qualified_identifier", "high", "documented_by"))
+    needles = needles.unionByName(wanted(entities, text.alias_name("qualified_name"), "linker:alias", "medium", "mentioned_in"))
+    if namespaces is not None:
+        files = namespaces.select("id", F.explode(text.file_candidates("path")).alias("file"))
+        needles = needles.unionByName(wanted(files, F.col("file"), "linker:filename", "medium", "mentioned_in"))
+    needles = needles.where("needle is not null")
+    plain = F.equal_null(F.get(text.identifiers("needle"), F.lit(0)), F.col("needle"))
+    hits = identifier_hits(needles.where(plain), units).unionByName(_other_hits(needles.where(~plain), units))
+    if routes is not None:
+        hits = hits.unionByName(route_hits(routes, units))
+    return first_units(hits, most)
+
+
+def _other_hits(wanted: DataFrame, units: DataFrame) -> DataFrame:
+    """Units that mention needles of other forms, as names with hyphens: their first identifier narrows the units."""
+    needles = wanted.withColumn("key", F.get(text.identifiers("needle"), F.lit(0))).where("key is not null")
+    posted = units.select("document_id", "ordinal", "body", F.explode(F.array_distinct(text.identifiers("body"))).alias("key"))
+    return posted.join(needles, "key").where(text.contains_identifier("body", "needle")).select("entity_id", "document_id", "ordinal", "resolver", "confidence", "type").distinct()
 
 
 def dependents(symbol_refs: DataFrame, changed_keys: DataFrame) -> DataFrame:

@@ -1,17 +1,20 @@
 """Full-text retrieval: postings, BM25, query tiers, lookups, snippets.
 
-Postings are a plain exploded view; queries narrow them by their own terms before anything is grouped, so only
-matching postings are shuffled.  Corpus statistics are scalar subqueries.
+An index (``Index``) is built once, by one pass over the records, and stored; queries read only the postings of their own terms, which files are
+sorted by.  Phrase, prefix and term queries over records of the moment use a plain exploded view.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import shared
 from ..functions import text
 
 K1, B = 1.2, 0.75
+#: Up to this many terms are looked up by a filter that the scan of the postings can skip files by; more by a join.
+FEW_TERMS = 1000
 
 
 def postings(records: DataFrame, key: str, fields: dict[str, float]) -> DataFrame:
@@ -26,22 +29,44 @@ def postings(records: DataFrame, key: str, fields: dict[str, float]) -> DataFram
     return listed.select(key, "length", F.explode("w").alias("p")).select(key, "length", "p.term", "p.weight")
 
 
-def bm25(records: DataFrame, key: str, fields: dict[str, float], queries: DataFrame, k: int | None) -> DataFrame:
-    """(query_id, key, score, rank): queries(query_id, terms) ranked by weighted BM25; ties by key; the best k of each, or all."""
-    posted = postings(records, key, fields)
-    lengths = records.select(sum((F.size(text.lower_words(f)) for f in fields), F.lit(0)).cast("double").alias("n"))
-    total, mean = lengths.agg(F.count("*").cast("double")).scalar(), lengths.agg(F.avg("n")).scalar()
-    asked = queries.select("query_id", F.explode(F.array_distinct("terms")).alias("term"))
-    hits = posted.join(asked.select("term").distinct(), "term", "left_semi").groupBy(key, "length", "term").agg(F.sum("weight").alias("f"))
-    # a record's distinct words count once each, so document frequencies need no second grouping by record
-    every = F.array_distinct(F.concat(*(text.lower_words(f) for f in fields)))
-    held = records.select(every.alias("w")).select(F.explode("w").alias("term")).join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
-    raw = F.log((total - F.col("n") + 0.5) / (F.col("n") + 0.5))
-    idf = F.when(raw > 0, raw).otherwise(1e-6)
-    gain = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("length") / mean))
-    scored = hits.join(held, "term").select(key, "term", gain.alias("gain")).join(asked, "term").groupBy("query_id", key).agg(F.round(F.sum("gain"), 6).alias("score"))
-    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), key)).cast("long"))
-    return ranked if k is None else ranked.where(F.col("rank") <= k)
+class Index:
+    """Stored postings (term, key, length, f), terms (term, n) and statistics (total, mean): of each record's words their weighted number, of each term its records, and of the records their number and mean length."""
+
+    def __init__(self, spark: SparkSession, path: str, key: str):
+        self.key = key
+        self.postings, self.terms, self.statistics = (spark.read.parquet(f"{path}/{x}") for x in ("postings", "terms", "statistics"))
+
+    @staticmethod
+    def build(records: DataFrame, key: str, fields: dict[str, float], path: str) -> None:
+        spark = records.sparkSession
+        held = postings(records, key, fields).groupBy("term", key, "length").agg(F.sum("weight").alias("f"))
+        # in term order, a frequent term's postings over as many files as they fill
+        held.repartitionByRange("term", key).sortWithinPartitions("term", key).write.parquet(f"{path}/postings")
+        spark.read.parquet(f"{path}/postings").groupBy("term").agg(F.count("*").alias("n")).repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/terms")
+        lengths = records.select(sum((F.size(text.lower_words(f)) for f in fields), F.lit(0)).cast("double").alias("n"))
+        lengths.agg(F.count("*").cast("double").alias("total"), F.avg("n").alias("mean")).write.parquet(f"{path}/statistics")
+
+    @classmethod
+    def stored(cls, scan: DataFrame, records: DataFrame, key: str, fields: dict[str, float], name: str) -> Index:
+        """The index of records made from the files of ``scan``, built if those files have none of that name yet."""
+        return cls(scan.sparkSession, shared.built(scan, name, lambda path: cls.build(records, key, fields, path)), key)
+
+    def search(self, queries: DataFrame, k: int | None) -> DataFrame:
+        """(query_id, key, score, rank): queries(query_id, terms) ranked by weighted BM25; ties by key; the best k of each, or all."""
+        asked = queries.select("query_id", F.explode(F.array_distinct("terms")).alias("term"))
+        posted, terms = self.postings, self.terms
+        few = [r["term"] for r in asked.select("term").distinct().limit(FEW_TERMS + 1).collect()]
+        if len(few) <= FEW_TERMS:
+            posted, terms = posted.where(F.col("term").isin(few)), terms.where(F.col("term").isin(few))
+        total, mean = (self.statistics.select(c).scalar() for c in ("total", "mean"))
+        raw = F.log((total - F.col("n") + 0.5) / (F.col("n") + 0.5))
+        idf = F.when(raw > 0, raw).otherwise(1e-6)
+        gain = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("length") / mean))
+        # the queries' terms with their frequencies are few beside the postings they meet
+        met = posted.join(asked.join(terms, "term"), "term").select("query_id", self.key, gain.alias("gain"))
+        scored = met.groupBy("query_id", self.key).agg(F.round(F.sum("gain"), 6).alias("score"))
+        ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), self.key)).cast("long"))
+        return ranked if k is None else ranked.where(F.col("rank") <= k)
 
 
 def matched_terms(records: DataFrame, key: str, field: str, queries: DataFrame) -> DataFrame:

@@ -110,7 +110,7 @@ def a15_retrieval_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     # relevant: documents that hold the item's text; found among those that hold all its words in order, then compared as they are
     near = lex.phrase_hits(d, "doc_id", "text", b.select("query_id", text.lower_words("text").alias("words")))
     rel = near.join(d.select("doc_id", F.col("text").alias("body")), "doc_id").join(b, "query_id").where(F.contains("body", F.col("text"))).select("query_id", "doc_id")
-    hits = lex.bm25(d, "doc_id", {"text": 1}, corpus.queries(spark, sf_dir), 10)
+    hits = corpus.index(spark, sf_dir).search(corpus.queries(spark, sf_dir), 10)
     total = rel.groupBy("query_id").agg(F.count("*").alias("total"))
     gain = 1 / F.log2(1 + F.col("rank"))
     x = rel.join(total, "query_id").join(hits.select("query_id", "doc_id", "rank"), ["query_id", "doc_id"], "left").groupBy("query_id").agg(F.max("total").alias("total"), F.count_if(F.col("rank") <= 3).alias("r3"), F.count("rank").alias("r10"), F.min("rank").alias("first"), F.sum(gain).alias("dcg"))

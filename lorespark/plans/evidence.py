@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .. import corpus
+from .. import corpus, shared
 from ..functions import routing, text
 from ..operators import evidence as op
 from ..operators import lexical as lex
@@ -78,7 +78,7 @@ _REFS = f"WITH r AS (SELECT query_id, 'E' || row_number() OVER (PARTITION BY que
 
 def _refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = corpus.table(spark, sf_dir, "documents")
-    h = lex.bm25(d, "doc_id", {"text": 1}, corpus.queries(spark, sf_dir), 5).join(d, "doc_id")
+    h = corpus.index(spark, sf_dir).search(corpus.queries(spark, sf_dir), 5).join(d, "doc_id")
     h = h.select("query_id", "rank", F.col("source").alias("source_id"), F.when(F.col("lang") == "fr", "old").otherwise("now").alias("build_id"), F.col("doc_id").alias("record_id"), F.concat("source", F.lit("/"), "doc_id", F.lit(".txt")).alias("path"), F.split("text", "\n")[0].alias("heading"), F.col("text").alias("body"), "lang")
     return op.references(h)
 
@@ -112,9 +112,9 @@ _SUPPORT = _VERIFIED + f""", q AS (SELECT question_id // 100 AS query_id, (quest
  p AS (SELECT query_id, part, CASE WHEN refs = 0 OR cov = 0 THEN 'missing' WHEN cov >= 0.5 THEN 'supported' ELSE 'partial' END AS status, round(cov, 3)::DOUBLE AS coverage FROM s)"""
 
 
-def _support(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _support(spark: SparkSession, sf_dir: str, verified: DataFrame | None = None) -> DataFrame:
     q = corpus.questions(spark, sf_dir).select(F.floor(F.col("question_id") / 100).alias("query_id"), (F.col("question_id") % 100).cast("int").alias("part"), "question")
-    return op.support(q, _verified(spark, sf_dir))
+    return op.support(q, shared.written(_verified(spark, sf_dir), "verified") if verified is None else verified)
 
 
 @query("v20_support", _SUPPORT + " SELECT * FROM p")
@@ -153,7 +153,7 @@ _TOP30 = lexical_plans._bm25_sql("SELECT doc_id, text FROM documents", "doc_id",
  SELECT query_id, doc_id, rank, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS position FROM k WHERE n <= 10""")
 def v24_keep_each_side(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = corpus.table(spark, sf_dir, "documents")
-    h = lex.bm25(d, "doc_id", {"text": 1}, corpus.queries(spark, sf_dir), 30).join(d.select("doc_id", "lang"), "doc_id")
+    h = corpus.index(spark, sf_dir).search(corpus.queries(spark, sf_dir), 30).join(d.select("doc_id", "lang"), "doc_id")
     return op.keep_each_side(h, "query_id", "lang", 10).select("query_id", "doc_id", "rank", "position")
 
 
@@ -163,8 +163,10 @@ def v24_keep_each_side(spark: SparkSession, sf_dir: str) -> DataFrame:
 def v17_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Retrieve, cite, verify, order by coverage, judge support, and abstain where there is too little."""
     q = corpus.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
-    found = op.by_coverage(_verified(spark, sf_dir).where("valid"), q)
-    return op.verdict(_support(spark, sf_dir)).join(found, "query_id", "left").select("query_id", "verdict", "position", "evidence_id", "path")
+    # judged and shown: retrieved and verified once for both
+    verified = shared.written(_verified(spark, sf_dir), "verified")
+    found = op.by_coverage(verified.where("valid"), q)
+    return op.verdict(_support(spark, sf_dir, verified)).join(found, "query_id", "left").select("query_id", "verdict", "position", "evidence_id", "path")
 
 
 _C = corpus.CHUNKS
@@ -184,7 +186,7 @@ def n11_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 def v26_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Over-fetch, one of equal texts, two of a source, then the page."""
     d = corpus.table(spark, sf_dir, "documents")
-    h = lex.bm25(d, "doc_id", {"text": 1}, corpus.queries(spark, sf_dir), 40).join(d, "doc_id").withColumn("body", text.normalized("text"))
+    h = corpus.index(spark, sf_dir).search(corpus.queries(spark, sf_dir), 40).join(d, "doc_id").withColumn("body", text.normalized("text"))
     u = h.withColumn("n", F.row_number().over(Window.partitionBy("query_id", "body").orderBy("rank"))).where("n = 1")
     c = u.withColumn("k", F.row_number().over(Window.partitionBy("query_id", "source").orderBy("rank"))).where("k <= 2")
     return c.withColumn("position", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")).cast("long")).where("position <= 20").select("query_id", "doc_id", "score", "position")

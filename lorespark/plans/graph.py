@@ -98,7 +98,7 @@ def g11_g12_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _L = f"""WITH e AS ({_E}), u AS (SELECT doc_id AS document_id, ordinal, body FROM ({corpus.CHUNKS})),
- t AS (SELECT DISTINCT document_id, ordinal, unnest(list_filter(regexp_split_to_array(body, '[^\\p{{L}}\\p{{N}}_.]+'), lambda x: x <> '')) AS raw FROM u),
+ t AS (SELECT DISTINCT document_id, ordinal, unnest(list_filter(regexp_split_to_array(body, '[^\\p{{L}}\\p{{N}}\\p{{M}}_.]+'), lambda x: x <> '')) AS raw FROM u),
  w AS (SELECT DISTINCT document_id, ordinal, regexp_replace(raw, '\\.+$', '') AS word FROM t),
  h AS (SELECT DISTINCT e.id AS entity_id, document_id, ordinal FROM w JOIN e ON word = name WHERE length(name) >= 3 AND name NOT IN ({", ".join(f"'{x}'" for x in text.COMMON_NAMES)}))"""
 
@@ -111,9 +111,22 @@ def g14_links_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("entity_id", "document_id", "ordinal", F.row_number().over(w).cast("long").alias("n"))
 
 
-@query("g14_linker", _L + " SELECT resolver, confidence, type, count(*) AS n FROM (SELECT 'linker:exact_identifier' AS resolver, 'high' AS confidence, 'mentioned_in' AS type FROM (SELECT *, row_number() OVER (PARTITION BY entity_id, document_id ORDER BY ordinal) AS n FROM h) WHERE n <= 5) GROUP BY ALL")
+@query("g14_linker", _L + """, p AS (SELECT page_id + 1000000000 AS document_id, url FROM pages), v AS (SELECT document_id, ordinal, body FROM u UNION ALL SELECT document_id, 0, url FROM p),
+ vt AS (SELECT DISTINCT document_id, ordinal, regexp_replace(unnest(list_filter(regexp_split_to_array(body, '[^\\p{L}\\p{N}\\p{M}_.]+'), lambda x: x <> '')), '\\.+$', '') AS word FROM v),
+ n AS (SELECT id, unnest([f, regexp_extract(f, '^(.+)\\.[^.]+$', 1)]) AS needle FROM (SELECT 'f' || page_id AS id, regexp_extract(regexp_replace(url, '[?#].*$', ''), '([^/]*)$', 1) AS f FROM pages WHERE page_id % 2 = 0)),
+ r AS (SELECT DISTINCT 'r' || (page_id % 7) AS id, regexp_extract(url, '^[^:]+://[^/]+(/[^/?#]+)', 1) AS path FROM pages),
+ a AS (SELECT id AS entity_id, document_id, ordinal, 'linker:exact_identifier' AS resolver, 'high' AS confidence, 'mentioned_in' AS type FROM e JOIN vt ON word = name WHERE length(name) >= 3 AND name NOT IN (""" + ", ".join(f"'{x}'" for x in text.COMMON_NAMES) + """)
+  UNION ALL SELECT id, document_id, ordinal, 'linker:filename', 'medium', 'mentioned_in' FROM (SELECT DISTINCT id, needle FROM n WHERE needle <> '') JOIN vt ON word = needle
+  UNION ALL SELECT r.id, document_id, 0, 'linker:route_heuristic', 'heuristic', 'related_to' FROM r, p WHERE r.path <> '' AND regexp_matches(url, regexp_escape(r.path) || '([^\\p{L}\\p{N}_]|$)'))
+ SELECT resolver, confidence, type, count(*) AS n, count(DISTINCT entity_id) AS entities FROM (SELECT *, row_number() OVER (PARTITION BY entity_id, document_id, resolver ORDER BY ordinal) AS k FROM (SELECT DISTINCT * FROM a)) WHERE k <= 5 GROUP BY ALL""")
 def g14_linker(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.link(corpus.entities(spark, sf_dir), _units(spark, sf_dir)).groupBy("resolver", "confidence", "type").agg(F.count("*").alias("n"))
+    """All five resolvers over chunks and page addresses: words as symbols, every other page's file as a namespace, first path segments as routes."""
+    p = corpus.table(spark, sf_dir, "pages")
+    units = _units(spark, sf_dir).unionByName(p.select((F.col("page_id") + 1_000_000_000).alias("document_id"), F.lit(0).cast("long").alias("ordinal"), F.col("url").alias("body")))
+    namespaces = p.where("page_id % 2 = 0").select(F.concat(F.lit("f"), "page_id").alias("id"), F.regexp_replace("url", r"[?#].*$", "").alias("path"))
+    routes = p.select(F.concat(F.lit("r"), F.col("page_id") % 7).alias("id"), F.concat(F.lit("http_endpoint:GET:"), F.regexp_extract("url", r"^[^:]+://[^/]+(/[^/?#]+)", 1)).alias("symbol"))
+    links = graph.link(corpus.entities(spark, sf_dir), units, 5, namespaces, routes)
+    return links.groupBy("resolver", "confidence", "type").agg(F.count("*").alias("n"), F.countDistinct("entity_id").alias("entities"))
 
 
 @query("w7_links_per_document", _L + " SELECT document_id, count(*) AS links, count(DISTINCT entity_id) AS entities FROM (SELECT *, row_number() OVER (PARTITION BY entity_id, document_id ORDER BY ordinal) AS n FROM h) WHERE n <= 5 GROUP BY document_id")
@@ -178,7 +191,7 @@ def j3_four_way_self_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("j9_containment_join", _L + " SELECT entity_id, count(*) AS units FROM h GROUP BY entity_id")
 def j9_containment_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = corpus.entities(spark, sf_dir)
-    m = graph.mentions(e.where(text.links_by_bare_name("name")), _units(spark, sf_dir), F.col("name"), "linker:exact_identifier", "high", "mentioned_in", 1_000_000)
+    m = graph.mentions(e.where(text.links_by_bare_name("name")), _units(spark, sf_dir), F.col("name"), "linker:exact_identifier", "high", "mentioned_in", None)
     return m.groupBy("entity_id").agg(F.count("*").alias("units"))
 
 

@@ -28,7 +28,7 @@ def _bm25_sql(records: str, key: str, fields: dict[str, float], k: int) -> str:
 
 @query("v1_bm25", _bm25_sql("SELECT doc_id, text FROM documents", "doc_id", {"text": 1}, 10))
 def v1_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op.bm25(corpus.table(spark, sf_dir, "documents"), "doc_id", {"text": 1}, corpus.queries(spark, sf_dir), 10)
+    return corpus.index(spark, sf_dir).search(corpus.queries(spark, sf_dir), 10)
 
 
 _FIELDS = {"heading": 5, "body": 1, "words": 0.5}
@@ -37,8 +37,9 @@ _RECORDS = "SELECT doc_id, split_part(text, chr(10), 1) AS heading, text AS body
 
 @query("v1_bm25_fields", _bm25_sql(_RECORDS, "doc_id", _FIELDS, 10))
 def v1_bm25_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = corpus.table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n")[0].alias("heading"), F.col("text").alias("body"), F.concat_ws(" ", "source", "lang").alias("words"))
-    return op.bm25(d, "doc_id", _FIELDS, corpus.queries(spark, sf_dir), 10)
+    d = corpus.table(spark, sf_dir, "documents")
+    records = d.select("doc_id", F.split("text", "\n")[0].alias("heading"), F.col("text").alias("body"), F.concat_ws(" ", "source", "lang").alias("words"))
+    return op.Index.stored(d, records, "doc_id", _FIELDS, "documents-fields").search(corpus.queries(spark, sf_dir), 10)
 
 
 @query("a18_corpus_statistics", f"SELECT term, count(*) AS documents, sum(n)::BIGINT AS occurrences FROM (SELECT doc_id, term, count(*) AS n FROM (SELECT doc_id, unnest({_W}) AS term FROM documents) GROUP BY ALL) GROUP BY term")
@@ -112,7 +113,7 @@ def p1_hard_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("p2_filter_before_rank", _bm25_sql("SELECT doc_id, text FROM documents WHERE source IN ('src1', 'src2')", "doc_id", {"text": 1}, 5))
 def p2_filter_before_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = corpus.table(spark, sf_dir, "documents").where(F.col("source").isin("src1", "src2"))
-    return op.bm25(d, "doc_id", {"text": 1}, corpus.queries(spark, sf_dir), 5)
+    return corpus.index(spark, sf_dir).search(corpus.queries(spark, sf_dir), 5)
 
 
 @query("p4_p5_symbol_lookup", f"""WITH e AS ({corpus.ENTITIES}), q AS (SELECT question_id, lower(question) AS question FROM ({corpus.QUESTIONS_SQL}) UNION ALL SELECT file_id * 1000 + 999, split_part(qualified_name, '.', 2) || '.' || translate(name, 'aet', 'AET') FROM e),
@@ -153,7 +154,7 @@ def p9_heading_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("w3_fts_ordinal", f"SELECT query_id, doc_id, rank - 1 AS ordinal FROM ({_bm25_sql('SELECT doc_id, text FROM documents', 'doc_id', {'text': 1}, 20)})")
 def w3_fts_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = op.bm25(corpus.table(spark, sf_dir, "documents"), "doc_id", {"text": 1}, corpus.queries(spark, sf_dir), 20)
+    r = corpus.index(spark, sf_dir).search(corpus.queries(spark, sf_dir), 20)
     return r.select("query_id", "doc_id", (F.col("rank") - 1).alias("ordinal"))
 
 
@@ -173,7 +174,7 @@ def u9_postings_intersection(spark: SparkSession, sf_dir: str) -> DataFrame:
  SELECT query_id, doc_id, CASE WHEN hit IS NULL THEN substr(text, 1, 280) ELSE CASE WHEN start > 0 THEN '...' ELSE '' END || array_to_string(w[start + 1:start + 32], ' ') || CASE WHEN start + 32 < len(w) THEN '...' ELSE '' END END AS snippet FROM s""")
 def f33_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, q = corpus.table(spark, sf_dir, "documents"), corpus.queries(spark, sf_dir)
-    r = op.bm25(d, "doc_id", {"text": 1}, q, 3)
+    r = corpus.index(spark, sf_dir).search(q, 3)
     return r.join(d, "doc_id").join(q, "query_id").select("query_id", "doc_id", text.snippet("text", F.col("terms")).alias("snippet"))
 
 
@@ -187,7 +188,7 @@ def v9_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = corpus.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(text.lower_words("text"), 1, 2), " ").alias("w"))
     named = q.select("query_id", F.explode("terms").alias("name")).join(corpus.entities(spark, sf_dir), "name").select("query_id", F.lit("entity").alias("kind"), "id", F.lit(0).alias("tier"), F.lit(0.0).alias("score")).distinct()
     heading = F.concat(F.lit(" "), F.array_join(text.lower_words(F.split("text", "\n")[0]), " "), F.lit(" "))
-    found = op.bm25(d, "doc_id", {"text": 1}, q, 20).join(d.select("doc_id", "text"), "doc_id").join(first, "query_id")
+    found = corpus.index(spark, sf_dir).search(q, 20).join(d.select("doc_id", "text"), "doc_id").join(first, "query_id")
     found = found.select("query_id", F.lit("document").alias("kind"), F.col("doc_id").cast("string").alias("id"), F.when(F.contains(heading, F.concat(F.lit(" "), "w", F.lit(" "))), 3).otherwise(5).alias("tier"), "score")
     ranked = named.unionByName(found).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("tier", F.desc("score"), "kind", "id")).cast("long"))
     return ranked.where("rank <= 20")

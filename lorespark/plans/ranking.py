@@ -19,7 +19,7 @@ _NORM = "lower(trim(regexp_replace(text, '\\s+', ' ', 'g')))"
 
 
 def _hits(spark: SparkSession, sf_dir: str, k: int = 50) -> DataFrame:
-    return lex.bm25(corpus.table(spark, sf_dir, "documents"), "doc_id", {"text": 1}, corpus.queries(spark, sf_dir), k).withColumnRenamed("doc_id", "id")
+    return corpus.index(spark, sf_dir).search(corpus.queries(spark, sf_dir), k).withColumnRenamed("doc_id", "id")
 
 
 def _with_text(spark: SparkSession, sf_dir: str, k: int = 50) -> DataFrame:

@@ -158,13 +158,13 @@ def f34_rerank_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", text.rerank_passage(F.split("text", "\n")[0], F.array("source", "lang"), F.col("text")).alias("passage"))
 
 
-@query("f37_table_grid", "SELECT o_orderkey, array_to_string(list_transform([0, 1, 2, 3], lambda r: coalesce(m[r + 1], '') || ' | ' || CASE WHEN m[r + 1] IS NULL THEN '' ELSE 'q' END), chr(10)) AS grid FROM (SELECT l_orderkey AS o_orderkey, [max(CASE WHEN l_linenumber = 1 THEN l_partkey END)::VARCHAR, max(CASE WHEN l_linenumber = 2 THEN l_partkey END)::VARCHAR, max(CASE WHEN l_linenumber = 3 THEN l_partkey END)::VARCHAR, max(CASE WHEN l_linenumber = 4 THEN l_partkey END)::VARCHAR] AS m FROM lineitem WHERE l_linenumber <= 4 GROUP BY ALL)")
+@query("f37_table_grid", "SELECT o_orderkey, array_to_string(list_transform(range(1, rows + 1), lambda r: coalesce(m[r]::VARCHAR, '') || ' | ' || CASE WHEN m[r] IS NULL THEN '' ELSE 'q' END), chr(10)) AS grid FROM (SELECT l_orderkey AS o_orderkey, max(l_linenumber) AS rows, map_from_entries(list((l_linenumber, p))) AS m FROM (SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, max(l_partkey) AS p FROM lineitem GROUP BY ALL) GROUP BY ALL)")
 def f37_table_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = corpus.table(spark, sf_dir, "lineitem").where("l_linenumber <= 4")
-    one = li.groupBy("l_orderkey", "l_linenumber").agg(F.max("l_partkey").cast("string").alias("p"))
+    """A grid an order, with as many rows as its largest line number."""
+    one = corpus.table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_partkey").cast("string").alias("p"))
     cells = one.select("l_orderkey", F.explode(F.array(F.struct((F.col("l_linenumber") - 1).cast("int").alias("row"), F.lit(0).alias("col"), F.col("p").alias("text")), F.struct((F.col("l_linenumber") - 1).cast("int").alias("row"), F.lit(1).alias("col"), F.lit("q").alias("text")))).alias("c"))
-    g = cells.groupBy("l_orderkey").agg(F.collect_list("c").alias("cells"))
-    return g.select(F.col("l_orderkey").alias("o_orderkey"), text.render_table(text.table_grid(F.col("cells"), F.lit(4), F.lit(2))).alias("grid"))
+    g = cells.groupBy("l_orderkey").agg(F.collect_list("c").alias("cells"), (F.max("c.row") + 1).alias("rows"))
+    return g.select(F.col("l_orderkey").alias("o_orderkey"), text.render_table(text.table_grid(F.col("cells"), F.col("rows"), F.lit(2))).alias("grid"))
 
 
 @query("f38_f40_times", """SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS iso, round(greatest(0, epoch(TIMESTAMP '2030-01-01' - ts)), 1)::DOUBLE AS age, CASE WHEN s >= 86400 THEN (s // 86400) || 'd ' || (s // 3600 % 24) || 'h ' || (s // 60 % 60) || 'm' WHEN s >= 3600 THEN (s // 3600) || 'h ' || (s // 60 % 60) || 'm' WHEN s >= 60 THEN (s // 60) || 'm ' || (s % 60) || 's' ELSE s || 's' END AS uptime

@@ -84,7 +84,7 @@ def g23_resolver_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def g24_links_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     e, d = corpus.entities(spark, sf_dir).where("source_id = 'src1'"), corpus.table(spark, sf_dir, "documents").where("source = 'src2'").select(F.col("doc_id").alias("document_id"))
     u = graph_plans._units(spark, sf_dir).join(d, "document_id", "left_semi")
-    m = graph.mentions(e.where(text.links_by_bare_name("name")), u, F.col("name"), "linker:exact_identifier", "high", "mentioned_in", 1_000_000)
+    m = graph.mentions(e.where(text.links_by_bare_name("name")), u, F.col("name"), "linker:exact_identifier", "high", "mentioned_in", None)
     return m.join(e.select(F.col("id").alias("entity_id"), "qualified_name"), "entity_id").select("document_id", "qualified_name", "ordinal")
 
 
@@ -133,13 +133,12 @@ def v4_index_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
     return add.select(F.lit("add").alias("action"), "id").unionByName(dead.select(F.lit("dead").alias("action"), "id"))
 
 
-@query("v8_multi_corpus", "SELECT query_id, label, id, score, rank FROM (SELECT query_id, label, id, score, row_number() OVER (PARTITION BY query_id, label ORDER BY score DESC, id) AS rank FROM (SELECT a.vec_id AS query_id, b.label, b.vec_id AS id, round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)), 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0 AND b.label IN (0, 1))) WHERE rank <= 5")
+@query("v8_multi_corpus", "SELECT query_id, label, id, score, rank FROM (SELECT query_id, label, id, score, row_number() OVER (PARTITION BY query_id, label ORDER BY score DESC, id) AS rank FROM (SELECT a.vec_id AS query_id, b.label, b.vec_id AS id, round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)), 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0)) WHERE rank <= 5")
 def v8_multi_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each corpus searched by itself, the results merged."""
+    """Each label's vectors are a corpus; all are searched in one pass, each for itself."""
     e = corpus.table(spark, sf_dir, "embeddings")
     q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
-    one = lambda n: neighbours.exact(e.where(F.col("label") == n).select(F.col("vec_id").alias("id"), "embedding"), q, 5).withColumn("label", F.lit(n))
-    return one(0).unionByName(one(1)).select("query_id", "label", "id", "score", "rank")
+    return neighbours.exact(e.select(F.col("vec_id").alias("id"), "embedding", "label"), q, 5, "label").select("query_id", "label", "id", "score", "rank")
 
 
 @query("v16_explore", graph_plans._L + f""", q AS (SELECT DISTINCT item_id AS query_id, unnest({_W}) AS name FROM benchmark), m AS (SELECT query_id, e.id, e.file_id, e.qualified_name FROM q JOIN e USING (name)),
@@ -152,7 +151,7 @@ def v16_explore(spark: SparkSession, sf_dir: str) -> DataFrame:
     refs = corpus.references(spark, sf_dir).select(F.col("reference_text").alias("name"), F.col("file_id").alias("caller"))
     callers = m.join(refs, "name").where("caller <> file_id").groupBy("query_id").agg(F.countDistinct("caller").alias("callers"))
     named = e.join(m.select("id").distinct(), "id", "left_semi").where(text.links_by_bare_name("name"))
-    links = graph.mentions(named, graph_plans._units(spark, sf_dir), F.col("name"), "linker:exact_identifier", "high", "mentioned_in", 1_000_000)
+    links = graph.mentions(named, graph_plans._units(spark, sf_dir), F.col("name"), "linker:exact_identifier", "high", "mentioned_in", None)
     docs = m.join(links, m.id == links.entity_id).groupBy("query_id").agg(F.countDistinct("document_id").alias("documents"))
     out = m.groupBy("query_id").agg(F.count("*").alias("symbols")).join(callers, "query_id", "left").join(docs, "query_id", "left")
     return out.select("query_id", "symbols", F.coalesce("callers", F.lit(0)).alias("callers"), F.coalesce("documents", F.lit(0)).alias("documents"))

@@ -4,16 +4,53 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
-def folder(spark: SparkSession, name: str) -> str:
-    """A new folder's path within spark.checkpoint.dir; within a temporary folder only where that is unset and all runs in one process (tests)."""
+def base(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; a temporary folder only where that is unset and all runs in one process (tests)."""
     sc = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
         if not (sc.master == "local" or sc.master.startswith("local[")):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "file://" + tempfile.gettempdir() + "/lorespark"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        found = "file://" + tempfile.gettempdir() + "/lorespark"
+    return found.rstrip("/")
+
+
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path within the shared one."""
+    return f"{base(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table of the shared folder: what reads it several times doesn't make it several times, and lineage ends here."""
+    path = folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _system(spark: SparkSession, path: str) -> tuple:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def built(scan: DataFrame, name: str, build: Callable[[str], None]) -> str:
+    """The folder that ``build`` fills from the files behind ``scan``: built once, and found again, also by later sessions, as long as those files are the same.
+
+    The files are told by their paths, sizes and times.  A folder gets its name when it is complete, so half-built ones are never read.
+    """
+    spark = scan.sparkSession
+    f = scan.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    seen = f.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("file_path", "file_size", "file_modification_time")).alias("h")).first()
+    path = f"{base(spark)}/{name}-{seen['n']}-{(seen['h'] or 0) & (2**64 - 1):016x}"
+    system, at = _system(spark, path)
+    if not system.exists(at):
+        made = folder(spark, name)
+        build(made)
+        if not system.rename(_system(spark, made)[1], at) and not system.exists(at):
+            raise OSError(f"{path} could not be made")
+    return path

@@ -133,12 +133,71 @@ def test_budget_skips_what_does_not_fit(spark):
     assert [x["id"] for x in one(spark, ranking.within_budget(items, lambda x: x["n"], 100, 3), "x")] == [0, 2]
 
 
-def test_bucket_recall(spark):
-    e = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding")
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_code_recall(spark, sf):
+    """Scored exactly are at most a tenth of all pairs, and nine tenths of the neighbours are found."""
+    e = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding")
     q = e.where("id % 20 = 0").withColumnRenamed("id", "query_id")
     want = {(r["query_id"], r["id"]) for r in neighbours.exact(e, q, 10).collect()}
-    got = {(r["query_id"], r["id"]) for r in neighbours.approximate(e, q, 10, neighbours.Hyperplanes(64)).collect()}
-    assert len(want & got) / len(want) >= 0.9
+    index = neighbours.codes(e)
+    got = {(r["query_id"], r["id"]) for r in neighbours.approximate(index, e, q, 10).collect()}
+    assert len(want & got) / len(want) >= 0.9 and index.count() == e.count()
+    assert q.count() * 50 <= q.count() * e.count() / 10
+
+
+def test_neighbours_within_blocks(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(neighbours, "VECTOR_BLOCK", 5)
+    rows = [(i, [float(i % 4), 1.0, float(i % 3)], i % 2) for i in range(40)]
+    e = spark.createDataFrame([*rows, (99, None, 0)], "id long, embedding array<double>, half int")
+    got = sorted((r["query_id"], r["half"], r["rank"], r["id"], r["score"]) for r in neighbours.exact(e, e.where("id < 7").withColumnRenamed("id", "query_id"), 3, "half").collect())
+    want = []
+    for i, v, _ in rows[:7]:
+        for h in (0, 1):
+            best = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), j) for j, w, g in rows if g == h)[:3]
+            want += [(i, h, k + 1, j, -s) for k, (s, j) in enumerate(best)]
+    assert got == sorted(want)
+
+
+def test_index_is_built_once_and_again_for_other_files(spark, tmp_path):
+    from lorespark import shared
+    from lorespark.operators import lexical
+
+    d = f"{tmp_path}/docs"
+    made = []
+    spark.createDataFrame([(1, "a b b"), (2, "b c")], "doc_id long, text string").write.parquet(d)
+    q = spark.createDataFrame([(7, ["b", "c"])], "query_id long, terms array<string>")
+
+    def hits():
+        scan = spark.read.parquet(d)
+        path = shared.built(scan, "test-index", lambda p: (made.append(p), lexical.Index.build(scan, "doc_id", {"text": 1}, p)))
+        return [r["doc_id"] for r in lexical.Index(spark, path, "doc_id").search(q, 5).orderBy("rank").collect()]
+
+    assert hits() == hits() == [2, 1] and len(made) == 1
+    spark.createDataFrame([(3, "c c c")], "doc_id long, text string").write.mode("append").parquet(d)
+    assert sorted(hits()) == [1, 2, 3] and len(made) == 2
+
+
+def test_links_by_file_and_route(spark):
+    from lorespark.operators import graph
+
+    units = spark.createDataFrame([(1, 0, "see my-utils.py and app.core."), (1, 1, "GET /api/orders/{id}. and my-utils"), (2, 0, "/api/orders1 core..x my-utils.pyc")], "document_id long, ordinal long, body string")
+    names = spark.createDataFrame([("n1", "src/my-utils.py"), ("n2", "src/core")], "id string, path string")
+    routes = spark.createDataFrame([("r1", "http_endpoint:GET:/api/orders/{id}"), ("r2", "http_endpoint:GET:/api/orders"), ("r3", "calls")], "id string, symbol string")
+    none = spark.createDataFrame([], "id string, name string, qualified_name string")
+    got = sorted((r["entity_id"], r["document_id"], r["ordinal"], r["resolver"].split(":")[1]) for r in graph.link(none, units, 5, names, routes).collect())
+    assert got == [("n1", 1, 0, "filename"), ("n1", 1, 1, "filename"), ("n2", 2, 0, "filename"), ("r1", 1, 1, "route_heuristic"), ("r2", 1, 1, "route_heuristic")]
+
+
+def test_identifiers_are_what_contains_identifier_finds(spark):
+    from lorespark.functions import text
+
+    bodies = ["a.b c", ".a b.", "a..b", "x.a.b y", "a.b.", "ab a_b a1", "(a) a.b,c"]
+    needles = ["a", "b", "a.b", "c", "x.a.b", "a1"]
+    df = spark.createDataFrame([(b, n) for b in bodies for n in needles], "body string, needle string")
+    for r in df.select("*", text.contains_identifier("body", F.col("needle")).alias("x"), F.array_contains(text.identifiers("body"), F.col("needle")).alias("y")).collect():
+        assert r["x"] == r["y"], r
+
 
 
 def test_html_and_markdown():
