@@ -5,14 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import shared
 from .functions import ids, text
 from .operators import lexical
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+#: Tables whose texts are taken apart.
+TEXTS = ("documents", "pages", "conversations")
+
+
+def scan(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return shared.spread(scan(spark, sf_dir, name)) if name in TEXTS else scan(spark, sf_dir, name)
+
+
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One file a document: its source is the document's, its time the document's number."""
     d = table(spark, sf_dir, "documents")
@@ -111,10 +120,15 @@ def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_distinct(text.lower_words("text")).alias("terms"))
 
 
+def held(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, name): the distinct words of each document, lower-cased, from the stored index."""
+    return index(spark, sf_dir).postings.select("doc_id", F.col("term").alias("name"))
+
+
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of three letters and more that two documents hold at least, as symbols their first document defines; (name, qualified_name, kind, file, source, start_line, id)."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "source", F.explode(F.array_distinct(text.lower_words("text"))).alias("name"))
-    e = d.groupBy("name").agg(F.count("*").alias("held"), F.min(F.struct("doc_id", "source")).alias("first")).where("held >= 2 and length(name) >= 3")
+    e = held(spark, sf_dir).groupBy("name").agg(F.count("*").alias("held"), F.min("doc_id").alias("doc_id")).where("held >= 2 and length(name) >= 3")
+    e = e.join(scan(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id").withColumn("first", F.struct("doc_id", "source"))
     q = F.concat_ws(".", F.col("first.source"), F.concat(F.lit("d"), F.col("first.doc_id")), F.col("name"))
     return e.select(
         ids.entity_id(F.col("first.doc_id"), F.lit("function"), q, F.lit(0)).alias("id"),
@@ -129,8 +143,7 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def index(spark: SparkSession, sf_dir: str) -> lexical.Index:
     """The stored full-text index of the documents' texts."""
-    d = table(spark, sf_dir, "documents")
-    return lexical.Index.stored(d, d, "doc_id", {"text": 1}, "documents-text")
+    return lexical.Index.stored(scan(spark, sf_dir, "documents"), table(spark, sf_dir, "documents"), "doc_id", {"text": 1}, "documents-text")
 
 
 def sql_id(domain: str, *parts: str) -> str:
@@ -145,8 +158,8 @@ ENTITIES = f"""SELECT {sql_id("entity", "doc_id", "'function'", "source || '.d'
 
 def references(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(file_id, source_id, reference_text): the words of each document, as references to symbols; the source's own qualified form where a document starts with the word."""
-    d = table(spark, sf_dir, "documents")
-    return d.select(F.col("doc_id").alias("file_id"), F.col("source").alias("source_id"), F.explode(F.array_distinct(text.lower_words("text"))).alias("reference_text"))
+    d = scan(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("source_id"))
+    return held(spark, sf_dir).join(d, "doc_id").select(F.col("doc_id").alias("file_id"), "source_id", F.col("name").alias("reference_text"))
 
 
 REFERENCES = f"SELECT DISTINCT doc_id AS file_id, source AS source_id, unnest({sql_words('lower(text)')}) AS reference_text FROM documents"

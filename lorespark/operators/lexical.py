@@ -15,6 +15,8 @@ from ..functions import text
 K1, B = 1.2, 0.75
 #: Up to this many terms are looked up by a filter that the scan of the postings can skip files by; more by a join.
 FEW_TERMS = 1000
+#: Of the stored tables; another one is built anew.
+FORMAT = 2
 
 
 def postings(records: DataFrame, key: str, fields: dict[str, float]) -> DataFrame:
@@ -30,11 +32,11 @@ def postings(records: DataFrame, key: str, fields: dict[str, float]) -> DataFram
 
 
 class Index:
-    """Stored postings (term, key, length, f), terms (term, n) and statistics (total, mean): of each record's words their weighted number, of each term its records, and of the records their number and mean length."""
+    """Stored postings (term, key, length, f), terms (term, n), lengths (key, length) and statistics (total, mean): of each record's words their weighted number, of each term its records, of each record its length, and of all their number and mean length."""
 
     def __init__(self, spark: SparkSession, path: str, key: str):
         self.key = key
-        self.postings, self.terms, self.statistics = (spark.read.parquet(f"{path}/{x}") for x in ("postings", "terms", "statistics"))
+        self.postings, self.terms, self.lengths, self.statistics = (spark.read.parquet(f"{path}/{x}") for x in ("postings", "terms", "lengths", "statistics"))
 
     @staticmethod
     def build(records: DataFrame, key: str, fields: dict[str, float], path: str) -> None:
@@ -43,22 +45,34 @@ class Index:
         # in term order, a frequent term's postings over as many files as they fill
         held.repartitionByRange("term", key).sortWithinPartitions("term", key).write.parquet(f"{path}/postings")
         spark.read.parquet(f"{path}/postings").groupBy("term").agg(F.count("*").alias("n")).repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/terms")
-        lengths = records.select(sum((F.size(text.lower_words(f)) for f in fields), F.lit(0)).cast("double").alias("n"))
-        lengths.agg(F.count("*").cast("double").alias("total"), F.avg("n").alias("mean")).write.parquet(f"{path}/statistics")
+        records.select(key, sum((F.size(text.lower_words(f)) for f in fields), F.lit(0)).cast("long").alias("length")).write.parquet(f"{path}/lengths")
+        Index._measured(spark.read.parquet(f"{path}/lengths")).write.parquet(f"{path}/statistics")
+
+    @staticmethod
+    def _measured(lengths: DataFrame) -> DataFrame:
+        return lengths.agg(F.count("*").cast("double").alias("total"), F.avg("length").alias("mean"))
 
     @classmethod
     def stored(cls, scan: DataFrame, records: DataFrame, key: str, fields: dict[str, float], name: str) -> Index:
         """The index of records made from the files of ``scan``, built if those files have none of that name yet."""
-        return cls(scan.sparkSession, shared.built(scan, name, lambda path: cls.build(records, key, fields, path)), key)
+        return cls(scan.sparkSession, shared.built(scan, f"{name}-{FORMAT}", lambda path: cls.build(records, key, fields, path)), key)
+
+    def search(self, queries: DataFrame, k: int | None, among: DataFrame | None = None) -> DataFrame:
+        """(query_id, key, score, rank): queries(query_id, terms) ranked by weighted BM25; ties by key; the best k of each, or all.
 
-    def search(self, queries: DataFrame, k: int | None) -> DataFrame:
-        """(query_id, key, score, rank): queries(query_id, terms) ranked by weighted BM25; ties by key; the best k of each, or all."""
+        With ``among``, a table of keys, only those records are there: for the ranking, the frequencies and the mean length.
+        """
         asked = queries.select("query_id", F.explode(F.array_distinct("terms")).alias("term"))
         posted, terms = self.postings, self.terms
         few = [r["term"] for r in asked.select("term").distinct().limit(FEW_TERMS + 1).collect()]
         if len(few) <= FEW_TERMS:
             posted, terms = posted.where(F.col("term").isin(few)), terms.where(F.col("term").isin(few))
-        total, mean = (self.statistics.select(c).scalar() for c in ("total", "mean"))
+        statistics = self.statistics
+        if among is not None:
+            posted = posted.join(among.select(self.key), self.key, "left_semi")
+            terms = posted.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
+            statistics = self._measured(self.lengths.join(among.select(self.key), self.key, "left_semi"))
+        total, mean = (statistics.select(c).scalar() for c in ("total", "mean"))
         raw = F.log((total - F.col("n") + 0.5) / (F.col("n") + 0.5))
         idf = F.when(raw > 0, raw).otherwise(1e-6)
         gain = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("length") / mean))

@@ -39,7 +39,7 @@ _RECORDS = "SELECT doc_id, split_part(text, chr(10), 1) AS heading, text AS body
 def v1_bm25_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = corpus.table(spark, sf_dir, "documents")
     records = d.select("doc_id", F.split("text", "\n")[0].alias("heading"), F.col("text").alias("body"), F.concat_ws(" ", "source", "lang").alias("words"))
-    return op.Index.stored(d, records, "doc_id", _FIELDS, "documents-fields").search(corpus.queries(spark, sf_dir), 10)
+    return op.Index.stored(corpus.scan(spark, sf_dir, "documents"), records, "doc_id", _FIELDS, "documents-fields").search(corpus.queries(spark, sf_dir), 10)
 
 
 @query("a18_corpus_statistics", f"SELECT term, count(*) AS documents, sum(n)::BIGINT AS occurrences FROM (SELECT doc_id, term, count(*) AS n FROM (SELECT doc_id, unnest({_W}) AS term FROM documents) GROUP BY ALL) GROUP BY term")
@@ -112,8 +112,8 @@ def p1_hard_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("p2_filter_before_rank", _bm25_sql("SELECT doc_id, text FROM documents WHERE source IN ('src1', 'src2')", "doc_id", {"text": 1}, 5))
 def p2_filter_before_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = corpus.table(spark, sf_dir, "documents").where(F.col("source").isin("src1", "src2"))
-    return corpus.index(spark, sf_dir).search(corpus.queries(spark, sf_dir), 5)
+    d = corpus.scan(spark, sf_dir, "documents").where(F.col("source").isin("src1", "src2"))
+    return corpus.index(spark, sf_dir).search(corpus.queries(spark, sf_dir), 5, d.select("doc_id"))
 
 
 @query("p4_p5_symbol_lookup", f"""WITH e AS ({corpus.ENTITIES}), q AS (SELECT question_id, lower(question) AS question FROM ({corpus.QUESTIONS_SQL}) UNION ALL SELECT file_id * 1000 + 999, split_part(qualified_name, '.', 2) || '.' || translate(name, 'aet', 'AET') FROM e),
