@@ -10,7 +10,10 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions import ids
 
 _DECLARED = {
     "javascript": [("class", r"^\s*(?:export\s+)?(?:default\s+)?class\s+(\w+)"), ("function", r"^\s*(?:export\s+)?(?:async\s+)?function\s*\*?\s+(\w+)"), ("function", r"^\s*(?:export\s+)?(?:const|let|var)\s+(\w+)\s*=\s*(?:async\s*)?\([^)]*\)\s*=>")],
@@ -79,6 +82,17 @@ def facts(body: str, language: str) -> list[tuple]:
         return [("error", type(e).__name__, str(e)[:200], "", 0)]
 
 
+#: Kinds of facts that declare a symbol.
+DECLARATIONS = ("class", "function", "method", "struct", "interface", "enum", "namespace")
+
+
+def entities(found: DataFrame, key: str) -> DataFrame:
+    """(key, id, kind, name, qualified_name, owner, line, ordinal) of the declarations among extracted facts; overloads of one kind and qualified name in a file are counted from 0 in line order, and the count is part of the id."""
+    w = Window.partitionBy(key, "kind", "qualified_name").orderBy("line")
+    counted = found.where(F.col("kind").isin(*DECLARATIONS)).withColumn("ordinal", F.row_number().over(w) - 1)
+    return counted.select(key, ids.entity_id(F.col(key), F.col("kind"), F.col("qualified_name"), F.col("ordinal")).alias("id"), "kind", "name", "qualified_name", "owner", "line", "ordinal")
+
+
 def extract(files: DataFrame, key: str, language: str, body: str) -> DataFrame:
     """(key, kind, name, qualified_name, owner, line) of every fact of every file; source that doesn't parse gives one of kind ``error``."""
     key_type = files.schema[key].dataType.simpleString()

@@ -207,6 +207,14 @@ def scanned(units_of: DataFrame, key: str, pages: Column) -> DataFrame:
     return g.select(key, ((F.col("chars") / F.col("pages") < 50) | (2 * F.col("full") < F.col("pages"))).alias("scanned"))
 
 
+def page_policy(pages: Column, scanned: Column, mode: str = "auto", max_pages: int | None = None) -> Column:
+    """What is done with a paged document: ``skipped`` beyond the limit, else ``ocr`` or ``text``, by the mode (off, auto: scanned ones, always)."""
+    if mode not in ("off", "auto", "always"):
+        raise ValueError(f"no mode: {mode}")
+    read = {"off": F.lit("text"), "always": F.lit("ocr"), "auto": F.when(scanned, "ocr").otherwise("text")}[mode]
+    return read if max_pages is None else F.when(pages > max_pages, "skipped").otherwise(read)
+
+
 def _tokens(body: str) -> list[str]:
     return re.findall(r"\w+|[^\w\s]", body)
 
@@ -235,38 +243,39 @@ def split_by_budget(body: str, most: int) -> list[str]:
 
 
 def pack(pieces: list[str], most: int, overlap: int, least: int) -> list[str]:
-    """Pieces packed greedily, each chunk begun with the last pieces of the one before up to ``overlap`` tokens; a last chunk under ``least`` joins the one before if both fit, else the two are evened out."""
-    chunks: list[list[str]] = []
-    run: list[str] = []
-    size = 0
-    for p in pieces:
-        n = len(_tokens(p))
-        if run and size + n > most:
+    """Pieces packed greedily, each chunk begun with the last pieces of the one before up to ``overlap`` tokens; then, from the first on, a chunk and its successor of which one is under ``least`` are evened out where both still fit."""
+    sized = [(p, len(_tokens(p))) for p in pieces]
+    tokens = lambda chunk: sum(n for _, n in chunk)
+    chunks: list[list[tuple[str, int]]] = []
+    run: list[tuple[str, int]] = []
+    for p, n in sized:
+        if run and tokens(run) + n > most:
             chunks.append(run)
-            seed, s = [], 0
+            seed: list[tuple[str, int]] = []
             for q in reversed(run):
-                m = len(_tokens(q))
-                if s + m > overlap or s + m + n > most:
+                if tokens(seed) + q[1] > overlap or tokens(seed) + q[1] + n > most:
                     break
-                seed, s = [q, *seed], s + m
-            run, size = seed, s
-        run, size = [*run, p], size + n
+                seed = [q, *seed]
+            run = seed
+        run = [*run, (p, n)]
     if run:
         chunks.append(run)
-    if len(chunks) > 1 and sum(len(_tokens(p)) for p in chunks[-1]) < least:
-        a = chunks[-2] + [p for p in chunks[-1] if p not in chunks[-2]]
-        total = sum(len(_tokens(p)) for p in a)
-        if total <= most:
-            chunks[-2:] = [a]
-        elif len(a) > 1:
-            half, k = 0, 0
-            while k < len(a) - 1 and half + len(_tokens(a[k])) <= total / 2:
-                half += len(_tokens(a[k]))
-                k += 1
-            k = max(1, k)
-            if max(half, total - half) <= most:
-                chunks[-2:] = [a[:k], a[k:]]
-    return [" ".join(c) for c in chunks]
+    for i in range(len(chunks) - 1):
+        if min(tokens(chunks[i]), tokens(chunks[i + 1])) < least:
+            left, right = halves(chunks[i] + chunks[i + 1])
+            if left and right and max(tokens(left), tokens(right)) <= most:
+                chunks[i : i + 2] = [left, right]
+    return [" ".join(p for p, _ in c) for c in chunks]
+
+
+def halves(sized: list[tuple[str, int]]) -> tuple[list[tuple[str, int]], list[tuple[str, int]]]:
+    """(piece, tokens) cut in two: the first half takes pieces, one at least, up to half of all tokens, rounded up."""
+    target = (sum(n for _, n in sized) + 1) // 2
+    upto, k = 0, 0
+    while k < len(sized) and (k == 0 or upto + sized[k][1] <= target):
+        upto += sized[k][1]
+        k += 1
+    return sized[:k], sized[k:]
 
 
 def split_table(body: str, most: int) -> list[str]:

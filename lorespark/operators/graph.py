@@ -211,3 +211,34 @@ def manual(links: DataFrame, entities: DataFrame, documents: DataFrame) -> DataF
     e = entities.groupBy(F.col("qualified_name").alias("entity_name")).agg(F.count("*").alias("n"), F.min("id").alias("entity_id")).where("n = 1").drop("n")
     d = documents.groupBy("title").agg(F.count("*").alias("n"), F.min("document_id").alias("document_id")).where("n = 1").drop("n")
     return links.join(e, "entity_name").join(d, "title").select("entity_id", "document_id", "note")
+
+
+# The order in which confidences and the linker's resolvers count.
+CONFIDENCES = ["exact", "high", "medium", "heuristic"]
+RESOLVERS = ["linker:exact_identifier", "linker:qualified_identifier", "linker:alias", "linker:filename", "linker:route_heuristic"]
+
+
+def _place(value: Column, order: list[str]) -> Column:
+    out = F.lit(len(order))
+    for k, x in reversed(list(enumerate(order))):
+        out = F.when(value == x, k).otherwise(out)
+    return out
+
+
+def link_order() -> list[Column | str]:
+    """The strongest of links(confidence, resolver, type, id) first."""
+    return [F.least(_place(F.col("confidence"), CONFIDENCES), F.lit(len(CONFIDENCES) - 1)), _place(F.col("resolver"), RESOLVERS), "type", "id"]
+
+
+def without_files(edges: DataFrame, links: DataFrame, files: DataFrame, entities: DataFrame, documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The graph cleared of files(file_id): edges(file_id, ...) derived from them, and links(entity_id, document_id, ...) to their entities(id, file_id) and documents(id, file_id)."""
+    gone = lambda rows, name: rows.join(files, "file_id", "left_semi").select(F.col("id").alias(name))
+    left = links.join(gone(entities, "entity_id"), "entity_id", "left_anti").join(gone(documents, "document_id"), "document_id", "left_anti")
+    return edges.join(files, "file_id", "left_anti"), left.select(links.columns)
+
+
+def adopted(edges: DataFrame, links: DataFrame, files: DataFrame, entities: DataFrame, documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of a graph made elsewhere, as far as this build has what they are about: edges of its files(file_id), links between its entities(id) and documents(id); each id once."""
+    ours = edges.join(files.select("file_id"), "file_id", "left_semi").dropDuplicates(["id"])
+    ends = links.join(entities.select(F.col("id").alias("entity_id")), "entity_id", "left_semi").join(documents.select(F.col("id").alias("document_id")), "document_id", "left_semi")
+    return ours, ends.select(links.columns).dropDuplicates(["id"])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import corpus
 from ..functions import ids
+from ..operators import graph
 from ..operators import lexical as lex
 from . import lexical as lexical_plans
 from ._base import query
@@ -84,7 +85,7 @@ def a12_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("a13_blast_radius", "SELECT target_id, count(DISTINCT source_id) AS score, CASE WHEN count(DISTINCT source_id) <= 2 THEN 'LOW' WHEN count(DISTINCT source_id) <= 7 THEN 'MEDIUM' ELSE 'HIGH' END AS radius FROM (" + corpus.CALLS + ") GROUP BY target_id")
 def a13_blast_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = corpus.calls(spark, sf_dir).groupBy("target_id").agg(F.countDistinct("source_id").alias("score"))
-    return g.withColumn("radius", F.when(F.col("score") <= 2, "LOW").when(F.col("score") <= 7, "MEDIUM").otherwise("HIGH"))
+    return g.withColumn("radius", graph.radius(F.col("score")))
 
 
 @query("a14_highest_confidence", "SELECT user_id, CASE max(CASE event_type WHEN 'purchase' THEN 3 WHEN 'signup' THEN 2 WHEN 'click' THEN 1 ELSE 0 END) WHEN 3 THEN 'exact' WHEN 2 THEN 'high' WHEN 1 THEN 'medium' ELSE 'heuristic' END AS confidence FROM events GROUP BY user_id")

@@ -135,9 +135,13 @@ def c18_network_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("s11_conversion_cache", "SELECT content_hash, count(*) AS files, bool_or(hit) AS cached FROM (SELECT sha256(text) AS content_hash, doc_id IN (SELECT doc_id FROM labels) AS hit FROM documents) GROUP BY content_hash")
 def s11_conversion_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..sources import files
+
     d = corpus.table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("content_hash"))
-    cache = d.join(corpus.table(spark, sf_dir, "labels"), "doc_id", "left_semi").select("content_hash").distinct().withColumn("hit", F.lit(True))
-    return d.join(cache, "content_hash", "left").groupBy("content_hash").agg(F.count("*").alias("files"), F.bool_or(F.coalesce("hit", F.lit(False))).alias("cached"))
+    known = d.join(corpus.table(spark, sf_dir, "labels"), "doc_id", "left_semi").select("content_hash").distinct()
+    cache = known.select("content_hash", F.lit("v1").alias("options"), F.lit("converted").alias("value")).unionByName(known.select("content_hash", F.lit("v0").alias("options"), F.lit("old").alias("value")))
+    hits, rest = files.uncached(d, cache, "v1")
+    return hits.select("content_hash", F.lit(True).alias("hit")).unionByName(rest.select("content_hash", F.lit(False).alias("hit"))).groupBy("content_hash").agg(F.count("*").alias("files"), F.bool_or("hit").alias("cached"))
 
 
 @query("s15_upsert", f"SELECT rel_path, content_hash, mtime FROM ({corpus.FILES_AFTER}) UNION ALL SELECT rel_path, content_hash, mtime FROM ({corpus.FILES}) WHERE rel_path NOT IN (SELECT rel_path FROM ({corpus.FILES_AFTER}))")

@@ -63,10 +63,25 @@ def w11_attachment_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("conv_id", F.explode(documents.attachments(items, 3, 400, 600)).alias("a")).select("conv_id", "a.ordinal", "a.size", "a.reason")
 
 
-@query("g1_code_entities")
-def g1_code_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Python made of each document's words: a class with a method that calls the next word's function."""
+# a class with a method that calls the function after it, which is declared twice, each under the next of a document's words
+_CODE = """SELECT doc_id, w, 'C' || w[1] AS c, 'm' || w[2] AS m, 'f' || w[3] AS f FROM (SELECT doc_id, list_filter(""" + corpus.sql_words("lower(text)") + """, lambda x: regexp_matches(x, '^[a-z]+$')) AS w FROM documents) WHERE len(w) > 3"""
+_FACTS = f"""SELECT doc_id, unnest([{{'kind': 'import', 'name': 'os', 'qualified_name': 'os', 'owner': '', 'line': 1}}, {{'kind': 'class', 'name': c, 'qualified_name': c, 'owner': '', 'line': 3}}, {{'kind': 'method', 'name': m, 'qualified_name': c || '.' || m, 'owner': c, 'line': 4}},
+ {{'kind': 'call', 'name': f, 'qualified_name': f, 'owner': c || '.' || m, 'line': 5}}, {{'kind': 'call', 'name': 'getcwd', 'qualified_name': 'os.getcwd', 'owner': c || '.' || m, 'line': 5}}, {{'kind': 'function', 'name': f, 'qualified_name': f, 'owner': '', 'line': 7}}, {{'kind': 'function', 'name': f, 'qualified_name': f, 'owner': '', 'line': 10}}], recursive := true) FROM ({_CODE})"""
+
+
+def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = F.filter(text.lower_words("text"), lambda x: x.rlike("^[a-z]+$"))
     d = corpus.table(spark, sf_dir, "documents").select("doc_id", w.alias("w")).where("size(w) > 3")
-    body = F.concat_ws("", F.lit("import os\n\nclass C"), F.col("w")[0], F.lit(":\n    def m"), F.col("w")[1], F.lit("(self):\n        return f"), F.col("w")[2], F.lit("(os.getcwd())\n\ndef f"), F.col("w")[2], F.lit("(x):\n    return x\n"))
+    body = F.concat_ws("", F.lit("import os\n\nclass C"), F.col("w")[0], F.lit(":\n    def m"), F.col("w")[1], F.lit("(self):\n        return f"), F.col("w")[2], F.lit("(os.getcwd())\n\ndef f"), F.col("w")[2], F.lit("(x):\n    return x\n\ndef f"), F.col("w")[2], F.lit("(x, y):\n    return y\n"))
     return code.extract(d.select("doc_id", F.lit("python").alias("language"), body.alias("body")), "doc_id", "language", "body")
+
+
+@query("g1_code_entities", _FACTS)
+def g1_code_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Python made of each document's words: a class with a method that calls the next word's function, and that function twice."""
+    return _facts(spark, sf_dir)
+
+
+@query("w9_overload_ordinals", f"SELECT doc_id, {corpus.sql_id('entity', 'doc_id', 'kind', 'qualified_name', 'ordinal')} AS id, kind, qualified_name, ordinal FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, kind, qualified_name ORDER BY line) - 1 AS ordinal FROM ({_FACTS}) WHERE kind IN ('class', 'method', 'function'))")
+def w9_overload_ordinals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return code.entities(_facts(spark, sf_dir), "doc_id").select("doc_id", "id", "kind", "qualified_name", "ordinal")

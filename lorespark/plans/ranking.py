@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import corpus
@@ -10,6 +10,7 @@ from ..functions import text
 from ..functions.vectors import dice
 from ..operators import lexical as lex
 from ..operators import ranking as op
+from ..streaming import events
 from . import lexical as lexical_plans
 from ._base import query
 
@@ -113,11 +114,29 @@ def t12_error_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.table(spark, sf_dir, "events").where("event_type = 'error'").orderBy(F.desc("ts"), "user_id", "event_id").limit(20).select("event_id", "user_id", "ts")
 
 
-@query("t13_fair_pick", "SELECT event_id FROM events ORDER BY CASE WHEN ts < TIMESTAMP '2024-01-02' THEN 0 WHEN event_type = 'purchase' THEN 1 ELSE 2 END, ts, event_id LIMIT 1")
+_PICK = "CASE WHEN ts <= TIMESTAMP '2024-01-02' THEN 0 WHEN event_type = 'purchase' THEN 1 ELSE 2 END, CASE WHEN ts <= TIMESTAMP '2024-01-02' THEN ts END, event_id"
+
+
+@query("t13_fair_pick", f"SELECT event_id FROM events ORDER BY {_PICK} LIMIT 1")
 def t13_fair_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as waiting requests, purchases as urgent ones, a day's wait as the longest."""
+    return _queue(spark, sf_dir).orderBy(*_order()).limit(1).select("event_id")
+
+
+@query("x5_fair_order", f"SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY {_PICK}) AS turn FROM events")
+def x5_fair_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for every user's queue: in which order its requests would be taken at one moment."""
+    w = Window.partitionBy("user_id").orderBy(*_order())
+    return _queue(spark, sf_dir).select("event_id", "user_id", F.row_number().over(w).cast("long").alias("turn"))
+
+
+def _order() -> list[Column]:
+    return events.pick_order(F.lit("2024-01-03").cast("timestamp_ntz"), 86_400)
+
+
+def _queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = corpus.table(spark, sf_dir, "events")
-    aged = F.when(e.ts < F.lit("2024-01-02").cast("timestamp_ntz"), 0).when(e.event_type == "purchase", 1).otherwise(2)
-    return e.orderBy(aged, "ts", "event_id").limit(1).select("event_id")
+    return e.select("event_id", "user_id", F.col("ts").alias("enqueued_at"), (e.event_type == "purchase").alias("urgent"), F.col("event_id").alias("place"))
 
 
 @query("w1_top_per_key", "SELECT l_orderkey, l_partkey, rank FROM (SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber, l_partkey) AS rank FROM lineitem) WHERE rank <= 3")

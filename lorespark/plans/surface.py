@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import corpus
 from ..functions import text
-from ..operators import embedding, evidence, expressions, graph, neighbours
+from ..operators import documents, embedding, evidence, expressions, graph, neighbours
 from . import evidence as evidence_plans
 from . import graph as graph_plans
 from . import lexical as lexical_plans
@@ -39,15 +39,21 @@ def p17_distinct_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey").dropDuplicates()
 
 
-_STRENGTH = "CASE event_type WHEN 'purchase' THEN 0 WHEN 'signup' THEN 1 WHEN 'click' THEN 2 ELSE 3 END"
+_SOME_LINKS = "SELECT event_id AS id, user_id AS entity_id, ['exact', 'high', 'medium', 'heuristic'][event_id % 4 + 1] AS confidence, ['linker:alias', 'linker:route_heuristic', 'linker:exact_identifier', 'manual', 'linker:filename', 'linker:qualified_identifier'][event_id % 6 + 1] AS resolver, event_type AS type FROM events"
 
 
-@query("t8_link_strength", f"SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY {_STRENGTH}, CASE WHEN value > 50 THEN 0 ELSE 1 END, event_id) AS position FROM events")
+@query("t8_link_strength", f"SELECT id, row_number() OVER (PARTITION BY entity_id ORDER BY list_position(['exact', 'high', 'medium', 'heuristic'], confidence), coalesce(list_position(['linker:exact_identifier', 'linker:qualified_identifier', 'linker:alias', 'linker:filename', 'linker:route_heuristic'], resolver), 6), type, id) AS position FROM ({_SOME_LINKS})")
 def t8_link_strength(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = corpus.table(spark, sf_dir, "events")
-    strength = F.when(e.event_type == "purchase", 0).when(e.event_type == "signup", 1).when(e.event_type == "click", 2).otherwise(3)
-    w = Window.partitionBy("user_id").orderBy(strength, F.when(e.value > 50, 0).otherwise(1), "event_id")
-    return e.select("event_id", F.row_number().over(w).cast("long").alias("position"))
+    """Events as links of their users, strongest first."""
+    of = lambda values, n: F.element_at(F.array(*(F.lit(v) for v in values)), (F.col("event_id") % n + 1).cast("int"))
+    links = corpus.table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("id"),
+        F.col("user_id").alias("entity_id"),
+        of(graph.CONFIDENCES, 4).alias("confidence"),
+        of(["linker:alias", "linker:route_heuristic", "linker:exact_identifier", "manual", "linker:filename", "linker:qualified_identifier"], 6).alias("resolver"),
+        F.col("event_type").alias("type"),
+    )
+    return links.withColumn("position", F.row_number().over(Window.partitionBy("entity_id").orderBy(*graph.link_order())).cast("long")).select("id", "position")
 
 
 @query("u7_edge_dedup", f"SELECT id FROM ({corpus.CALLS}) WHERE type IN ('calls', 'references') GROUP BY id")
@@ -95,10 +101,32 @@ def g21_graph_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy("source").agg(F.max("doc_id").alias("m")).select("source", F.when(F.col("m") == newest, "ready").otherwise("stale").alias("state"))
 
 
-@query("n6_scan_policy", "SELECT doc_id, CASE WHEN n_chars > 20000 THEN 'skipped' WHEN n_chars < 200 THEN 'ocr' ELSE 'text' END AS mode FROM documents")
+@query("n6_scan_policy", f"SELECT doc_id, CASE WHEN pages > 25 THEN 'skipped' WHEN chars / pages < 50 OR 2 * pages_with_text < pages THEN 'ocr' ELSE 'text' END AS mode FROM (SELECT doc_id, max(ordinal + 1) AS pages, sum(length(body)) AS chars, count(DISTINCT CASE WHEN length(body) > 0 THEN ordinal END) AS pages_with_text FROM ({corpus.CHUNKS}) GROUP BY doc_id)")
 def n6_scan_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = corpus.table(spark, sf_dir, "documents")
-    return d.select("doc_id", F.when(d.n_chars > 20000, "skipped").when(d.n_chars < 200, "ocr").otherwise("text").alias("mode"))
+    """Lines as pages."""
+    c = corpus.chunks(spark, sf_dir)
+    pages = c.groupBy("doc_id").agg((F.max("ordinal") + 1).alias("pages"))
+    found = documents.scanned(c, "doc_id", F.col("ordinal") + 1).join(pages, "doc_id")
+    return found.select("doc_id", documents.page_policy(F.col("pages"), F.col("scanned"), "auto", 25).alias("mode"))
+
+
+@query("c14_graph_clear_adopt", f"""WITH n AS (SELECT doc_id FROM documents WHERE lang = 'de'), r AS (SELECT * FROM ({corpus.REFERENCES})), e AS (SELECT md5(file_id || ':' || reference_text) AS id, file_id FROM r), l AS (SELECT md5(file_id || '>' || (file_id * 7 % 50)) AS id, file_id AS entity_id, file_id * 7 % 50 AS document_id FROM (SELECT DISTINCT file_id FROM r))
+ SELECT 'cleared edge' AS kind, count(*) AS n FROM e WHERE file_id NOT IN (SELECT doc_id FROM n) UNION ALL SELECT 'cleared link', count(*) FROM l WHERE entity_id NOT IN (SELECT doc_id FROM n) AND document_id NOT IN (SELECT doc_id FROM n)
+ UNION ALL SELECT 'adopted edge', count(*) FROM e WHERE file_id IN (SELECT doc_id FROM n) UNION ALL SELECT 'adopted link', count(*) FROM l WHERE entity_id IN (SELECT doc_id FROM n) AND document_id IN (SELECT doc_id FROM n)""")
+def c14_graph_clear_adopt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words as edges of their documents: cleared of the German files, and adopted by a build that has only these."""
+    german = corpus.scan(spark, sf_dir, "documents").where("lang = 'de'").select(F.col("doc_id").alias("file_id"))
+    r = corpus.references(spark, sf_dir)
+    edges = r.select(F.md5(F.concat_ws(":", "file_id", "reference_text")).alias("id"), "file_id")
+    links = r.select(F.col("file_id").alias("entity_id")).distinct().withColumn("document_id", F.col("entity_id") * 7 % 50).withColumn("id", F.md5(F.concat_ws(">", "entity_id", "document_id")))
+    every = corpus.scan(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("doc_id").alias("file_id"))
+    own = german.select(F.col("file_id").alias("id"))
+    out = None
+    for kind, (e, l) in (("cleared", graph.without_files(edges, links, german, every, every)), ("adopted", graph.adopted(edges, links, german, own, own))):
+        for name, rows in (("edge", e), ("link", l)):
+            one = rows.agg(F.count("*").alias("n")).select(F.lit(f"{kind} {name}").alias("kind"), "n")
+            out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query("s2_targeted_scan", f"SELECT rel_path FROM ({corpus.FILES}) WHERE starts_with(rel_path, 'src3/') OR rel_path = 'src0/0.txt'")

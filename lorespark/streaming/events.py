@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
@@ -45,6 +45,12 @@ _STATE = StructType([StructField("status", StringType()), StructField("paths", S
 _OUT = StructType([StructField("key", StringType()), StructField("started", LongType()), StructField("paths", IntegerType()), StructField("full", IntegerType())])
 
 
+def pick_order(now: Column, longest: float) -> list[Column]:
+    """The order in which waiting requests (enqueued_at, urgent, place) are taken at ``now``: those that waited ``longest`` seconds and more, the longest first; then urgent ones; then by their place."""
+    aged = F.timestamp_diff("SECOND", F.col("enqueued_at"), now) >= longest
+    return [F.when(aged, 0).when(F.col("urgent"), 1).otherwise(2), F.when(aged, F.col("enqueued_at")), F.col("place")]
+
+
 def fold_requests(rows: Iterator[tuple[int, str]], status: str, paths: set[str], until: int, run_ms: int, most: int) -> tuple[list[tuple], str, set[str], int]:
     """Runs started by requests (time in ms, path) in order of time.
 

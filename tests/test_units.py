@@ -237,6 +237,17 @@ def test_chunks_fit_and_cover(most):
     assert set(words) <= set(seen.replace(".", "").split())
 
 
+def test_small_neighbours_are_evened_out():
+    word = lambda k: f"w{k}"
+    # greedy packing gives 4 + 4 + 1; the last two are evened out, and so is any other pair with a small one
+    assert [len(c.split()) for c in documents.pack([word(k) for k in range(9)], 4, 0, 3)] == [4, 3, 2]
+    assert [len(c.split()) for c in documents.pack(["a", "b c d e", "f g h i"], 4, 0, 3)] == [1, 4, 4]
+    assert [c for c in documents.pack([word(k) for k in range(6)], 4, 2, 1)] == ["w0 w1 w2 w3", "w2 w3 w4 w5"]
+    left, right = documents.halves([("a", 5), ("b", 1), ("c", 1)])
+    assert [p for p, _ in left] == ["a"] and [p for p, _ in right] == ["b", "c"]
+    assert documents.halves([("a", 5)]) == ([("a", 5)], [])
+
+
 def test_broken_file_becomes_a_row(spark):
     f = spark.createDataFrame([(1, bytearray(b"not a zip"), "docx"), (2, bytearray(b"# A\n\nx"), "markdown")], "k long, body binary, kind string")
     got = documents.units(f, "k", "body", "kind").collect()
