@@ -49,7 +49,7 @@ from ._text import U64
 
 K, PERCENT = 5, 75
 #: Bytes of text a block of documents holds; bytes of postings a hash range should hold; members a group's task holds; members that stand for a component of a block.
-BLOCK_BYTES, RANGE_BYTES, GROUP, FEW = 6 << 20, 16 << 20, 1024, 4
+BLOCK_BYTES, RANGE_BYTES, GROUP, FEW = 6 << 20, 16 << 20, 512, 4
 #: Text whose shared shingles a task writes to one file; sets a task has.
 FILE_TEXT, SETS = 32 << 20, 20_000
 _LOW = U64(0xFFFF)

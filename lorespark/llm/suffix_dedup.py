@@ -9,8 +9,8 @@ anything but white space, compared as they are; white space between them doesn't
 2. Suffixes with such a key go to a range by it, as word sequences: the words that follow it within LENGTH, and those before it.  A range is a
    piece of the sparse suffix array: it sorts its suffixes word by word and takes the length of the common prefix of each and its neighbour.
 3. Matches are extended: to the right the common prefixes tell which suffixes agree on how many words; to the left the words before them, sorted and
-   compared in the same way from the suffix's position outwards, tell the same.  A window of LENGTH words around a suffix repeats where another
-   document agrees on its left and its right part.  Runs of such windows are the maximal passages.
+   compared in the same way from the suffix's position outwards, tell the same.  A window of LENGTH words whose minimiser the suffix is repeats where
+   another document agrees on its left and its right part.  Runs of such windows are the maximal passages.
 
 Equal suffixes of a block go out once however many documents of it hold them, and so does a key, so what a third of all rows
 holds costs a range one posting a block.  A key with more than ``HOT`` suffixes, as a common line in many surroundings has, is too much for one range: its
@@ -199,24 +199,31 @@ def _among(x: np.ndarray, sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return sorted_keys[at] == x, at
 
 
-#: A suffix as it goes to its range: its key, the words after the key, the words before it from the nearest on, and how many words there are on both sides.
-_SUFFIX = np.dtype([("key", U64), ("right", U64, (SIDE,)), ("left", U64, (SIDE,)), ("after", np.int64), ("before", np.int64)])
+#: A suffix as it goes to its range: its key, the words after the key, the words before it from the nearest on, and from how many to how many words before it the windows begin whose minimiser it is.
+_SUFFIX = np.dtype([("key", U64), ("right", U64, (SIDE,)), ("left", U64, (SIDE,)), ("low", np.int64), ("high", np.int64)])
 _OWN = np.dtype([("row", np.int32), ("place", np.int32), ("sent", np.int32)])
 _WINDOW = np.dtype([("key", U64), ("row", np.int32), ("place", np.int32)])
 _MATCH = np.dtype([("sent", np.int32), ("offset", np.int32), ("keeper", np.int64)])
 
 
 def suffix_rows(x: Words, positions: np.ndarray) -> np.ndarray:
-    """The suffixes at these positions as ``_SUFFIX`` rows; words beyond their document are zeros."""
-    doc = x.doc(positions)
+    """The suffixes at these positions as ``_SUFFIX`` rows; words that none of their windows reaches are zeros.
+
+    Which windows have a suffix as their minimiser is settled by the windows' own words, so it is the same in every document that holds them.
+    """
     out = np.zeros(len(positions), _SUFFIX)
     out["key"] = x.grams[positions]
-    out["after"] = np.minimum(x.at[doc + 1] - positions - GRAM, SIDE)
-    out["before"] = np.minimum(positions - x.at[doc], SIDE)
+    out["low"], out["high"] = SIDE, 0
+    for offset in range(SIDE + 1):
+        start = positions - offset
+        ok = (start >= 0) & (start < len(x.least))
+        ok[ok] = x.inside[start[ok]] & (x.least[start[ok]] == out["key"][ok])
+        out["low"][ok] = np.minimum(out["low"][ok], offset)
+        out["high"][ok] = offset
     for j in range(SIDE):
-        ok = out["after"] > j
+        ok = out["low"] + j < SIDE
         out["right"][ok, j] = x.w[positions[ok] + GRAM + j]
-        ok = out["before"] > j
+        ok = out["high"] > j
         out["left"][ok, j] = x.w[positions[ok] - 1 - j]
     return out
 
@@ -247,7 +254,7 @@ def match_suffixes(s: np.ndarray, docs: np.ndarray, several: np.ndarray) -> tupl
         # suffixes that share their first words form a run in suffix order; those that share the words before them a run in the other
         run = np.cumsum(common < 1 + SIDE - offset)[right]
         other = np.cumsum(before < offset)[left] if offset else np.zeros(len(s), np.int64)
-        fits = np.flatnonzero((s["before"] >= offset) & (s["after"] >= SIDE - offset))
+        fits = np.flatnonzero((s["low"] <= offset) & (s["high"] >= offset))
         if not len(fits):
             continue
         shared, first, group = _shared((run[fits] * (len(s) + 1) + other[fits]).astype(U64), docs[fits], several[fits])
@@ -353,10 +360,13 @@ def _spans(t: pa.Table) -> pa.Table:
         rows.append(stand["row"][one])
         places.append(stand["place"][one] - f["offset"])
         firsts.append(f["keeper"])
-    seen = np.unique(np.stack([np.concatenate(rows).astype(np.int64), np.concatenate(places).astype(np.int64), np.concatenate(firsts)], 1), axis=0)
+    # a window with several equal minimisers is met once for each
+    _, one = np.unique(np.concatenate(rows).astype(np.int64) << 32 | np.concatenate(places).astype(np.int64), return_index=True)
+    row, place, keeper = (np.concatenate(c)[one] for c in (rows, places, firsts))
     out = []
     for kept in (False, True):
-        r, p, k = seen[(seen[:, 2] == ids[seen[:, 0]]) == kept].T
+        mine = (keeper == ids[row]) == kept
+        r, p, k = row[mine], place[mine], keeper[mine]
         if not len(r):
             continue
         # windows that overlap or touch make one passage, as far as one document has their first copies

@@ -201,7 +201,7 @@ def test_suffix_order_and_extension():
         s[k]["left"], s[k]["right"] = base[:side], base[side:]
         s[k]["left"][left:] = rng.integers(1, 2**60, side - left)
         s[k]["right"][right:] = rng.integers(1, 2**60, side - right)
-        s[k]["before"], s[k]["after"] = rng.integers(side // 2, side + 1, 2)
+        s[k]["low"], s[k]["high"] = sorted(rng.integers(0, side + 1, 2))
     order, place, common = suffix_dedup._classes(s["right"])
     rows, lcp = s["right"][order].tolist(), lambda x, y: next((j for j in range(side) if x[j] != y[j]), side)
     assert [place[k] for k in order] == list(range(40))
@@ -214,7 +214,7 @@ def test_suffix_order_and_extension():
     want = set()
     for a in range(40):
         for o in range(whole - suffix_dedup.GRAM + 1):
-            fits = lambda k, o=o: s[k]["before"] >= o and s[k]["after"] >= side - o
+            fits = lambda k, o=o: s[k]["low"] <= o <= s[k]["high"]
             same = lambda b, a=a, o=o: s[a]["key"] == s[b]["key"] and (s[a]["left"][:o] == s[b]["left"][:o]).all() and (s[a]["right"][: side - o] == s[b]["right"][: side - o]).all()
             held = {int(docs[b]) for b in range(40) if fits(a) and fits(b) and same(b)}
             if len(held) > 1:
@@ -222,6 +222,32 @@ def test_suffix_order_and_extension():
     assert got == want and want
 
 
+def test_suffix_dedup_keeps_each_window_once(spark, tmp_path):
+    """Documents that share more with one another than with the first that holds a passage: each window has one keeper, the smallest."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    rows, pool = [], []
+    for i in range(60):
+        w = [word() for _ in range(30)]
+        for _ in range(3):
+            if pool and rng.random() < 0.7:
+                src = rng.choice(pool)
+                a = rng.randrange(max(1, len(src) - 60))
+                w += src[a : a + rng.randint(45, 140)] + [word() for _ in range(rng.randint(0, 9))]
+        pool.append(w)
+        rows.append((i, " ".join(w)))
+    rng.shuffle(rows)
+    held = defaultdict(set)
+    words = {i: t.split() for i, t in rows}
+    for i, w in words.items():
+        for j in range(len(w) - 49):
+            held[tuple(w[j : j + 50])].add(i)
+    want = {(i, j + k, min(x) == i) for i, w in words.items() for j in range(len(w) - 49) if len(x := held[tuple(w[j : j + 50])]) > 1 for k in range(50)}
+    spans = suffix_dedup.passages(written(spark, tmp_path, rows)).collect()
+    assert {(r["doc_id"], k, r["kept"]) for r in spans for k in range(r["start_word"], r["end_word"])} == want and want
+    assert all(r["first_doc_id"] == min(held[tuple(words[r["doc_id"]][j : j + 50])]) for r in spans for j in (r["start_word"], r["end_word"] - 50))
+
+
 def test_suffix_dedup_by_row(spark, tmp_path):
     """Rows that share an id lose only what their own text repeats; columns may have any name."""
     passage = " ".join(f"w{k}" for k in range(55))
