@@ -44,7 +44,7 @@ LENGTH, GRAM = 50, 16
 #: Words after a suffix's key and before it that windows around it reach.
 SIDE = LENGTH - GRAM
 #: Bytes of text a block holds, and whose keys or suffixes a range should hold; suffixes of one key that a range takes.
-BLOCK_BYTES, RANGE_TEXT, SUFFIX_TEXT, HOT = 6 << 20, 64 << 20, 4 << 20, 20_000
+BLOCK_BYTES, RANGE_TEXT, SUFFIX_TEXT, HOT = 4 << 20, 64 << 20, 4 << 20, 20_000
 _ROW = "key long, block long, part int, a binary, b binary, c binary"
 _NAMES = ["key", "block", "part", "a", "b", "c"]
 _TYPES = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
@@ -200,7 +200,8 @@ def _among(x: np.ndarray, sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 #: A suffix as it goes to its range: its key, the words after the key, the words before it from the nearest on, and from how many to how many words before it the windows begin whose minimiser it is.
-_SUFFIX = np.dtype([("key", U64), ("right", U64, (SIDE,)), ("left", U64, (SIDE,)), ("low", np.int64), ("high", np.int64)])
+#: The key is big-endian, so that rows in the order of their bytes are in the order of their keys.
+_SUFFIX = np.dtype([("key", ">u8"), ("right", U64, (SIDE,)), ("left", U64, (SIDE,)), ("low", np.int64), ("high", np.int64)])
 _OWN = np.dtype([("row", np.int32), ("place", np.int32), ("sent", np.int32)])
 _WINDOW = np.dtype([("key", U64), ("row", np.int32), ("place", np.int32)])
 _MATCH = np.dtype([("sent", np.int32), ("offset", np.int32), ("keeper", np.int64)])
@@ -247,7 +248,7 @@ def match_suffixes(s: np.ndarray, docs: np.ndarray, several: np.ndarray) -> tupl
     if not len(s):
         return none, none, none
     # to the right: the suffixes in order, and the words, key included, that each shares with its neighbour
-    _, right, common = _classes(np.concatenate([s["key"][:, None], s["right"]], 1))
+    _, right, common = _classes(np.concatenate([s["key"].astype(U64)[:, None], s["right"]], 1))
     _, left, before = _classes(s["left"])
     out = []
     for offset in range(SIDE + 1):
@@ -268,19 +269,16 @@ def _distinct(s: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     if not len(s):
         return s, docs, np.zeros(0, bool), np.zeros(0, np.int64)
     order = np.argsort(s.view(f"V{s.dtype.itemsize}").reshape(-1), kind="stable")
-    new = np.ones(len(s), bool)
+    s = s[order]
     flat = s.view(U64).reshape(len(s), -1)
-    new[1:] = (flat[order[1:]] != flat[order[:-1]]).any(1)
+    new = np.ones(len(s), bool)
+    new[1:] = (flat[1:] != flat[:-1]).any(1)
     group = np.empty(len(s), np.int64)
     group[order] = np.cumsum(new) - 1
     low, high = np.full(int(new.sum()), 2**63 - 1), np.full(int(new.sum()), -(2**63))
     np.minimum.at(low, group, docs)
     np.maximum.at(high, group, docs)
-    one = s[order[new]]
-    by = np.argsort(one["key"], kind="stable")
-    back = np.empty(len(by), np.int64)
-    back[by] = np.arange(len(by))
-    return one[by], low[by], (low != high)[by], back[group]
+    return s[new], low, low != high, group
 
 
 def _extend(ranges: int):
@@ -302,7 +300,8 @@ def _extend(ranges: int):
         q = p[~hot]
         doc = x.doc(q)
         s, docs, several, sent = _distinct(suffix_rows(x, q), ids[doc])
-        rows = [(r, block, 0, s[i:j].tobytes(), np.concatenate([docs[i:j], np.arange(i, j)]).tobytes(), several[i:j].tobytes()) for r, i, j in _cuts(s["key"], ranges)]
+        _text.give_back()
+        rows = [(r, block, 0, s[i:j].tobytes(), np.concatenate([docs[i:j], np.arange(i, j)]).tobytes(), several[i:j].tobytes()) for r, i, j in _cuts(s["key"].astype(U64), ranges)]
         stand = np.zeros(len(q), _OWN)
         stand["row"], stand["place"], stand["sent"] = doc, q - x.at[doc], sent
         # windows whose minimiser is a hot key
