@@ -155,7 +155,7 @@ def _table(path: str, specials_are_text: bool) -> _chunks.Table:
         np.cumsum(np.concatenate(sizes), out=ends[1:])
         return np.concatenate(ids), ends
 
-    return _chunks.Table(encode, 300_000)
+    return _chunks.Table(encode, 700_000)
 
 
 def vocabulary_size(tokenizer: str) -> int:
