@@ -9,6 +9,9 @@ import os
 from dataclasses import dataclass, field
 
 
+# The defaults of all settings below.
+
+
 @dataclass
 class Chunking:
     max_tokens: int = 256

@@ -8,14 +8,24 @@ from pyspark.sql import functions as F
 from . import text
 
 # Suffixes of code and of documents.
-CODE = ".py .pyi .js .jsx .ts .tsx .mjs .cjs .go .rs .java .kt .kts .scala .c .h .cpp .cc .hpp .cs .rb .php .swift .m .sh .bash .zsh .ps1 .sql .lua .pl .r".split()
-DOCUMENT = ".pdf .doc .docx .ppt .pptx .xls .xlsx .md .markdown .txt .rst .csv .html .htm .odt .rtf .eml .ods .odp .epub .png .jpg .jpeg .tif .tiff".split()
+CODE = [
+    ".py", ".pyi", ".js", ".jsx", ".ts", ".tsx", ".mjs", ".cjs", ".go", ".rs", ".java", ".kt", ".kts", ".scala", ".c", ".h", ".cpp", ".cc", ".hpp",
+    ".cs", ".rb", ".php", ".swift", ".m", ".sh", ".bash", ".zsh", ".ps1", ".sql", ".lua", ".pl", ".r",
+]
+DOCUMENT = [
+    ".pdf", ".doc", ".docx", ".ppt", ".pptx", ".xls", ".xlsx", ".md", ".markdown", ".txt", ".rst", ".csv", ".html", ".htm", ".odt", ".rtf", ".eml",
+    ".ods", ".odp", ".epub", ".png", ".jpg", ".jpeg", ".tif", ".tiff",
+]
 # Languages and document formats by suffix.
 LANGUAGE = {".py": "python", ".pyi": "python", ".js": "javascript", ".jsx": "javascript", ".mjs": "javascript", ".cjs": "javascript", ".ts": "typescript", ".mts": "typescript", ".cts": "typescript", ".tsx": "tsx", ".go": "go", ".rs": "rust", ".java": "java", ".cs": "csharp"}
 FORMAT = {".pdf": "pdf", ".docx": "docx", ".pptx": "pptx", ".xlsx": "xlsx", ".html": "html", ".htm": "html", ".md": "markdown", ".markdown": "markdown", ".txt": "txt", ".eml": "eml", ".csv": "csv", ".odt": "odt", ".ods": "ods", ".odp": "odp", ".epub": "epub", ".png": "image", ".jpg": "image", ".jpeg": "image", ".tif": "image", ".tiff": "image"}
 # Folders never scanned, and names of secret files (shell globs).
-SKIPPED_FOLDERS = ".git node_modules bin obj dist build target .venv venv vendor coverage .cache .next .idea .vscode".split()
-SECRET_NAMES = ".env .env.* *.pem *.key id_rsa id_ed25519 credentials* secrets*".split()
+SKIPPED_FOLDERS = [
+    ".git", "node_modules", "bin", "obj", "dist", "build", "target", ".venv", "venv", "vendor", "coverage", ".cache", ".next", ".idea", ".vscode",
+]
+SECRET_NAMES = [
+    ".env", ".env.*", "*.pem", "*.key", "id_rsa", "id_ed25519", "credentials*", "secrets*",
+]
 
 
 def glob_pattern(glob: str) -> str:

@@ -6,20 +6,28 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Words that don't narrow an English query.
-STOPWORDS = "a an and are as at be by can did do does for from how i if in is it of on or should that the this to was what when where which who why with".split()
+STOPWORDS = [
+    "a", "an", "and", "are", "as", "at", "be", "by", "can", "did", "do", "does", "for", "from", "how", "i", "if", "in", "is", "it", "of", "on", "or",
+    "should", "that", "the", "this", "to", "was", "what", "when", "where", "which", "who", "why", "with",
+]
 
 # Words that don't count as content of a question (English, then Greek).
-QUESTION_WORDS = (
-    "the and for are was were with that this what when where which who how why does did has have had about from into say says its their there can will should would could our your you all any "
-    "between compare difference differences versus according tell me explain describe break breaks change changes changed affect affects affected impact happens "
-    "του της και για των τις τον την στο στη στην από που είναι πώς ποιος ποια"
-).split()
+QUESTION_WORDS = [
+    "the", "and", "for", "are", "was", "were", "with", "that", "this", "what", "when", "where", "which", "who", "how", "why", "does", "did", "has",
+    "have", "had", "about", "from", "into", "say", "says", "its", "their", "there", "can", "will", "should", "would", "could", "our", "your", "you",
+    "all", "any", "between", "compare", "difference", "differences", "versus", "according", "tell", "me", "explain", "describe", "break", "breaks",
+    "change", "changes", "changed", "affect", "affects", "affected", "impact", "happens", "του", "της", "και", "για", "των", "τις", "τον", "την",
+    "στο", "στη", "στην", "από", "που", "είναι", "πώς", "ποιος", "ποια",
+]
 
 # Names too generic to link by themselves.
-COMMON_NAMES = (
-    "add apply build call check clear clone close compare config copy count create data debug default delete dispose equals error execute find format get handle hash id index info init item items key keys len length list load log "
-    "main map name new next open options parse process read remove reset result run save send set size start stop test to_string tostring type update validate value warn write"
-).split()
+COMMON_NAMES = [
+    "add", "apply", "build", "call", "check", "clear", "clone", "close", "compare", "config", "copy", "count", "create", "data", "debug", "default",
+    "delete", "dispose", "equals", "error", "execute", "find", "format", "get", "handle", "hash", "id", "index", "info", "init", "item", "items",
+    "key", "keys", "len", "length", "list", "load", "log", "main", "map", "name", "new", "next", "open", "options", "parse", "process", "read",
+    "remove", "reset", "result", "run", "save", "send", "set", "size", "start", "stop", "test", "to_string", "tostring", "type", "update", "validate",
+    "value", "warn", "write",
+]
 
 # Route decorators and attributes, include attributes of project files, markers that pass for instructions, user information in URLs and addresses.
 PYTHON_ROUTE = r"""(?s)^@\s*[\w.]*\.(route|get|post|put|patch|delete|head|options)\s*\(\s*(?:'([^'"]+)'|"([^'"]+)")(.*)"""

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 #: Characters of a text that a model reads.
+# Fixed value: the characters of a text that a model is given; a model has a context of its own.
 LIMIT = 4000
 
 

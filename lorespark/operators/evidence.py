@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,6 +58,32 @@ def check_answer(answer: Column, valid: Column) -> Column:
     return F.struct(cited.alias("cited"), invalid.alias("invalid"), bare.alias("unsupported"), status.alias("status"))
 
 
+def prompts(refs: DataFrame, questions: DataFrame, query: str = "query_id") -> DataFrame:
+    """(query, prompt, valid_ids) of questions(query, question): the question and its valid refs(query, evidence_id, rank, path, body, valid), each neutralised under its number."""
+    one = F.concat(F.lit("["), "evidence_id", F.lit("] "), "path", F.lit("\n"), text.neutralize("body"))
+    held = refs.where("valid").groupBy(query).agg(F.sort_array(F.collect_list(F.struct("rank", one.alias("part"), "evidence_id"))).alias("e"))
+    parts, ids = F.transform("e", lambda x: x["part"]), F.transform("e", lambda x: x["evidence_id"])
+    head = F.concat(F.lit("Answer from the evidence alone and cite it by its numbers. Question: "), text.neutralize("question"))
+    return questions.join(held, query).select(query, F.concat_ws("\n\n", F.array(head), parts).alias("prompt"), ids.alias("valid_ids"))
+
+
+def ask(refs: DataFrame, questions: DataFrame, verdicts: DataFrame, provider: Callable[[list[str]], list[str]], query: str = "query_id") -> DataFrame:
+    """(query, verdict, answer, status): what a provider, a function from prompts to answers, says to each question that isn't abstained from by verdicts(query, verdict), and how well it cites.
+
+    The provider is called on the executors, a batch of prompts at a time.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            b["answer"] = provider(b["prompt"].tolist())
+            yield b.drop(columns="prompt")
+
+    open_ = prompts(refs, questions, query).join(verdicts.where("verdict <> 'insufficient_evidence'").select(query), query, "left_semi")
+    said = open_.mapInPandas(run, f"`{query}` {questions.schema[query].dataType.simpleString()}, valid_ids array<string>, answer string")
+    judged = said.select(query, "answer", check_answer(F.col("answer"), F.col("valid_ids"))["status"].alias("status"))
+    return verdicts.select(query, "verdict").join(judged, query, "left")
+
+
 def by_coverage(hits: DataFrame, questions: DataFrame, query: str = "query_id") -> DataFrame:
     """hits(query, rank, body) in order of how many of the question's content terms they hold, then by rank."""
     q = questions.select(query, text.content_terms("question").alias("terms"))

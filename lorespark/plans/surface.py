@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .. import corpus
+from .. import corpus, shared
 from ..functions import text
 from ..operators import documents, embedding, evidence, expressions, graph, neighbours
 from . import evidence as evidence_plans
@@ -185,8 +187,14 @@ def v16_explore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("query_id", "symbols", F.coalesce("callers", F.lit(0)).alias("callers"), F.coalesce("documents", F.lit(0)).alias("documents"))
 
 
-@query("v25_ask", f"SELECT query_id, verdict, verdict <> 'insufficient_evidence' AS answered FROM ({ORACLES['v21_abstain']})")
+@query("v25_ask", f"SELECT query_id, verdict, CASE WHEN verdict <> 'insufficient_evidence' THEN 'The first source says it [E' || CASE WHEN query_id % 2 = 0 THEN e ELSE '99' END || '].' END AS answer, CASE WHEN verdict <> 'insufficient_evidence' THEN CASE WHEN query_id % 2 = 0 THEN 'grounded' ELSE 'ungrounded' END END AS status FROM ({ORACLES['v21_abstain']}) LEFT JOIN (SELECT query_id, min(substr(evidence_id, 2)::INT)::VARCHAR AS e FROM ({ORACLES['v19_verify']}) WHERE valid GROUP BY query_id) USING (query_id)")
 def v25_ask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Abstains, or hands the neutralised evidence to a provider; here the provider only says that it was asked."""
-    v = evidence.verdict(evidence_plans._support(spark, sf_dir))
-    return v.withColumn("answered", F.col("verdict") != "insufficient_evidence")
+    """Abstains, or has a provider answer from the prompt: here one that cites the first evidence it is shown, but for odd questions one it isn't shown."""
+    verified = shared.written(evidence_plans._verified(spark, sf_dir), "verified")
+    q = corpus.scan(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(F.lit("#"), "item_id", F.lit(" "), "text").alias("question"))
+
+    def provider(prompts: list[str]) -> list[str]:
+        number = lambda p: re.search(r"\[E(\d+)\]", p)[1] if int(re.search(r"#(\d+)", p)[1]) % 2 == 0 else "99"
+        return [f"The first source says it [E{number(p)}]." for p in prompts]
+
+    return evidence.ask(verified, q, evidence.verdict(evidence_plans._support(spark, sf_dir, verified)), provider)
