@@ -44,7 +44,7 @@ class Index:
         held = postings(records, key, fields).groupBy("term", key, "length").agg(F.sum("weight").alias("f"))
         # in term order, a frequent term's postings over as many files as they fill
         held.repartitionByRange("term", key).sortWithinPartitions("term", key).write.parquet(f"{path}/postings")
-        spark.read.parquet(f"{path}/postings").groupBy("term").agg(F.count("*").alias("n")).repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/terms")
+        spark.read.parquet(f"{path}/postings").groupBy("term").agg(F.count("*").alias("n")).write.parquet(f"{path}/terms")
         records.select(key, sum((F.size(text.lower_words(f)) for f in fields), F.lit(0)).cast("long").alias("length")).write.parquet(f"{path}/lengths")
         Index._measured(spark.read.parquet(f"{path}/lengths")).write.parquet(f"{path}/statistics")
 
