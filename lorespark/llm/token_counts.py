@@ -28,10 +28,12 @@ from . import _files, _spark, _text, bitpack
 
 BLOCK_IDS = 1 << 21
 BLOCK_BYTES, FILE_BYTES, TASK_BYTES = 8 << 20, 64 << 20, 32 << 20
+#: Documents after which a file is closed, however small they are: its ids are one row.
+FILE_DOCS = 1 << 16
 
 
 def write_flat(docs: DataFrame, tokenizer: str, separator: int, width: int = 2) -> DataFrame:
-    """Flat files of docs(doc_id, text); returns (path, bytes, doc_ids array<long>) of each, the file's documents in order.
+    """Flat files of docs(doc_id, text); returns (path, bytes, doc_ids array<long>) of each, the file's documents in order, FILE_DOCS at most.
 
     Texts that spell out a special token are ordinary text, so the separator only ever ends a document.
     """
@@ -52,7 +54,10 @@ def write_flat(docs: DataFrame, tokenizer: str, separator: int, width: int = 2)
             out.close()
             made.append((uri, size, np.concatenate(docs_in)))
 
-        for t in _text.flushes(batches, "text", BLOCK_BYTES):
+        for t in (whole.slice(i, FILE_DOCS) for whole in _text.flushes(batches, "text", BLOCK_BYTES) for i in range(0, whole.num_rows, FILE_DOCS)):
+            if out is not None and sum(map(len, docs_in)) + t.num_rows > FILE_DOCS:
+                finish()
+                out = None
             if out is None:
                 uri = f"{folder}/{context.partitionId():06d}-{context.taskAttemptId()}-{uuid.uuid4().hex[:8]}.tok"
                 system, path = _files.open_fs(uri)
