@@ -6,12 +6,12 @@ padded to a multiple of 64) in little-endian 64-bit words; a footer of little-en
 document counted in ids); and the footer's offset as the last 8 bytes.  Document ends and offsets
 let a reader fetch any range of ids with one range read and unpack it by whole numpy columns.
 
-``write`` range-partitions documents by doc_id, so files in order, and documents within them, ascend.  A task's
+``write`` range-partitions documents by doc_id, rows of one id by their texts' hash, so files in order, and documents within them, ascend.  A task's
 file carries its attempt in its name and counts only through the manifest row the task returns; the manifest
 is written to the shared folder before anything reads it, so lost or repeated tasks leave only unused files.
 
 Defined results: a null text is an empty one and has the end id alone; rows that repeat a doc_id are all
-kept, ordered by text; null doc_ids come first; extra columns are ignored; an empty table gives no rows.
+kept, ordered by a hash of their texts, equal rows in any order; null doc_ids come first; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -34,6 +34,8 @@ BLOCK_BYTES = 8 << 20
 FILE_BYTES = 32 << 20
 #: Files whose ids are summed up together.
 GROUP = 1000
+#: Kinds of equal rows of one id, which may go to files apart.
+ROWS = 1 << 16
 
 
 def bits_for(vocabulary: int) -> int:
@@ -201,7 +203,9 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
             out.close()
             yield pa.RecordBatch.from_arrays([pa.array([context.partitionId()], pa.int32()), pa.array([uri]), pa.array([n], pa.int64()), pa.array([m], pa.int64())], ["part", "path", "docs", "ids"])
 
-    ordered = docs.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "text")
+    # rows of one id, as those without any, are told apart by their texts' hash, and equal rows by where they come from: no file is longer for them
+    told = docs.withColumn("hash", F.xxhash64("text")).withColumn("row", F.monotonically_increasing_id() % ROWS)
+    ordered = told.repartitionByRange(files, "doc_id", "hash", "row").sortWithinPartitions("doc_id", "hash", "text").select("doc_id", "text")
     return _spark.written(ordered.mapInArrow(run, "part int, path string, docs long, ids long"), "manifest")
 
 
