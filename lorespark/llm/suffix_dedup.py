@@ -21,7 +21,7 @@ The document with the smallest doc_id keeps a window, the others are to drop it.
 document alone repeats is not one.
 
 Defined results: null and empty texts, and those under LENGTH words, have no passages; rows that repeat a
-doc_id count as one document, each with the passages of its own text; rows without a doc_id are ignored by ``passages`` and kept as they are by ``remove``;
+doc_id count as one document, each with the passages of its own text, and equal rows have theirs once, however they are dealt out; rows without a doc_id are ignored by ``passages`` and kept as they are by ``remove``;
 extra columns are ignored, whatever their names; an empty table gives no rows.  ``docs`` should be a scan or a written
 table: it is read twice and must give the same rows in the same order (this is checked).
 """
@@ -387,7 +387,7 @@ def passages(docs: DataFrame) -> DataFrame:
     size = _spark.text_size(docs)[1]
     keys = docs.mapInArrow(_post_suffixes(max(8, size // RANGE_TEXT)), _ROW).groupBy("key").applyInArrow(_meet_keys, _ROW)
     suffixes = keys.unionByName(docs.mapInArrow(_carry_texts, _ROW)).groupBy("block").applyInArrow(_extend(max(8, size // SUFFIX_TEXT)), _ROW)
-    return suffixes.groupBy("part", "key").applyInArrow(_meet, _ROW).groupBy("block").applyInArrow(_spans, _SPANS)
+    return suffixes.groupBy("part", "key").applyInArrow(_meet, _ROW).groupBy("block").applyInArrow(_spans, _SPANS).distinct()
 
 
 def _cut(names: list[str], spans: str, gone: str):
