@@ -8,8 +8,11 @@ is negative the step goes back from it instead (the non-negative rule).
 A word is a run of ASCII letters (lower-cased), digits and non-ASCII bytes.  A text's features are which words it holds and which proper
 beginnings of ``SHORTEST`` to ``LONGEST`` bytes its words have, hashed to ``BITS`` bits.  Weights are not negative and are shrunk towards zero, so
 a feature is evidence or nothing: an insult in a long text counts in full, and chance features add nothing to it.  All weights begin at zero.
-Features that fewer than ``LEAST`` positives hold, or that positives hold less than ``LIFT`` times as often as unlabelled texts do, are left out: under
-any prior below a half they can't make a text likelier toxic than not.
+Features that fewer than ``LEAST`` positives hold, or that positives hold less than ``lift`` times as often as unlabelled texts do, are left out.
+
+The two constants that decide what the model takes for evidence, ``lift`` and how strongly weights are shrunk, are chosen by cross-validation (``choose``) among the training
+texts alone: of each of FOLDS parts left out in turn, recall^2 / (share of the unlabelled taken for toxic) is what positives and unlabelled texts can tell of
+precision times recall.  No other label is looked at.
 
 The class prior is estimated from the same positives and unlabelled texts: a share prior of the unlabelled is distributed as the positives, so for
 every feature the share of unlabelled texts that hold it is at least prior times that of positives; the smallest upper confidence bound of
@@ -40,9 +43,11 @@ from ._text import U64
 
 SHORTEST, LONGEST, BITS = 4, 12, 20
 POSITIVES, UNLABELLED, SIDE_BYTES = 3000, 8000, 32 << 20
-LEAST, LIFT, MOST_PRIOR = 4, 2, 0.3
-#: Steps, their size, and how strongly weights are shrunk: by the pull of this many positives that nothing else explains.
-STEPS, RATE, SHRINK = 400, 0.2, 0.5
+LEAST, MOST_PRIOR = 4, 0.3
+#: What ``choose`` chooses from: lifts, and how strongly weights are shrunk, by the pull of so many positives that nothing else explains.  Of equals the first is taken.
+LIFTS, SHRINKS, FOLDS = (2.0, 1.5, 3.0), (0.5, 0.25, 1.0), 3
+#: Steps at most and their size.
+STEPS, RATE = 400, 0.2
 #: The prior comes from features that this many positives hold, by one-sided 95 % bounds (in standard errors).
 COMMON, COMMON_SHARE, BOUND = 10, 0.05, 1.64
 BLOCK_BYTES = 4 << 20
@@ -100,6 +105,9 @@ class Model:
         return {"codes": self.codes, "weights": self.weights, "bias": self.bias}
 
 
+NONE = Model(np.zeros(0, np.int32), np.zeros(0), 0.0)
+
+
 def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
@@ -132,6 +140,12 @@ class Side:
                 self.left -= size
                 self.texts.append(parts[i])
 
+    def part(self, fold: int, within: bool) -> Side:
+        """Every FOLDS-th text, or all others."""
+        out = Side()
+        out.texts = [f for i, f in enumerate(self.texts) if (i % FOLDS == fold) == within]
+        return out
+
     def held(self) -> np.ndarray:
         """By how many texts each feature is held."""
         out = np.zeros(1 << BITS, np.int64)
@@ -178,24 +192,27 @@ def risk(pos: Rows, unl: Rows, w: np.ndarray, c: float, prior: float) -> tuple[f
     return prior * np.logaddexp(0, -zp).mean(), corrected, pos.pull(gp, len(w)) + unl.pull(gu, len(w)), gp.sum() + gu.sum()
 
 
-def train(positives: Side, unlabelled: Side, prior: float | None = None, steps: int = STEPS) -> Model:
+def train(positives: Side, unlabelled: Side, prior: float | None = None, steps: int = STEPS, lift: float = LIFTS[0], shrink: float = SHRINKS[0]) -> Model:
     """A model from toxic and unlabelled texts."""
-    none = Model(np.zeros(0, np.int32), np.zeros(0), 0.0)
     n, m = len(positives.texts), len(unlabelled.texts)
     if not n or not m:
-        return none
-    p, u = positives.held(), unlabelled.held()
+        return NONE
+    return _fit(positives, unlabelled, positives.held(), unlabelled.held(), prior, steps, lift, shrink)
+
+
+def _fit(positives: Side, unlabelled: Side, p: np.ndarray, u: np.ndarray, prior: float | None, steps: int, lift: float, shrink: float) -> Model:
+    n, m = len(positives.texts), len(unlabelled.texts)
     prior = class_prior(p, u, n, m) if prior is None else prior
-    codes = np.flatnonzero((p >= LEAST) & (p * m >= LIFT * u * n))
+    codes = np.flatnonzero((p >= LEAST) & (p * m >= lift * u * n))
     if not len(codes):
-        return none
+        return NONE
     place = np.zeros(1 << BITS, np.int32)
     place[codes] = np.arange(1, len(codes) + 1)
     pos, unl = Rows(positives.texts, place), Rows(unlabelled.texts, place)
     w, c = np.zeros(len(codes)), float(np.log(prior / (1 - prior)))
     seen, seen_c = np.full(len(codes), 1e-8), 1e-8
     best = (np.inf, w, c)
-    shrink = SHRINK * prior / n
+    shrink = shrink * prior / n
     for _ in range(steps):
         plus, corrected, g, gc = risk(pos, unl, w, c, prior)
         value = plus + max(0.0, corrected) + shrink * w.sum()
@@ -210,6 +227,27 @@ def train(positives: Side, unlabelled: Side, prior: float | None = None, steps:
     return Model(codes[on].astype(np.int32), w[on], float(c))
 
 
+def choose(positives: Side, unlabelled: Side, steps: int = STEPS) -> tuple[float, float]:
+    """(lift, shrink) that judge the parts left out best, by recall^2 / share of the unlabelled that is taken for toxic."""
+    folds = [[side.part(k, within) for side in (positives, unlabelled) for within in (False, True)] for k in range(FOLDS)]
+    if not all(f.texts for fold in folds for f in fold):
+        return LIFTS[0], SHRINKS[0]
+    counts = [(fold[0].held(), fold[2].held()) for fold in folds]
+    best = (-1.0, LIFTS[0], SHRINKS[0])
+    for lift in LIFTS:
+        for shrink in SHRINKS:
+            found = taken = 0
+            for (pos, pos_out, unl, unl_out), (p, u) in zip(folds, counts, strict=True):
+                model = _fit(pos, unl, p, u, None, steps, lift, shrink)
+                if len(model.codes):
+                    found += int((Rows(pos_out.texts, model.table).logits(model.weights, model.bias) >= 0).sum())
+                    taken += int((Rows(unl_out.texts, model.table).logits(model.weights, model.bias) >= 0).sum())
+            recall, share = found / len(positives.texts), max(taken, 1) / len(unlabelled.texts)
+            if recall * recall / share > best[0]:
+                best = (recall * recall / share, lift, shrink)
+    return best[1:]
+
+
 def _train_task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sides = Side(), Side()
     for t in _text.flushes(iter(batches), "text", BLOCK_BYTES):
@@ -217,7 +255,8 @@ def _train_task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             of = t.filter(t.column(("positive", "unlabelled")[k]))
             if of.num_rows:
                 side.add(of.column("text").combine_chunks())
-    m = train(*sides)
+    lift, shrink = choose(*sides)
+    m = train(*sides, lift=lift, shrink=shrink)
     yield pa.RecordBatch.from_arrays([pa.array([m.codes.tobytes()], pa.binary()), pa.array([m.weights.tobytes()], pa.binary()), pa.array([m.bias])], ["codes", "weights", "bias"])
 
 
@@ -236,7 +275,7 @@ def learn(docs: DataFrame, labels: DataFrame, learnable: Column, positives: int
     one = got.repartition(1).sortWithinPartitions(key, "doc_id").select("text", "positive", "unlabelled")
     r = one.mapInArrow(_train_task, "codes binary, weights binary, bias double").first()
     if r is None:
-        return Model(np.zeros(0, np.int32), np.zeros(0), 0.0)
+        return NONE
     return Model(np.frombuffer(r["codes"], np.int32), np.frombuffer(r["weights"], np.float64), r["bias"])
 
 

@@ -260,6 +260,16 @@ def test_suffix_dedup_by_row(spark, tmp_path):
     assert sorted(r["text"].split()[0] + str(len(r["text"].split())) for r in out.collect()) == ["other6", "other6", "w055", "z080"]
 
 
+@pytest.mark.parametrize("parts", [1, 4])
+def test_suffix_dedup_of_repeated_rows(spark, tmp_path, parts):
+    """Equal rows have their passages once, in one block or in several."""
+    text = " ".join(f"w{k}" for k in range(60))
+    rows = [(1, text), (1, text), (2, text), (2, text)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(parts, "doc_id", F.rand(1)).write.parquet(f"{tmp_path}/docs")
+    got = sorted((r["doc_id"], r["start_word"], r["end_word"], r["kept"]) for r in suffix_dedup.passages(spark.read.parquet(f"{tmp_path}/docs")).collect())
+    assert got == [(1, 0, 60, True), (2, 0, 60, False)]
+
+
 def test_suffix_dedup_of_nothing(spark):
     assert suffix_dedup.passages(docs_of(spark, [])).count() == 0
     short = docs_of(spark, [(1, "a b"), (2, None), (3, "")])
@@ -515,6 +525,16 @@ def test_toxicity_prior_and_training():
     assert not len(toxicity.train(*sides, steps=1).weights)
 
 
+def test_toxicity_chooses_its_constants_from_training_texts():
+    sides = toxic_sides(np.random.default_rng(4))
+    lift, shrink = toxicity.choose(*sides)
+    assert lift in toxicity.LIFTS and shrink in toxicity.SHRINKS
+    assert toxicity.choose(*sides) == (lift, shrink)
+    few = toxicity.Side()
+    few.texts = sides[0].texts[:2]
+    assert toxicity.choose(few, sides[1]) == (toxicity.LIFTS[0], toxicity.SHRINKS[0])
+
+
 def test_toxicity_side_limits():
     side = toxicity.Side(30)
     side.add(pa.array(["one two three four five six", "one two three four five six", "", "seven eight", "nine"]))
@@ -547,7 +567,9 @@ def test_bitpack(spark, corpus_rows):
     path = registry.tokenizer_path("word_bpe_49k.json")
     t = Tokenizer.from_file(path)
     rows = [*corpus_rows, *((1000 + i, x) for i, x in enumerate(ODD)), (1000, "again"), (None, "no id")]
-    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
+    # rows of one id by their texts' hash
+    told = {r["text"]: r["h"] for r in docs_of(spark, rows).select("text", F.xxhash64("text").alias("h")).collect()}
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, told[r[1]]))
     at, want = 0, []
     for i, x in order:
         ids = np.array([*t.encode(x or "", add_special_tokens=False).ids, 2], "<u4")
@@ -562,6 +584,18 @@ def test_bitpack(spark, corpus_rows):
     assert (first.ids(3, 11) == whole[3:11]).all() and (first.document(0) == whole[: first.ends[0]]).all()
 
 
+def test_bitpack_with_one_id_for_most_rows(spark, monkeypatch):
+    """Rows without an id, or with one id, and equal rows among them, are no longer file than others."""
+    monkeypatch.setattr(bitpack, "FILE_BYTES", 2000)
+    rows = [(None if i % 2 else i, "same text" if i % 4 == 1 else f"text number {i}") for i in range(4000)]
+    manifest = bitpack.write(docs_of(spark, rows).repartition(8), registry.tokenizer_path("word_bpe_49k.json"), 2)
+    files = [r["docs"] for r in manifest.collect()]
+    assert sum(files) == 4000 and len(files) > 10 and max(files) < 3 * sum(files) / len(files)
+    got = bitpack.read(manifest).select("doc_id", "start", "n_tokens").orderBy("start").collect()
+    ids = [r["doc_id"] for r in got]
+    assert ids == [None] * 2000 + list(range(0, 4000, 2)) and all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(got, got[1:]))
+
+
 @pytest.mark.parametrize("bits", [1, 3, 7, 8, 13, 16, 17, 31, 32])
 def test_bit_round_trip(bits):
     x = np.random.default_rng(bits).integers(0, 2**bits, 1000, dtype=np.uint64).astype(np.uint32)
@@ -583,6 +617,17 @@ def test_token_counts(spark, corpus_rows, monkeypatch):
     assert token_counts.document_counts(token_counts.write_flat(docs_of(spark, []), path, 49407), 49407).count() == 0
 
 
+def test_token_counts_of_many_tiny_texts(spark, monkeypatch):
+    """A file holds so many documents at most, however small they are."""
+    monkeypatch.setattr(token_counts, "FILE_DOCS", 100)
+    rows = [(i, None if i % 3 == 0 else "" if i % 3 == 1 else "a b") for i in range(2050)]
+    files = token_counts.write_flat(docs_of(spark, rows).repartition(2), registry.tokenizer_path("word_bpe_49k.json"), registry.END_OF_DOCUMENT)
+    sizes = [len(r["doc_ids"]) for r in files.collect()]
+    assert max(sizes) <= 100 and sum(sizes) == 2050
+    got = {r["doc_id"]: r["n_tokens"] for r in token_counts.document_counts(files, registry.END_OF_DOCUMENT).collect()}
+    assert got == {i: 2 if i % 3 == 2 else 0 for i in range(2050)}
+
+
 def test_token_counts_across_blocks_and_widths(spark, corpus_rows):
     path = registry.tokenizer_path("word_bpe_49k.json")
     docs = docs_of(spark, corpus_rows[:30])
