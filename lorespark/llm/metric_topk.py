@@ -33,7 +33,7 @@ from . import _files, _spark
 
 SHARD_ROWS = 50_000
 #: Entries of a node, vectors of a sample for pivots, queries of a block.
-PAGE, PIVOTS, QUERY_BLOCK = 64, 256, 1024
+PAGE, PIVOTS, QUERY_BLOCK = 256, 256, 1024
 #: Sums of products under this are exact in float64.
 EXACT = 1 << 53
 VECTOR = "dim int, pivot int, id long, x binary, norm double, most double"
