@@ -33,7 +33,7 @@ from . import _files, _spark
 
 SHARD_ROWS = 50_000
 #: Entries of a node, vectors of a sample for pivots, queries of a block.
-PAGE, PIVOTS, QUERY_BLOCK = 256, 256, 1024
+PAGE, PIVOTS, QUERY_BLOCK = 128, 256, 1024
 #: Sums of products under this are exact in float64.
 EXACT = 1 << 53
 VECTOR = "dim int, pivot int, id long, x binary, norm double, most double"
@@ -200,42 +200,56 @@ class Searcher:
         computed = 0
         # the root's entries know no centre's distance to the query
         queue: list[tuple[float, int, float]] = [(0.0, 0, np.nan)]
-        while queue:
-            nearest, page, to_centre = heapq.heappop(queue)
-            if nearest > radius:
-                break
-            leaf, radii, apart, ids, x = pages[page]
-            at = np.arange(len(ids))
-            if to_centre == to_centre:
-                at = np.flatnonzero(np.abs(to_centre - apart) - radii <= radius)
-            if not len(at):
-                continue
-            computed += len(at)
-            if leaf:
-                score = self.scores(x[at, :dim], q)
-                told = ids[at]
-                if row is not None:
-                    others = self.first[dim][page] + at != row
-                    score, told = score[others], told[others]
-                order = np.lexsort((told, -score))[:k]
-                for s, i in zip(score[order].tolist(), told[order].tolist()):
-                    if least is not None and s < least:
-                        break
-                    if len(best) < k:
-                        heapq.heappush(best, (s, -i))
-                    elif (s, -i) > best[0]:
-                        heapq.heapreplace(best, (s, -i))
-                    else:
-                        break
-                if len(best) == k:
-                    radius = min(radius, reach(best[0][0]))
-            else:
+        # pages opened at once: more and more, as long as the queue goes on, which costs fewer calls and at most as many distances again
+        several = 1
+        while queue and queue[0][0] <= radius:
+            leaves = []
+            for _ in range(several):
+                if not queue or queue[0][0] > radius:
+                    break
+                _, page, to_centre = heapq.heappop(queue)
+                leaf, radii, apart, ids, x = pages[page]
+                if leaf:
+                    leaves.append((page, to_centre))
+                    continue
+                at = np.arange(len(ids)) if to_centre != to_centre else np.flatnonzero(np.abs(to_centre - apart) - radii <= radius)
+                computed += len(at)
                 to = np.sqrt(np.maximum(((x[at] - long) ** 2).sum(1), 0))
                 low = np.maximum(to - radii[at], 0)
                 for j in np.flatnonzero(low <= radius):
                     heapq.heappush(queue, (float(low[j]), int(ids[at[j]]), float(to[j])))
+            several = min(2 * several, PAGE)
+            if not leaves:
+                continue
+            at, told, apart, x = self._entries(dim, leaves, radius)
+            computed += len(at)
+            score = self.scores(x, q)
+            floor = best[0][0] if len(best) == k else least
+            kept = np.ones(len(at), bool) if floor is None else score >= floor
+            if row is not None:
+                kept &= at != row
+            score, told = score[kept], told[kept]
+            order = np.lexsort((told, -score))[:k]
+            for s, i in zip(score[order].tolist(), told[order].tolist(), strict=True):
+                if len(best) < k:
+                    heapq.heappush(best, (s, -i))
+                elif (s, -i) > best[0]:
+                    heapq.heapreplace(best, (s, -i))
+                else:
+                    break
+            if len(best) == k:
+                radius = min(radius, reach(best[0][0]))
         return [(s, -i) for s, i in best], computed
 
+    def _entries(self, dim: int, leaves: list[tuple[int, float]], radius: float) -> tuple[np.ndarray, ...]:
+        """(rows, ids, distances to the centre, vectors) of the leaves' entries that the triangle inequality leaves over."""
+        parts = []
+        for page, to_centre in leaves:
+            _, _, apart, ids, x = self.pages[dim][page]
+            at = slice(None) if to_centre != to_centre else np.abs(to_centre - apart) <= radius
+            parts.append((self.first[dim][page] + np.arange(len(ids))[at], ids[at], apart[at], x[at, :dim]))
+        return tuple(np.concatenate(c) for c in zip(*parts, strict=True)) if len(parts) > 1 else parts[0]
+
 
 def _found(rows: list[tuple]) -> pa.Table:
     columns = list(zip(*rows)) or [[]] * 7
