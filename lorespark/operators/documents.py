@@ -215,6 +215,10 @@ def page_policy(pages: Column, scanned: Column, mode: str = "auto", max_pages: i
     return read if max_pages is None else F.when(pages > max_pages, "skipped").otherwise(read)
 
 
+#: Between a row's cells.
+CELL = " | "
+
+
 def _tokens(body: str) -> list[str]:
     return re.findall(r"\w+|[^\w\s]", body)
 
@@ -279,14 +283,12 @@ def halves(sized: list[tuple[str, int]]) -> tuple[list[tuple[str, int]], list[tu
 
 
 def split_table(body: str, most: int) -> list[str]:
-    """Row groups that fit, each under the first row; a row too long by itself is cut at its cells."""
+    """Row groups that fit, each under the first row; a row too long by itself is cut between its cells, and a cell too long by itself within it."""
     head, *rows = body.split("\n")
     h = len(_tokens(head))
     out, run, size = [], [], h
     for r in rows:
-        n = len(_tokens(r))
-        parts = [r] if h + n <= most else split_by_budget(r.replace(" | ", " |. "), max(1, most - h))
-        for p in parts:
+        for p in [r] if h + len(_tokens(r)) <= most else split_row(r, max(1, most - h)):
             m = len(_tokens(p))
             if run and size + m > most:
                 out.append("\n".join([head, *run]))
@@ -297,6 +299,22 @@ def split_table(body: str, most: int) -> list[str]:
     return out
 
 
+def split_row(row: str, most: int) -> list[str]:
+    """Pieces of at most ``most`` tokens; put together with ``CELL`` between them, they are the row unless a cell was too long by itself."""
+    out: list[str] = []
+    size = 0
+    for cell in row.split(CELL):
+        for p in [cell] if len(_tokens(cell)) <= most else split_by_budget(cell, most):
+            n = len(_tokens(p))
+            if out and size + 1 + n <= most:
+                out[-1] += CELL + p
+                size += 1 + n
+            else:
+                out.append(p)
+                size = n
+    return out
+
+
 def fit_header(title: str, headings: list[str], most: int) -> str:
     """Title and headings within ``most`` tokens: outer headings go first, then the title, then the end of what is left."""
     kept = list(headings)

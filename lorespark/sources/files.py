@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
 from ..functions import files, ids
+from . import tree
 
 
 def accessible(spark: SparkSession, root: str) -> bool:
@@ -17,20 +24,58 @@ def accessible(spark: SparkSession, root: str) -> bool:
         return False
 
 
+#: Bytes read at a time where a file is only hashed.
+READ = 1 << 20
+
+
 def scan(spark: SparkSession, root: str, source_id: str, patterns: list[str] = (), include: list[str] = (), max_bytes: int | None = None) -> DataFrame:
-    """(source_id, rel_path, size, mtime, content_hash, kind, language, format, content) of a folder's files that the rules don't leave out.
+    """(source_id, rel_path, size, mtime, kind, language, format, file_id, error) of a folder's files that the rules don't leave out: listed, not opened.
 
-    The listing and the hashing are Spark's; ``content`` is read only by plans that use it.
+    A folder that can't be listed is a row whose ``error`` says so; such a scan is incomplete, and nothing may be taken for deleted by it.
     """
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    base = F.regexp_replace(F.lit(root.rstrip("/")), "^[a-z]+:/*", "/")
-    path = F.regexp_replace("path", "^[a-z]+:/*", "/")
-    rel = F.substring(path, F.length(base) + 2, F.length(path))
-    f = raw.select(F.lit(source_id).alias("source_id"), rel.alias("rel_path"), F.col("length").alias("size"), F.col("modificationTime").cast("double").alias("mtime"), F.sha2("content", 256).alias("content_hash"), "content")
-    f = f.where(~files.is_ignored(f.rel_path, [*patterns], [*include]))
+    f = tree.listing(spark, root, patterns, include)
     if max_bytes is not None:
-        f = f.where(f.size <= max_bytes)
-    return f.select("source_id", "rel_path", "size", "mtime", "content_hash", files.kind(f.rel_path).alias("kind"), files.language(f.rel_path).alias("language"), files.document_format(f.rel_path).alias("format"), ids.file_id(f.source_id, f.rel_path).alias("file_id"), "content")
+        f = f.where(F.col("size").isNull() | (F.col("size") <= max_bytes))
+    p = F.col("rel_path")
+    return f.select(F.lit(source_id).alias("source_id"), "rel_path", "size", "mtime", files.kind(p).alias("kind"), files.language(p).alias("language"), files.document_format(p).alias("format"), ids.file_id(F.lit(source_id), p).alias("file_id"), "error")
+
+
+def read(found: DataFrame, root: str, content: bool = True) -> DataFrame:
+    """found(rel_path, error, ...) with ``content_hash`` and, if asked for, ``content``: only these files are opened.
+
+    Give it the files that need it, such as ``changes``' hash candidates.  A file that can't be read has an error instead.
+    """
+    names = found.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = tree.system(root.rstrip("/"))
+        for b in batches:
+            errors = b.column("error").to_pylist()
+            for i, path in enumerate(b.column("rel_path").to_pylist()):
+                digest, body = None, None
+                if errors[i] is None:
+                    try:
+                        digest, body = _read_one(store, f"{base}/{path}", content)
+                    except OSError as e:
+                        errors[i] = str(e)[:500]
+                row = b.slice(i, 1)
+                cols = [pa.array([errors[i]], pa.string()) if n == "error" else row.column(n) for n in names]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array([digest], pa.string()), *([pa.array([body], pa.binary())] if content else [])], [*names, "content_hash", *(["content"] if content else [])])
+
+    schema = StructType([*found.schema.fields, StructField("content_hash", StringType()), *([StructField("content", BinaryType())] if content else [])])
+    # dealt out by chance, as a folder's large files lie together
+    cores = found.sparkSession.sparkContext.defaultParallelism
+    return found.repartition(4 * cores, F.xxhash64("rel_path")).mapInArrow(run, schema)
+
+
+def _read_one(store: fs.FileSystem, path: str, content: bool) -> tuple[str, bytes | None]:
+    h, kept = hashlib.sha256(), []
+    with store.open_input_stream(path) as f:
+        while part := f.read(READ):
+            h.update(part)
+            if content:
+                kept.append(part)
+    return h.hexdigest(), b"".join(kept) if content else None
 
 
 def only(scanned: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:

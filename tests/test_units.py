@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +12,7 @@ from lorespark import config
 from lorespark.functions import files, routing, text
 from lorespark.operators import changes, code, documents, evidence, graph, lexical, neighbours, ranking
 from lorespark.sources import files as file_source
+from lorespark.sources import tree
 from lorespark.sources.store import Store
 from lorespark.streaming import events
 
@@ -286,14 +289,67 @@ def test_store_publishes_and_restores(spark, tmp_path):
 
 
 def test_folder_scan(spark, tmp_path):
-    for n, body in (("a.py", "x"), ("sub/b.md", "# b"), ("node_modules/c.js", "c"), ("id_rsa", "k"), ("d.log", "l")):
-        (tmp_path / n).parent.mkdir(exist_ok=True)
+    for n, body in (("a.py", "x"), ("sub/b.md", "# b"), ("node_modules/c.js", "c"), ("id_rsa", "k"), ("d.log", "l"), ("sub/deep/e.tmp", "t"), ("sub/deep/f.txt", "f"), ("keep.log", "k"), (".gitignore", "# c\n*.tmp\nprivate/\n"), ("private/g.txt", "g")):
+        (tmp_path / n).parent.mkdir(exist_ok=True, parents=True)
         (tmp_path / n).write_text(body)
-    found = file_source.scan(spark, f"file://{tmp_path}", "s", ["*.log"])
-    assert sorted((r["rel_path"], r["kind"], r["language"]) for r in found.collect()) == [("a.py", "code", "python"), ("sub/b.md", "document", None)]
+    (tmp_path / "link.txt").symlink_to(tmp_path / "a.py")
+    # a file that no one could read whole, in a folder that is left out
+    with open(tmp_path / "node_modules/huge.bin", "wb") as f:
+        f.truncate(3 << 30)
+    root = f"file://{tmp_path}"
+    found = file_source.scan(spark, root, "s", ["*.log"], ["keep.log"])
+    names = ["a.py", "sub/b.md", "sub/deep/f.txt", "keep.log", ".gitignore"]
+    assert sorted(r["rel_path"] for r in found.collect()) == sorted(names)
+    assert {(r["rel_path"], r["kind"], r["language"]) for r in found.collect()} >= {("a.py", "code", "python"), ("sub/b.md", "document", None)}
+    assert sorted(r["rel_path"] for r in file_source.scan(spark, root, "s", ["*.log"], max_bytes=1).collect()) == ["a.py", "sub/deep/f.txt"]
+    got = {r["rel_path"]: (r["content_hash"], bytes(r["content"])) for r in file_source.read(found, root).collect()}
+    assert got["a.py"] == (hashlib.sha256(b"x").hexdigest(), b"x") and len(got) == 5
+    assert "content" not in file_source.read(found, root, content=False).columns
     hit, missing = file_source.only(found, spark.createDataFrame([("sub/",), ("zz",)], "rel_path string"))
-    assert [r["rel_path"] for r in hit.collect()] == ["sub/b.md"] and [r["asked"] for r in missing.collect()] == ["zz"]
-    assert file_source.accessible(spark, f"file://{tmp_path}") and not file_source.accessible(spark, f"file://{tmp_path}/none")
+    assert sorted(r["rel_path"] for r in hit.collect()) == ["sub/b.md", "sub/deep/f.txt"] and [r["asked"] for r in missing.collect()] == ["zz"]
+    assert file_source.accessible(spark, root) and not file_source.accessible(spark, f"{root}/none")
+
+
+def test_folder_scan_opens_and_lists_only_what_is_left(tmp_path, monkeypatch):
+    for n in ("a.py", "node_modules/c.js", "node_modules/x/d.js", "sub/target/e.o", "sub/f.txt", "sub/x/g.txt"):
+        (tmp_path / n).parent.mkdir(exist_ok=True, parents=True)
+        (tmp_path / n).write_text(n)
+    listed, real = [], tree.TreeReader._list
+    monkeypatch.setattr(tree.TreeReader, "_list", lambda self, store, base, folder, ignored: (listed.append(folder), real(self, store, base, folder, ignored))[1])
+    for spread in (1, 2, 64):
+        listed.clear()
+        reader = tree.TreeReader({"path": str(tmp_path), "spread": str(spread)})
+        rows = [r for part in reader.partitions() for b in reader.read(part) for r in b.to_pylist()]
+        assert sorted(r["rel_path"] for r in rows) == ["a.py", "sub/f.txt", "sub/x/g.txt"] and {*listed} == {"", "sub", "sub/x"}
+
+
+def test_folder_scan_tells_what_it_cannot_read(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("a")
+    (tmp_path / "b.txt").write_text("b")
+    found = file_source.scan(spark, f"file://{tmp_path}", "s").collect()
+    (tmp_path / "b.txt").unlink()
+    rows = spark.createDataFrame(found, file_source.scan(spark, f"file://{tmp_path}", "s").schema)
+    got = {r["rel_path"]: (r["error"] is None, r["content_hash"]) for r in file_source.read(rows, f"file://{tmp_path}").collect()}
+    assert got == {"a.txt": (True, hashlib.sha256(b"a").hexdigest()), "b.txt": (False, None)}
+    reader = tree.TreeReader({"path": str(tmp_path / "none")})
+    rows = [r for part in reader.partitions() for b in reader.read(part) for r in b.to_pylist()]
+    assert len(rows) == 1 and rows[0]["error"]
+
+
+def test_split_table_keeps_its_cells():
+    rows = ["h1 | h2", *(" | ".join(f"cell{i * 7 + j} word" for j in range(6)) for i in range(4)), "short | row", "one cell that is far too long for any chunk of this size by itself | x"]
+    for most in (6, 8, 12, 20, 60):
+        parts = documents.split_table("\n".join(rows), most)
+        assert all(p.split("\n")[0] == rows[0] for p in parts)
+        body = [line for p in parts for line in p.split("\n")[1:]]
+        words = lambda lines: " ".join(lines).replace("|", " ").split()
+        assert words(body) == words(rows[1:])
+        assert all(len(documents._tokens(p)) <= most for p in parts)
+        # pieces of a row, put together at their cells, are the row
+        text, at = " | ".join(body), 0
+        for r in rows[1:-1]:
+            assert text[at:].startswith(r)
+            at += len(r) + 3
 
 
 def test_settings(tmp_path):
