@@ -127,7 +127,8 @@ def held(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of three letters and more that two documents hold at least, as symbols their first document defines; (name, qualified_name, kind, file, source, start_line, id)."""
-    e = held(spark, sf_dir).groupBy("name").agg(F.count("*").alias("held"), F.min("doc_id").alias("doc_id")).where("held >= 2 and length(name) >= 3")
+    # by the index's own blocks: how many documents hold a word, and the first of them, without opening any
+    e = index(spark, sf_dir).terms().where("n >= 2 and length(term) >= 3").select(F.col("term").alias("name"), F.col("first").alias("doc_id"))
     e = e.join(scan(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id").withColumn("first", F.struct("doc_id", "source"))
     q = F.concat_ws(".", F.col("first.source"), F.concat(F.lit("d"), F.col("first.doc_id")), F.col("name"))
     return e.select(

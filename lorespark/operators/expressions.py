@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -70,12 +72,22 @@ def leaves(tree: tuple) -> list[tuple]:
     return [x for p in tree[1] for x in leaves(p)] if tree[0] in ("and", "or") else [tree]
 
 
+def _distinct(tree: tuple) -> list[tuple]:
+    return list(dict.fromkeys((k, tuple(v) if k == "phrase" else v) for k, v in leaves(tree)))
+
+
+def _value(tree: tuple, at: dict[tuple, Column]) -> Column:
+    if tree[0] in ("and", "or"):
+        return reduce(Column.__and__ if tree[0] == "and" else Column.__or__, (_value(x, at) for x in tree[1]))
+    return at[(tree[0], tuple(tree[1]) if tree[0] == "phrase" else tree[1])]
+
+
 def matches(records: DataFrame, key: str, field: str, tree: tuple) -> DataFrame:
     """(key) of the records an expression holds for.
 
     All terms and prefixes come from one pass over the postings, pivoted to one truth a leaf; phrases join as semi-joins on their own.
     """
-    parts = list(dict.fromkeys((k, tuple(v) if k == "phrase" else v) for k, v in leaves(tree)))
+    parts = _distinct(tree)
     posted = records.select(key, F.explode_outer(F.array_distinct(text.lower_words(field))).alias("w"))
     truth = [F.coalesce(F.bool_or(F.col("w") == v if k == "term" else F.startswith("w", F.lit(v))), F.lit(False)).alias(f"p{i}") for i, (k, v) in enumerate(parts) if k != "phrase"]
     rows = posted.groupBy(key).agg(*(truth or [F.count("*").alias("_n")]))
@@ -83,14 +95,24 @@ def matches(records: DataFrame, key: str, field: str, tree: tuple) -> DataFrame:
         if k == "phrase":
             asked = records.sparkSession.createDataFrame([(0, list(v))], "query_id int, words array<string>")
             rows = rows.join(lexical.phrase_hits(records, key, field, asked).select(key).withColumn(f"p{i}", F.lit(True)), key, "left").fillna(False, [f"p{i}"])
-    at = {p: F.col(f"p{i}") for i, p in enumerate(parts)}
+    return rows.where(_value(tree, {p: F.col(f"p{i}") for i, p in enumerate(parts)})).select(key)
+
 
-    def value(t: tuple):
-        if t[0] in ("and", "or"):
-            out = value(t[1][0])
-            for x in t[1][1:]:
-                out = out & value(x) if t[0] == "and" else out | value(x)
-            return out
-        return at[(t[0], tuple(t[1]) if t[0] == "phrase" else t[1])]
+def indexed(index: lexical.Index, tree: tuple) -> DataFrame:
+    """(key) of the records of a stored index that an expression holds for: its leaves' postings only, and no record, is read.
 
-    return rows.where(value(tree)).select(key)
+    An expression has no negation, so a record it holds for has one leaf's postings at least.
+    """
+    parts = _distinct(tree)
+    words = [(i, k, v) for i, (k, v) in enumerate(parts) if k != "phrase"]
+    found = []
+    if words:
+        of = lambda i, k, v: F.when(F.col("term") == v if k == "term" else F.startswith("term", F.lit(v)), F.lit(i))
+        met = F.filter(F.array(*(of(*w) for w in words)), lambda x: x.isNotNull())
+        any_of = reduce(Column.__or__, (F.col("term") == v if k == "term" else F.startswith("term", F.lit(v)) for _, k, v in words))
+        found.append(index.posted(lambda b: b.where(any_of)).select(index.key, F.explode(met).alias("leaf")))
+    if phrases := [(i, list(v)) for i, (k, v) in enumerate(parts) if k == "phrase"]:
+        asked = index.spark.createDataFrame(phrases, "query_id int, words array<string>")
+        found.append(index.phrases(asked).select(index.key, F.col("query_id").alias("leaf")))
+    rows = reduce(DataFrame.unionByName, found).groupBy(index.key).agg(*(F.bool_or(F.col("leaf") == i).alias(f"p{i}") for i in range(len(parts))))
+    return rows.where(_value(tree, {p: F.col(f"p{i}") for i, p in enumerate(parts)})).select(index.key)

@@ -1,22 +1,35 @@
 """Full-text retrieval: postings, BM25, query tiers, lookups, snippets.
 
-An index (``Index``) is built once, by one pass over the records, and stored; queries read only the postings of their own terms, which files are
+An index (``Index``) is built once, by one pass over the records, kept up by what changes, and stored; queries read only the blocks of their own terms, which files are
 sorted by.  Phrase, prefix and term queries over records of the moment use a plain exploded view.
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
+import uuid
+from collections.abc import Callable
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .. import shared
 from ..functions import text
+from ..sources import generations
+from . import postings as blocks
 
 K1, B = 1.2, 0.75
 #: Up to this many terms are looked up by a filter that the scan of the postings can skip files by; more by a join.
 FEW_TERMS = 1000
 #: Of the stored tables; another one is built anew.
-FORMAT = 2
+FORMAT = 3
+#: Records of a part, which a task searches; of a file; queries that a task takes at once; segments of like size that are merged.
+PART_RECORDS, FILE_RECORDS, QUERIES, TIER = 200_000, 20_000, 1000, 4
 
 
 def postings(records: DataFrame, key: str, fields: dict[str, float]) -> DataFrame:
@@ -31,57 +44,291 @@ def postings(records: DataFrame, key: str, fields: dict[str, float]) -> DataFram
     return listed.select(key, "length", F.explode("w").alias("p")).select(key, "length", "p.term", "p.weight")
 
 
+class ConflictError(generations.ConflictError):
+    """Another update of the index has been published first."""
+
+
 class Index:
-    """Stored postings (term, key, length, f), terms (term, n), lengths (key, length) and statistics (total, mean): of each record's words their weighted number, of each term its records, of each record its length, and of all their number and mean length."""
+    """A stored full-text index: segments of positional postings in blocks (``postings``), tombstones, and numbered generations that say which of them count.
+
+    Records have whole numbers as keys.  Each is in one of ``parts`` by its key's hash, and a part's blocks of the asked terms are what a task searches.  A segment's blocks are
+    sorted by part and term, so a scan for a few terms skips files and row groups; how often a term occurs, and where first, is said by the blocks' own columns
+    without opening any.  ``update`` adds a segment for records that are new or changed and tombstones for those that are gone, and merges segments
+    of like size, which drops what is dead; only the records given to it are taken apart.
+    """
 
-    def __init__(self, spark: SparkSession, path: str, key: str):
-        self.key = key
-        self.postings, self.terms, self.lengths, self.statistics = (spark.read.parquet(f"{path}/{x}") for x in ("postings", "terms", "lengths", "statistics"))
+    def __init__(self, spark: SparkSession, path: str, key: str, generation: int | None = None):
+        self.spark, self.path, self.key = spark, path, key
+        self.log = generations.Generations(spark, f"{path}/generations")
+        self.generation = self.log.latest() if generation is None else generation
+        self.state = self.log.read(self.generation)
+        self.fields = self.state["fields"]
+        self.weights = np.array([w for _, w in self.fields], np.float64)
 
-    @staticmethod
-    def build(records: DataFrame, key: str, fields: dict[str, float], path: str) -> None:
+    # ---- building and keeping up ----
+
+    @classmethod
+    def build(cls, records: DataFrame, key: str, fields: dict[str, float], path: str) -> Index:
+        """A new index of records at path, as its first generation."""
         spark = records.sparkSession
-        held = postings(records, key, fields).groupBy("term", key, "length").agg(F.sum("weight").alias("f"))
-        # in term order, a frequent term's postings over as many files as they fill
-        held.repartitionByRange("term", key).sortWithinPartitions("term", key).write.parquet(f"{path}/postings")
-        spark.read.parquet(f"{path}/postings").groupBy("term").agg(F.count("*").alias("n")).write.parquet(f"{path}/terms")
-        records.select(key, sum((F.size(text.lower_words(f)) for f in fields), F.lit(0)).cast("long").alias("length")).write.parquet(f"{path}/lengths")
-        Index._measured(spark.read.parquet(f"{path}/lengths")).write.parquet(f"{path}/statistics")
+        named = [[f, float(w)] for f, w in fields.items()]
+        lengths = records.select(F.col(key).cast("long").alias("key"), cls._length(named).alias("length"))
+        lengths.write.parquet(f"{path}/first/lengths")
+        n, total = spark.read.parquet(f"{path}/first/lengths").agg(F.count("*"), F.sum("length")).first()
+        state = {"fields": named, "parts": max(1, n // PART_RECORDS), "segments": [{"name": "first", "records": n, "length": total or 0}], "dead": None, "dead_records": 0, "dead_length": 0}
+        cls._write_segment(records, key, named, state["parts"], f"{path}/first", n)
+        generations.Generations(spark, f"{path}/generations").publish(0, state)
+        return cls(spark, path, key)
 
     @staticmethod
-    def _measured(lengths: DataFrame) -> DataFrame:
-        return lengths.agg(F.count("*").cast("double").alias("total"), F.avg("length").alias("mean"))
+    def _length(fields: list) -> Column:
+        return sum((F.size(F.coalesce(text.lower_words(f), F.array())) for f, _ in fields), F.lit(0)).cast("long")
+
+    @staticmethod
+    def _write_segment(records: DataFrame, key: str, fields: list, parts: int, path: str, n: int) -> None:
+        weights = np.array([w for _, w in fields], np.float64)
+        k = F.col(key).cast("long")
+        taken = records.select(F.pmod(F.xxhash64(k), F.lit(parts)).cast("int").alias("part"), k.alias("key"), *(text.lower_words(f).alias(f"w{i}") for i, (f, _) in enumerate(fields))).where("key is not null")
+        Index._write_blocks(taken.mapInArrow(blocks.invert(len(fields), weights), blocks.SCHEMA), len(fields), weights, path, n)
+
+    @staticmethod
+    def _write_blocks(small: DataFrame, fields: int, weights: np.ndarray, path: str, n: int) -> None:
+        """Blocks, dead keys among their columns or not, as a segment's: merged and sorted by part and term, files by the number of records."""
+        files = max(1, -(-n // FILE_RECORDS)) if n > FILE_RECORDS else min(4, small.sparkSession.sparkContext.defaultParallelism)
+        dealt = small.repartitionByRange(files, "part", "term", "low").sortWithinPartitions("part", "term", "low")
+        dealt.mapInArrow(blocks.merge(fields, weights), blocks.SCHEMA).write.parquet(f"{path}/blocks")
 
     @classmethod
     def stored(cls, scan: DataFrame, records: DataFrame, key: str, fields: dict[str, float], name: str) -> Index:
-        """The index of records made from the files of ``scan``, built if those files have none of that name yet."""
-        return cls(scan.sparkSession, shared.built(scan, f"{name}-{FORMAT}", lambda path: cls.build(records, key, fields, path)), key)
+        """The index of records made from the files of ``scan``, built if those files have none of that name and definition yet."""
+        definition = hashlib.sha256(json.dumps([FORMAT, key, list(fields.items()), text.WORD_GAP]).encode()).hexdigest()[:12]
+        return cls(scan.sparkSession, shared.built(scan, f"{name}-{definition}", lambda path: cls.build(records, key, fields, path)), key)
 
-    def search(self, queries: DataFrame, k: int | None, among: DataFrame | None = None) -> DataFrame:
-        """(query_id, key, score, rank): queries(query_id, terms) ranked by weighted BM25; ties by key; the best k of each, or all.
+    def copy(self, path: str) -> Index:
+        """The same index under another path, to be updated apart: this generation's files are read from where they are."""
+        state = self.state | {"segments": [s | {"at": s.get("at", f"{self.path}/{s['name']}")} for s in self.state["segments"]]}
+        generations.Generations(self.spark, f"{path}/generations").publish(0, state)
+        return Index(self.spark, path, self.key)
 
-        With ``among``, a table of keys, only those records are there: for the ranking, the frequencies and the mean length.
+    def update(self, gone: DataFrame, records: DataFrame) -> Index:
+        """The next generation: without the records whose keys ``gone`` or ``records`` hold, and with records.
+
+        Raises ConflictError, and changes nothing, if another update of this generation was published first.
         """
-        asked = queries.select("query_id", F.explode(F.array_distinct("terms")).alias("term"))
-        posted, terms = self.postings, self.terms
+        name = f"segment-{uuid.uuid4().hex[:12]}"
+        at = f"{self.path}/{name}"
+        lengths = records.select(F.col(self.key).cast("long").alias("key"), self._length(self.fields).alias("length")).where("key is not null")
+        lengths.write.parquet(f"{at}/lengths")
+        lengths = self.spark.read.parquet(f"{at}/lengths")
+        n, total = lengths.agg(F.count("*"), F.sum("length")).first()
+        state = dict(self.state)
+        leaving = gone.select(F.col(self.key).cast("long").alias("key")).unionByName(lengths.select("key")).distinct()
+        dead_at = f"{at}/dead"
+        dead = self._live_lengths().join(leaving, "key", "left_semi")
+        (dead.unionByName(self._dead()) if self.state["dead"] else dead).write.parquet(dead_at)
+        m, lost = self.spark.read.parquet(dead_at).agg(F.count("*"), F.sum("length")).first()
+        state |= {"dead": dead_at if m else None, "dead_records": m, "dead_length": lost or 0}
+        if n:
+            self._write_segment(records, self.key, self.fields, self.state["parts"], at, n)
+            state["segments"] = [*state["segments"], {"name": name, "records": n, "length": total or 0}]
+        try:
+            self.log.publish(self.generation, state)
+        except generations.ConflictError as e:
+            shared.drop(self.spark, at)
+            raise ConflictError(str(e)) from e
+        new = Index(self.spark, self.path, self.key)
+        return new.merged() if new._tier() else new
+
+    def _tier(self) -> list[dict]:
+        """Segments to merge: TIER of like size, or all that are mostly dead."""
+        by: dict[int, list[dict]] = {}
+        for s in self.state["segments"]:
+            by.setdefault(int(np.log(max(s["records"], 1)) / np.log(TIER)), []).append(s)
+        return next((s for _, s in sorted(by.items()) if len(s) >= TIER), [] if 2 * self.state["dead_records"] <= sum(s["records"] for s in self.state["segments"]) else self.state["segments"])
+
+    def merged(self, segments: list[str] | None = None) -> Index:
+        """The next generation with these segments, or a tier's, made one, without what of them is dead."""
+        names = {s["name"] for s in self._tier()} if segments is None else {*segments}
+        if not names:
+            return self
+        name = f"segment-{uuid.uuid4().hex[:12]}"
+        at = f"{self.path}/{name}"
+        lengths = self._live_lengths().where(F.col("segment").isin(*names)).drop("segment")
+        lengths.write.parquet(f"{at}/lengths")
+        n, total = self.spark.read.parquet(f"{at}/lengths").agg(F.count("*"), F.sum("length")).first()
+        small = self._blocks(names)
+        if self.state["dead"]:
+            # a part's dead keys are fewer than its records
+            part = F.pmod(F.xxhash64("key"), F.lit(self.state["parts"])).cast("int")
+            dead = self._dead().groupBy("segment", part.alias("part")).agg(F.collect_list("key").alias("dead"))
+            small = small.join(dead, ["segment", "part"], "left")
+        self._write_blocks(small.drop("segment"), len(self.fields), self.weights, at, n)
+        state = dict(self.state)
+        state["segments"] = [*(s for s in state["segments"] if s["name"] not in names), {"name": name, "records": n, "length": total or 0}]
+        rest = self._dead().where(~F.col("segment").isin(*names)) if self.state["dead"] else None
+        if rest is not None:
+            rest.write.parquet(f"{at}/dead")
+            m, lost = self.spark.read.parquet(f"{at}/dead").agg(F.count("*"), F.sum("length")).first()
+            state |= {"dead": f"{at}/dead" if m else None, "dead_records": m, "dead_length": lost or 0}
+        self.log.publish(self.generation, state)
+        return Index(self.spark, self.path, self.key)
+
+    # ---- what is stored ----
+
+    def _at(self, segment: dict) -> str:
+        return segment.get("at", f"{self.path}/{segment['name']}")
+
+    def _each(self, table: str, names: set[str] | None = None) -> DataFrame:
+        found = [self.spark.read.parquet(f"{self._at(s)}/{table}").withColumn("segment", F.lit(s["name"])) for s in self.state["segments"] if names is None or s["name"] in names]
+        return reduce(DataFrame.unionByName, found)
+
+    def _blocks(self, names: set[str] | None = None) -> DataFrame:
+        return self._each("blocks", names)
+
+    def _dead(self) -> DataFrame:
+        """(key, length, segment) of the records that are gone, by the segment that still holds them."""
+        return self.spark.read.parquet(self.state["dead"])
+
+    def _live_lengths(self) -> DataFrame:
+        rows = self._each("lengths")
+        return rows.join(self._dead().select("segment", "key"), ["segment", "key"], "left_anti").select("key", "length", "segment") if self.state["dead"] else rows.select("key", "length", "segment")
+
+    @property
+    def lengths(self) -> DataFrame:
+        """(key, length) of every record."""
+        return self._live_lengths().select(F.col("key").alias(self.key), "length")
+
+    @property
+    def measured(self) -> tuple[int, float]:
+        """(number of records, their mean length)"""
+        n = sum(s["records"] for s in self.state["segments"]) - self.state["dead_records"]
+        return n, (sum(s["length"] for s in self.state["segments"]) - self.state["dead_length"]) / max(n, 1)
+
+    def posted(self, terms: Callable[[DataFrame], DataFrame] = lambda b: b) -> DataFrame:
+        """(term, key, length, f) of the live postings; ``terms`` filters the blocks before any is opened."""
+        b = terms(self._blocks()).select("term", "low", "n", "keys", "sizes", "counts", *(["segment"] if self.state["dead"] else []))
+        rows = b.mapInArrow(blocks.rows(self.weights), "term string, key long, length long, f double" + (", segment string" if self.state["dead"] else ""))
+        if self.state["dead"]:
+            rows = rows.join(self._dead().select("segment", "key"), ["segment", "key"], "left_anti").drop("segment")
+        return rows.withColumnRenamed("key", self.key)
+
+    @property
+    def postings(self) -> DataFrame:
+        return self.posted()
+
+    def terms(self, asked: Callable[[DataFrame], DataFrame] = lambda b: b) -> DataFrame:
+        """(term, n, first): of each term the number of records that hold it and the smallest key; without tombstones by the blocks' own columns, none opened."""
+        if self.state["dead"]:
+            return self.posted(asked).groupBy("term").agg(F.count("*").alias("n"), F.min(self.key).alias("first"))
+        return asked(self._blocks().select("term", "n", "low")).groupBy("term").agg(F.sum("n").alias("n"), F.min("low").alias("first"))
+
+    # ---- queries ----
+
+    @staticmethod
+    def _only(asked: DataFrame) -> Callable[[DataFrame], DataFrame]:
+        """A filter of blocks to the terms of asked(term): few by a predicate that the scan skips files by, more by a join."""
         few = [r["term"] for r in asked.select("term").distinct().limit(FEW_TERMS + 1).collect()]
         if len(few) <= FEW_TERMS:
-            posted, terms = posted.where(F.col("term").isin(few)), terms.where(F.col("term").isin(few))
-        statistics = self.statistics
-        if among is not None:
-            posted = posted.join(among.select(self.key), self.key, "left_semi")
-            terms = posted.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
-            statistics = self._measured(self.lengths.join(among.select(self.key), self.key, "left_semi"))
-        total, mean = (statistics.select(c).scalar() for c in ("total", "mean"))
+            return lambda b: b.where(F.col("term").isin(few))
+        return lambda b: b.join(asked.select("term").distinct(), "term", "left_semi")
+
+    def _in_parts(self, asked: DataFrame, only: Callable[[DataFrame], DataFrame], places: bool, run: Callable[[blocks.Shard, list[dict]], list[dict]], out: str) -> DataFrame:
+        """What ``run`` makes of each part's blocks of the asked terms and the queries' rows asked(query_id, term, ...), in batches of QUERIES queries."""
+        batches = -(-asked.select("query_id").distinct().count() // QUERIES) or 1
+        asked = asked.withColumn("batch", F.pmod(F.xxhash64("query_id"), F.lit(batches)).cast("int"))
+        wanted = ["part", "term", "low", "high", "n", "most", "least", "keys", "sizes", "counts", *(["places"] if places else []), *(["segment"] if self.state["dead"] else [])]
+        b = only(self._blocks()).select(*wanted)
+        b = b.withColumn("batch", F.lit(0)) if batches == 1 else b.join(asked.select("term", F.col("batch").alias("of")).distinct(), "term").withColumn("batch", F.col("of") + 0).drop("of")
+        every = F.explode(F.sequence(F.lit(0), F.lit(self.state["parts"] - 1)))
+        nothing = {c: F.lit(None).cast(t) for c, t in asked.dtypes if c != "batch"}
+        right = asked.select(every.alias("part"), "batch", *nothing, F.lit(None).cast("string").alias("segment"), F.lit(None).cast("array<long>").alias("dead"))
+        if self.state["dead"]:
+            part = F.pmod(F.xxhash64("key"), F.lit(self.state["parts"])).cast("int")
+            gone = self._dead().groupBy(part.alias("part"), "segment").agg(F.sort_array(F.collect_list("key")).alias("dead"))
+            right = right.unionByName(gone.select("part", F.explode(F.sequence(F.lit(0), F.lit(batches - 1))).alias("batch"), *(c.alias(n) for n, c in nothing.items()), "segment", "dead"))
+        weights, names, schema = self.weights, list(nothing), out
+
+        def meet(key: tuple, held: pa.Table, asked_rows: pa.Table) -> pa.Table:
+            if not held.num_rows or not asked_rows.num_rows:
+                return pa.Table.from_pylist([], arrow)
+            all_rows = asked_rows.to_pylist()
+            dead = {r["segment"]: np.array(r["dead"], np.int64) for r in all_rows if r["dead"] is not None}
+            shard = blocks.Shard(held, weights, dead)
+            return pa.Table.from_pylist(run(shard, [{n: r[n] for n in names} for r in all_rows if r["dead"] is None]), arrow)
+
+        arrow = to_arrow_schema(self.spark.createDataFrame([], schema).schema)
+        return b.groupBy("part", "batch").cogroup(right.groupBy("part", "batch")).applyInArrow(meet, schema)
+
+    def scored(self, queries: DataFrame, k: int | None) -> DataFrame:
+        """(query_id, key, score, blocks, opened): of each part the best records by MaxScore; and for each query and part a row without a key that says of how many blocks so many were opened."""
+        asked = queries.select("query_id", F.explode(F.array_distinct("terms")).alias("term"))
+        only = self._only(asked)
+        total, mean = self.measured
         raw = F.log((total - F.col("n") + 0.5) / (F.col("n") + 0.5))
-        idf = F.when(raw > 0, raw).otherwise(1e-6)
-        gain = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("length") / mean))
-        # the queries' terms with their frequencies are few beside the postings they meet
-        met = posted.join(asked.join(terms, "term"), "term").select("query_id", self.key, gain.alias("gain"))
-        scored = met.groupBy("query_id", self.key).agg(F.round(F.sum("gain"), 6).alias("score"))
-        ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), self.key)).cast("long"))
+        asked = asked.join(self.terms(only), "term").select("query_id", "term", F.when(raw > 0, raw).otherwise(1e-6).alias("idf"))
+
+        def run(shard: blocks.Shard, rows: list[dict]) -> list[dict]:
+            out, by = [], {}
+            for r in rows:
+                by.setdefault(r["query_id"], []).append((r["term"], r["idf"]))
+            for query, terms in by.items():
+                keys, scores, n, opened = blocks.best(shard, terms, k, lambda idf: lambda f, length: idf * f * (K1 + 1) / (f + K1 * (1 - B + B * length / mean)))
+                out.append({"query_id": query, "blocks": n, "opened": opened})
+                out += [{"query_id": query, "key": i, "score": s} for i, s in zip(keys.tolist(), scores.tolist(), strict=True)]
+            return out
+
+        kind = queries.schema["query_id"].dataType.simpleString()
+        return self._in_parts(asked, only, False, run, f"query_id {kind}, key long, score double, blocks long, opened long")
+
+    def search(self, queries: DataFrame, k: int | None, among: DataFrame | None = None) -> DataFrame:
+        """(query_id, key, score, rank): queries(query_id, terms) ranked by weighted BM25; ties by key; the best k of each, or all.
+
+        With ``among``, a table of keys, only those records are there: for the ranking, the frequencies and the mean length.
+        """
+        if among is None:
+            found = self.scored(queries, k).where("key is not null").select("query_id", F.col("key").alias(self.key), F.round("score", 6).alias("score"))
+        else:
+            asked = queries.select("query_id", F.explode(F.array_distinct("terms")).alias("term"))
+            posted = self.posted(self._only(asked)).join(among.select(self.key), self.key, "left_semi")
+            terms = posted.groupBy("term").agg(F.count("*").alias("n"))
+            measured = self.lengths.join(among.select(self.key), self.key, "left_semi").agg(F.count("*").cast("double").alias("total"), F.avg("length").alias("mean"))
+            total, mean = (measured.select(c).scalar() for c in ("total", "mean"))
+            raw = F.log((total - F.col("n") + 0.5) / (F.col("n") + 0.5))
+            gain = F.when(raw > 0, raw).otherwise(1e-6) * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("length") / mean))
+            # the queries' terms with their frequencies are few beside the postings they meet
+            met = posted.join(asked.join(terms, "term"), "term").select("query_id", self.key, gain.alias("gain"))
+            found = met.groupBy("query_id", self.key).agg(F.round(F.sum("gain"), 6).alias("score"))
+        ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), self.key)).cast("long"))
         return ranked if k is None else ranked.where(F.col("rank") <= k)
 
+    def matched(self, queries: DataFrame) -> DataFrame:
+        """(query_id, key, matched, wanted): how many of a query's terms a record holds; no record is read."""
+        asked = queries.select("query_id", F.size(F.array_distinct("terms")).cast("long").alias("wanted"), F.explode(F.array_distinct("terms")).alias("term"))
+        held = self.posted(self._only(asked)).select("term", self.key)
+        return held.join(asked, "term").groupBy("query_id", self.key, "wanted").agg(F.count("*").alias("matched"))
+
+    def phrases(self, phrases: DataFrame) -> DataFrame:
+        """(query_id, key): records whose first field holds all the words of phrases(query_id, words) one after another; no record is read."""
+        asked = phrases.where(F.size("words") > 0).select("query_id", F.posexplode("words").alias("offset", "term"))
+
+        def run(shard: blocks.Shard, rows: list[dict]) -> list[dict]:
+            by: dict = {}
+            for r in rows:
+                by.setdefault(r["query_id"], []).append((r["offset"], r["term"]))
+            return [{"query_id": q, "key": i} for q, w in by.items() for i in blocks.phrase(shard, [t for _, t in sorted(w)]).tolist()]
+
+        kind = phrases.schema["query_id"].dataType.simpleString()
+        return self._in_parts(asked, self._only(asked), True, run, f"query_id {kind}, key long").withColumnRenamed("key", self.key)
+
+    def prefixes(self, queries: DataFrame, least: int = 4) -> DataFrame:
+        """(query_id, key): records that hold every term, those of ``least`` letters and more as prefixes; terms are expanded by the index's own, joined on their first letters."""
+        asked = queries.select("query_id", F.size(F.array_distinct("terms")).alias("wanted"), F.explode(F.array_distinct("terms")).alias("asked")).withColumn("head", F.substring("asked", 1, least))
+        names = self._blocks().select("term").distinct().withColumn("head", F.substring("term", 1, least))
+        same = F.when(F.length("asked") >= least, F.startswith("term", F.col("asked"))).otherwise(F.col("term") == F.col("asked"))
+        meant = shared.written(asked.join(names, "head").where(same).select("query_id", "wanted", "asked", "term"), "prefixes")
+        hits = self.posted(self._only(meant)).select("term", self.key).join(meant, "term").select("query_id", self.key, "wanted", "asked").distinct()
+        return hits.groupBy("query_id", self.key, "wanted").count().where("count = wanted").select("query_id", self.key)
+
 
 def matched_terms(records: DataFrame, key: str, field: str, queries: DataFrame) -> DataFrame:
     """(query_id, key, matched, wanted): how many of a query's terms a record holds."""

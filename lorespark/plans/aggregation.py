@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from .. import corpus
 from ..functions import ids
 from ..operators import graph
-from ..operators import lexical as lex
 from . import lexical as lexical_plans
 from ._base import query
 
@@ -109,7 +108,7 @@ def a15_retrieval_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..functions import text
 
     # relevant: documents that hold the item's text; found among those that hold all its words in order, then compared as they are
-    near = lex.phrase_hits(d, "doc_id", "text", b.select("query_id", text.lower_words("text").alias("words")))
+    near = corpus.index(spark, sf_dir).phrases(b.select("query_id", text.lower_words("text").alias("words")))
     rel = near.join(d.select("doc_id", F.col("text").alias("body")), "doc_id").join(b, "query_id").where(F.contains("body", F.col("text"))).select("query_id", "doc_id")
     hits = corpus.index(spark, sf_dir).search(corpus.queries(spark, sf_dir), 10)
     total = rel.groupBy("query_id").agg(F.count("*").alias("total"))

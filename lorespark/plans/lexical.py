@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .. import corpus
+from .. import corpus, shared
 from ..functions import text
 from ..operators import lexical as op
 from ._base import query
@@ -42,10 +42,24 @@ def v1_bm25_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.Index.stored(corpus.scan(spark, sf_dir, "documents"), records, "doc_id", _FIELDS, "documents-fields").search(corpus.queries(spark, sf_dir), 10)
 
 
+_AFTER = f"""WITH o AS ({corpus.FILES}), s AS ({corpus.FILES_AFTER}) SELECT d.doc_id, CASE WHEN contains(text, '###') THEN text || '!' ELSE text END AS text FROM documents d JOIN s USING (doc_id)"""
+
+
+@query("s14_index_upkeep", f"SELECT *, (SELECT count(*) FROM documents WHERE contains(text, '###') AND NOT (lang = 'de' AND source = 'src3')) AS taken_apart FROM ({_bm25_sql(_AFTER, 'doc_id', {'text': 1}, 10)})")
+def s14_index_upkeep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored index brought up to the next scan: only records whose content changed are taken apart, and the ranking is a full build's."""
+    old, new = corpus.files(spark, sf_dir).select("doc_id", "content_hash"), corpus.files_after(spark, sf_dir).select("doc_id", F.col("content_hash").alias("now"))
+    both = shared.written(old.join(new, "doc_id", "full").where(~F.col("content_hash").eqNullSafe(F.col("now"))), "changed")
+    edited = both.where("now is not null").select("doc_id")
+    records = corpus.table(spark, sf_dir, "documents").join(edited, "doc_id", "left_semi").select("doc_id", F.concat("text", F.lit("!")).alias("text"))
+    index = corpus.index(spark, sf_dir).copy(shared.folder(spark, "upkeep")).update(both.where("now is null").select("doc_id"), records)
+    taken = sum(s["records"] for s in index.state["segments"] if s["name"] != "first")
+    return index.search(corpus.queries(spark, sf_dir), 10).withColumn("taken_apart", F.lit(taken).cast("long"))
+
+
 @query("a18_corpus_statistics", f"SELECT term, count(*) AS documents, sum(n)::BIGINT AS occurrences FROM (SELECT doc_id, term, count(*) AS n FROM (SELECT doc_id, unnest({_W}) AS term FROM documents) GROUP BY ALL) GROUP BY term")
 def a18_corpus_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = op.postings(corpus.table(spark, sf_dir, "documents"), "doc_id", {"text": 1})
-    return p.groupBy("doc_id", "term").agg(F.count("*").alias("n")).groupBy("term").agg(F.count("*").alias("documents"), F.sum("n").alias("occurrences"))
+    return corpus.index(spark, sf_dir).postings.groupBy("term").agg(F.count("*").alias("documents"), F.sum("f").cast("long").alias("occurrences"))
 
 
 _MATCHED = f"""WITH q AS (SELECT item_id AS query_id, list_distinct({_W}) AS terms FROM benchmark), a AS (SELECT query_id, len(terms) AS wanted, unnest(terms) AS term FROM q),
@@ -54,19 +68,19 @@ _MATCHED = f"""WITH q AS (SELECT item_id AS query_id, list_distinct({_W}) AS ter
 
 @query("v2_all_terms", _MATCHED + " SELECT query_id, doc_id FROM m WHERE matched = wanted")
 def v2_all_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op.matched_terms(corpus.table(spark, sf_dir, "documents"), "doc_id", "text", corpus.queries(spark, sf_dir)).where("matched = wanted").select("query_id", "doc_id")
+    return corpus.index(spark, sf_dir).matched(corpus.queries(spark, sf_dir)).where("matched = wanted").select("query_id", "doc_id")
 
 
 @query("u10_min_should_match", _MATCHED + " SELECT query_id, doc_id, matched FROM m WHERE 2 * matched >= wanted")
 def u10_min_should_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op.matched_terms(corpus.table(spark, sf_dir, "documents"), "doc_id", "text", corpus.queries(spark, sf_dir)).where("2 * matched >= wanted").select("query_id", "doc_id", "matched")
+    return corpus.index(spark, sf_dir).matched(corpus.queries(spark, sf_dir)).where("2 * matched >= wanted").select("query_id", "doc_id", "matched")
 
 
 @query("v2_phrase", f"""WITH p AS (SELECT item_id AS query_id, ' ' || array_to_string({_W}, ' ') || ' ' AS phrase FROM benchmark), d AS (SELECT doc_id, ' ' || array_to_string({_W}, ' ') || ' ' AS t FROM documents)
  SELECT query_id, doc_id FROM p, d WHERE contains(t, phrase)""")
 def v2_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = corpus.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), text.lower_words("text").alias("words"))
-    return op.phrase_hits(corpus.table(spark, sf_dir, "documents"), "doc_id", "text", p)
+    return corpus.index(spark, sf_dir).phrases(p)
 
 
 @query("v2_prefix", f"""WITH q AS (SELECT item_id AS query_id, list_distinct(({_W})[1:3]) AS terms FROM benchmark), a AS (SELECT query_id, len(terms) AS wanted, unnest(terms) AS term FROM q),
@@ -75,7 +89,7 @@ def v2_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
  SELECT query_id, doc_id FROM m GROUP BY query_id, doc_id, wanted HAVING count(*) = wanted""")
 def v2_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = corpus.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.slice(text.lower_words("text"), 1, 3).alias("terms"))
-    return op.prefix_hits(corpus.table(spark, sf_dir, "documents"), "doc_id", "text", q)
+    return corpus.index(spark, sf_dir).prefixes(q)
 
 
 _STOP = ", ".join(f"'{w}'" for w in text.STOPWORDS)
@@ -99,7 +113,7 @@ def v2_query_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
  c AS (SELECT query_id, tier, count(*) AS n FROM x GROUP BY ALL), b AS (SELECT query_id, tier, coalesce(sum(n) OVER (PARTITION BY query_id ORDER BY tier ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM c)
  SELECT query_id, tier, id FROM x JOIN b USING (query_id, tier) WHERE before < 20""")
 def t14_tiers_until_enough(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = op.matched_terms(corpus.table(spark, sf_dir, "documents"), "doc_id", "text", corpus.queries(spark, sf_dir)).where("4 * matched >= wanted")
+    m = corpus.index(spark, sf_dir).matched(corpus.queries(spark, sf_dir)).where("4 * matched >= wanted")
     tier = F.when(F.expr("matched = wanted"), 0).when(F.expr("4 * matched >= 3 * wanted"), 1).when(F.expr("2 * matched >= wanted"), 2).otherwise(3)
     return op.until_enough(m.select("query_id", F.col("doc_id").alias("id"), tier.alias("tier")), 20)
 

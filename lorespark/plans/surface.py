@@ -21,7 +21,7 @@ _EXPRESSION = '("the" AND of) OR "que" OR (und AND der*)'
 
 @query("f44_expression", f"SELECT doc_id FROM (SELECT doc_id, {_W} AS w FROM documents) WHERE (list_contains(w, 'the') AND list_contains(w, 'of')) OR list_contains(w, 'que') OR (list_contains(w, 'und') AND len(list_filter(w, lambda x: starts_with(x, 'der'))) > 0)")
 def f44_expression(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return expressions.matches(corpus.table(spark, sf_dir, "documents"), "doc_id", "text", expressions.parse(_EXPRESSION))
+    return expressions.indexed(corpus.index(spark, sf_dir), expressions.parse(_EXPRESSION))
 
 
 @query("f27_confidence", f"SELECT query_id, CASE WHEN bool_or(tier < 5) THEN 'high' ELSE 'medium' END AS confidence FROM (SELECT query_id, tier FROM ({ORACLES['v9_lexical_search']})) GROUP BY query_id")

@@ -44,19 +44,27 @@ def _system(spark: SparkSession, path: str) -> tuple:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
+def drop(spark: SparkSession, path: str) -> None:
+    system, at = _system(spark, path)
+    system.delete(at, True)
+
+
 def built(scan: DataFrame, name: str, build: Callable[[str], None]) -> str:
     """The folder that ``build`` fills from the files behind ``scan``: built once, and found again, also by later sessions, as long as those files are the same.
 
     The files are told by their paths, sizes and times.  A folder gets its name when it is complete, so half-built ones are never read.
     """
     spark = scan.sparkSession
-    f = scan.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
-    seen = f.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("file_path", "file_size", "file_modification_time")).alias("h")).first()
+    # the files' own listing; their contents are not read
+    f = spark.read.format("binaryFile").load(sorted(scan.inputFiles())).select("path", "length", "modificationTime")
+    seen = f.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("path", "length", "modificationTime")).alias("h")).first()
     path = f"{base(spark)}/{name}-{seen['n']}-{(seen['h'] or 0) & (2**64 - 1):016x}"
     system, at = _system(spark, path)
     if not system.exists(at):
         made = folder(spark, name)
         build(made)
-        if not system.rename(_system(spark, made)[1], at) and not system.exists(at):
-            raise OSError(f"{path} could not be made")
+        if not system.rename(_system(spark, made)[1], at):
+            drop(spark, made)
+            if not system.exists(at):
+                raise OSError(f"{path} could not be made")
     return path
