@@ -16,7 +16,7 @@ from pyspark.sql import SparkSession  # noqa: E402
 from lorespark import registry  # noqa: E402
 
 HEADLINE = [
-    "v1_bm25", "v1_bm25_fields", "v2_all_terms", "v2_phrase", "v9_lexical_search", "v26_search", "v17_evidence", "v3_knn_exact", "v3_knn_codes", "v10_hybrid_merge",
+    "v1_bm25", "v1_bm25_fields", "v2_all_terms", "v2_phrase", "v9_lexical_search", "v26_search", "v17_evidence", "v3_knn_exact", "v3_knn_graph", "v3_scan_codes", "v10_hybrid_merge",
     "c1_snapshot_diff", "c13_carry_forward", "u2_dedup_content", "g3_g4_resolution", "g6_bfs", "g11_g12_impact", "g14_links_by_name", "n1_html_units", "n2_chunks", "a1_chunk_kind_counts", "a5_status_rollup", "w1_top_per_key", "x1_debounce",
 ]
 
