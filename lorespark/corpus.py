@@ -120,15 +120,15 @@ def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_distinct(text.lower_words("text")).alias("terms"))
 
 
-def held(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, name): the distinct words of each document, lower-cased, from the stored index."""
-    return index(spark, sf_dir).postings.select("doc_id", F.col("term").alias("name"))
+def held(spark: SparkSession, sf_dir: str, of: lexical.Index | None = None) -> DataFrame:
+    """(doc_id, name): the distinct words of each document, lower-cased, from the stored index or another state of it."""
+    return (of or index(spark, sf_dir)).postings.select("doc_id", F.col("term").alias("name"))
 
 
-def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+def entities(spark: SparkSession, sf_dir: str, of: lexical.Index | None = None) -> DataFrame:
     """Words of three letters and more that two documents hold at least, as symbols their first document defines; (name, qualified_name, kind, file, source, start_line, id)."""
     # by the index's own blocks: how many documents hold a word, and the first of them, without opening any
-    e = index(spark, sf_dir).terms().where("n >= 2 and length(term) >= 3").select(F.col("term").alias("name"), F.col("first").alias("doc_id"))
+    e = (of or index(spark, sf_dir)).terms().where("n >= 2 and length(term) >= 3").select(F.col("term").alias("name"), F.col("first").alias("doc_id"))
     e = e.join(scan(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id").withColumn("first", F.struct("doc_id", "source"))
     q = F.concat_ws(".", F.col("first.source"), F.concat(F.lit("d"), F.col("first.doc_id")), F.col("name"))
     return e.select(
@@ -147,6 +147,15 @@ def index(spark: SparkSession, sf_dir: str) -> lexical.Index:
     return lexical.Index.stored(scan(spark, sf_dir, "documents"), table(spark, sf_dir, "documents"), "doc_id", {"text": 1}, "documents-text")
 
 
+def index_after(spark: SparkSession, sf_dir: str) -> lexical.Index:
+    """The stored index brought up to the next scan: only records whose content changed are taken apart."""
+    old, new = files(spark, sf_dir).select("doc_id", "content_hash"), files_after(spark, sf_dir).select("doc_id", F.col("content_hash").alias("now"))
+    both = shared.written(old.join(new, "doc_id", "full").where(~F.col("content_hash").eqNullSafe(F.col("now"))), "changed")
+    edited = both.where("now is not null").select("doc_id")
+    records = table(spark, sf_dir, "documents").join(edited, "doc_id", "left_semi").select("doc_id", F.concat("text", F.lit("!")).alias("text"))
+    return index(spark, sf_dir).copy(shared.folder(spark, "upkeep")).update(both.where("now is null").select("doc_id"), records)
+
+
 def sql_id(domain: str, *parts: str) -> str:
     return f"substr(sha256(concat_ws(chr(31), '{domain}', {', '.join(parts)})), 1, 32)"
 
@@ -157,10 +166,10 @@ ENTITIES = f"""SELECT {sql_id("entity", "doc_id", "'function'", "source || '.d'
  WHERE held >= 2 AND length(name) >= 3"""
 
 
-def references(spark: SparkSession, sf_dir: str) -> DataFrame:
+def references(spark: SparkSession, sf_dir: str, of: lexical.Index | None = None) -> DataFrame:
     """(file_id, source_id, reference_text): the words of each document, as references to symbols; the source's own qualified form where a document starts with the word."""
     d = scan(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("source_id"))
-    return held(spark, sf_dir).join(d, "doc_id").select(F.col("doc_id").alias("file_id"), "source_id", F.col("name").alias("reference_text"))
+    return held(spark, sf_dir, of).join(d, "doc_id").select(F.col("doc_id").alias("file_id"), "source_id", F.col("name").alias("reference_text"))
 
 
 REFERENCES = f"SELECT DISTINCT doc_id AS file_id, source AS source_id, unnest({sql_words('lower(text)')}) AS reference_text FROM documents"

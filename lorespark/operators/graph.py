@@ -48,6 +48,33 @@ def resolve(references: DataFrame, entities: DataFrame) -> DataFrame:
     return g.select(*key, target.alias("target_id"), F.when(step == "name_only", bare).otherwise(F.col("reference_text")).alias("symbol"), step.alias("resolver"), confidence.alias("confidence"))
 
 
+def touched_keys(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(key) of the names and qualified names of entities that came, went or moved: what may resolve otherwise now."""
+    cols = ["id", "name", "qualified_name", "file_id", "start_line"]
+    both = before.select(*cols, F.lit(1).alias("old"), F.lit(0).alias("new")).unionByName(after.select(*cols, F.lit(0).alias("old"), F.lit(1).alias("new")))
+    differ = both.groupBy(*cols).agg(F.sum("old").alias("old"), F.sum("new").alias("new")).where("old <> new")
+    return differ.select(F.explode(F.array("name", "qualified_name")).alias("key")).distinct()
+
+
+def resolve_changes(resolved: DataFrame, references: DataFrame, before: DataFrame, after: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(the resolution of references against the entities ``after``, the references that were resolved again), given the one ``resolved`` against those ``before``.
+
+    Resolved again are only references that weren't there, and those that name a key, or end in one, of which the candidates changed; they meet only candidates of
+    their own names.  The others keep what they had, as far as they are still there.
+    """
+    key = ["file_id", "reference_text"]
+    keys = shared.written(touched_keys(before, after), "keys")
+    r = references.select(*key).distinct()
+    # as in ``resolve``: a reference is looked for by its whole text and by its last segment
+    named = r.withColumn("key", F.explode(F.array_distinct(F.array("reference_text", F.when(F.contains("reference_text", F.lit(".")), text.bare_name("reference_text")).otherwise(F.col("reference_text"))))))
+    again = named.join(keys, "key", "left_semi").select(*key).unionByName(r.join(resolved.select(*key), key, "left_anti")).distinct()
+    again = shared.written(again, "again")
+    wanted = again.select(F.explode(F.array("reference_text", F.when(F.contains("reference_text", F.lit(".")), text.bare_name("reference_text")).otherwise(F.col("reference_text")))).alias("key")).distinct()
+    some = after.join(wanted.withColumnRenamed("key", "name"), "name", "left_semi").unionByName(after.join(wanted.withColumnRenamed("key", "qualified_name"), "qualified_name", "left_semi").select(after.columns)).distinct()
+    kept = resolved.join(again, key, "left_anti").join(r, key, "left_semi")
+    return kept.unionByName(resolve(again, some.select(after.columns))), again
+
+
 def hops(edges: DataFrame) -> DataFrame:
     """The ends of the edges as a table of the shared folder, which traversals read at every level."""
     return shared.written(edges.select("source_id", "target_id").where("source_id is not null and target_id is not null"), "hops")

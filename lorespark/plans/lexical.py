@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .. import corpus, shared
+from .. import corpus
 from ..functions import text
 from ..operators import lexical as op
 from ._base import query
@@ -47,12 +47,8 @@ _AFTER = f"""WITH o AS ({corpus.FILES}), s AS ({corpus.FILES_AFTER}) SELECT d.do
 
 @query("s14_index_upkeep", f"SELECT *, (SELECT count(*) FROM documents WHERE contains(text, '###') AND NOT (lang = 'de' AND source = 'src3')) AS taken_apart FROM ({_bm25_sql(_AFTER, 'doc_id', {'text': 1}, 10)})")
 def s14_index_upkeep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stored index brought up to the next scan: only records whose content changed are taken apart, and the ranking is a full build's."""
-    old, new = corpus.files(spark, sf_dir).select("doc_id", "content_hash"), corpus.files_after(spark, sf_dir).select("doc_id", F.col("content_hash").alias("now"))
-    both = shared.written(old.join(new, "doc_id", "full").where(~F.col("content_hash").eqNullSafe(F.col("now"))), "changed")
-    edited = both.where("now is not null").select("doc_id")
-    records = corpus.table(spark, sf_dir, "documents").join(edited, "doc_id", "left_semi").select("doc_id", F.concat("text", F.lit("!")).alias("text"))
-    index = corpus.index(spark, sf_dir).copy(shared.folder(spark, "upkeep")).update(both.where("now is null").select("doc_id"), records)
+    """The ranking is a full build's, though only records whose content changed were taken apart."""
+    index = corpus.index_after(spark, sf_dir)
     taken = sum(s["records"] for s in index.state["segments"] if s["name"] != "first")
     return index.search(corpus.queries(spark, sf_dir), 10).withColumn("taken_apart", F.lit(taken).cast("long"))
 

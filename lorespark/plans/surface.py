@@ -88,7 +88,13 @@ def g23_resolver_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.where(F.col("resolver").isin("cross_file_qualified", "cross_file_qualified_ambiguous", "name_only")).groupBy("file_id").agg(F.count("*").alias("n"))
 
 
-@query("g24_links_list", graph_plans._L + " SELECT h.document_id, e.qualified_name, h.ordinal FROM h JOIN e ON e.id = h.entity_id JOIN documents d ON d.doc_id = h.document_id WHERE d.source = 'src2' AND e.source_id = 'src1'")
+_COMMON = ", ".join(f"'{x}'" for x in text.COMMON_NAMES)
+
+
+@query("g24_links_list", f"""WITH e AS MATERIALIZED (SELECT name, qualified_name FROM ({corpus.ENTITIES}) WHERE source_id = 'src1' AND name NOT IN ({_COMMON})),
+ u AS MATERIALIZED (SELECT doc_id AS document_id, ordinal, body FROM ({corpus.CHUNKS}) WHERE source = 'src2'),
+ w AS MATERIALIZED (SELECT DISTINCT document_id, ordinal, regexp_replace(raw, '\\.+$', '') AS word FROM (SELECT document_id, ordinal, unnest(regexp_split_to_array(body, '[^\\p{{L}}\\p{{N}}\\p{{M}}_.]+')) AS raw FROM u))
+ SELECT document_id, qualified_name, ordinal FROM w JOIN e ON word = name""")
 def g24_links_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     e, d = corpus.entities(spark, sf_dir).where("source_id = 'src1'"), corpus.table(spark, sf_dir, "documents").where("source = 'src2'").select(F.col("doc_id").alias("document_id"))
     u = graph_plans._units(spark, sf_dir).join(d, "document_id", "left_semi")
