@@ -13,7 +13,7 @@ from lorespark.functions import files, routing, text
 from lorespark.operators import changes, code, documents, evidence, graph, lexical, neighbours, ranking
 from lorespark.sources import files as file_source
 from lorespark.sources import tree
-from lorespark.sources.store import Store
+from lorespark.sources.store import ConflictError, Store
 from lorespark.streaming import events
 
 
@@ -287,6 +287,31 @@ def test_store_publishes_and_restores(spark, tmp_path):
     assert sorted(r["id"] for r in s.read("t").collect()) == [1, 2]
 
 
+def test_two_publishers_from_one_generation(spark, tmp_path):
+    s = Store(spark, f"file://{tmp_path}/store")
+    rows = lambda *v: spark.createDataFrame([(x,) for x in v], "id long")
+    one, other = s.begin("s1"), s.begin("s1")
+    for b, v in ((one, 2), (other, 3)):
+        s.write("t", "s1", b, rows(v))
+        s.write("u", "s1", b, rows(v * 10))
+    assert s.publish("s1", one) == 1
+    pinned = s.snapshot()
+    with pytest.raises(ConflictError):
+        s.publish("s1", other)
+    assert [r["id"] for r in s.read("t").collect()] == [2] and s.resumable("s1").count() == 0
+    # a reader keeps its generation in every table while others publish
+    third = s.begin("s1")
+    s.write("t", "s1", third, rows(4))
+    s.write("u", "s1", third, rows(40))
+    assert s.publish("s1", third) == 2
+    assert [[r["id"] for r in s.read(t, pinned).collect()] for t in ("t", "u")] == [[2], [20]]
+    assert [[r["id"] for r in s.read(t).collect()] for t in ("t", "u")] == [[4], [40]]
+    assert not s.fresh("s1", pinned["s1"]) and s.fresh("s1", 2)
+    assert s.collect_garbage(["t", "u"], keep=2) == 2 and [r["id"] for r in s.read("t", pinned).collect()] == [2]
+    with pytest.raises(ValueError, match="no build"):
+        s.publish("s1", "unknown")
+
+
 def test_folder_scan(spark, tmp_path):
     for n, body in (("a.py", "x"), ("sub/b.md", "# b"), ("node_modules/c.js", "c"), ("id_rsa", "k"), ("d.log", "l"), ("sub/deep/e.tmp", "t"), ("sub/deep/f.txt", "f"), ("keep.log", "k"), (".gitignore", "# c\n*.tmp\nprivate/\n"), ("private/g.txt", "g")):
         (tmp_path / n).parent.mkdir(exist_ok=True, parents=True)
