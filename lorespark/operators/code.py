@@ -1,12 +1,11 @@
 """Symbols, imports, calls, bases and decorators of source text.
 
-Python is parsed by its own grammar; other languages by patterns of their declarations, as no grammar for them is at hand.
+Python is parsed by its own grammar; languages with braces by an island grammar (``islands``), as no full one is at hand.
 """
 
 from __future__ import annotations
 
 import ast
-import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -14,18 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import ids
-
-_DECLARED = {
-    "javascript": [("class", r"^\s*(?:export\s+)?(?:default\s+)?class\s+(\w+)"), ("function", r"^\s*(?:export\s+)?(?:async\s+)?function\s*\*?\s+(\w+)"), ("function", r"^\s*(?:export\s+)?(?:const|let|var)\s+(\w+)\s*=\s*(?:async\s*)?\([^)]*\)\s*=>")],
-    "go": [("struct", r"^type\s+(\w+)\s+struct"), ("interface", r"^type\s+(\w+)\s+interface"), ("method", r"^func\s+\([^)]*\)\s*(\w+)"), ("function", r"^func\s+(\w+)")],
-    "rust": [("struct", r"^\s*(?:pub(?:\([^)]*\))?\s+)?struct\s+(\w+)"), ("enum", r"^\s*(?:pub(?:\([^)]*\))?\s+)?enum\s+(\w+)"), ("interface", r"^\s*(?:pub(?:\([^)]*\))?\s+)?trait\s+(\w+)"), ("function", r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:async\s+)?fn\s+(\w+)")],
-    "java": [("class", r"\bclass\s+(\w+)"), ("interface", r"\binterface\s+(\w+)"), ("enum", r"\benum\s+(\w+)"), ("method", r"^\s+(?:public|private|protected|static|final|\s)+[\w<>\[\], ]+\s+(\w+)\s*\([^;]*\{")],
-}
-_DECLARED["typescript"] = _DECLARED["tsx"] = [*_DECLARED["javascript"], ("interface", r"^\s*(?:export\s+)?interface\s+(\w+)"), ("enum", r"^\s*(?:export\s+)?enum\s+(\w+)")]
-_DECLARED["csharp"] = [*_DECLARED["java"], ("struct", r"\bstruct\s+(\w+)"), ("namespace", r"^\s*namespace\s+([\w.]+)")]
-_IMPORTS = {"javascript": r"""(?:from|require\()\s*['"]([^'"]+)""", "go": r'^\s*(?:import\s+)?(?:\w+\s+)?"([^"]+)"', "rust": r"^\s*use\s+([\w:]+)", "java": r"^\s*import\s+(?:static\s+)?([\w.]+)", "csharp": r"^\s*using\s+([\w.]+)\s*;"}
-_IMPORTS["typescript"] = _IMPORTS["tsx"] = _IMPORTS["javascript"]
-
+from . import islands
 
 def python_facts(body: str) -> list[tuple]:
     """(kind, name, qualified_name, owner, line) of entities, and of imports, calls, bases and decorators under their owner."""
@@ -57,25 +45,10 @@ def python_facts(body: str) -> list[tuple]:
     return out
 
 
-def pattern_facts(body: str, language: str) -> list[tuple]:
-    out = []
-    declared = [(k, re.compile(p)) for k, p in _DECLARED.get(language, [])]
-    imports = re.compile(_IMPORTS[language]) if language in _IMPORTS else None
-    for n, line in enumerate(body.splitlines(), 1):
-        hit = next(((k, m[1]) for k, p in declared if (m := p.search(line))), None)
-        if hit:
-            out.append((hit[0], hit[1], hit[1], "", n))
-            continue
-        if imports and (m := imports.search(line)):
-            out.append(("import", m[1], m[1], "", n))
-            continue
-        out.extend(("call", m[1].rsplit(".", 1)[-1], m[1], "", n) for m in re.finditer(r"\b([A-Za-z_][\w.]*)\s*\(", line) if m[1] not in ("if", "for", "while", "switch", "return", "catch", "match", "function"))
-    return out
-
-
 def facts(body: str, language: str) -> list[tuple]:
+    """Python's facts by its own grammar, other languages' by ``islands``; text that doesn't parse gives one fact of kind ``error``, another language none."""
     if language != "python":
-        return pattern_facts(body, language)
+        return islands.facts(body, language) if language in islands.LANGUAGES else []
     try:
         return python_facts(body)
     except (SyntaxError, ValueError, RecursionError) as e:
@@ -83,7 +56,7 @@ def facts(body: str, language: str) -> list[tuple]:
 
 
 #: Kinds of facts that declare a symbol.
-DECLARATIONS = ("class", "function", "method", "struct", "interface", "enum", "namespace")
+DECLARATIONS = ("class", "function", "method", "struct", "interface", "enum", "namespace", "property", "field")
 
 
 def entities(found: DataFrame, key: str) -> DataFrame:

@@ -82,6 +82,45 @@ def g1_code_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _facts(spark, sf_dir)
 
 
+# By language: source over a document's words c, m and f, and its facts, line by line.
+_ISLANDS = [
+    ("csharp", "namespace N {\n  class C{c} : B{m} {\n    [Route(\"a{b\")]\n    public int M{m}(string s) { return F{f}(s); } // }\n  }\n}\n",
+     [("namespace", "N", "N", "", 1), ("class", "C{c}", "N.C{c}", "N", 2), ("base", "B{m}", "B{m}", "N.C{c}", 2), ("method", "M{m}", "N.C{c}.M{m}", "N.C{c}", 4), ("decorator", "Route", "Route(\"a{b\")", "N.C{c}.M{m}", 3), ("call", "F{f}", "F{f}", "N.C{c}.M{m}", 4)]),
+    ("java", "package p.q;\nimport a.b{f};\nclass C{c} implements I{m} {\n  /* { */ int x = F{f}(1);\n  void m{m}() { x.go(\"}\"); }\n}\n",
+     [("namespace", "q", "p.q", "", 1), ("import", "a.b{f}", "a.b{f}", "p.q", 2), ("class", "C{c}", "p.q.C{c}", "p.q", 3), ("base", "I{m}", "I{m}", "p.q.C{c}", 3), ("field", "x", "p.q.C{c}.x", "p.q.C{c}", 4), ("call", "F{f}", "F{f}", "p.q.C{c}.x", 4), ("method", "m{m}", "p.q.C{c}.m{m}", "p.q.C{c}", 5), ("call", "go", "x.go", "p.q.C{c}.m{m}", 5)]),
+    ("typescript", "import { a } from './{f}'\nclass C{c} {\n  @Get('/x')\n  m{m}(x: string) { this.f{f}(`{${x}`) }\n}\nconst g{f} = () => {\n  m{m}()\n}\n",
+     [("import", "./{f}", "./{f}", "", 1), ("class", "C{c}", "C{c}", "", 2), ("method", "m{m}", "C{c}.m{m}", "C{c}", 4), ("decorator", "Get", "Get('/x')", "C{c}.m{m}", 3), ("call", "f{f}", "this.f{f}", "C{c}.m{m}", 4), ("function", "g{f}", "g{f}", "", 6), ("call", "m{m}", "m{m}", "g{f}", 7)]),
+    ("go", "package p\nimport \"a/{f}\"\ntype T{c} struct {\n  X{m} int\n}\nfunc (t *T{c}) M{m}() error {\n  return f{f}.Do(`}`)\n}\n",
+     [("namespace", "p", "p", "", 1), ("import", "a/{f}", "a/{f}", "p", 2), ("struct", "T{c}", "p.T{c}", "p", 3), ("field", "X{m}", "p.T{c}.X{m}", "p.T{c}", 4), ("method", "M{m}", "p.T{c}.M{m}", "p.T{c}", 6), ("call", "Do", "f{f}.Do", "p.T{c}.M{m}", 7)]),
+    ("rust", "use a::{b{f}, c};\n#[derive(Debug)]\nstruct S{c} { x: u8 }\nimpl T{m} for S{c} {\n  fn m{m}(&self) { f{f}!(\"}\"); self.go('{') }\n}\n",
+     [("import", "a::b{f}", "a::b{f}", "", 1), ("import", "a::c", "a::c", "", 1), ("struct", "S{c}", "S{c}", "", 3), ("decorator", "derive", "derive(Debug)", "S{c}", 2), ("field", "x", "S{c}.x", "S{c}", 3), ("base", "T{m}", "T{m}", "S{c}", 4), ("method", "m{m}", "S{c}.m{m}", "S{c}", 5), ("call", "f{f}", "f{f}", "S{c}.m{m}", 5), ("call", "go", "self.go", "S{c}.m{m}", 5)]),
+]
+
+
+def _island_sql() -> str:
+    def spelled(t: str) -> str:
+        return "'" + t.replace("'", "''").replace("{c}", "' || c || '").replace("{m}", "' || m || '").replace("{f}", "' || f || '") + "'"
+
+    def rows(facts: list[tuple]) -> str:
+        return "[" + ", ".join("{'kind': '" + k + "', " + ", ".join(f"'{n}': {spelled(x)}" for n, x in zip(("name", "qualified_name", "owner"), (a, b, o), strict=True)) + f", 'line': {line}}}" for k, a, b, o, line in facts) + "]"
+
+    cases = " ".join(f"WHEN {i} THEN {rows(facts)}" for i, (_, _, facts) in enumerate(_ISLANDS))
+    return f"SELECT doc_id, unnest(CASE doc_id % {len(_ISLANDS)} {cases} END, recursive := true) FROM (SELECT doc_id, w[1] AS c, w[2] AS m, w[3] AS f FROM ({_CODE}))"
+
+
+@query("g1_island_facts", _island_sql())
+def g1_island_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes, bases, methods, decorators, fields, imports and calls under their owners, in five languages with braces made of each document's words, with strings and comments that hold braces."""
+    w = F.filter(text.lower_words("text"), lambda x: x.rlike("^[a-z]+$"))
+    d = corpus.table(spark, sf_dir, "documents").select("doc_id", w.alias("w")).where("size(w) > 3")
+    kind = F.col("doc_id") % len(_ISLANDS)
+    language, body = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for i, (name, template, _) in enumerate(_ISLANDS):
+        filled = F.replace(F.replace(F.replace(F.lit(template), F.lit("{c}"), F.col("w")[0]), F.lit("{m}"), F.col("w")[1]), F.lit("{f}"), F.col("w")[2])
+        language, body = F.when(kind == i, name).otherwise(language), F.when(kind == i, filled).otherwise(body)
+    return code.extract(d.select("doc_id", language.alias("language"), body.alias("body")), "doc_id", "language", "body")
+
+
 @query("w9_overload_ordinals", f"SELECT doc_id, {corpus.sql_id('entity', 'doc_id', 'kind', 'qualified_name', 'ordinal')} AS id, kind, qualified_name, ordinal FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, kind, qualified_name ORDER BY line) - 1 AS ordinal FROM ({_FACTS}) WHERE kind IN ('class', 'method', 'function'))")
 def w9_overload_ordinals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return code.entities(_facts(spark, sf_dir), "doc_id").select("doc_id", "id", "kind", "qualified_name", "ordinal")
