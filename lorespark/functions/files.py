@@ -87,6 +87,21 @@ def is_ignored(path: Column, patterns: list[str] = (), include: list[str] = ())
     return in_skipped_folder(path) | is_secret(path) | named
 
 
+def normalized(path: Column) -> Column:
+    """A path with forward slashes, without empty and ``.`` segments, each ``..`` undone with the segment before it; beyond the top it is dropped.  A slash in front stays."""
+    clean = F.replace(path, F.lit("\\"), F.lit("/"))
+    up = lambda done: F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))
+    parts = F.aggregate(F.split(clean, "/"), F.array().cast("array<string>"), lambda done, x: F.when(x == "..", up(done)).when(x.isin("", "."), done).otherwise(F.concat(done, F.array(x))))
+    return F.concat(F.when(F.startswith(clean, F.lit("/")), "/").otherwise(""), F.array_join(parts, "/"))
+
+
+def folders_above(path: Column | str) -> Column:
+    """A normalised path and every folder above it."""
+    c = F.col(path) if isinstance(path, str) else path
+    parts = F.split(c, "/")
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+
+
 def is_test(path: Column) -> Column:
     """Test files by the naming rules of their languages."""
     name = text.file_name(F.regexp_replace(path, r"\\", "/"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import shared
 from ..functions import files, ids, text
+from . import patterns
 
 REFERENCE_TYPES = ("calls", "imports", "references")
 
@@ -172,14 +173,12 @@ def first_units(hits: DataFrame, most: int | None) -> DataFrame:
 
 
 def route_hits(routes: DataFrame, units: DataFrame) -> DataFrame:
-    """Units that mention the path of a route: routes(id, symbol), with symbols ``http_endpoint:METHOD:path``.
+    """Units that mention the path of a route, without a word character after it: routes(id, symbol), with symbols ``http_endpoint:METHOD:path``.
 
-    The path's last word narrows the units by an equi-join; the path itself is then looked for.  A path that is one word without
-    a slash is found as a whole word only, and one without a word, as ``/``, is not looked for.
+    All paths are looked for at once, wherever they stand (``patterns``).
     """
-    r = routes.select(F.col("id").alias("entity_id"), text.route_parts("symbol")["path"].alias("path")).where("path is not null").distinct()
-    near = units.select("document_id", "ordinal", "body", F.explode(F.array_distinct(text.words("body"))).alias("word"))
-    hits = near.join(r.withColumn("word", F.try_element_at(text.words("path"), F.lit(-1))), "word").where(text.mentions_route("body", "path"))
+    r = routes.select(F.col("id").alias("entity_id"), text.route_parts("symbol")["path"].alias("pattern")).where("pattern is not null").distinct()
+    hits = patterns.found(r, units.select("document_id", "ordinal", "body"), "body").join(r, "pattern")
     return hits.select("entity_id", "document_id", "ordinal", F.lit("linker:route_heuristic").alias("resolver"), F.lit("heuristic").alias("confidence"), F.lit("related_to").alias("type")).distinct()
 
 
@@ -213,6 +212,28 @@ def _other_hits(wanted: DataFrame, units: DataFrame) -> DataFrame:
     return posted.join(needles, "key").where(text.contains_identifier("body", "needle")).select("entity_id", "document_id", "ordinal", "resolver", "confidence", "type").distinct()
 
 
+def under_roots(paths: DataFrame, path: str, roots: DataFrame) -> DataFrame:
+    """paths with ``root``: the longest of roots(root) that a normalised path is or lies under, null without one; an equi-join on the path and the folders above it."""
+    row = paths.withColumn("_row", F.monotonically_increasing_id())
+    row = shared.written(row, "paths")
+    above = row.select("_row", F.explode(files.folders_above(path)).alias("root"))
+    near = above.join(roots.select("root").distinct(), "root").groupBy("_row").agg(F.max_by("root", F.length("root")).alias("root"))
+    return row.join(near, "_row", "left").drop("_row")
+
+
+def project_references(references: DataFrame, sources: DataFrame) -> DataFrame:
+    """(source_id, rel_path, reference, target, producer, status) of project files' references(source_id, rel_path, reference) to others, by the folders of sources(source_id, path).
+
+    A reference is relative to its file, with either slash.  ``declares`` one of another source, whose folder is the longest it lies under, is ``inside`` its own, or ``outside`` all.
+    """
+    own = references.join(sources.select("source_id", F.col("path").alias("home")), "source_id")
+    target = files.normalized(F.concat_ws("/", F.col("home"), F.regexp_replace("rel_path", "/?[^/]*$", ""), F.col("reference")))
+    roots = sources.select(F.col("source_id").alias("producer"), files.normalized(F.col("path")).alias("root"))
+    met = under_roots(own.withColumn("target", target), "target", roots).join(roots, "root", "left")
+    status = F.when(F.col("producer").isNull(), "outside").when(F.col("producer") == F.col("source_id"), "inside").otherwise("declares")
+    return met.select("source_id", "rel_path", "reference", "target", "producer", status.alias("status"))
+
+
 def dependents(symbol_refs: DataFrame, changed_keys: DataFrame) -> DataFrame:
     """Files that refer to a changed key."""
     return symbol_refs.join(changed_keys, "key", "left_semi").select("file_id").distinct()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import corpus, shared
 from ..functions import files, text
-from ..operators import changes, graph
+from ..operators import changes, graph, patterns
 from ._base import query
 
 _E = corpus.ENTITIES
@@ -218,13 +218,30 @@ def j9_containment_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.groupBy("entity_id").agg(F.count("*").alias("units"))
 
 
-@query("j10_route_mentions", "SELECT DISTINCT r.path, p.page_id FROM (SELECT DISTINCT regexp_extract(url, '^[^:]+://[^/]+(/[^/?#]+)', 1) AS path FROM pages) r, pages p WHERE r.path <> '' AND regexp_matches(p.url, regexp_escape(r.path) || '([^\\p{L}\\p{N}_]|$)')")
+@query("j10_route_mentions", "SELECT DISTINCT r.path, p.page_id FROM (SELECT DISTINCT regexp_extract(url, '^[^:]+://[^/]+(/[^/?#]+)', 1) AS path FROM pages UNION SELECT unnest(['/', 'a', 'page', '://'])) r, pages p WHERE r.path <> '' AND regexp_matches(p.url, regexp_escape(r.path) || '([^\\p{L}\\p{N}_]|$)')")
 def j10_route_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = corpus.table(spark, sf_dir, "pages").select("page_id", "url")
-    routes = p.select(F.regexp_extract("url", r"^[^:]+://[^/]+(/[^/?#]+)", 1).alias("path")).where("path <> ''").distinct().withColumn("word", F.element_at(text.words("path"), -1))
-    # the route's last word narrows the pages; the route itself is then looked for
-    near = p.select("page_id", "url", F.explode(F.array_distinct(text.words("url"))).alias("word")).join(routes, "word")
-    return near.where(text.mentions_route("url", "path")).select("path", "page_id").distinct()
+    # the paths' first segments, the bare slash, and pieces that stand within words
+    routes = p.select(F.regexp_extract("url", r"^[^:]+://[^/]+(/[^/?#]+)", 1).alias("pattern")).unionByName(spark.createDataFrame([("/",), ("a",), ("page",), ("://",)], "pattern string"))
+    return patterns.found(routes, p, "url").select(F.col("pattern").alias("path"), "page_id")
+
+
+_REFERENCE = "CASE doc_id % 5 WHEN 0 THEN './x.txt' WHEN 1 THEN '../src' || (doc_id % 7) || '/moved/./y.txt' WHEN 2 THEN '..\\..\\outside\\z.txt' WHEN 3 THEN 'a//b/../../../src' || (doc_id % 23) || '/c.txt' ELSE '../../../../../top.txt' END"
+_ROOTS = "SELECT DISTINCT source AS source_id, 'home/' || source AS path FROM documents UNION ALL SELECT 'moved-' || source, 'home/' || source || '/moved' FROM (SELECT DISTINCT source FROM documents WHERE source IN ('src1', 'src2', 'src3'))"
+
+
+@query("j14_project_references", f"""WITH f AS (SELECT source_id, substr(rel_path, length(source_id) + 2) AS rel_path, {_REFERENCE} AS reference FROM ({corpus.FILES_AFTER})), s AS ({_ROOTS}),
+ t AS (SELECT f.*, list_reduce(list_prepend('', string_split(replace(concat_ws('/', path, regexp_replace(rel_path, '/?[^/]*$', ''), reference), '\\', '/'), '/')), lambda acc, x: CASE WHEN x = '..' THEN regexp_replace(acc, '/?[^/]*$', '') WHEN x IN ('', '.') THEN acc WHEN acc = '' THEN x ELSE acc || '/' || x END) AS target FROM f JOIN s USING (source_id)),
+ p AS (SELECT t.source_id, t.rel_path, t.reference, max_by(s.source_id, length(s.path)) AS producer FROM t JOIN s ON starts_with(t.target || '/', s.path || '/') GROUP BY ALL)
+ SELECT source_id, rel_path, reference, target, producer, CASE WHEN producer IS NULL THEN 'outside' WHEN producer = source_id THEN 'inside' ELSE 'declares' END AS status FROM t LEFT JOIN p USING (source_id, rel_path, reference)""")
+def j14_project_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that name others by relative paths, against the folders of the sources, some of which lie within others."""
+    f = corpus.files_after(spark, sf_dir)
+    references = f.select("source_id", F.substring("rel_path", F.length("source_id") + 2, F.length("rel_path")).alias("rel_path"), F.expr(_REFERENCE.replace("\\", "\\\\")).alias("reference"))
+    d = corpus.table(spark, sf_dir, "documents").select("source").distinct()
+    inner = d.where("source in ('src1', 'src2', 'src3')")
+    sources = d.select(F.col("source").alias("source_id"), F.concat(F.lit("home/"), "source").alias("path")).unionByName(inner.select(F.concat(F.lit("moved-"), "source").alias("source_id"), F.concat(F.lit("home/"), "source", F.lit("/moved")).alias("path")))
+    return graph.project_references(references, sources)
 
 
 @query("j16_null_safe", "SELECT a.doc_id, count(b.doc_id) AS n FROM (SELECT doc_id, quality FROM documents LEFT JOIN labels USING (doc_id)) a JOIN (SELECT item_id AS doc_id, CASE WHEN item_id % 3 = 0 THEN NULL ELSE item_id % 2 END AS quality FROM benchmark) b ON a.quality IS NOT DISTINCT FROM b.quality GROUP BY a.doc_id")
