@@ -9,13 +9,16 @@ import html.parser
 import io
 import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import wordpiece
+
 UNITS = "kind string, level int, body string"
 
 
@@ -215,6 +218,20 @@ def page_policy(pages: Column, scanned: Column, mode: str = "auto", max_pages: i
     return read if max_pages is None else F.when(pages > max_pages, "skipped").otherwise(read)
 
 
+#: Counts a text's tokens.
+Size = Callable[[str], int]
+
+
+def words_and_signs(body: str) -> int:
+    return len(_tokens(body))
+
+
+def pieces_of(vocabulary: str) -> Size:
+    """The word pieces of a text; those of a text asked for again are remembered."""
+    model = wordpiece.WordPiece.load(vocabulary)
+    return lru_cache(1 << 16)(lambda body: int(model.count([body])[0]))
+
+
 #: Between a row's cells.
 CELL = " | "
 
@@ -227,28 +244,44 @@ def _sentences(body: str) -> list[str]:
     return [s for s in re.split(r"(?<=[.!?])\s+", body.strip()) if s]
 
 
-def split_by_budget(body: str, most: int) -> list[str]:
+def split_by_budget(body: str, most: int, size: Size = words_and_signs) -> list[str]:
     """Pieces of at most ``most`` tokens: by sentences, then words, then within a word; neighbours are packed together again."""
     pieces: list[str] = []
     for s in _sentences(body):
-        if len(_tokens(s)) <= most:
+        if size(s) <= most:
             pieces.append(s)
             continue
         for w in s.split():
-            t = _tokens(w)
-            pieces += [w] if len(t) <= most else ["".join(t[i : i + most]) for i in range(0, len(t), most)]
+            pieces += [w] if size(w) <= most else within_word(w, most, size)
     out: list[str] = []
+    used = 0
     for p in pieces:
-        if out and len(_tokens(out[-1])) + len(_tokens(p)) <= most:
+        n = size(p)
+        if out and used + n <= most:
             out[-1] += " " + p
+            used += n
         else:
             out.append(p)
+            used = n
+    return out
+
+
+def within_word(word: str, most: int, size: Size) -> list[str]:
+    """A word that is too long by itself, cut so that each part is the longest that fits, one character at least."""
+    out = []
+    while word:
+        k = 1
+        # parts of a word hold at least a character a token or are one unknown token
+        while k < len(word) and size(word[: k + 1]) <= most:
+            k += 1
+        out.append(word[:k])
+        word = word[k:]
     return out
 
 
-def pack(pieces: list[str], most: int, overlap: int, least: int) -> list[str]:
+def pack(pieces: list[str], most: int, overlap: int, least: int, size: Size = words_and_signs) -> list[str]:
     """Pieces packed greedily, each chunk begun with the last pieces of the one before up to ``overlap`` tokens; then, from the first on, a chunk and its successor of which one is under ``least`` are evened out where both still fit."""
-    sized = [(p, len(_tokens(p))) for p in pieces]
+    sized = [(p, size(p)) for p in pieces]
     tokens = lambda chunk: sum(n for _, n in chunk)
     chunks: list[list[tuple[str, int]]] = []
     run: list[tuple[str, int]] = []
@@ -282,52 +315,52 @@ def halves(sized: list[tuple[str, int]]) -> tuple[list[tuple[str, int]], list[tu
     return sized[:k], sized[k:]
 
 
-def split_table(body: str, most: int) -> list[str]:
+def split_table(body: str, most: int, size: Size = words_and_signs) -> list[str]:
     """Row groups that fit, each under the first row; a row too long by itself is cut between its cells, and a cell too long by itself within it."""
     head, *rows = body.split("\n")
-    h = len(_tokens(head))
-    out, run, size = [], [], h
+    h = size(head)
+    out, run, used = [], [], h
     for r in rows:
-        for p in [r] if h + len(_tokens(r)) <= most else split_row(r, max(1, most - h)):
-            m = len(_tokens(p))
-            if run and size + m > most:
+        for p in [r] if h + size(r) <= most else split_row(r, max(1, most - h), size):
+            m = size(p)
+            if run and used + m > most:
                 out.append("\n".join([head, *run]))
-                run, size = [], h
-            run, size = [*run, p], size + m
+                run, used = [], h
+            run, used = [*run, p], used + m
     if run or not rows:
         out.append("\n".join([head, *run]))
     return out
 
 
-def split_row(row: str, most: int) -> list[str]:
+def split_row(row: str, most: int, size: Size = words_and_signs) -> list[str]:
     """Pieces of at most ``most`` tokens; put together with ``CELL`` between them, they are the row unless a cell was too long by itself."""
     out: list[str] = []
-    size = 0
+    used, between = 0, size(CELL)
     for cell in row.split(CELL):
-        for p in [cell] if len(_tokens(cell)) <= most else split_by_budget(cell, most):
-            n = len(_tokens(p))
-            if out and size + 1 + n <= most:
+        for p in [cell] if size(cell) <= most else split_by_budget(cell, most, size):
+            n = size(p)
+            if out and used + between + n <= most:
                 out[-1] += CELL + p
-                size += 1 + n
+                used += between + n
             else:
                 out.append(p)
-                size = n
+                used = n
     return out
 
 
-def fit_header(title: str, headings: list[str], most: int) -> str:
+def fit_header(title: str, headings: list[str], most: int, size: Size = words_and_signs) -> str:
     """Title and headings within ``most`` tokens: outer headings go first, then the title, then the end of what is left."""
     kept = list(headings)
     make = lambda t, hs: "\n".join(x for x in ((f"Document: {t}" if t else ""), ("Section: " + " > ".join(hs) if hs else "")) if x)
-    while len(kept) > 1 and len(_tokens(make(title, kept))) > most:
+    while len(kept) > 1 and size(make(title, kept)) > most:
         kept.pop(0)
     text = make(title, kept)
-    if len(_tokens(text)) > most:
+    if size(text) > most:
         text = make("", kept)
-    return text if len(_tokens(text)) <= most else " ".join(_tokens(text)[:most])
+    return text if size(text) <= most else (split_by_budget(text, most, size) or [""])[0]
 
 
-def chunk_document(title: str, rows: list[tuple], most: int = 256, least: int = 60, overlap: int = 40, safety: int = 4) -> list[tuple]:
+def chunk_document(title: str, rows: list[tuple], most: int = 256, least: int = 60, overlap: int = 40, safety: int = 4, size: Size = words_and_signs) -> list[tuple]:
     """(kind, headings, body, contextual text, tokens): headings and tables by themselves, runs of paragraphs packed; no chunk with its header has over ``most - safety`` tokens."""
     out = []
     run: list[str] = []
@@ -335,14 +368,14 @@ def chunk_document(title: str, rows: list[tuple], most: int = 256, least: int =
 
     def emit(kind: str, headings: list[str], body: str, header: str) -> None:
         whole = (header + "\n\n" if header else "") + body
-        out.append((kind, headings, body, whole, len(_tokens(whole))))
+        out.append((kind, headings, body, whole, size(whole)))
 
     def flush() -> None:
         if run:
-            header = fit_header(title, under, (most - safety) // 2)
-            room = most - safety - len(_tokens(header))
-            pieces = [p for body in run for p in split_by_budget(body, room)]
-            for c in pack(pieces, room, overlap, least):
+            header = fit_header(title, under, (most - safety) // 2, size)
+            room = most - safety - size(header)
+            pieces = [p for body in run for p in split_by_budget(body, room, size)]
+            for c in pack(pieces, room, overlap, least, size):
                 emit("paragraph", under, c, header)
         run.clear()
 
@@ -350,14 +383,14 @@ def chunk_document(title: str, rows: list[tuple], most: int = 256, least: int =
         if kind in ("heading", "table") or headings != under:
             flush()
         under = list(headings)
-        header = fit_header(title, under, (most - safety) // 2)
-        room = most - safety - len(_tokens(header))
+        header = fit_header(title, under, (most - safety) // 2, size)
+        room = most - safety - size(header)
         if kind == "heading":
-            for c in split_by_budget(body, room):
+            for c in split_by_budget(body, room, size):
                 emit(kind, under, c, header)
         elif kind == "table":
-            for c in split_table(body, room):
-                for d in [c] if len(_tokens(c)) <= room else split_by_budget(c, room):
+            for c in split_table(body, room, size):
+                for d in [c] if size(c) <= room else split_by_budget(c, room, size):
                     emit(kind, under, d, header)
         else:
             run.append(body)
@@ -365,16 +398,20 @@ def chunk_document(title: str, rows: list[tuple], most: int = 256, least: int =
     return out
 
 
-def chunk(units_of: DataFrame, key: str, most: int = 256, least: int = 60, overlap: int = 40, safety: int = 4) -> DataFrame:
-    """(key, ordinal, kind, headings, body, contextual, tokens): each document's units(key, title, ordinal, kind, body, headings) as chunks; a document is one row's array, so no group is gathered twice."""
+def chunk(units_of: DataFrame, key: str, most: int = 256, least: int = 60, overlap: int = 40, safety: int = 4, vocabulary: str | None = None) -> DataFrame:
+    """(key, ordinal, kind, headings, body, contextual, tokens): each document's units(key, title, ordinal, kind, body, headings) as chunks; a document is one row's array, so no group is gathered twice.
+
+    Tokens are words and signs, or, with the path of a ``vocabulary`` that every worker can open, its word pieces.
+    """
     key_type = units_of.schema[key].dataType.simpleString()
     docs = units_of.groupBy(key).agg(F.first("title").alias("title"), F.sort_array(F.collect_list(F.struct("ordinal", "kind", "body", "headings"))).alias("rows"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        size = words_and_signs if vocabulary is None else pieces_of(vocabulary)
         for b in batches:
             out = []
             for k, title, rows in zip(b[key], b["title"], b["rows"], strict=True):
-                made = chunk_document(title or "", [(r["kind"], list(r["headings"]), r["body"]) for r in rows], most, least, overlap, safety)
+                made = chunk_document(title or "", [(r["kind"], list(r["headings"]), r["body"]) for r in rows], most, least, overlap, safety, size)
                 out += [(k, i, *c) for i, c in enumerate(made)]
             yield pd.DataFrame(out, columns=[key, "ordinal", "kind", "headings", "body", "contextual", "tokens"])
 
