@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import wordpiece
+from . import pdf, wordpiece
 
 UNITS = "kind string, level int, body string"
 
@@ -170,7 +170,9 @@ def office_units(raw: bytes, kind: str) -> tuple[str, list[tuple]]:
 
 
 def convert(raw: bytes, kind: str) -> tuple[str, list[tuple]]:
-    """(title, units) of a file; kinds without a converter at hand (pdf, images) have none."""
+    """(title, units) of a file; kinds without a converter at hand (images) have none.  Each page of a PDF file begins with a unit of kind ``page``, also one without text, so that their number stays known."""
+    if kind == "pdf":
+        return "", [("page" if j == 0 else "paragraph", 0, body) for i, t in enumerate(pdf.read(raw)) for j, body in enumerate([f"Page {i + 1}", *t.split("\n")]) if body]
     if kind in ("docx", "pptx", "xlsx", "odt", "ods", "odp", "epub"):
         return office_units(raw, kind)
     if kind == "eml":
