@@ -232,8 +232,8 @@ class Index:
             return lambda b: b.where(F.col("term").isin(few))
         return lambda b: b.join(asked.select("term").distinct(), "term", "left_semi")
 
-    def _in_parts(self, asked: DataFrame, only: Callable[[DataFrame], DataFrame], places: bool, run: Callable[[blocks.Shard, list[dict]], list[dict]], out: str) -> DataFrame:
-        """What ``run`` makes of each part's blocks of the asked terms and the queries' rows asked(query_id, term, ...), in batches of QUERIES queries."""
+    def _in_parts(self, asked: DataFrame, only: Callable[[DataFrame], DataFrame], places: bool, run: Callable[[blocks.Shard, list[dict]], list[tuple[object, dict[str, np.ndarray]]]], out: str) -> DataFrame:
+        """What ``run`` makes of each part's blocks of the asked terms and the queries' rows asked(query_id, term, ...), in batches of QUERIES queries: (query_id, other columns of one length) each; columns of ``out`` that it leaves out are null."""
         batches = -(-asked.select("query_id").distinct().count() // QUERIES) or 1
         asked = asked.withColumn("batch", F.pmod(F.xxhash64("query_id"), F.lit(batches)).cast("int"))
         wanted = ["part", "term", "low", "high", "n", "most", "least", "keys", "sizes", "counts", *(["places"] if places else []), *(["segment"] if self.state["dead"] else [])]
@@ -254,7 +254,12 @@ class Index:
             all_rows = asked_rows.to_pylist()
             dead = {r["segment"]: np.array(r["dead"], np.int64) for r in all_rows if r["dead"] is not None}
             shard = blocks.Shard(held, weights, dead)
-            return pa.Table.from_pylist(run(shard, [{n: r[n] for n in names} for r in all_rows if r["dead"] is None]), arrow)
+            made = run(shard, [{n: r[n] for n in names} for r in all_rows if r["dead"] is None])
+            size = [len(next(iter(c.values()))) for _, c in made]
+            queries = pa.array([q for q, _ in made], arrow.field("query_id").type).take(pa.array(np.repeat(np.arange(len(made)), size)))
+            # one chunk of a query's rows after another
+            columns = [pa.chunked_array([pa.array(c[f.name], f.type) if f.name in c else pa.nulls(n, f.type) for (_, c), n in zip(made, size, strict=True)], f.type) for f in arrow if f.name != "query_id"]
+            return pa.Table.from_arrays([queries, *columns], schema=arrow)
 
         arrow = to_arrow_schema(self.spark.createDataFrame([], schema).schema)
         return b.groupBy("part", "batch").cogroup(right.groupBy("part", "batch")).applyInArrow(meet, schema)
@@ -267,14 +272,14 @@ class Index:
         raw = F.log((total - F.col("n") + 0.5) / (F.col("n") + 0.5))
         asked = asked.join(self.terms(only), "term").select("query_id", "term", F.when(raw > 0, raw).otherwise(1e-6).alias("idf"))
 
-        def run(shard: blocks.Shard, rows: list[dict]) -> list[dict]:
+        def run(shard: blocks.Shard, rows: list[dict]) -> list[tuple[object, dict[str, np.ndarray]]]:
             out, by = [], {}
             for r in rows:
                 by.setdefault(r["query_id"], []).append((r["term"], r["idf"]))
             for query, terms in by.items():
                 keys, scores, n, opened = blocks.best(shard, terms, k, lambda idf: lambda f, length: idf * f * (K1 + 1) / (f + K1 * (1 - B + B * length / mean)))
-                out.append({"query_id": query, "blocks": n, "opened": opened})
-                out += [{"query_id": query, "key": i, "score": s} for i, s in zip(keys.tolist(), scores.tolist(), strict=True)]
+                out.append((query, {"blocks": np.array([n]), "opened": np.array([opened])}))
+                out.append((query, {"key": keys, "score": scores}))
             return out
 
         kind = queries.schema["query_id"].dataType.simpleString()
@@ -311,11 +316,11 @@ class Index:
         """(query_id, key): records whose first field holds all the words of phrases(query_id, words) one after another; no record is read."""
         asked = phrases.where(F.size("words") > 0).select("query_id", F.posexplode("words").alias("offset", "term"))
 
-        def run(shard: blocks.Shard, rows: list[dict]) -> list[dict]:
+        def run(shard: blocks.Shard, rows: list[dict]) -> list[tuple[object, dict[str, np.ndarray]]]:
             by: dict = {}
             for r in rows:
                 by.setdefault(r["query_id"], []).append((r["offset"], r["term"]))
-            return [{"query_id": q, "key": i} for q, w in by.items() for i in blocks.phrase(shard, [t for _, t in sorted(w)]).tolist()]
+            return [(q, {"key": blocks.phrase(shard, [t for _, t in sorted(w)])}) for q, w in by.items()]
 
         kind = phrases.schema["query_id"].dataType.simpleString()
         return self._in_parts(asked, self._only(asked), True, run, f"query_id {kind}, key long").withColumnRenamed("key", self.key)

@@ -8,15 +8,19 @@ from pyspark.sql import functions as F
 from .. import corpus
 from ..functions import text
 from ..operators import lexical as op
-from ._base import query
+from ..operators import search
+from ._base import ORACLES, query
 
 _W = corpus.sql_words("lower(text)")
 
 
-def _bm25_sql(records: str, key: str, fields: dict[str, float], k: int) -> str:
+_ASKED = f"SELECT DISTINCT item_id AS query_id, unnest({_W}) AS term FROM benchmark"
+
+
+def _bm25_sql(records: str, key: str, fields: dict[str, float], k: int, asked: str = _ASKED) -> str:
     parts = " UNION ALL ".join(f"SELECT {key}, unnest({corpus.sql_words(f'lower({f})')}) AS term, {float(w)}::DOUBLE AS weight FROM r" for f, w in fields.items())
     size = " + ".join(f"len({corpus.sql_words(f'lower({f})')})" for f in fields)
-    return f"""WITH r AS ({records}), q AS (SELECT DISTINCT item_id AS query_id, unnest({_W}) AS term FROM benchmark),
+    return f"""WITH r AS ({records}), q AS ({asked}),
  l AS (SELECT {key}, ({size})::DOUBLE AS length FROM r), s AS (SELECT count(*)::DOUBLE AS total, avg(length) AS mean FROM l),
  h AS (SELECT {key}, term, sum(weight) AS f FROM ({parts}) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
  d AS (SELECT term, count(*)::DOUBLE AS n FROM h GROUP BY term),
@@ -202,3 +206,27 @@ def v9_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = found.select("query_id", F.lit("document").alias("kind"), F.col("doc_id").cast("string").alias("id"), F.when(F.contains(heading, F.concat(F.lit(" "), "w", F.lit(" "))), 3).otherwise(5).alias("tier"), "score")
     ranked = named.unionByName(found).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("tier", F.desc("score"), "kind", "id")).cast("long"))
     return ranked.where("rank <= 20")
+
+
+_BY_QUESTION = _bm25_sql("SELECT doc_id, text FROM documents", "doc_id", {"text": 1}, 10**9, f"SELECT DISTINCT question_id AS query_id, unnest({corpus.sql_words('lower(question)')}) AS term FROM ({corpus.QUESTIONS_SQL})")
+TIERED_SQL = f"""WITH a AS MATERIALIZED (SELECT query_id, tier, name, list_distinct(string_split(lower(terms), ' ')) AS terms, lower(terms) AS phrase, need FROM ({ORACLES["v2_query_plan"]})),
+ d AS MATERIALIZED (SELECT doc_id, ' ' || array_to_string({_W}, ' ') || ' ' AS t FROM documents), h AS MATERIALIZED (SELECT DISTINCT doc_id, unnest({_W}) AS term FROM documents),
+ u AS MATERIALIZED (SELECT query_id, tier, name, need, len(terms) AS n, unnest(terms) AS word FROM a WHERE name <> 'phrase'),
+ m AS (SELECT query_id, tier, need, n, doc_id, count(DISTINCT word) AS matched FROM (SELECT u.*, doc_id FROM u JOIN h ON term = word WHERE name <> 'prefix'
+  UNION ALL SELECT u.*, doc_id FROM u JOIN h ON substr(term, 1, 4) = substr(word, 1, 4) AND CASE WHEN length(word) >= 4 THEN starts_with(term, word) ELSE term = word END WHERE name = 'prefix') GROUP BY ALL),
+ x AS (SELECT query_id, tier, doc_id FROM a JOIN d ON contains(t, ' ' || phrase || ' ') WHERE name = 'phrase' UNION SELECT query_id, tier, doc_id FROM m WHERE matched >= least(need, n)),
+ f AS (SELECT query_id, doc_id, min(tier) AS tier FROM x GROUP BY ALL), c AS (SELECT query_id, tier, count(*) AS new FROM f GROUP BY ALL),
+ b AS (SELECT query_id, tier, coalesce(sum(new) OVER (PARTITION BY query_id ORDER BY tier ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM c),
+ v AS (SELECT query_id, doc_id, tier, coalesce(score, 0.0::DOUBLE) AS score FROM f JOIN b USING (query_id, tier) LEFT JOIN ({_BY_QUESTION}) s USING (query_id, doc_id) WHERE before < 20),
+ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY tier, score DESC, doc_id) AS rank FROM v)
+ SELECT query_id, doc_id, tier, score, rank FROM r WHERE rank <= 20"""
+
+
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.questions(spark, sf_dir).withColumnRenamed("question_id", "query_id")
+
+
+@query("v9_tiered_search", TIERED_SQL)
+def v9_tiered_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every form of question through the tiers of the stored index, until there are 20 records."""
+    return search.tiered(corpus.index(spark, sf_dir), _asked(spark, sf_dir), 20)
