@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from .. import shared
 from ..functions import text
@@ -28,8 +29,8 @@ K1, B = 1.2, 0.75
 FEW_TERMS = 1000
 #: Of the stored tables; another one is built anew.
 FORMAT = 3
-#: Records of a part, which a task searches; of a file; queries that a task takes at once; segments of like size that are merged.
-PART_RECORDS, FILE_RECORDS, QUERIES, TIER = 200_000, 20_000, 1000, 4
+#: Records of a part, which a task searches; of a file; queries that a task takes at once at most, and at least where there is a choice; segments of like size that are merged.
+PART_RECORDS, FILE_RECORDS, QUERIES, LEAST_QUERIES, TIER = 200_000, 20_000, 1000, 25, 4
 
 
 def postings(records: DataFrame, key: str, fields: dict[str, float]) -> DataFrame:
@@ -234,7 +235,9 @@ class Index:
 
     def _in_parts(self, asked: DataFrame, only: Callable[[DataFrame], DataFrame], places: bool, run: Callable[[blocks.Shard, list[dict]], list[tuple[object, dict[str, np.ndarray]]]], out: str) -> DataFrame:
         """What ``run`` makes of each part's blocks of the asked terms and the queries' rows asked(query_id, term, ...), in batches of QUERIES queries: (query_id, other columns of one length) each; columns of ``out`` that it leaves out are null."""
-        batches = -(-asked.select("query_id").distinct().count() // QUERIES) or 1
+        queries, cores = asked.select("query_id").distinct().count(), self.spark.sparkContext.defaultParallelism
+        # few parts' work is dealt out over the cores by the queries
+        batches = max(1, -(-queries // QUERIES), min(queries // LEAST_QUERIES, -(-cores // self.state["parts"])))
         asked = asked.withColumn("batch", F.pmod(F.xxhash64("query_id"), F.lit(batches)).cast("int"))
         wanted = ["part", "term", "low", "high", "n", "most", "least", "keys", "sizes", "counts", *(["places"] if places else []), *(["segment"] if self.state["dead"] else [])]
         b = only(self._blocks()).select(*wanted)
@@ -261,7 +264,7 @@ class Index:
             columns = [pa.chunked_array([pa.array(c[f.name], f.type) if f.name in c else pa.nulls(n, f.type) for (_, c), n in zip(made, size, strict=True)], f.type) for f in arrow if f.name != "query_id"]
             return pa.Table.from_arrays([queries, *columns], schema=arrow)
 
-        arrow = to_arrow_schema(self.spark.createDataFrame([], schema).schema)
+        arrow = to_arrow_schema(StructType.fromDDL(schema))
         return b.groupBy("part", "batch").cogroup(right.groupBy("part", "batch")).applyInArrow(meet, schema)
 
     def scored(self, queries: DataFrame, k: int | None) -> DataFrame:

@@ -212,20 +212,29 @@ def f45_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _NAMES = ["app/main.py", "a/B.PY", "x.Eml", ".env", "archive.tar.gz", "web/node_modules/x.js", "src/index.test.ts", "pkg/run_test.go", "OrderTests.cs", "test_.py", "keys/server.pem", "docs/private/a.md", "logs/a.log", "logs/keep.log", "deep/secrets.txt", "site/page.html", "r/sheet.xlsx", "noext", "dot.", "ui/App.tsx"]
+_FOLDER = "CASE page_id % 3 WHEN 0 THEN '' WHEN 1 THEN 'p' || page_id || '/' ELSE coalesce(regexp_extract(url, '^[^:]+://([^/]+)', 1), '') || '/' END"
 
 
-@query("s4_s8_path_rules", "SELECT path, kind, language, format, secret, ignored, test FROM (VALUES " + ", ".join(
-    [
-        "('app/main.py', 'code', 'python', NULL, false, false, false)", "('a/B.PY', 'code', 'python', NULL, false, false, false)", "('x.Eml', 'document', NULL, 'eml', false, false, false)", "('.env', 'unknown', NULL, NULL, true, true, false)",
-        "('archive.tar.gz', 'unknown', NULL, NULL, false, false, false)", "('web/node_modules/x.js', 'code', 'javascript', NULL, false, true, false)", "('src/index.test.ts', 'code', 'typescript', NULL, false, false, true)", "('pkg/run_test.go', 'code', 'go', NULL, false, false, true)",
-        "('OrderTests.cs', 'code', 'csharp', NULL, false, false, true)", "('test_.py', 'code', 'python', NULL, false, false, false)", "('keys/server.pem', 'unknown', NULL, NULL, true, true, false)", "('docs/private/a.md', 'document', NULL, 'markdown', false, true, false)",
-        "('logs/a.log', 'unknown', NULL, NULL, false, true, false)", "('logs/keep.log', 'unknown', NULL, NULL, false, false, false)", "('deep/secrets.txt', 'document', NULL, 'txt', true, true, false)", "('site/page.html', 'document', NULL, 'html', false, false, false)",
-        "('r/sheet.xlsx', 'document', NULL, 'xlsx', false, false, false)", "('noext', 'unknown', NULL, NULL, false, false, false)", "('dot.', 'unknown', NULL, NULL, false, false, false)", "('ui/App.tsx', 'code', 'tsx', NULL, false, false, false)",
-    ]) + ") AS v(path, kind, language, format, secret, ignored, test)")
+def _cases(table: dict[str, str]) -> str:
+    return "CASE suffix " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in table.items()) + " END"
+
+
+def _quoted(values: list[str]) -> str:
+    return ", ".join(f"'{v}'" for v in values)
+
+
+@query("s4_s8_path_rules", f"""WITH n AS (SELECT page_id, {_FOLDER} || ([{_quoted(_NAMES)}])[page_id % {len(_NAMES)} + 1] AS path FROM pages UNION ALL SELECT doc_id, rel_path FROM ({corpus.FILES})),
+ p AS (SELECT *, regexp_extract(path, '[^/]*$') AS name, string_split(path, '/') AS parts FROM n), x AS (SELECT *, lower(regexp_extract(name, '\\.[^.]*$')) AS suffix, regexp_matches(name, '^(\\.env|\\.env\\..*|.*\\.pem|.*\\.key|id_rsa|id_ed25519|credentials.*|secrets.*)$') AS secret FROM p)
+ SELECT page_id AS id, path, CASE WHEN suffix IN ({_quoted(files.CODE)}) THEN 'code' WHEN suffix IN ({_quoted(files.DOCUMENT)}) THEN 'document' ELSE 'unknown' END AS kind, {_cases(files.LANGUAGE)} AS language, {_cases(files.FORMAT)} AS format, secret,
+  secret OR list_has_any(parts[:len(parts) - 1], [{_quoted(files.SKIPPED_FOLDERS)}]) OR (name <> 'keep.log' AND (regexp_matches(name, '\\.log$') OR starts_with(path, 'docs/private/'))) AS ignored,
+  regexp_matches(name, '^test_.+\\.py$|^.+_test\\.(py|go)$|^.+Tests?\\.(cs|java)$|^.+\\.(test|spec)\\.(js|jsx|ts|tsx)$') AS test FROM x""")
 def s4_s8_path_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = spark.createDataFrame([(n,) for n in _NAMES], "path string")
+    """File names of all kinds under the pages' hosts and numbers, and the documents' paths."""
+    folder = F.expr(_FOLDER)
+    name = F.element_at(F.array(*(F.lit(x) for x in _NAMES)), (F.col("page_id") % len(_NAMES) + 1).cast("int"))
+    p = corpus.table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.concat(folder, name).alias("path")).unionByName(corpus.files(spark, sf_dir).select(F.col("doc_id").alias("id"), F.col("rel_path").alias("path")))
     c = F.col("path")
-    return p.select("path", files.kind(c).alias("kind"), files.language(c).alias("language"), files.document_format(c).alias("format"), files.is_secret(c).alias("secret"), files.is_ignored(c, ["*.log", "logs/", "/docs/private/*"], ["keep.log"]).alias("ignored"), files.is_test(c).alias("test"))
+    return p.select("id", "path", files.kind(c).alias("kind"), files.language(c).alias("language"), files.document_format(c).alias("format"), files.is_secret(c).alias("secret"), files.is_ignored(c, ["*.log", "logs/", "/docs/private/*"], ["keep.log"]).alias("ignored"), files.is_test(c).alias("test"))
 
 
 @query("s4_ignored_files", f"SELECT rel_path, contains(rel_path, '/moved/') OR regexp_matches(rel_path, '/1[^/]*\\.txt$') AS ignored, 'document' AS kind, 'txt' AS format FROM ({corpus.FILES_AFTER})")

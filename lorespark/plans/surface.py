@@ -119,8 +119,8 @@ def n6_scan_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("c14_graph_clear_adopt", f"""WITH n AS (SELECT doc_id FROM documents WHERE lang = 'de'), r AS (SELECT * FROM ({corpus.REFERENCES})), e AS (SELECT md5(file_id || ':' || reference_text) AS id, file_id FROM r), l AS (SELECT md5(file_id || '>' || (file_id * 7 % 50)) AS id, file_id AS entity_id, file_id * 7 % 50 AS document_id FROM (SELECT DISTINCT file_id FROM r))
- SELECT 'cleared edge' AS kind, count(*) AS n FROM e WHERE file_id NOT IN (SELECT doc_id FROM n) UNION ALL SELECT 'cleared link', count(*) FROM l WHERE entity_id NOT IN (SELECT doc_id FROM n) AND document_id NOT IN (SELECT doc_id FROM n)
- UNION ALL SELECT 'adopted edge', count(*) FROM e WHERE file_id IN (SELECT doc_id FROM n) UNION ALL SELECT 'adopted link', count(*) FROM l WHERE entity_id IN (SELECT doc_id FROM n) AND document_id IN (SELECT doc_id FROM n)""")
+ SELECT 'cleared edge' AS kind, id FROM e WHERE file_id NOT IN (SELECT doc_id FROM n) UNION ALL SELECT 'cleared link', id FROM l WHERE entity_id NOT IN (SELECT doc_id FROM n) AND document_id NOT IN (SELECT doc_id FROM n)
+ UNION ALL SELECT 'adopted edge', id FROM e WHERE file_id IN (SELECT doc_id FROM n) UNION ALL SELECT 'adopted link', id FROM l WHERE entity_id IN (SELECT doc_id FROM n) AND document_id IN (SELECT doc_id FROM n)""")
 def c14_graph_clear_adopt(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words as edges of their documents: cleared of the German files, and adopted by a build that has only these."""
     german = corpus.scan(spark, sf_dir, "documents").where("lang = 'de'").select(F.col("doc_id").alias("file_id"))
@@ -132,7 +132,7 @@ def c14_graph_clear_adopt(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = None
     for kind, (e, l) in (("cleared", graph.without_files(edges, links, german, every, every)), ("adopted", graph.adopted(edges, links, german, own, own))):
         for name, rows in (("edge", e), ("link", l)):
-            one = rows.agg(F.count("*").alias("n")).select(F.lit(f"{kind} {name}").alias("kind"), "n")
+            one = rows.select(F.lit(f"{kind} {name}").alias("kind"), "id")
             out = one if out is None else out.unionByName(one)
     return out
 
