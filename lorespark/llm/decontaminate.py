@@ -104,8 +104,14 @@ class Plan:
         rows = {k: v for k, v in rows.items() if all(self.df[x] for x in k)}
         self.windows = [np.array(k) for k in rows]
         self.items = list(rows.values())
-        self.order = [np.argsort(self.df[k], kind="stable") for k in self.windows]
         self.names = [x[0] for x in items]
+        # by window, rarest first: each term and its place in the window; -1 beyond a shorter window's end
+        self.length = np.array([len(k) for k in self.windows], np.int64)
+        self.term = np.full((len(self.windows), int(self.length.max(initial=0))), -1, np.int64)
+        self.offset = np.zeros_like(self.term)
+        for i, k in enumerate(self.windows):
+            o = np.argsort(self.df[k], kind="stable")
+            self.term[i, : len(k)], self.offset[i, : len(k)] = k[o], o
 
     def search(self, seg: Segment) -> tuple[np.ndarray, np.ndarray]:
         """(window, place of its first word) of every occurrence in the segment."""
@@ -114,28 +120,23 @@ class Plan:
             return none
         lo, hi = seg.lists(self.vocabulary)
         size = hi - lo
-        live = [k for k, w in enumerate(self.windows) if size[w].all()]
-        if not live:
+        live = np.flatnonzero(((self.term < 0) | (size[self.term] > 0)).all(1))
+        if not len(live):
             return none
         # the postings of the vocabulary's terms as sorted (term, place) keys
         known = np.flatnonzero(size)
         lists = np.concatenate([(c << 40) + seg.places[lo[c] : hi[c]].astype(np.int64) for c in known])
-        win, start = [], []
-        for k in live:
-            o = self.order[k][0]
-            c = self.windows[k][o]
-            got = seg.places[lo[c] : hi[c]].astype(np.int64) - o
-            start.append(got)
-            win.append(np.full(len(got), k))
-        win, start = np.concatenate(win), np.concatenate(start)
-        length = np.array([len(w) for w in self.windows])
-        for step in range(1, int(length.max())):
+        rarest = self.term[live, 0]
+        ends = np.cumsum(size[rarest])
+        win = np.repeat(live, size[rarest])
+        start = seg.places[np.arange(len(win)) + np.repeat(lo[rarest] - (ends - size[rarest]), size[rarest])].astype(np.int64) - self.offset[win, 0]
+        length = self.length
+        for step in range(1, self.term.shape[1]):
             more = length[win] > step
-            offset = np.array([o[step] if len(o) > step else 0 for o in self.order])[win]
-            term = np.array([w[o[step]] if len(o) > step else 0 for w, o in zip(self.windows, self.order, strict=True)])[win]
-            key = (term << 40) + start + offset
+            place = start + self.offset[win, step]
+            key = (self.term[win, step] << 40) + place
             at = np.minimum(np.searchsorted(lists, key), len(lists) - 1)
-            ok = ~more | ((lists[at] == key) & (start + offset >= 0))
+            ok = ~more | ((lists[at] == key) & (place >= 0))
             win, start = win[ok], start[ok]
             if not len(win):
                 return none
