@@ -353,6 +353,23 @@ def test_quality_features(spark, corpus_rows):
         assert got[i] == (len(w), sum(map(len, w)), sum(x in "#*$%&|<>" for x in t), len(lines) - len(set(lines)), len(again), len(w) < 10 or 100 * len(again) > 20 * len(w)), i
 
 
+def test_quality_verdict_is_a_walk_down_the_list(spark, corpus_rows):
+    """The conditional expression that rules become, against going through them row by row."""
+    rng = random.Random(12)
+    feature = lambda r: {"n_words": float(r["n_words"]), "mean_word": r["word_chars"] / max(r["n_words"], 1), "symbol_share": r["n_symbols"] / max(r["n_words"], 1), "dup_line_share": r["n_dup_lines"] / max(r["n_words"], 1), "repeat_share": r["n_repeat_words"] / max(r["n_words"], 1)}
+    measured = quality_rules.features(docs_of(spark, corpus_rows)).cache()
+    rows = measured.collect()
+    kinds = set()
+    for _ in range(12):
+        rules = [[(f, rng.choice([">=", "<"]), feature(rng.choice(rows))[f]) for f in rng.sample(quality_rules.FEATURES, rng.randint(1, 3))] for _ in range(rng.randint(0, 4))]
+        for r in quality_rules.apply(measured, rules).collect():
+            v = feature(r)
+            first = next((i for i, rule in enumerate(rules, 1) if all(v[f] >= cut if op == ">=" else v[f] < cut for f, op, cut in rule)), None)
+            assert (r["rule"], r["kept"]) == ((None, False) if r["base_failed"] else (first, first is None))
+            kinds.add((r["rule"] is None, r["kept"]))
+    assert len(kinds) == 3
+
+
 def test_quality_rules_learn_and_hold_out(spark):
     rng = random.Random(9)
     rows, labels = [], []

@@ -35,6 +35,21 @@ def test_warc(spark, zip64):
     assert warc_zip.read(warc_zip.write(df.where("false"))).count() == 0
 
 
+def test_warc_query_with_revisits(spark, tmp_path):
+    """The registered query over a table of which most pages are copies."""
+    body = {k: ("<p>é" + str(k)) * n for k, n in ((0, 400), (1, 250), (2, 100), (3, 0))}
+    rows = [(i, f"http://h/{i}", body[0] if i % 3 else body[i % 4]) for i in range(240)] + [(500, "u", None)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3).write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r["page_id"]: tuple(r)[1:] for r in registry.op8_warc_zip(spark, str(tmp_path)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()}
+    raw = {i: (h or "").encode() for i, _, h in rows}
+    last = {b: max(i for i in raw if raw[i] == b) for b in raw.values()}
+    want = {}
+    for i, b in raw.items():
+        again = len(b) >= 1000 and last[b] != i
+        want[i] = (len(b), hashlib.sha1(b).hexdigest(), "revisit" if again else "response", last[b] if again else None)
+    assert got == want and sum(w[2] == "revisit" for w in want.values()) > 150
+
+
 def test_warc_reads_ranges_only(spark, monkeypatch):
     manifest = warc_zip.write(spark.createDataFrame([(i, "u", str(i) * 5000) for i in range(50)], "page_id long, url string, html string"))
     row = max(manifest.collect(), key=lambda r: r["records"])
