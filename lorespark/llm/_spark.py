@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import tempfile
 import uuid
@@ -10,7 +11,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import _text
+from . import _files, _text
 
 
 #: Rows of ids, numbers and short arrays that a task writes to one file.
@@ -40,9 +41,24 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     if _made:
         _made[-1].append(path)
+    if not _left:
+        atexit.register(_clear)
+    _left.append(path)
     return path
 
 
+#: What this driver has made; what is still there when it ends goes.
+_left: list[str] = []
+
+
+def _clear() -> None:
+    for path in _left:
+        with contextlib.suppress(OSError, ValueError):
+            system, at = _files.open_fs(path)
+            if system.get_file_info(at).type == _files.fs.FileType.Directory:
+                system.delete_dir(at)
+
+
 @contextlib.contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """What operators write to the shared folder within goes at the end; results must have been written elsewhere by then."""
