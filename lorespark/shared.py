@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,9 +24,25 @@ def base(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: What this driver has made and not given a name to keep; what is still there when it ends goes.
+_made: list[str] = []
+
+
+def _clear() -> None:
+    for path in _made:
+        with contextlib.suppress(OSError, ValueError):
+            store, at = fs.FileSystem.from_uri(path)
+            if store.get_file_info(at).type == fs.FileType.Directory:
+                store.delete_dir(at)
+
+
 def folder(spark: SparkSession, name: str) -> str:
-    """A new folder's path within the shared one."""
-    return f"{base(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new folder's path within the shared one; it goes when the driver ends, unless it is renamed till then."""
+    path = f"{base(spark)}/{name}-{uuid.uuid4().hex}"
+    if not _made:
+        atexit.register(_clear)
+    _made.append(path)
+    return path
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
