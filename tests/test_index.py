@@ -8,7 +8,6 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
-from pyspark.sql import functions as F
 
 from lorespark import shared
 from lorespark.operators import expressions, lexical, postings
