@@ -105,6 +105,14 @@ def get(settings: Settings, path: str) -> object:
     return out
 
 
+def put(settings: Settings, path: str, value: object) -> None:
+    """Sets a setting by its dotted path, as the kind of value that it is."""
+    values: object = value
+    for p in reversed(path.split(".")):
+        values = {p: values}
+    _merge(settings, values, "")
+
+
 class JsonLines(logging.Formatter):
     """One compact JSON object an event, with credentials in URLs removed."""
 

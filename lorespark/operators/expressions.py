@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -68,6 +67,13 @@ def parse(expression: str) -> tuple:
     return out
 
 
+def safe(asked: Column | str) -> Column:
+    """An expression for any text: its words, each quoted, must all be there; what would be an operator in it is a word.  A text without words gives null."""
+    c = F.col(asked) if isinstance(asked, str) else asked
+    parts = F.filter(F.split(F.replace(c, F.lit('"'), F.lit(" ")), r"\s+"), lambda x: x.rlike(r"[\p{L}\p{N}_]"))
+    return F.nullif(F.array_join(F.transform(parts, lambda x: F.concat(F.lit('"'), x, F.lit('"'))), " AND "), F.lit(""))
+
+
 def leaves(tree: tuple) -> list[tuple]:
     return [x for p in tree[1] for x in leaves(p)] if tree[0] in ("and", "or") else [tree]
 

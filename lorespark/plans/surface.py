@@ -24,6 +24,14 @@ def f44_expression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return expressions.indexed(corpus.index(spark, sf_dir), expressions.parse(_EXPRESSION))
 
 
+@query("f35_safe_expressions", f"""SELECT question_id, nullif(array_to_string(list_transform(list_filter(regexp_split_to_array(replace(q, '"', ' '), '\\s+'), lambda x: regexp_matches(x, '[\\p{{L}}\\p{{N}}_]')), lambda x: '"' || x || '"'), ' AND '), '') AS expression
+ FROM (SELECT question_id, '("' || question || '" OR x*) AND --' AS q FROM ({corpus.QUESTIONS_SQL}))""")
+def f35_safe_expressions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions with signs around them that mean something in expressions."""
+    q = corpus.questions(spark, sf_dir).select("question_id", F.concat(F.lit('("'), "question", F.lit('" OR x*) AND --')).alias("q"))
+    return q.select("question_id", expressions.safe("q").alias("expression"))
+
+
 @query("f27_confidence", f"SELECT query_id, CASE WHEN bool_or(tier < 5) THEN 'high' ELSE 'medium' END AS confidence FROM (SELECT query_id, tier FROM ({ORACLES['v9_lexical_search']})) GROUP BY query_id")
 def f27_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = lexical_plans.v9_lexical_search(spark, sf_dir)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
 from ..functions import files, ids
+from ..operators import changes
 from . import tree
 
 
@@ -68,6 +69,15 @@ def read(found: DataFrame, root: str, content: bool = True) -> DataFrame:
     return found.repartition(4 * cores, F.xxhash64("rel_path")).mapInArrow(run, schema)
 
 
+def hashed(found: DataFrame, before: DataFrame, root: str) -> DataFrame:
+    """found with ``content_hash``: that of before(rel_path, size, mtime, content_hash) where size and time are the same, else of the file; only those are opened."""
+    old = before.select("rel_path", F.col("size").alias("_size"), F.col("mtime").alias("_mtime"), F.col("content_hash").alias("_hash"))
+    both = found.join(old, "rel_path", "left")
+    same = F.coalesce(F.col("error").isNull() & F.col("_hash").isNotNull() & changes.stat_unchanged(F.col("size"), F.col("mtime"), F.col("_size"), F.col("_mtime")), F.lit(False))
+    kept = both.where(same).select(*found.columns, F.col("_hash").alias("content_hash"))
+    return kept.unionByName(read(both.where(~same).select(*found.columns), root, content=False))
+
+
 def _read_one(store: fs.FileSystem, path: str, content: bool) -> tuple[str, bytes | None]:
     h, kept = hashlib.sha256(), []
     with store.open_input_stream(path) as f:

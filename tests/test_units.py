@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 
 import pandas as pd
 import pytest
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lorespark import config
 from lorespark.functions import files, routing, text
-from lorespark.operators import changes, code, documents, evidence, graph, lexical, neighbours, ranking
+from lorespark.operators import changes, code, documents, evidence, expressions, graph, lexical, neighbours, ranking
 from lorespark.sources import files as file_source
 from lorespark.sources import tree
 from lorespark.sources.store import ConflictError, Store
@@ -360,6 +361,27 @@ def test_folder_scan_tells_what_it_cannot_read(spark, tmp_path):
     assert len(rows) == 1 and rows[0]["error"]
 
 
+def test_only_hash_candidates_are_opened(spark, tmp_path):
+    import os
+
+    root = f"file://{tmp_path}"
+    for n in ("same.txt", "touched.txt", "grown.txt", "gone.txt"):
+        (tmp_path / n).write_text(n)
+    before = file_source.read(file_source.scan(spark, root, "s"), root, content=False).collect()
+    before = spark.createDataFrame(before, file_source.read(file_source.scan(spark, root, "s"), root, content=False).schema)
+    at = os.stat(tmp_path / "same.txt").st_mtime_ns
+    # other bytes of the same size and time: were it opened, its hash would be another
+    (tmp_path / "same.txt").write_text("SAME.txt")
+    os.utime(tmp_path / "same.txt", ns=(at, at))
+    os.utime(tmp_path / "touched.txt", ns=(at + 10**10, at + 10**10))
+    (tmp_path / "grown.txt").write_text("grown.txt and more")
+    (tmp_path / "gone.txt").unlink()
+    (tmp_path / "new.txt").write_text("new")
+    got = {r["rel_path"]: r["content_hash"] for r in file_source.hashed(file_source.scan(spark, root, "s"), before, root).collect()}
+    h = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    assert got == {"same.txt": h("same.txt"), "touched.txt": h("touched.txt"), "grown.txt": h("grown.txt and more"), "new.txt": h("new")}
+
+
 def test_split_table_keeps_its_cells():
     rows = ["h1 | h2", *(" | ".join(f"cell{i * 7 + j} word" for j in range(6)) for i in range(4)), "short | row", "one cell that is far too long for any chunk of this size by itself | x"]
     for most in (6, 8, 12, 20, 60):
@@ -376,6 +398,25 @@ def test_split_table_keeps_its_cells():
             at += len(r) + 3
 
 
+def test_any_text_becomes_an_expression(spark):
+    texts = ['a OR b', '"x" AND (', "--", "", 'say "hi there" now*', "AND", "un*ter OR ( a.b"]
+    got = {r["t"]: r["e"] for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", expressions.safe("t").alias("e")).collect()}
+    assert got["a OR b"] == '"a" AND "OR" AND "b"' and got["--"] is None and got[""] is None
+    for t, e in got.items():
+        if e is not None:
+            found = [w for kind, v in expressions.leaves(expressions.parse(e)) for w in (v if kind == "phrase" else [v])]
+            assert found == re.findall(r"\w+", t.lower()), t
+
+
+def test_put_setting():
+    s = config.load(None, {})
+    config.put(s, "search.limit", "9")
+    assert config.get(s, "search.limit") == 9
+    for path, value in (("search.none", 1), ("search.limit", "many"), ("search", 3)):
+        with pytest.raises(ValueError):
+            config.put(s, path, value)
+
+
 def test_settings(tmp_path):
     p = tmp_path / "s.yaml"
     p.write_text("search:\n  limit: 5\n  rerank: yes\n")
