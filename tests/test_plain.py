@@ -109,5 +109,38 @@ def test_reranked_by_the_given_scorer(spark):
         assert got[q] == [r["id"] for r in order]
 
 
+def test_coalesced_requests(spark):
+    """A run takes eight hours; what is asked for meanwhile waits for the next one, more than three paths for a full one."""
+    asked: dict = {}
+    for r in spark.read.parquet(f"{SF}/events.parquet").selectExpr("user_id", "event_type", "unix_millis(cast(ts as timestamp)) as ms").collect():
+        asked.setdefault(str(r["user_id"]), []).append((r["ms"], r["event_type"]))
+    run, want = 8 * 3600 * 1000, []
+    for user, requests in asked.items():
+        ends, waiting = None, set()
+        for at, path in [*sorted(requests), (float("inf"), None)]:
+            while ends is not None and at >= ends:
+                if waiting:
+                    want.append((user, ends, 0 if len(waiting) > 3 else len(waiting), int(len(waiting) > 3)))
+                    waiting, ends = set(), ends + run
+                else:
+                    ends = None
+            if path is None:
+                break
+            if ends is None:
+                want.append((user, at, 1, 0))
+                ends = at + run
+            else:
+                waiting.add(path)
+    assert sorted(tuple(r) for r in Q["x4_coalesce_requests"](spark, SF).collect()) == sorted(want) and len(want) > 50
+
+
+def test_route_targets(spark):
+    """Of the forms whose target is plain: a dotted name, a path, and what a question of calls or changes is about."""
+    words = {r["item_id"]: [w for w in re.findall(r"\w+", r["text"]) if len(w) >= 5] for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
+    got = {r["question_id"]: r["target"] for r in Q["v13_route_targets"](spark, SF).collect()}
+    plain = {i: w for i, w in words.items() if len(w) > 1 and (w[0] + w[1]).isascii() and w[0].isalpha() and w[1].isalpha()}
+    assert plain and all((got[i * 100 + 1], got[i * 100 + 3], got[i * 100 + 5], got[i * 100 + 6]) == (f"{w[0]}.{w[1]}", f"src/{w[0]}.py", w[0], w[0]) for i, w in plain.items())
+
+
 def test_tokens_are_words_and_signs():
     assert documents.words_and_signs("a b, c_d!é") == 6

@@ -43,9 +43,8 @@ def test_same_rows(spark, duck, name):
     assert plain(got) == plain(want)
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
-def test_gives_rows(spark, name):
-    assert QUERIES[name](spark, SF).count() > 0
+def test_queries_without_sql_are_those_of_test_plain():
+    assert set(QUERIES) - set(ORACLES) == {"n1_html_units", "n2_chunks", "n2_text_chunks", "t11_mmr", "v12_neural_rerank", "v13_route_targets", "x4_coalesce_requests"}
 
 
 def test_no_query_without_a_function():
