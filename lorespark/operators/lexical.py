@@ -28,7 +28,7 @@ K1, B = 1.2, 0.75
 #: Up to this many terms are looked up by a filter that the scan of the postings can skip files by; more by a join.
 FEW_TERMS = 1000
 #: Of the stored tables; another one is built anew.
-FORMAT = 3
+FORMAT = 4
 #: Records of a part, which a task searches; of a file; queries that a task takes at once at most, and at least where there is a choice; segments of like size that are merged.
 PART_RECORDS, FILE_RECORDS, QUERIES, LEAST_QUERIES, TIER = 200_000, 20_000, 1000, 25, 4
 
@@ -95,7 +95,7 @@ class Index:
     @staticmethod
     def _write_blocks(small: DataFrame, fields: int, weights: np.ndarray, path: str, n: int) -> None:
         """Blocks, dead keys among their columns or not, as a segment's: merged and sorted by part and term, files by the number of records."""
-        files = max(1, -(-n // FILE_RECORDS)) if n > FILE_RECORDS else min(4, small.sparkSession.sparkContext.defaultParallelism)
+        files = max(-(-n // FILE_RECORDS), min(small.sparkSession.sparkContext.defaultParallelism, max(4, n // 1000)))
         dealt = small.repartitionByRange(files, "part", "term", "low").sortWithinPartitions("part", "term", "low")
         dealt.mapInArrow(blocks.merge(fields, weights), blocks.SCHEMA).write.parquet(f"{path}/blocks")
 
