@@ -35,7 +35,8 @@ def _split_sql(e: str) -> str:
 def _with_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = text.lower_words("text")
     d = corpus.table(spark, sf_dir, "documents").select("doc_id", w.alias("w")).where("size(w) > 1")
-    return d.select("doc_id", F.expr("concat(w[0], upper(substr(w[1], 1, 1)), substr(w[1], 2), '2Api HTTP', upper(substr(w[0], 1, 1)), substr(w[0], 2), ' snake_', w[1], ' v', size(w))").alias("ident"))
+    a, b = F.col("w")[0], F.col("w")[1]
+    return d.select("doc_id", F.concat(a, text.capitalized(b), F.lit("2Api HTTP"), text.capitalized(a), F.lit(" snake_"), b, F.lit(" v"), F.size("w")).alias("ident"))
 
 
 @query("f2_identifier_words", f"""WITH i AS (SELECT doc_id, {_IDENT} AS ident FROM (SELECT doc_id, {_LW} AS w FROM documents) WHERE len(w) > 1),
