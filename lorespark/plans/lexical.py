@@ -143,7 +143,7 @@ def p4_p5_symbol_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("p6_title_lookup", "SELECT a.doc_id, b.doc_id AS other_id FROM (SELECT doc_id, lower(split_part(text, chr(10), 1)) AS t FROM documents) a JOIN (SELECT doc_id, lower(split_part(text, chr(10), 1)) AS t FROM documents) b USING (t) WHERE a.doc_id < b.doc_id")
 def p6_title_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = corpus.table(spark, sf_dir, "documents").select("doc_id", F.lower(F.split("text", "\n")[0]).alias("t"))
-    return t.join(t.withColumnRenamed("doc_id", "other_id"), "t").where("doc_id < other_id").select("doc_id", "other_id")
+    return op.equal_pairs(t, "t", "doc_id", "other_id")
 
 
 @query("p7_path_substring", f"SELECT rel_path FROM ({corpus.FILES}) WHERE contains(rel_path, 'c1/1') OR contains(rel_path, '%') OR contains(rel_path, '_7')")
