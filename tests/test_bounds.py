@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-from lorespark.operators import graph, lexical, postings, search
+from lorespark.operators import documents, graph, lexical, postings, search
 
 
 def test_equal_records_leave_a_part_no_more_than_k_at_a_time():
@@ -63,3 +63,12 @@ def test_tiers_send_no_more_than_twice_the_limit_a_question(spark, tmp_path, mon
     got = search.tiered(index, questions, 5).collect()
     assert sorted((r["query_id"], r["doc_id"], r["tier"]) for r in got) == sorted([(1, i, 1) for i in (1, 2, 4, 5, 7)] + [(2, i, 0) for i in (0, 3, 6, 9, 12)])
     assert sent and max(sent) <= 2 * 2 * 5
+
+
+def test_documents_are_converted_and_chunked_in_pieces(spark):
+    rows = [{"k": i, "t": "x" * 30_000} for i in range(200)]
+    sizes = [len(p) for p in documents._pieces(iter([pa.RecordBatch.from_pylist(rows)]))]
+    assert sum(sizes) == 200 and max(sizes) <= documents.PIECE // 30_000 + 1
+    pages = spark.createDataFrame([(1, "<h1>A</h1><p>one two</p>", "html"), (2, None, "html")], "id long, html string, kind string")
+    got = documents.chunk(documents.units(pages, "id", "html", "kind"), "id").orderBy("id", "ordinal").collect()
+    assert [(r["id"], r["kind"], r["body"], r["headings"]) for r in got if r["id"] == 1] == [(1, "heading", "A", []), (1, "paragraph", "one two", ["A"])]
