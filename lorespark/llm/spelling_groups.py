@@ -84,7 +84,8 @@ def near_pairs(words: DataFrame) -> DataFrame:
     first = F.col("a.end").startswith("<") | (F.substring("a.word", 1, AFFIX) != F.substring("b.word", 1, AFFIX))
     verified = F.levenshtein("a.word", "b.word", 1) == 1
     same = (F.col("a.value") == F.col("b.value")) & (F.col("a.end") == F.col("b.end"))
-    met = a.join(b, same & (one_less | exchange) & first & verified).select(F.col("a.word").alias("word"), F.col("a.n").alias("n"), F.col("b.word").alias("near"), F.col("b.n").alias("near_n"))
+    # rows are told from the words' file, compressed and before they go apart, so by their own size they seem small enough to be sent to the driver whole
+    met = a.join(b.hint("merge"), same & (one_less | exchange) & first & verified).select(F.col("a.word").alias("word"), F.col("a.n").alias("n"), F.col("b.word").alias("near"), F.col("b.n").alias("near_n"))
     # letters that share a value modulo 4096 may bring two words together twice
     met = met.distinct()
     turned = F.array(F.struct("word", "n", "near", "near_n"), F.struct(F.col("near").alias("word"), F.col("near_n").alias("n"), F.col("word").alias("near"), F.col("n").alias("near_n")))
@@ -99,11 +100,11 @@ def variants(words: DataFrame, times: int = 5) -> DataFrame:
     """
     words = _spark.written(words, "words")
     best = near_pairs(words).groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("m"), "near")).alias("b"))
-    told = words.join(best, "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), (-F.col("b.m")).alias("m"), "b.near")
+    told = words.join(best.hint("merge"), "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), (-F.col("b.m")).alias("m"), "b.near")
     taken = F.col("m") >= times * F.col("n")
     told = _spark.written(told.select("word", "n", "n_near", F.when(taken, F.col("near")).alias("form"), F.when(taken, F.col("m")).alias("form_n")), "forms")
     ends = roots(told.where("form is not null").select("word", "form"))
-    return told.join(ends, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return told.join(ends.hint("merge"), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 
 def roots(forms: DataFrame) -> DataFrame:
@@ -113,7 +114,7 @@ def roots(forms: DataFrame) -> DataFrame:
     while True:
         upto = _spark.fresh_path(spark, "roots")
         step = now.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        new = _spark.written(now.join(step, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), upto)
+        new = _spark.written(now.join(step.hint("merge"), "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), upto)
         if path:
             _spark.drop_path(spark, path)
         now, path = new, upto
