@@ -80,3 +80,17 @@ def test_file_symbols_of_words_need_no_candidates(spark):
     found = graph.file_symbols(entities, graph.resolve(references, entities, words=True))
     assert plan(found).count("Join") == 1
     assert sorted((r["file_id"], r["key"], r["defs"], r["refs"]) for r in found.collect()) == [(1, "n:run", 1, 1), (1, "q:m.run", 1, 0), (2, "n:run", 0, 1), (2, "n:x", 0, 1)]
+
+
+def test_references_of_words_are_shuffled_once(spark):
+    entities = spark.createDataFrame([("e", "run", "m.run", 1, 1), ("f", "run", "m.run", 2, 1), ("g", "go", "m.go", 2, 4)], "id string, name string, qualified_name string, file_id long, start_line long")
+    references = spark.createDataFrame([(1, "run"), (2, "run"), (3, "run"), (3, "go"), (3, "x")], "file_id long, reference_text string")
+    found = graph.resolve(references, entities, words=True)
+    # by their names, in lists; by files only the candidates
+    assert plan(found).count("hashpartitioning(file_id") == 1 and "MapInArrow" in plan(found)
+    told = {(r["file_id"], r["reference_text"]): (r["target_id"], r["symbol"], r["resolver"]) for r in found.collect()}
+    assert told == {(1, "run"): ("e", "run", "same_file_name"), (2, "run"): ("f", "run", "same_file_name"), (3, "run"): ("e", "run", "name_only"), (3, "go"): ("g", "go", "name_only"), (3, "x"): (None, "x", "unresolved")}
+    done, again = graph.resolve_changes(found, references, entities, entities.where("id <> 'g'"), words=True)
+    assert [tuple(r) for r in again.collect()] == [(3, "go")]
+    later = {(r["file_id"], r["reference_text"]): (r["target_id"], r["symbol"], r["resolver"]) for r in done.collect()}
+    assert later == told | {(3, "go"): (None, "go", "unresolved")}
