@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lorespark import registry, shared
-from lorespark.operators import graph, lexical
+from lorespark.operators import graph, lexical, search
 
 SF = "/root/testdata/sf0.001"
 
@@ -94,3 +94,13 @@ def test_references_of_words_are_shuffled_once(spark):
     assert [tuple(r) for r in again.collect()] == [(3, "go")]
     later = {(r["file_id"], r["reference_text"]): (r["target_id"], r["symbol"], r["resolver"]) for r in done.collect()}
     assert later == told | {(3, "go"): (None, "go", "unresolved")}
+
+
+def test_bodies_are_read_for_the_heads_alone(spark):
+    questions = spark.createDataFrame([(1, "alpha beta")], "query_id long, question string")
+    hits = spark.createDataFrame([(1, i, 1, i + 1) for i in range(6)], "query_id long, id long, tier int, rank long")
+    near = spark.createDataFrame([(1, 9, 1)], "query_id long, id long, rank long")
+    records = spark.createDataFrame([(i, "s", "alpha beta" if i == 2 else "alpha") for i in range(10)], "id long, source string, body string")
+    found = search.hybrid(questions, hits, near, records, 4, 4, 4)
+    assert "hashpartitioning(query_id, source" not in plan(found)
+    assert [r["id"] for r in found.orderBy("position").collect()] == [2, 0, 9, 1]
